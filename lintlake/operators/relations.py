@@ -186,7 +186,7 @@ def code(toks: DataFrame, language: str) -> DataFrame:
         .alias("encl"),
         F.coalesce(F.max(first).over(upto), F.lit(1)).alias("stmt"),
         latest(tok.isin("func", "function"), "line", "inside", "p1", *nexts).alias("last_func"),
-        latest(tok.isin(*control), "tok", "line", *nexts).alias("last_control"),
+        latest(tok.isin(*control), "tok", "line", "p1", "p2", *nexts).alias("last_control"),
         latest(tok.isin(*JS_TYPE_WORDS), "tok", "line", "n1").alias("last_type"),
         latest(tok == "(", "line", "p1", "p2", "p3").alias("last_open"),
         latest(tok == ")", "n1").alias("last_close"),
