@@ -110,7 +110,7 @@ def code(toks: DataFrame, language: str) -> DataFrame:
     """Tokens that are code, with neighbours, bracket level, statement and block kind.
 
     ``idx`` counts code tokens from 1. ``p1..p4`` / ``n1..n6`` are the tokens before
-    and after. ``level`` is the bracket depth, counting a bracket into its own;
+    and after, ``fresh`` tells that a line ends before it. ``level`` is the bracket depth, counting a bracket into its own;
     ``inside`` is the depth of the place the token stands in, ``encl`` the opening
     bracket of that place and ``stmt`` the first token of the statement there.
     ``last_*`` is the latest such token of that place. ``kind_of_block`` is set on
@@ -132,9 +132,7 @@ def code(toks: DataFrame, language: str) -> DataFrame:
         *[F.lag("tok", i).over(order).alias(f"p{i}") for i in range(1, 5)],
         *[F.lead("tok", i).over(order).alias(f"n{i}") for i in range(1, 7)],
         F.lag("kind", 1).over(order).alias("p1_kind"),
-        (F.lag(F.col("line") + _newlines(tok), 1).over(order) < F.col("line")).alias(
-            "fresh_line"
-        ),
+        F.lag(F.col("line") + _newlines(tok), 1).over(order).alias("prev_line"),
         (
             F.sum(F.when(opener, 1).otherwise(0)).over(upto)
             - F.coalesce(F.sum(F.when(closer, 1).otherwise(0)).over(before), F.lit(0))
@@ -142,7 +140,7 @@ def code(toks: DataFrame, language: str) -> DataFrame:
         .cast("int")
         .alias("level"),
     )
-    rows = rows.withColumn(
+    rows = rows.withColumn("fresh", F.col("prev_line") < F.col("line")).withColumn(
         "inside", F.col("level") - F.when(opener | closer, 1).otherwise(0)
     )
     if language == "go":
@@ -150,7 +148,7 @@ def code(toks: DataFrame, language: str) -> DataFrame:
             F.col("p1_kind") == "word", ~F.col("p1").isin(*GO_KEYWORDS)
         ).otherwise(False)
         starts_here = (
-            F.col("fresh_line") & ~closer & (ended | F.col("p1").isin(*GO_LINE_ENDERS))
+            F.col("fresh") & ~closer & (ended | F.col("p1").isin(*GO_LINE_ENDERS))
         )
         starts_next = F.lit(False)
     else:
@@ -192,11 +190,17 @@ def code(toks: DataFrame, language: str) -> DataFrame:
         latest(tok == ")", "n1").alias("last_close"),
         latest(tok == "=").alias("last_assign"),
         latest(tok == ",").alias("last_comma"),
-        latest(tok == "=>").alias("last_arrow"),
+        latest(
+            # where an expression such as a call chain begins
+            F.when(F.col("kind") == "word", ~F.coalesce(F.col("p1").isin(".", "?."), F.lit(False))).otherwise(
+                opener & ~F.coalesce(F.col("p1_kind").isin("word", "string") | F.col("p1").isin(")", "]", "."), F.lit(False))
+            ),
+            "line",
+        ).alias("last_head"),
     )
     kind = _go_block() if language == "go" else _js_block()
     return placed.filter(~F.col("anchor")).select(
-        *[c for c in placed.columns if c not in ("role", "place", "anchor", "fresh_line")],
+        *[c for c in placed.columns if c not in ("role", "place", "anchor")],
         F.when(tok == "{", kind).alias("kind_of_block"),
     )
 
@@ -307,6 +311,7 @@ def pairs(rows: DataFrame, *keep: str) -> DataFrame:
         F.lead("idx").over(at).alias("close"),
         F.col("line").alias("open_line"),
         F.lead("line").over(at).alias("close_line"),
+        F.lead("prev_line").over(at).alias("last_line"),
         F.lead("n1").over(at).alias("after"),
         F.lead("n2").over(at).alias("after2"),
         *keep,
@@ -363,12 +368,13 @@ def run_depth(rows: DataFrame, weight: Column, *keep: str) -> DataFrame:
     """
     opener = F.col("tok").isin("(", "[", "{")
     closer = F.col("tok").isin(")", "]", "}")
-    level = Window.partitionBy(*KEY, "level").orderBy("idx")
+    # only brackets share a level here, so before a closing one stands its opening one
+    level = Window.partitionBy(*KEY, "level", "_bracket").orderBy("idx")
     order = (
         Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     )
     own = F.when(opener, F.coalesce(weight, F.lit(0))).otherwise(0)
-    stepped = rows.withColumn("_own", own).withColumn(
+    stepped = rows.withColumn("_own", own).withColumn("_bracket", opener | closer).withColumn(
         "_step",
         F.when(closer, -F.coalesce(F.lag("_own").over(level), F.lit(0))).otherwise(F.col("_own")),
     )
