@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+class _Row:
+    """Columns of the row at hand, made on use so that modules load without a session."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+
+this = _Row()
+
+
 def say(*parts) -> Column:
     """Text from literals and columns."""
     return F.concat(

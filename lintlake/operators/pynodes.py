@@ -74,6 +74,10 @@ def _facts(node: ast.AST) -> dict:
                 out["num"] = float("inf")
     elif isinstance(node, ast.BinOp):
         out["op"] = type(node.op).__name__
+    elif isinstance(node, ast.BoolOp):
+        out["size"] = len(node.values)
+    elif isinstance(node, ast.comprehension):
+        out["size"] = len(node.ifs)
     elif isinstance(node, ast.If):
         out["size"] = len(node.orelse)
         out["early_exit"] = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.operators.hits import say
+from lintlake.operators.hits import say, this
 from lintlake.operators.relations import KEY, enclosing, pairs, run_depth
 from lintlake.operators.thresholds import with_limits
 from lintlake.plans.catalogue import report
@@ -19,24 +19,27 @@ RAND_METHODS = (
 # Parts of names that mark a file as security-sensitive.
 SENSITIVE_WORDS = ("token", "secret", "password", "key")
 
-tok, n1, n2, n3, p1 = (F.col(c) for c in ("tok", "n1", "n2", "n3", "p1"))
 
 
-# Rules that are a fixed run of tokens.
-SEQUENCES = {
-    "tls": (tok == "InsecureSkipVerify") & (n1 == ":") & (n2 == "true") & n3.isin(",", "}"),
-    "rand": (tok == "rand") & ~F.coalesce(p1 == ".", F.lit(False)) & (n1 == ".") & n2.isin(*RAND_METHODS) & (n3 == "("),
-    "errors.New": (tok == "(") & (p1 == "New") & (F.col("p2") == ".") & (F.col("p3") == "errors")
-    & ~F.coalesce(F.col("p4") == ".", F.lit(False))
-    & (n1 == "fmt") & (n2 == ".") & (n3 == "Sprintf") & (F.col("n4") == "("),
-    "sql": (tok == "(") & p1.isin(*SQL_METHODS) & (F.col("p2") == "."),
-}
+def _sequence(name: str) -> Column:
+    """Condition of a rule that is a fixed run of tokens."""
+    errors_new = (
+        (this.tok == "(") & (this.p1 == "New") & (F.col("p2") == ".") & (F.col("p3") == "errors")
+        & ~F.coalesce(F.col("p4") == ".", F.lit(False))
+    )
+    return {
+        "tls": (this.tok == "InsecureSkipVerify") & (this.n1 == ":") & (this.n2 == "true") & this.n3.isin(",", "}"),
+        "rand": (this.tok == "rand") & ~F.coalesce(this.p1 == ".", F.lit(False)) & (this.n1 == ".")
+        & this.n2.isin(*RAND_METHODS) & (this.n3 == "("),
+        "errors.New": errors_new & (this.n1 == "fmt") & (this.n2 == ".") & (this.n3 == "Sprintf") & (F.col("n4") == "("),
+        "sql": (this.tok == "(") & this.p1.isin(*SQL_METHODS) & (F.col("p2") == "."),
+    }[name]
 
 
 def tls_insecure_skip(rows: DataFrame) -> DataFrame:
     """``InsecureSkipVerify: true`` in a composite literal."""
     return report(
-        rows.filter(SEQUENCES["tls"]), "go/tls-insecure-skip", language="go",
+        rows.filter(_sequence("tls")), "go/tls-insecure-skip", language="go",
         message="InsecureSkipVerify: true turns certificate checks off.",
         remediation="Keep certificate verification on; add the needed CA to the pool instead.",
         ordinal=F.col("idx"),
@@ -53,12 +56,12 @@ def unchecked_error(rows: DataFrame) -> DataFrame:
     statement = [*KEY, "inside", "encl", "stmt"]
     whole = Window.partitionBy(*statement)
     shown = (
-        F.when(tok == "_", say("_@", F.col("line")))
+        F.when(this.tok == "_", say("_@", F.col("line")))
         .when(F.col("kind").isin("string", "template"), '""')
-        .otherwise(tok)
+        .otherwise(this.tok)
     )
     texts = (
-        rows.withColumn("blank", F.max((tok == "_").cast("int")).over(whole))
+        rows.withColumn("blank", F.max((this.tok == "_").cast("int")).over(whole))
         .filter("blank = 1")
         .groupBy(*statement)
         .agg(F.sort_array(F.collect_list(F.struct("idx", shown.alias("shown")))).alias("toks"))
@@ -102,10 +105,10 @@ def unchecked_error(rows: DataFrame) -> DataFrame:
 
 def bare_goroutine(rows: DataFrame) -> DataFrame:
     """``go`` statements without a ``recover()`` call in what they start."""
-    starts = rows.filter((tok == "go") & ~F.coalesce(p1 == ".", F.lit(False)))
+    starts = rows.filter((this.tok == "go") & ~F.coalesce(this.p1 == ".", F.lit(False)))
     # brackets that stand in the very statement of the `go` word hold its call
     guards = enclosing(
-        rows, (tok == "recover") & (n1 == "(") & (p1 != "."), ["tok"],
+        rows, (this.tok == "recover") & (this.n1 == "(") & (this.p1 != "."), ["tok"],
         ["encl", "stmt", "inside"],
     ).select(*KEY, F.col("outer.encl").alias("encl"), F.col("outer.stmt").alias("stmt"),
              F.col("outer.inside").alias("inside"), F.col("outer.idx").alias("at"))
@@ -131,7 +134,7 @@ def _functions(rows: DataFrame) -> DataFrame:
     there, so every token of the file carries the number of its declaration.
     """
     order = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    decl = (tok == "func") & (F.col("inside") == 0) & (F.col("idx") == F.col("stmt"))
+    decl = (this.tok == "func") & (F.col("inside") == 0) & (F.col("idx") == F.col("stmt"))
     return rows.withColumn("decl", F.sum(F.when(decl, 1).otherwise(0)).over(order)).filter(
         F.col("decl") > 0
     )
@@ -140,12 +143,12 @@ def _functions(rows: DataFrame) -> DataFrame:
 def _declared(rows: DataFrame) -> DataFrame:
     """One row per declaration: line, name, receiver and the start of its body."""
     top = F.col("inside") == 0
-    body = (tok == "{") & (F.col("kind_of_block") == "func") & top
+    body = (this.tok == "{") & (F.col("kind_of_block") == "func") & top
     return _functions(rows).groupBy(*KEY, "decl").agg(
         F.min("idx").alias("idx"),
         F.min_by("line", "idx").alias("line"),
         F.min_by("n1", "idx").alias("first"),
-        F.min(F.when((F.col("kind") == "word") & top & (tok != "func"), F.struct("idx", "tok")))["tok"].alias("name"),
+        F.min(F.when((F.col("kind") == "word") & top & (this.tok != "func"), F.struct("idx", "tok")))["tok"].alias("name"),
         *[F.min_by(f"n{i + 1}", "idx").alias(f"r{i}") for i in range(1, 5)],
         F.min(F.when(body, F.col("idx"))).alias("body"),
     )
@@ -159,7 +162,7 @@ def _with_end(found: DataFrame, rows: DataFrame) -> DataFrame:
 
 def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
     """Deepest if/for/switch/select per declaration; closures are not entered."""
-    brackets = rows.filter(tok.isin("(", "[", "{", ")", "]", "}", "func"))
+    brackets = rows.filter(this.tok.isin("(", "[", "{", ")", "]", "}", "func"))
     kind = F.col("kind_of_block")
     control = kind.isin("if", "for", "switch", "select")
     # a label directly before the word hides the statement
@@ -172,7 +175,7 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
     # all that lies in them; an `else` block weighs nothing, it is a sibling of its `if`.
     beyond = 1_000_000
     weight = (
-        F.when(tok.isin("(", "[") | (kind == "literal"), beyond)
+        F.when(this.tok.isin("(", "[") | (kind == "literal"), beyond)
         .when((kind == "func") & (F.col("inside") > 0), beyond)
         .when(control & labeled, beyond)
         .when(control, 1)
@@ -241,16 +244,16 @@ def magic_number(rows: DataFrame, limits=None) -> DataFrame:
     marked = marked.withColumn(
         "spec",
         F.max(
-            F.when(grouped, F.struct("idx", tok.alias("name"))).when(top, F.struct("idx", n1.alias("name")))
+            F.when(grouped, F.struct("idx", this.tok.alias("name"))).when(top, F.struct("idx", this.n1.alias("name")))
         ).over(order),
     )
     named = (F.col("head.tok") == "var") & (F.length("spec.name") > 1)
     literal = (
         (F.col("kind") == "number")
-        & ~tok.endswith("i")
+        & ~this.tok.endswith("i")
         & ~F.col("path").endswith("_test.go")
-        & ~tok.rlike("^0[xX]")
-        & ~(tok.rlike("^0[0-9_bBoO]") & ~tok.contains(".") & ~tok.rlike("^[0-9_]+[eE]") & (F.length(tok) >= 3))
+        & ~this.tok.rlike("^0[xX]")
+        & ~(this.tok.rlike("^0[0-9_bBoO]") & ~this.tok.contains(".") & ~this.tok.rlike("^[0-9_]+[eE]") & (F.length(this.tok) >= 3))
         & ~((F.col("head.tok") == "const") | named)
     )
     limited = with_limits(marked.filter(literal), limits, "go", "magic_number_allowed")
@@ -260,9 +263,9 @@ def magic_number(rows: DataFrame, limits=None) -> DataFrame:
         lambda v: F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string")),
     )
     return report(
-        limited.filter(~F.array_contains(allowed, tok)), "go/magic-number", language="go",
-        message=say("Number `", tok, "` has no name that tells what it means."),
-        remediation=say("Give ", tok, " a name with `const` and use the name."),
+        limited.filter(~F.array_contains(allowed, this.tok)), "go/magic-number", language="go",
+        message=say("Number `", this.tok, "` has no name that tells what it means."),
+        remediation=say("Give ", this.tok, " a name with `const` and use the name."),
         ordinal=F.col("idx"),
     )
 
@@ -278,12 +281,12 @@ def _parameters(rows: DataFrame) -> DataFrame:
     # the parameter bracket is the first one, or the second one after a receiver
     listed = (
         _functions(rows)
-        .withColumn("group", F.sum(F.when(top & (tok == "("), 1).otherwise(0)).over(decl))
-        .withColumn("wanted", F.first(F.when(n1 == "(", 2).otherwise(1)).over(decl))
-        .withColumn("closed", F.sum(F.when(top & (tok == ")"), 1).otherwise(0)).over(decl))
+        .withColumn("group", F.sum(F.when(top & (this.tok == "("), 1).otherwise(0)).over(decl))
+        .withColumn("wanted", F.first(F.when(this.n1 == "(", 2).otherwise(1)).over(decl))
+        .withColumn("closed", F.sum(F.when(top & (this.tok == ")"), 1).otherwise(0)).over(decl))
         .filter((F.col("group") == F.col("wanted")) & (F.col("closed") < F.col("wanted")) & ~top)
     )
-    comma = (tok == ",") & (F.col("inside") == 1)
+    comma = (this.tok == ",") & (F.col("inside") == 1)
     pieces = (
         listed.withColumn("piece", F.sum(F.when(comma, 1).otherwise(0)).over(decl))
         .filter(~comma)
@@ -372,9 +375,9 @@ def large_interface(rows: DataFrame, limits=None) -> DataFrame:
             | ((F.col("stmt") == F.col("idx") - 2) & (F.col("around") == "group"))
         )
     ).select(*KEY, F.col("idx").alias("encl"), "line", p2.alias("name"))
-    starts = (F.col("idx") == F.col("stmt")) | (p1 == ";")
+    starts = (F.col("idx") == F.col("stmt")) | (this.p1 == ";")
     members = (
-        around.filter(starts & (F.col("around") == "interface") & ~tok.isin(")", "]", "}"))
+        around.filter(starts & (F.col("around") == "interface") & ~this.tok.isin(")", "]", "}"))
         .groupBy(*KEY, "encl")
         .agg(F.count("*").alias("members"))
     )
@@ -397,13 +400,13 @@ def init_side_effects(rows: DataFrame) -> DataFrame:
     decl = Window.partitionBy(*KEY, "decl").orderBy("idx")
     upto = decl.rowsBetween(Window.unboundedPreceding, 0)
     functions = _functions(rows).withColumn(
-        "is_init", F.first((tok == "func") & (n1 == "init") & (n2 == "(")).over(upto)
+        "is_init", F.first((this.tok == "func") & (this.n1 == "init") & (this.n2 == "(")).over(upto)
     )
     # what follows the body, up to the next declaration, is not part of it
     inits = functions.filter("is_init").withColumn(
         "ended",
         F.coalesce(
-            F.max(F.when((tok == "}") & (F.col("inside") == 0), 1)).over(
+            F.max(F.when((this.tok == "}") & (F.col("inside") == 0), 1)).over(
                 decl.rowsBetween(Window.unboundedPreceding, -1)
             ),
             F.lit(0),
@@ -411,20 +414,20 @@ def init_side_effects(rows: DataFrame) -> DataFrame:
     ).filter("ended = 0")
     block_kinds = ("if", "else", "for", "switch", "select", "func", "bare")
     in_block = F.col("around").isin(*block_kinds)
-    block = (tok == "{") & kind.isin(*block_kinds)
-    starts = in_block & (F.col("idx") == F.col("stmt")) & ~tok.isin(")", "]", "}", ";")
+    block = (this.tok == "{") & kind.isin(*block_kinds)
+    starts = in_block & (F.col("idx") == F.col("stmt")) & ~this.tok.isin(")", "]", "}", ";")
     in_for = (F.col("last_control.tok") == "for") & (F.col("last_control.idx") >= F.col("stmt"))
-    empty_part = (p1 == "for") | (in_for & (n1 == "{")) | (n1 == "}")
+    empty_part = (this.p1 == "for") | (in_for & (this.n1 == "{")) | (this.n1 == "}")
     points = [
-        starts & ~((tok == "{") & (kind == "bare")),
+        starts & ~((this.tok == "{") & (kind == "bare")),
         block,
         # `else if` is a statement of its own, and so are the parts of a header
-        (tok == "if") & (p1 == "else"),
-        (tok == ";") & in_block & ~empty_part,
+        (this.tok == "if") & (this.p1 == "else"),
+        (this.tok == ";") & in_block & ~empty_part,
         # the statement behind `case x:`, what a select case waits for, a type guard
-        (tok == ":") & in_block & ~F.col("next_starts") & (n1 != "}"),
-        (tok == "case") & (F.col("around") == "select"),
-        (tok == "type") & (p1 == "(") & (n1 == ")") & (F.col("p2") == "."),
+        (this.tok == ":") & in_block & ~F.col("next_starts") & (this.n1 != "}"),
+        (this.tok == "case") & (F.col("around") == "select"),
+        (this.tok == "type") & (this.p1 == "(") & (this.n1 == ")") & (F.col("p2") == "."),
     ]
     total = sum((F.coalesce(p.cast("int"), F.lit(0)) for p in points), F.lit(0))
     found = (
@@ -448,7 +451,7 @@ def init_side_effects(rows: DataFrame) -> DataFrame:
 
 def enclosing_kind(rows: DataFrame) -> DataFrame:
     """Add ``around``, the kind of the block a token stands in directly."""
-    opener = tok.isin("(", "[", "{")
+    opener = this.tok.isin("(", "[", "{")
     order = Window.partitionBy(*KEY).orderBy("idx")
     marked = rows.withColumn(
         "next_starts", F.coalesce(F.lead("stmt").over(order) == F.lead("idx").over(order), F.lit(True))
@@ -484,7 +487,7 @@ def _called(column_prefix: str = "n") -> Column:
 
 def defer_in_loop(rows: DataFrame) -> DataFrame:
     """Each ``defer`` once per loop around it within the file's functions."""
-    wanted = (tok == "defer") & ~F.coalesce(p1 == ".", F.lit(False))
+    wanted = (this.tok == "defer") & ~F.coalesce(this.p1 == ".", F.lit(False))
     around = enclosing(
         rows.withColumn("called", _called()), wanted, ["idx", "line", "called", "inside"],
         ["kind_of_block", "p1", "stmt", "encl"],
@@ -506,11 +509,11 @@ def defer_in_loop(rows: DataFrame) -> DataFrame:
 
 def _inside_defer(rows: DataFrame) -> DataFrame:
     """For a ``defer`` inside the call of another: where the innermost such begins."""
-    statements = rows.filter((tok == "defer")).select(
+    statements = rows.filter((this.tok == "defer")).select(
         *KEY, F.col("idx").alias("defer_at"), "stmt", "inside", "encl"
     )
     around = enclosing(
-        rows, tok == "defer", ["idx"], ["stmt", "inside", "encl"]
+        rows, this.tok == "defer", ["idx"], ["stmt", "inside", "encl"]
     ).select(
         *KEY, "idx", F.col("outer.stmt").alias("stmt"), F.col("outer.inside").alias("inside"),
         F.col("outer.idx").alias("at"),
@@ -525,7 +528,7 @@ def _inside_defer(rows: DataFrame) -> DataFrame:
 
 def error_string_format(rows: DataFrame) -> DataFrame:
     """``errors.New(fmt.Sprintf(...))`` and nothing else in the outer call."""
-    calls = rows.filter(SEQUENCES["errors.New"]).select(
+    calls = rows.filter(_sequence("errors.New")).select(
         *KEY, "idx", "line", (F.col("idx") + 4).alias("open")
     )
     ends = pairs(rows).select(*KEY, "open", "after", "after2")
@@ -565,12 +568,12 @@ def goroutine_closure_capture(rows: DataFrame) -> DataFrame:
     """``go func() {...}`` in a loop whose body names the loop's variable."""
     kind = F.col("kind_of_block")
     facts = rows.withColumn(
-        "variable", F.when((tok == "{") & (kind == "for"), _loop_variable())
+        "variable", F.when((this.tok == "{") & (kind == "for"), _loop_variable())
     ).withColumn(
         "started",
         # the body of a function literal that a `go` word starts
         F.when(
-            (tok == "{") & (kind == "func") & (F.col("last_func.p1") == "go"),
+            (this.tok == "{") & (kind == "func") & (F.col("last_func.p1") == "go"),
             F.struct((F.col("last_func.idx") - 1).alias("idx"), F.col("last_func.line").alias("line")),
         ),
     )
@@ -596,19 +599,19 @@ def goroutine_closure_capture(rows: DataFrame) -> DataFrame:
 
 def sql_string_concat(rows: DataFrame) -> DataFrame:
     """SQL methods whose first argument is joined with ``+``."""
-    calls = rows.filter(SEQUENCES["sql"]).select(
-        *KEY, F.col("idx").alias("encl"), "idx", "line", p1.alias("method")
+    calls = rows.filter(_sequence("sql")).select(
+        *KEY, F.col("idx").alias("encl"), "idx", "line", this.p1.alias("method")
     )
     # the operators that stand directly in the argument list
     weaker = ("==", "!=", "<", ">", "<=", ">=", "&&", "||")
     signs = ("(", ",", "+", "-", "*", "/", "%", *weaker)
     parts = (
-        rows.filter(tok.isin(",", "+", *weaker) & F.col("encl").isNotNull())
+        rows.filter(this.tok.isin(",", "+", *weaker) & F.col("encl").isNotNull())
         .groupBy(*KEY, "encl")
         .agg(
-            F.min(F.when(tok == ",", F.col("idx"))).alias("comma"),
-            F.min(F.when((tok == "+") & ~p1.isin(*signs), F.col("idx"))).alias("plus"),
-            F.min(F.when(tok.isin(*weaker), F.col("idx"))).alias("weaker"),
+            F.min(F.when(this.tok == ",", F.col("idx"))).alias("comma"),
+            F.min(F.when((this.tok == "+") & ~this.p1.isin(*signs), F.col("idx"))).alias("plus"),
+            F.min(F.when(this.tok.isin(*weaker), F.col("idx"))).alias("weaker"),
         )
     )
     end = F.coalesce(F.col("comma"), F.lit(2**31 - 1))
@@ -627,12 +630,12 @@ def weak_rand(rows: DataFrame) -> DataFrame:
     """``rand.X()`` calls in files that import crypto or use sensitive names."""
     sensitive = F.lit(False)
     for part in SENSITIVE_WORDS:
-        sensitive = sensitive | F.lower(tok).contains(part)
+        sensitive = sensitive | F.lower(this.tok).contains(part)
     order = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     head = F.max(
         F.when((F.col("inside") == 0) & (F.col("idx") == F.col("stmt")), F.struct("idx", "tok"))
     ).over(order)
-    crypto = F.col("kind").isin("string", "template") & tok.contains("crypto") & (F.col("head.tok") == "import")
+    crypto = F.col("kind").isin("string", "template") & this.tok.contains("crypto") & (F.col("head.tok") == "import")
     suspects = (
         rows.filter((F.col("idx") == F.col("stmt")) | F.col("kind").isin("string", "template", "word"))
         .withColumn("head", head)
@@ -640,11 +643,11 @@ def weak_rand(rows: DataFrame) -> DataFrame:
         .select(*KEY)
         .distinct()
     )
-    calls = rows.filter(SEQUENCES["rand"])
+    calls = rows.filter(_sequence("rand"))
     found = calls.join(suspects, list(KEY), "left_semi")
     return report(
         found, "go/weak-rand", language="go",
-        message=say("rand.", n2, "() feeds code that handles secrets, but its numbers can be guessed."),
+        message=say("rand.", this.n2, "() feeds code that handles secrets, but its numbers can be guessed."),
         remediation="Draw security-relevant values from crypto/rand.",
         ordinal=F.col("idx"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import base_name
-from lintlake.operators.hits import say
+from lintlake.operators.hits import say, this
 from lintlake.operators.pynodes import DEF_KINDS, LOOP_KINDS
 from lintlake.operators.thresholds import with_limits
 from lintlake.plans.catalogue import report
@@ -26,11 +26,8 @@ EXPLAINED_IN = (
 RETRY_NAMES = r"^(_$|attempt|retry|try_)"
 CHAIN_LIMITS = (4, 6)
 
-kind, name, parent_kind = F.col("kind"), F.col("name"), F.col("parent_kind")
-
-
 def _calls(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(kind == "Call")
+    return nodes.filter(this.kind == "Call")
 
 
 def _children(nodes: DataFrame, condition: Column, *keep) -> DataFrame:
@@ -41,18 +38,18 @@ def _children(nodes: DataFrame, condition: Column, *keep) -> DataFrame:
 def mutable_default_argument(nodes: DataFrame) -> DataFrame:
     """List, dict or set literals as defaults, one finding each, at the ``def``."""
     defaults = nodes.filter(
-        (parent_kind == "arguments") & F.col("field").isin("defaults", "kw_defaults")
-        & kind.isin("List", "Dict", "Set") & (F.col("grand_kind").isin(*DEF_KINDS))
+        (this.parent_kind == "arguments") & F.col("field").isin("defaults", "kw_defaults")
+        & this.kind.isin("List", "Dict", "Set") & (F.col("grand_kind").isin(*DEF_KINDS))
     ).select(*KEY, F.col("pre").alias("default"), F.lower("kind").alias("type"), F.col("parent").alias("arguments"))
-    arguments = nodes.filter(kind == "arguments").select(
+    arguments = nodes.filter(this.kind == "arguments").select(
         *KEY, F.col("pre").alias("arguments"), F.col("parent").alias("pre")
     )
-    functions = nodes.filter(kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line")
+    functions = nodes.filter(this.kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line")
     found = defaults.join(arguments, [*KEY, "arguments"]).join(functions, [*KEY, "pre"])
     return report(
         found, "python/mutable-default-argument", language="python",
-        message=say("Function '", name, "' has a ", F.col("type"), " as a default; all calls share that one object."),
-        remediation=say("Default to None in '", name, "' and make the ", F.col("type"), " inside."),
+        message=say("Function '", this.name, "' has a ", F.col("type"), " as a default; all calls share that one object."),
+        remediation=say("Default to None in '", this.name, "' and make the ", F.col("type"), " inside."),
         ordinal=F.col("default"),
     )
 
@@ -90,19 +87,19 @@ def _scores(nodes: DataFrame) -> DataFrame:
     above = F.get("scopes", F.size("scopes") - 1)
     loops = _loops(F.col("within"))
     in_else = (
-        (parent_kind == "If") & (F.col("field") == "orelse") & (above["elif_pos"] % 2 == 0)
+        (this.parent_kind == "If") & (F.col("field") == "orelse") & (above["elif_pos"] % 2 == 0)
     )
     # a function's own call counts by name; names of functions come in by a join
-    own = nodes.filter(kind.isin(*DEF_KINDS)).select(
-        *KEY, F.col("pre").alias("owner_pre"), name.alias("owner_name")
+    own = nodes.filter(this.kind.isin(*DEF_KINDS)).select(
+        *KEY, F.col("pre").alias("owner_pre"), this.name.alias("owner_name")
     )
     points = F.coalesce(in_else.cast("int"), F.lit(0)) + F.when(
-        kind == "If", F.when(F.col("elif_pos") % 2 == 0, 1 + loops).otherwise(0)
-    ).when(kind.isin(*LOOP_KINDS, "ExceptHandler"), 1 + loops).when(kind == "BoolOp", 1).otherwise(0)
-    is_call = (kind == "Call") & (F.col("op") == "Name")
+        this.kind == "If", F.when(F.col("elif_pos") % 2 == 0, 1 + loops).otherwise(0)
+    ).when(this.kind.isin(*LOOP_KINDS, "ExceptHandler"), 1 + loops).when(this.kind == "BoolOp", 1).otherwise(0)
+    is_call = (this.kind == "Call") & (F.col("op") == "Name")
     scored = owned.select(
         *KEY, F.col("owner.pre").alias("owner_pre"), points.alias("points"),
-        F.when(is_call, name).alias("called"),
+        F.when(is_call, this.name).alias("called"),
     ).filter((F.col("points") > 0) | F.col("called").isNotNull())
     return (
         scored.groupBy(*KEY, "owner_pre", "called")
@@ -126,12 +123,12 @@ def _complex(nodes: DataFrame, limits) -> DataFrame:
 
 
 def cognitive_complexity(nodes: DataFrame, limits=None) -> DataFrame:
-    functions = nodes.filter(kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line", "end_line")
+    functions = nodes.filter(this.kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line", "end_line")
     found = _complex(nodes, limits).join(functions, [*KEY, "pre"])
     return report(
         found, "python/cognitive-complexity", language="python", line_end=F.col("end_line"),
         severity=F.when(F.col("score") < F.col("limit") * 1.25, "medium").otherwise("high"),
-        message=say("Function '", name, "' scores ", F.col("score"), " in cognitive complexity (threshold: ",
+        message=say("Function '", this.name, "' scores ", F.col("score"), " in cognitive complexity (threshold: ",
                     F.col("limit").cast("int"), ")."),
         remediation="Move parts into helpers, flatten loops, return early, or simplify conditions.",
         ordinal=F.col("pre"),
@@ -140,17 +137,17 @@ def cognitive_complexity(nodes: DataFrame, limits=None) -> DataFrame:
 
 def deep_nesting(nodes: DataFrame, limits=None) -> DataFrame:
     """Loops and branches inside each other; early exits are free, recursion gives one more."""
-    deep = kind.isin(*LOOP_KINDS) | ((kind == "If") & ~F.col("early_exit"))
+    deep = this.kind.isin(*LOOP_KINDS) | ((this.kind == "If") & ~F.col("early_exit"))
     depth = (
         _owned(nodes.filter(deep), DEF_KINDS)
         .withColumn("depth", 1 + F.size(F.filter("within", lambda s: s["deep"])))
         .groupBy(*KEY, F.col("owner.pre").alias("pre"))
         .agg(F.max("depth").alias("depth"))
     )
-    functions = nodes.filter(kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line", "end_line")
+    functions = nodes.filter(this.kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line", "end_line")
     recursive = (
         _calls(nodes)
-        .filter(name.isNotNull())
+        .filter(this.name.isNotNull())
         .select(*KEY, "name", F.explode(F.filter("scopes", lambda s: s["kind"].isin(*DEF_KINDS))).alias("s"))
         .select(*KEY, F.col("s.pre").alias("pre"), "name")
         .distinct()
@@ -170,7 +167,7 @@ def deep_nesting(nodes: DataFrame, limits=None) -> DataFrame:
     return report(
         judged, "python/deep-nesting", language="python", line_end=F.col("end_line"),
         severity=F.when(F.col("depth") < F.col("limit") + 2, "medium").otherwise("high"),
-        message=say("Function '", name, "' nests ", F.col("depth"), " levels deep (threshold: ",
+        message=say("Function '", this.name, "' nests ", F.col("depth"), " levels deep (threshold: ",
                     F.col("limit").cast("int"), ")."),
         remediation="Return early, move inner blocks into functions, or use generators in place of loops.",
         ordinal=F.col("pre"),
@@ -180,12 +177,12 @@ def deep_nesting(nodes: DataFrame, limits=None) -> DataFrame:
 def bare_except(nodes: DataFrame) -> DataFrame:
     """Handlers without a type; with a lone ``pass`` they swallow everything."""
     inside = _children(
-        nodes, (parent_kind == "ExceptHandler") & F.col("field").isin("type", "body"), "field", "kind"
+        nodes, (this.parent_kind == "ExceptHandler") & F.col("field").isin("type", "body"), "field", "kind"
     ).groupBy(*KEY, "pre").agg(
         F.max((F.col("field") == "type").cast("int")).alias("typed"),
         F.max(((F.col("field") == "body") & (F.col("kind") == "Pass")).cast("int")).alias("has_pass"),
     )
-    found = nodes.filter(kind == "ExceptHandler").join(inside, [*KEY, "pre"]).filter("typed = 0")
+    found = nodes.filter(this.kind == "ExceptHandler").join(inside, [*KEY, "pre"]).filter("typed = 0")
     sink = (F.col("has_pass") == 1) & (F.col("size") == 1)
     return report(
         found, "python/bare-except", language="python", line_end=F.col("end_line"),
@@ -201,9 +198,9 @@ def bare_except(nodes: DataFrame) -> DataFrame:
 
 def wildcard_import(nodes: DataFrame) -> DataFrame:
     stars = _children(
-        nodes, (kind == "alias") & (name == "*") & (parent_kind == "ImportFrom"), F.col("pre").alias("star")
+        nodes, (this.kind == "alias") & (this.name == "*") & (this.parent_kind == "ImportFrom"), F.col("pre").alias("star")
     )
-    modules = nodes.filter(kind == "ImportFrom").select(*KEY, "pre", "line", F.coalesce("name", F.lit("None")).alias("module"))
+    modules = nodes.filter(this.kind == "ImportFrom").select(*KEY, "pre", "line", F.coalesce("name", F.lit("None")).alias("module"))
     found = stars.join(modules, [*KEY, "pre"])
     return report(
         found, "python/wildcard-import", language="python",
@@ -218,9 +215,9 @@ def magic_number(nodes: DataFrame, src: DataFrame, limits=None) -> DataFrame:
     path = F.col("path")
     tests = path.rlike(r"(_test\.py|test_\.py)$") | path.contains("/test")
     candidates = nodes.filter(
-        (kind == "Constant") & F.col("num").isNotNull() & ~tests
-        & ~F.coalesce(parent_kind.isin(*EXPLAINED_IN), F.lit(False))
-        & ~F.coalesce((parent_kind == "Assign") & (F.col("grand_kind") == "Module"), F.lit(False))
+        (this.kind == "Constant") & F.col("num").isNotNull() & ~tests
+        & ~F.coalesce(this.parent_kind.isin(*EXPLAINED_IN), F.lit(False))
+        & ~F.coalesce((this.parent_kind == "Assign") & (F.col("grand_kind") == "Module"), F.lit(False))
     )
     limited = with_limits(candidates, limits, "python", "magic_number_allowed").filter(
         ~F.array_contains("limit_magic_number_allowed", F.col("num"))
@@ -228,8 +225,8 @@ def magic_number(nodes: DataFrame, src: DataFrame, limits=None) -> DataFrame:
     # letters all in capitals, and at least one
     constant_names = _children(
         nodes,
-        (parent_kind == "Assign") & (F.col("field") == "targets") & (F.col("idx") == 0)
-        & (kind == "Name") & (F.upper("name") == name) & (F.lower("name") != name),
+        (this.parent_kind == "Assign") & (F.col("field") == "targets") & (F.col("idx") == 0)
+        & (this.kind == "Name") & (F.upper("name") == this.name) & (F.lower("name") != this.name),
     ).withColumnRenamed("pre", "parent")
     unnamed = limited.join(constant_names, [*KEY, "parent"], "left_anti")
     texts = src.select(*KEY, F.split("content", r"\r\n|\r|\n").alias("lines"))
@@ -246,17 +243,17 @@ def magic_number(nodes: DataFrame, src: DataFrame, limits=None) -> DataFrame:
 
 def n_plus_one_query(nodes: DataFrame) -> DataFrame:
     """Loops with database calls in their body; every loop around such a call reports."""
-    keywords = _children(nodes, (kind == "keyword") & (parent_kind == "Call")).distinct()
+    keywords = _children(nodes, (this.kind == "keyword") & (this.parent_kind == "Call")).distinct()
     strings = _children(
-        nodes, (parent_kind == "Call") & (F.col("field") == "args") & (F.col("idx") == 0) & F.col("str_val")
+        nodes, (this.parent_kind == "Call") & (F.col("field") == "args") & (F.col("idx") == 0) & F.col("str_val")
     )
     methods = _calls(nodes).filter(F.col("op") == "Attribute")
     maybe = (
-        methods.filter(name.isin(*MAYBE_ORM_METHODS))
+        methods.filter(this.name.isin(*MAYBE_ORM_METHODS))
         .join(keywords, [*KEY, "pre"], "left_semi")
         .join(strings, [*KEY, "pre"], "left_anti")
     )
-    queries = methods.filter(name.isin(*ORM_METHODS)).select(*KEY, "name", "scopes").unionByName(
+    queries = methods.filter(this.name.isin(*ORM_METHODS)).select(*KEY, "name", "scopes").unionByName(
         maybe.select(*KEY, "name", "scopes")
     )
     in_loops = (
@@ -271,14 +268,14 @@ def n_plus_one_query(nodes: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_set("name")).alias("methods"))
     )
     ranges = _children(
-        nodes, (kind == "Call") & (parent_kind == "For") & (F.col("field") == "iter")
-        & (F.col("op") == "Name") & (name == "range"),
+        nodes, (this.kind == "Call") & (this.parent_kind == "For") & (F.col("field") == "iter")
+        & (F.col("op") == "Name") & (this.name == "range"),
     )
     retries = _children(
-        nodes, (kind == "Name") & (parent_kind == "For") & (F.col("field") == "target") & name.rlike(RETRY_NAMES)
+        nodes, (this.kind == "Name") & (this.parent_kind == "For") & (F.col("field") == "target") & this.name.rlike(RETRY_NAMES)
     ).join(ranges, [*KEY, "pre"], "left_semi")
     found = (
-        nodes.filter(kind == "For")
+        nodes.filter(this.kind == "For")
         .drop("name", "scopes")
         .join(in_loops, [*KEY, "pre"])
         .join(retries, [*KEY, "pre"], "left_anti")
@@ -293,9 +290,9 @@ def n_plus_one_query(nodes: DataFrame) -> DataFrame:
 
 def datetime_now_naive(nodes: DataFrame) -> DataFrame:
     """``datetime.now()`` without a time zone in any form."""
-    zones = _children(nodes, (kind == "keyword") & name.isin("tz", "tzinfo"))
+    zones = _children(nodes, (this.kind == "keyword") & this.name.isin("tz", "tzinfo"))
     found = _calls(nodes).filter(
-        (F.col("op") == "Attribute") & (name == "now") & (F.col("size") == 0)
+        (F.col("op") == "Attribute") & (this.name == "now") & (F.col("size") == 0)
         & F.col("receiver_kind").isin("Name", "Attribute") & (F.col("receiver") == "datetime")
     ).join(zones, [*KEY, "pre"], "left_anti")
     return report(
@@ -310,19 +307,19 @@ def string_format_sql(nodes: DataFrame) -> DataFrame:
     """SQL calls whose first argument is built by an f-string, ``.format`` or ``%``."""
     built = _children(
         nodes,
-        (parent_kind == "Call") & (F.col("field") == "args") & (F.col("idx") == 0)
+        (this.parent_kind == "Call") & (F.col("field") == "args") & (F.col("idx") == 0)
         & (
-            (kind == "JoinedStr")
-            | ((kind == "Call") & (F.col("op") == "Attribute") & (name == "format"))
-            | ((kind == "BinOp") & (F.col("op") == "Mod"))
+            (this.kind == "JoinedStr")
+            | ((this.kind == "Call") & (F.col("op") == "Attribute") & (this.name == "format"))
+            | ((this.kind == "BinOp") & (F.col("op") == "Mod"))
         ),
     )
     found = _calls(nodes).filter(
-        (F.col("op") == "Attribute") & name.isin("execute", "raw", "executemany")
+        (F.col("op") == "Attribute") & this.name.isin("execute", "raw", "executemany")
     ).join(built, [*KEY, "pre"], "left_semi")
     return report(
         found, "python/string-format-sql", language="python",
-        message=say("The SQL of .", name, "() is formatted from values, which opens it to injection."),
+        message=say("The SQL of .", this.name, "() is formatted from values, which opens it to injection."),
         remediation="Keep placeholders in the SQL and pass the values as parameters.",
         ordinal=F.col("pre"),
     )
@@ -335,10 +332,10 @@ def isinstance_chain(nodes: DataFrame) -> DataFrame:
     gaps and islands over that number, so no walk along the ladder is needed.
     """
     tests = _children(
-        nodes, (parent_kind == "If") & (F.col("field") == "test") & (kind == "Call")
-        & (F.col("op") == "Name") & (name == "isinstance"),
+        nodes, (this.parent_kind == "If") & (F.col("field") == "test") & (this.kind == "Call")
+        & (F.col("op") == "Name") & (this.name == "isinstance"),
     ).withColumn("tested", F.lit(1))
-    ifs = nodes.filter(kind == "If")
+    ifs = nodes.filter(this.kind == "If")
     # an `if` follows on its parent when it is the only statement of the else branch
     above = ifs.select(*KEY, F.col("pre").alias("parent"), F.col("size").alias("else_size"))
     linked = (
@@ -383,26 +380,26 @@ def isinstance_chain(nodes: DataFrame) -> DataFrame:
 
 
 def eval_usage(nodes: DataFrame) -> DataFrame:
-    found = _calls(nodes).filter((F.col("op") == "Name") & name.isin("eval", "exec"))
+    found = _calls(nodes).filter((F.col("op") == "Name") & this.name.isin("eval", "exec"))
     return report(
         found, "python/eval-usage", language="python",
-        message=say("`", name, "()` runs any text as code."),
-        remediation=say("Replace `", name, "()` by ast.literal_eval() or a table of functions."),
+        message=say("`", this.name, "()` runs any text as code."),
+        remediation=say("Replace `", this.name, "()` by ast.literal_eval() or a table of functions."),
         ordinal=F.col("pre"),
     )
 
 
 def yaml_unsafe_load(nodes: DataFrame) -> DataFrame:
     """``yaml.load`` without ``Loader=SafeLoader``."""
-    loaders = nodes.filter((kind == "keyword") & (name == "Loader")).select(
+    loaders = nodes.filter((this.kind == "keyword") & (this.name == "Loader")).select(
         *KEY, F.col("pre").alias("keyword"), F.col("parent").alias("pre")
     )
     safe_values = nodes.filter(
-        (parent_kind == "keyword") & kind.isin("Name", "Attribute") & (name == "SafeLoader")
+        (this.parent_kind == "keyword") & this.kind.isin("Name", "Attribute") & (this.name == "SafeLoader")
     ).select(*KEY, F.col("parent").alias("keyword"))
     safe = loaders.join(safe_values, [*KEY, "keyword"], "left_semi").select(*KEY, "pre")
     found = _calls(nodes).filter(
-        (F.col("op") == "Attribute") & (name == "load")
+        (F.col("op") == "Attribute") & (this.name == "load")
         & (F.col("receiver_kind") == "Name") & (F.col("receiver") == "yaml")
     ).join(safe, [*KEY, "pre"], "left_anti")
     return report(
@@ -415,7 +412,7 @@ def yaml_unsafe_load(nodes: DataFrame) -> DataFrame:
 
 def file_not_closed(nodes: DataFrame) -> DataFrame:
     found = _calls(nodes).filter(
-        (F.col("op") == "Name") & (name == "open") & (parent_kind != "withitem")
+        (F.col("op") == "Name") & (this.name == "open") & (this.parent_kind != "withitem")
     )
     return report(
         found, "python/file-not-closed", language="python",
@@ -429,12 +426,12 @@ def test_no_assertion(nodes: DataFrame) -> DataFrame:
     """``test_*`` functions of test files with no assertion anywhere inside."""
     file = base_name(F.col("path"))
     tests = nodes.filter(
-        kind.isin(*DEF_KINDS) & name.startswith("test_")
+        this.kind.isin(*DEF_KINDS) & this.name.startswith("test_")
         & (file.contains("test_") | file.contains("_test"))
     )
     checks = nodes.filter(
-        (kind == "Assert")
-        | ((kind == "Call") & (F.col("op") == "Attribute") & name.startswith("assert")
+        (this.kind == "Assert")
+        | ((this.kind == "Call") & (F.col("op") == "Attribute") & this.name.startswith("assert")
            & (F.col("receiver_kind") == "Name") & (F.col("receiver") == "self"))
     ).select(
         *KEY, F.explode(F.filter("scopes", lambda s: s["kind"].isin(*DEF_KINDS))).alias("s")
@@ -442,8 +439,8 @@ def test_no_assertion(nodes: DataFrame) -> DataFrame:
     found = tests.join(checks, [*KEY, "pre"], "left_anti")
     return report(
         found, "python/test-no-assertion", language="python", line_end=F.col("end_line"),
-        message=say("Test '", name, "' asserts nothing."),
-        remediation=say("Assert in '", name, "' what the tested code should do."),
+        message=say("Test '", this.name, "' asserts nothing."),
+        remediation=say("Assert in '", this.name, "' what the tested code should do."),
         ordinal=F.col("pre"),
     )
 

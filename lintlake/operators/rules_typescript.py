@@ -11,16 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import base_name, extension
-from lintlake.operators.hits import hits, say
+from lintlake.operators.hits import hits, say, this
 from lintlake.operators.relations import (
     KEY, enclosing, js_head_line, js_name, pairs, run_depth,
 )
 from lintlake.operators.thresholds import with_limits
 from lintlake.plans.catalogue import report
 
-tok, p1, p2, p3, n1, n2, n3 = (F.col(c) for c in ("tok", "p1", "p2", "p3", "n1", "n2", "n3"))
-kind, block = F.col("kind"), F.col("kind_of_block")
-
 # What the rules look for.
 CONSOLE_METHODS = ("log", "debug", "info", "warn", "error", "trace")
 TRIVIAL_LITERALS = ("true", "false", "1", "0")
@@ -31,6 +28,11 @@ ASSIGNMENTS = (
 )
 BIT_OPERATORS = ("&", "|", "^", "<<", ">>", ">>>")
 TRIVIAL_NUMBERS = (0.0, 1.0)
+# Words that a value follows.
+BEFORE_VALUES = (
+    "return", "typeof", "case", "in", "of", "new", "delete", "void", "await", "yield",
+    "else", "do", "throw", "instanceof", "default", "export", "if", "while",
+)
 DECLARERS = (
     "let", "var", "const", ";", "{", "}", "readonly", "private", "public", "protected",
     "declare", "static",
@@ -62,46 +64,53 @@ def test_name() -> Column:
     return _has(base_name(F.col("path")), ".test.", ".spec.", "__tests__")
 
 
-_plain = ~F.coalesce(p1.isin(".", "?."), F.lit(False))
-_declared = F.coalesce(p1.isin("function", "get", "set", "async", "*"), F.lit(False))
-_value_before = F.col("p1_kind").isin("word", "string", "template") & ~F.coalesce(
-    p1.isin(
-        "return", "typeof", "case", "in", "of", "new", "delete", "void", "await", "yield",
-        "else", "do", "throw", "instanceof", "default", "export", "if", "while",
-    ),
-    F.lit(False),
-) | F.coalesce(p1.isin(")", "]", "}", "!"), F.lit(False))
-
-# Rules that are a fixed run of tokens, by the name their hits carry.
-SEQUENCES = {
-    "eval": (tok == "eval") & _plain & ~_declared & (n1 == "("),
-    "Function": (tok == "Function") & (p1 == "new") & ~F.coalesce(n1 == ".", F.lit(False)),
-    "html": tok.isin("innerHTML", "outerHTML") & p1.isin(".", "?.") & n1.isin(*ASSIGNMENTS),
-    "then": (tok == "then") & p1.isin(".", "?.") & (n1 == "("),
-    "console": tok.isin(*CONSOLE_METHODS) & (p1 == ".") & (p2 == "console")
-    & ~F.coalesce(p3.isin(".", "?."), F.lit(False)) & (n1 == "("),
-    "mock": (tok == "mock") & (p1 == ".") & (p2 == "jest")
-    & ~F.coalesce(p3.isin(".", "?."), F.lit(False)) & (n1 == "("),
-    "any": (tok == "any") & (
-        (p1.isin(":", "<", "|", "&", "as", "=>", "extends", "keyof", "is", "readonly", "?")
-         & ~F.coalesce(n1.isin(".", "(", "?."), F.lit(False)))
-        | ((p1 == ",") & ((n1 == ">") | ((n1 == "[") & (n2 == "]"))))
-        | ((p1 == "(") & (n1 == ")") & (n2 == "["))
-        | ((p1 == "[") & n1.isin(",", "]"))
-        | ((p1 == "=") & ((p3 == "type") | n1.isin(">", ",")))
-    ),
-    "nonnull": (tok == "!") & _value_before & (p1 != "}") & ~F.col("fresh")
-    & ~((p1 == ")") & F.coalesce(F.col("last_open.p1").isin("if", "while", "for"), F.lit(False)))
-    # `name!: T` promises a later assignment, it is no assertion
-    & ~F.coalesce((n1 == ":") & p2.isin(*DECLARERS), F.lit(False)),
-    "roulette": (tok == "expect") & _plain & (n1 == "(") & n2.isin(*TRIVIAL_LITERALS) & (n3 == ")")
-    & (F.col("n4") == ".") & F.col("n5").isin(*SAME_CHECKS) & (F.col("n6") == "("),
-}
+def _plain() -> Column:
+    return ~F.coalesce(this.p1.isin(".", "?."), F.lit(False))
+
+
+def _declared() -> Column:
+    return F.coalesce(this.p1.isin("function", "get", "set", "async", "*"), F.lit(False))
+
+
+def _value_before() -> Column:
+    """The token before ends a value, so an operator or index follows."""
+    word = F.col("p1_kind").isin("word", "string", "template") & ~F.coalesce(
+        this.p1.isin(*BEFORE_VALUES), F.lit(False)
+    )
+    return word | F.coalesce(this.p1.isin(")", "]", "}", "!"), F.lit(False))
+
+
+def _sequences() -> dict[str, Column]:
+    """Rules that are a fixed run of tokens, by the name their hits carry."""
+    return {
+        "eval": (this.tok == "eval") & _plain() & ~_declared() & (this.n1 == "("),
+        "Function": (this.tok == "Function") & (this.p1 == "new") & ~F.coalesce(this.n1 == ".", F.lit(False)),
+        "html": this.tok.isin("innerHTML", "outerHTML") & this.p1.isin(".", "?.") & this.n1.isin(*ASSIGNMENTS),
+        "then": (this.tok == "then") & this.p1.isin(".", "?.") & (this.n1 == "("),
+        "console": this.tok.isin(*CONSOLE_METHODS) & (this.p1 == ".") & (this.p2 == "console")
+        & ~F.coalesce(this.p3.isin(".", "?."), F.lit(False)) & (this.n1 == "("),
+        "mock": (this.tok == "mock") & (this.p1 == ".") & (this.p2 == "jest")
+        & ~F.coalesce(this.p3.isin(".", "?."), F.lit(False)) & (this.n1 == "("),
+        "any": (this.tok == "any") & (
+            (this.p1.isin(":", "<", "|", "&", "as", "=>", "extends", "keyof", "is", "readonly", "?")
+             & ~F.coalesce(this.n1.isin(".", "(", "?."), F.lit(False)))
+            | ((this.p1 == ",") & ((this.n1 == ">") | ((this.n1 == "[") & (this.n2 == "]"))))
+            | ((this.p1 == "(") & (this.n1 == ")") & (this.n2 == "["))
+            | ((this.p1 == "[") & this.n1.isin(",", "]"))
+            | ((this.p1 == "=") & ((this.p3 == "type") | this.n1.isin(">", ",")))
+        ),
+        "nonnull": (this.tok == "!") & _value_before() & (this.p1 != "}") & ~F.col("fresh")
+        & ~((this.p1 == ")") & F.coalesce(F.col("last_open.p1").isin("if", "while", "for"), F.lit(False)))
+        # `name!: T` promises a later assignment, it is no assertion
+        & ~F.coalesce((this.n1 == ":") & this.p2.isin(*DECLARERS), F.lit(False)),
+        "roulette": (this.tok == "expect") & _plain() & (this.n1 == "(") & this.n2.isin(*TRIVIAL_LITERALS) & (this.n3 == ")")
+        & (F.col("n4") == ".") & F.col("n5").isin(*SAME_CHECKS) & (F.col("n6") == "("),
+    }
 
 
 def sequence_hits(rows: DataFrame, *names: str) -> DataFrame:
     """Hits of the named runs of tokens, all in one pass."""
-    return hits(rows, {n: SEQUENCES[n] for n in names or SEQUENCES})
+    return hits(rows, {n: c for n, c in _sequences().items() if not names or n in names})
 
 
 def _call_ends(rows: DataFrame) -> DataFrame:
@@ -124,10 +133,10 @@ def _expression_ends(rows: DataFrame, wanted: Column) -> DataFrame:
     the bracket that closes the place.
     """
     new_statement = (
-        F.col("fresh") & (kind == "word") & _value_before
-        & ~tok.isin("instanceof", "in", "of", "as", "satisfies")
+        F.col("fresh") & (this.kind == "word") & _value_before()
+        & ~this.tok.isin("instanceof", "in", "of", "as", "satisfies")
     )
-    stop = tok.isin(",", ";") | F.coalesce(new_statement, F.lit(False))
+    stop = this.tok.isin(",", ";") | F.coalesce(new_statement, F.lit(False))
     later = (
         Window.partitionBy(*KEY, "inside", "encl").orderBy(F.col("idx").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -177,10 +186,10 @@ def innerhtml_assignment(rows: DataFrame) -> DataFrame:
     """Assignments to ``.innerHTML`` / ``.outerHTML``; they end where the statement does."""
     found = sequence_hits(rows, "html").withColumn(
         "line", F.coalesce("last_head.line", "line")
-    ).join(_expression_ends(rows, SEQUENCES["html"]), [*KEY, "idx"])
+    ).join(_expression_ends(rows, _sequences()["html"]), [*KEY, "idx"])
     return report(
         found, "ts/innerhtml-assignment", language=language(), line_end=F.col("end_line"),
-        message=say("Writing to `.", tok, "` puts text into the page as HTML; user input in it can run scripts."),
+        message=say("Writing to `.", this.tok, "` puts text into the page as HTML; user input in it can run scripts."),
         remediation="Write to .textContent, or clean the HTML with a sanitizer first.",
         ordinal=F.col("idx"),
     )
@@ -197,7 +206,7 @@ def promise_no_catch(rows: DataFrame, strict: bool = False) -> DataFrame:
         .withColumn("line", F.coalesce("last_head.line", "line"))
     )
     if strict:
-        caught = rows.filter((tok == "catch") & p1.isin(".", "?.") & (n1 == "(")).select(
+        caught = rows.filter((this.tok == "catch") & this.p1.isin(".", "?.") & (this.n1 == "(")).select(
             *KEY, "inside", "encl", "stmt", F.col("idx").alias("catch_at")
         )
         place = [*KEY, "inside", "stmt"]
@@ -215,18 +224,18 @@ def promise_no_catch(rows: DataFrame, strict: bool = False) -> DataFrame:
 
 def assertion_roulette(rows: DataFrame) -> DataFrame:
     """``expect(true).toBe(true)`` and its kin: the same literal on both sides."""
-    args = rows.select(*KEY, F.col("idx").alias("arg_at"), tok.alias("arg"), n1.alias("arg_next"))
+    args = rows.select(*KEY, F.col("idx").alias("arg_at"), this.tok.alias("arg"), this.n1.alias("arg_next"))
     found = (
         sequence_hits(rows, "roulette")
         .withColumn("call", F.col("idx") + 6)
         .withColumn("arg_at", F.col("idx") + 7)
         .join(args.filter(F.col("arg").isin(*TRIVIAL_LITERALS)), [*KEY, "arg_at"])
-        .filter((F.col("arg") == n2) & F.col("arg_next").isin(")", ","))
+        .filter((F.col("arg") == this.n2) & F.col("arg_next").isin(")", ","))
         .join(_call_ends(rows), [*KEY, "call"])
     )
     return report(
         found, "ts/assertion-roulette", language=language(), line_end=F.col("call_line"),
-        message=say("`expect(", n2, ").", F.col("n5"), "(", F.col("arg"), ")` can never fail."),
+        message=say("`expect(", this.n2, ").", F.col("n5"), "(", F.col("arg"), ")` can never fail."),
         remediation="Assert on a value that the tested code produced.",
         ordinal=F.col("idx"),
     )
@@ -335,10 +344,10 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
     An ``else if`` is a statement in the else branch of its ``if``, so a chain goes one
     deeper with each link, and so do the bodies along it.
     """
-    words = tok.isin("if", "for", "while", "do", "switch", "try", "with") & _plain & ~F.coalesce(
-        n1.isin(":", "?", "=", ",", ")"), F.lit(False)
+    words = this.tok.isin("if", "for", "while", "do", "switch", "try", "with") & _plain() & ~F.coalesce(
+        this.n1.isin(":", "?", "=", ",", ")"), F.lit(False)
     )
-    brackets = tok.isin("(", "[", "{", ")", "]", "}")
+    brackets = this.tok.isin("(", "[", "{", ")", "]", "}")
     place = Window.partitionBy(*KEY, "inside").orderBy("idx")
     upto = place.rowsBetween(Window.unboundedPreceding, 0)
     chained = (
@@ -347,24 +356,24 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
         .withColumn("word", words & ~brackets)
         .withColumn(
             "chain",
-            F.coalesce(F.sum(F.when((tok == "if") & (F.coalesce(p1, F.lit("")) != "else"), 1)).over(upto), F.lit(0)),
+            F.coalesce(F.sum(F.when((this.tok == "if") & (F.coalesce(this.p1, F.lit("")) != "else"), 1)).over(upto), F.lit(0)),
         )
     )
     link = Window.partitionBy(*KEY, "inside", "chain").orderBy("idx").rowsBetween(
         Window.unboundedPreceding, 0
     )
     linked = chained.withColumn(
-        "link", F.coalesce(F.sum(F.when(tok == "if", 1)).over(link), F.lit(0))
+        "link", F.coalesce(F.sum(F.when(this.tok == "if", 1)).over(link), F.lit(0))
     )
     weight = (
-        F.when(block.isin("if", "else"), F.col("link"))
-        .when(block.isin("for", "while", "do", "switch", "try", "catch", "finally", "with"), 1)
+        F.when(this.kind_of_block.isin("if", "else"), F.col("link"))
+        .when(this.kind_of_block.isin("for", "while", "do", "switch", "try", "catch", "finally", "with"), 1)
         .otherwise(0)
     )
     depth = run_depth(
         linked, weight, "idx", "tok", "inside", "level", "word", "link", "kind_of_block", "head_line", "name"
     ).withColumn(
-        "here", F.col("depth") + F.when(tok == "if", F.col("link")).otherwise(1)
+        "here", F.col("depth") + F.when(this.tok == "if", F.col("link")).otherwise(1)
     )
     spread = enclosing(
         depth, F.col("word"), ["here"], ["kind_of_block", "depth", "head_line", "name"]
@@ -395,11 +404,11 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
 def god_class(rows: DataFrame, limits=None) -> DataFrame:
     """Method bodies that stand directly in a class."""
     heads = _heads(rows)
-    classes = heads.filter(block == "class").select(
+    classes = heads.filter(this.kind_of_block == "class").select(
         *KEY, F.col("idx").alias("encl"), F.col("head_line").alias("line"), "name"
     )
     methods = (
-        rows.filter(block == "method").groupBy(*KEY, "encl").agg(F.count("*").alias("methods"))
+        rows.filter(this.kind_of_block == "method").groupBy(*KEY, "encl").agg(F.count("*").alias("methods"))
     )
     ends = pairs(rows).select(*KEY, F.col("open").alias("encl"), F.col("close_line").alias("end_line"))
     limited = with_limits(
@@ -423,18 +432,18 @@ def callback_hell(rows: DataFrame) -> DataFrame:
     A callback around a token shows at each call bracket around it: the last ``=>`` or
     ``function`` there comes after the last comma, so the token lies in that function.
     """
-    expression = (tok == "function") & (
-        (F.col("idx") != F.col("stmt")) & ~F.coalesce(p1.isin("export", "default"), F.lit(False))
-        & ~((p1 == "async") & (F.col("idx") - 1 == F.col("stmt")))
+    expression = (this.tok == "function") & (
+        (F.col("idx") != F.col("stmt")) & ~F.coalesce(this.p1.isin("export", "default"), F.lit(False))
+        & ~((this.p1 == "async") & (F.col("idx") - 1 == F.col("stmt")))
     )
-    wanted = (tok == "=>") | expression | (block == "method")
+    wanted = (this.tok == "=>") | expression | (this.kind_of_block == "method")
     call = (
-        (tok == "(")
-        & p1.rlike(r"^[\p{L}_$#)\]>]")
-        & ~p1.isin("if", "for", "while", "switch", "catch", "with", "function", "return", "typeof", "await", "of", "in", "new")
-        & ~F.coalesce((p2 == "new") | ((p2 == ".") & (F.col("p4") == "new")) | (p2 == "function"), F.lit(False))
+        (this.tok == "(")
+        & this.p1.rlike(r"^[\p{L}_$#)\]>]")
+        & ~this.p1.isin("if", "for", "while", "switch", "catch", "with", "function", "return", "typeof", "await", "of", "in", "new")
+        & ~F.coalesce((this.p2 == "new") | ((this.p2 == ".") & (F.col("p4") == "new")) | (this.p2 == "function"), F.lit(False))
     )
-    opener = tok.isin("(", "[", "{")
+    opener = this.tok.isin("(", "[", "{")
     depths = F.when(wanted & (F.col("inside") > 0), F.sequence(F.lit(1), F.col("inside")))
     role = "struct<place:int,part:string>"
 
@@ -442,15 +451,15 @@ def callback_hell(rows: DataFrame) -> DataFrame:
         return F.struct(place.alias("place"), F.lit(name).alias("part"))
 
     none = F.array().cast(f"array<{role}>")
-    relevant = wanted | opener | (tok == ",") | (tok == "function")
+    relevant = wanted | opener | (this.tok == ",") | (this.tok == "function")
     spread = rows.filter(relevant).select(
         *KEY, "idx", "line", "level", "inside", call.alias("is_call"),
         F.explode(
             F.concat(
                 F.coalesce(F.transform(depths, lambda d: part(d, "item")), none),
                 F.coalesce(F.when(opener, F.array(part(F.col("level"), "open"))), none),
-                F.when(tok == ",", F.array(part(F.col("inside"), "comma"))).otherwise(none),
-                F.when((tok == "=>") | (tok == "function"), F.array(part(F.col("inside"), "function"))).otherwise(none),
+                F.when(this.tok == ",", F.array(part(F.col("inside"), "comma"))).otherwise(none),
+                F.when((this.tok == "=>") | (this.tok == "function"), F.array(part(F.col("inside"), "function"))).otherwise(none),
             )
         ).alias("role"),
     ).select("*", "role.place", "role.part")
@@ -490,12 +499,12 @@ def callback_hell(rows: DataFrame) -> DataFrame:
 
 
 def _function_extent(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``line`` and ``end_line`` of function values found by their ``=>`` / word / block.
+    """``line`` and ``end_line`` of function values found by their ``=>`` / word / this.kind_of_block.
 
     A body in braces ends at its bracket, any other arrow body where its expression ends.
     """
     facts = rows.select(
-        *KEY, "idx", tok.alias("mark"), n1.alias("next"), p1.alias("previous"), p2.alias("before"),
+        *KEY, "idx", this.tok.alias("mark"), this.n1.alias("next"), this.p1.alias("previous"), this.p2.alias("before"),
         "inside", "encl", F.col("last_open.idx").alias("params"), F.col("last_open.line").alias("params_line"),
         "kind_of_block",
     )
@@ -513,7 +522,7 @@ def _function_extent(rows: DataFrame, found: DataFrame) -> DataFrame:
     words = bodies.filter(F.col("func_at").isNotNull()).groupBy(*KEY, F.col("func_at").alias("idx")).agg(
         F.min_by("body_end", "body").alias("word_end")
     )
-    arrows = _expression_ends(rows, tok == "=>").withColumnRenamed("end_line", "stop_line")
+    arrows = _expression_ends(rows, this.tok == "=>").withColumnRenamed("end_line", "stop_line")
     return (
         with_block.join(words, [*KEY, "idx"], "left")
         .join(arrows, [*KEY, "idx"], "left")
@@ -532,11 +541,11 @@ def _function_extent(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def magic_number(rows: DataFrame) -> DataFrame:
     """Number literals, judged by their neighbours and the bracket they stand in."""
-    value = F.regexp_replace(tok, "_", "").try_cast("double")
+    value = F.regexp_replace(this.tok, "_", "").try_cast("double")
     number = (
-        (kind == "number")
-        & ~tok.endswith("n")
-        & ~tok.rlike("^0[xXoO]")
+        (this.kind == "number")
+        & ~this.tok.endswith("n")
+        & ~this.tok.rlike("^0[xXoO]")
         & (value.isNull() | ~value.isin(*TRIVIAL_NUMBERS))
         & ~test_path()
     )
@@ -544,7 +553,7 @@ def magic_number(rows: DataFrame) -> DataFrame:
     around, group, word = F.col("outer.tok"), F.col("outer.kind_of_block"), F.col("declared")
     # the literal is the whole value, not a part of a larger expression
     alone = ~F.coalesce(
-        n1.isin(
+        this.n1.isin(
             "*", "/", "%", "+", "-", "**", "<", ">", "<=", ">=", "===", "!==", "==", "!=",
             "?", "&&", "||", "??", ".", "as", "satisfies", "in", "instanceof",
         ),
@@ -554,29 +563,29 @@ def magic_number(rows: DataFrame) -> DataFrame:
     in_object = (around == "{") & (group == "literal")
     skip = (
         # const X = 5, also with a type
-        ((p1 == "=") & (word == "const") & p3.isin("const", ",", ":", ".", "|", "&", "<"))
+        ((this.p1 == "=") & (word == "const") & this.p3.isin("const", ",", ":", ".", "|", "&", "<"))
         # default values of parameters and of names taken from objects or arrays
-        | ((p1 == "=") & (F.col("is_params") | in_object | in_array))
+        | ((this.p1 == "=") & (F.col("is_params") | in_object | in_array))
         # data: values of arrays, values and keys of objects
-        | (p1.isin("[", ",") & in_array)
-        | (p1.isin(":", "{", ",") & in_object & ((p1 == ":") | (n1 == ":")))
+        | (this.p1.isin("[", ",") & in_array)
+        | (this.p1.isin(":", "{", ",") & in_object & ((this.p1 == ":") | (this.n1 == ":")))
     ) & alone
     skip = (
         F.coalesce(skip, F.lit(False))
         # list[5]
-        | F.coalesce((p1 == "[") & (n1 == "]") & F.col("outer.after_value"), F.lit(False))
+        | F.coalesce((this.p1 == "[") & (this.n1 == "]") & F.col("outer.after_value"), F.lit(False))
         # enum members and literal types
         | F.coalesce(group.isin("enum", "interface"), F.lit(False))
-        | F.coalesce((word == "type") | p1.isin("as", "extends"), F.lit(False))
-        | F.coalesce((p1 == ":") & ((group == "class") | F.col("is_params")), F.lit(False))
+        | F.coalesce((word == "type") | this.p1.isin("as", "extends"), F.lit(False))
+        | F.coalesce((this.p1 == ":") & ((group == "class") | F.col("is_params")), F.lit(False))
         # bit masks
-        | F.coalesce(p1.isin("|", "&", "^", "<<") | n1.isin("|", "&", "^", "<<"), F.lit(False))
-        | F.coalesce(((p1 == ">") & (p2 == ">")) | ((n1 == ">") & (n2 == ">")), F.lit(False))
+        | F.coalesce(this.p1.isin("|", "&", "^", "<<") | this.n1.isin("|", "&", "^", "<<"), F.lit(False))
+        | F.coalesce(((this.p1 == ">") & (this.p2 == ">")) | ((this.n1 == ">") & (this.n2 == ">")), F.lit(False))
     )
     return report(
         placed.filter(~skip), "ts/magic-number", language=language(),
-        message=say("Number `", tok, "` has no name that tells what it means."),
-        remediation=say("Give ", tok, " a name with `const` and use the name."),
+        message=say("Number `", this.tok, "` has no name that tells what it means."),
+        remediation=say("Give ", this.tok, " a name with `const` and use the name."),
         ordinal=F.col("idx"),
     )
 
@@ -587,14 +596,14 @@ def _innermost(rows: DataFrame, wanted: Column) -> DataFrame:
     ``outer`` is that bracket's row; ``is_params`` tells that it is a parameter list, by
     what follows its end; ``declared`` is the last declaring word of the statement there.
     """
-    opener = tok.isin("(", "[", "{")
-    declares = tok.isin("const", "let", "var", "type", "return") & _plain
+    opener = this.tok.isin("(", "[", "{")
+    declares = this.tok.isin("const", "let", "var", "type", "return") & _plain()
     role = F.struct(F.col("inside").alias("place"), F.lit(False).alias("anchor"))
     anchor = F.struct(F.col("level").alias("place"), F.lit(True).alias("anchor"))
     spread = (
         rows.withColumn("wanted", F.coalesce(wanted, F.lit(False)))
         .withColumn("declares", F.coalesce(declares, F.lit(False)))
-        .withColumn("after_value", F.coalesce(_value_before, F.lit(False)))
+        .withColumn("after_value", F.coalesce(_value_before(), F.lit(False)))
         .filter(opener | F.col("wanted") | F.col("declares"))
         .withColumn("role", F.explode(F.when(opener, F.array(role, anchor)).otherwise(F.array(role))))
     )
@@ -637,13 +646,13 @@ def _innermost(rows: DataFrame, wanted: Column) -> DataFrame:
 def test_no_assertion(rows: DataFrame) -> DataFrame:
     """``it`` / ``test`` calls with a function as second argument and no ``expect`` in it."""
     calls = (
-        rows.filter(tok.isin("it", "test") & _plain & ~_declared & (n1 == "(") & test_path())
-        .select(*KEY, "idx", "line", n2.alias("title"), F.col("n3").alias("title_next"),
+        rows.filter(this.tok.isin("it", "test") & _plain() & ~_declared() & (this.n1 == "(") & test_path())
+        .select(*KEY, "idx", "line", this.n2.alias("title"), F.col("n3").alias("title_next"),
                 (F.col("idx") + 1).alias("call"))
         .join(_call_ends(rows), [*KEY, "call"])
     )
     # commas and arrows that stand directly in the argument list of these calls
-    inside_call = rows.filter(tok.isin(",", "=>") & F.col("encl").isNotNull()).select(
+    inside_call = rows.filter(this.tok.isin(",", "=>") & F.col("encl").isNotNull()).select(
         *KEY, F.col("encl").alias("call"), F.col("idx").alias("at"), "tok", "n1", "n2"
     )
     comma = F.col("tok") == ","
@@ -669,7 +678,7 @@ def test_no_assertion(rows: DataFrame) -> DataFrame:
         (F.col("second.n1") == "async") & (F.col("second.n2") == "function")
     ) | (own_arrow & (F.col("second.n1").rlike(r"^[\p{L}_$(]")))
     tests = tests.filter(is_function)
-    checks = enclosing(rows, (tok == "expect") & _plain & (n1 == "("), ["idx"], []).select(
+    checks = enclosing(rows, (this.tok == "expect") & _plain() & (this.n1 == "("), ["idx"], []).select(
         *KEY, F.col("outer.idx").alias("call"), F.col("idx").alias("check_at")
     )
     found = tests.alias("t").join(
