@@ -41,17 +41,14 @@ def scan_secrets(src: DataFrame) -> DataFrame:
     lines = src.filter(any_rule).select(
         "repo", "path", F.posexplode(F.split("content", "\n")).alias("at", "line")
     )
-    matches = F.concat(
-        *[
-            F.transform(
-                F.regexp_extract_all("line", F.lit(pattern), F.lit(0)),
-                lambda m, n=name, d=text: F.struct(
-                    F.lit(n).alias("RuleID"), F.lit(d).alias("Description"), m.alias("Match")
-                ),
-            )
-            for name, text, pattern in SECRET_RULES
-        ]
-    )
+
+    def found(name: str, text: str, pattern: str):
+        return F.transform(
+            F.regexp_extract_all("line", F.lit(pattern), F.lit(0)),
+            lambda m: F.struct(F.lit(name).alias("RuleID"), F.lit(text).alias("Description"), m.alias("Match")),
+        )
+
+    matches = F.concat(*[found(*rule) for rule in SECRET_RULES])
     return lines.select("repo", "path", "at", F.posexplode(matches).alias("ordinal", "m")).select(
         "repo",
         "m.RuleID",

@@ -174,6 +174,7 @@ def runs(rule_id: str, categories: list[str] | None) -> bool:
 def report(
     df: DataFrame,
     rule_id: str,
+    /,
     *,
     language: Column | str,
     message,

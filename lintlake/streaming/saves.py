@@ -26,6 +26,7 @@ def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE, lateness: str = "1 min
     A burst of a file ends after ``gap`` without a save. Works on a stream and on a
     table alike; a stream drops what comes later than ``lateness``.
     """
+    saves = saves.withColumn("ts", F.col("ts").cast("timestamp"))
     if saves.isStreaming:
         saves = saves.withWatermark("ts", lateness)
     return (
@@ -59,12 +60,26 @@ def apply_config(events: DataFrame, config_log: DataFrame) -> DataFrame:
     return joined.filter(F.col("enabled") == "true")
 
 
-def scan_batch(saves: DataFrame, severity: str, confidence: float, relations=None) -> DataFrame:
-    """Findings of saved files ``(repo, uri, content)`` that the editor shows."""
-    src = saves.filter(language_column(F.col("uri"), "editor").isNotNull()).select(
+def saved_sources(saves: DataFrame) -> DataFrame:
+    """Saved files ``(repo, uri, content)`` of supported languages as sources."""
+    return saves.filter(language_column(F.col("uri"), "editor").isNotNull()).select(
         "repo", F.col("uri").alias("path"), "content"
     )
-    found = scan(src, editor=True, keep=relations is not None, relations=relations)
+
+
+def packs_of(src: DataFrame) -> list[str]:
+    """Packs that have files in a batch: at most three short names."""
+    pack = F.replace(language_column(F.col("path"), "editor"), F.lit("javascript"), F.lit("typescript"))
+    return sorted(r["pack"] for r in src.select(pack.alias("pack")).distinct().collect())
+
+
+def scan_batch(
+    src: DataFrame, severity: str, confidence: float, languages=("python", "typescript", "go"), relations=None
+) -> DataFrame:
+    """Findings of sources that the editor shows."""
+    found = scan(
+        src, languages=languages, editor=True, keep=relations is not None, relations=relations
+    )
     return filter_editor(found, severity, confidence).select(*FINDING_COLUMNS)
 
 
@@ -78,14 +93,10 @@ def log_writer(path: str, severity: str = "medium", confidence: float = 0.7):
     def write(batch: DataFrame, batch_id: int) -> None:
         latest = batch.groupBy("repo", "uri").agg(F.max_by("content", "ts").alias("content"))
         kept = latest.persist()
-        relations = Relations(
-            kept.filter(language_column(F.col("uri"), "editor").isNotNull()).select(
-                "repo", F.col("uri").alias("path"), "content"
-            ),
-            editor=True,
-        )
+        src = saved_sources(kept)
+        relations = Relations(src, editor=True)
         try:
-            found = scan_batch(kept, severity, confidence, relations)
+            found = scan_batch(src, severity, confidence, packs_of(src), relations)
             found.write.mode("overwrite").parquet(f"{path}/findings/scan_id={batch_id}")
             kept.select(
                 "repo", F.col("uri").alias("file"), F.lit(False).alias("cleared")
