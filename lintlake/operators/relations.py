@@ -62,8 +62,12 @@ GO_KEYWORDS = (
 
 
 def by_file(src: DataFrame) -> DataFrame:
-    """The one shuffle of the source: rows of a file together, files spread."""
-    return src.repartition(*KEY)
+    """The one shuffle of the source: rows of a file together, files spread.
+
+    The number of partitions is given, so they are not merged by the size of the text:
+    the tokens that come out of it take some fifty times as much.
+    """
+    return src.repartition(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
 
 
 def _kind(tok: Column) -> Column:
@@ -109,12 +113,14 @@ def _newlines(tok: Column) -> Column:
 def code(toks: DataFrame, language: str) -> DataFrame:
     """Tokens that are code, with neighbours, bracket level, statement and block kind.
 
-    ``idx`` counts code tokens from 1. ``p1..p4`` / ``n1..n6`` are the tokens before
+    ``idx`` counts code tokens from 1. ``p1..p8`` / ``n1..n6`` are the tokens before
     and after, ``fresh`` tells that a line ends before it. ``level`` is the bracket depth, counting a bracket into its own;
     ``inside`` is the depth of the place the token stands in, ``encl`` the opening
     bracket of that place and ``stmt`` the first token of the statement there.
-    ``last_*`` is the latest such token of that place. ``kind_of_block`` is set on
-    ``{`` rows. Two sorts, no join and no shuffle beyond the one of the source.
+    ``last_*`` is the latest such token of that place. On opening brackets ``close``,
+    ``close_line``, ``last_line``, ``after`` and ``after2`` tell of their closing one. ``kind_of_block`` is set on
+    ``{`` rows. Three sorts, no join and no shuffle beyond the one of the source;
+    what a query does not use of this is not computed.
     """
     order = Window.partitionBy(*KEY).orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -129,7 +135,7 @@ def code(toks: DataFrame, language: str) -> DataFrame:
         "kind",
         "line",
         F.row_number().over(order).alias("idx"),
-        *[F.lag("tok", i).over(order).alias(f"p{i}") for i in range(1, 5)],
+        *[F.lag("tok", i).over(order).alias(f"p{i}") for i in range(1, 9)],
         *[F.lead("tok", i).over(order).alias(f"n{i}") for i in range(1, 7)],
         F.lag("kind", 1).over(order).alias("p1_kind"),
         F.lag(F.col("line") + _newlines(tok), 1).over(order).alias("prev_line"),
@@ -143,6 +149,20 @@ def code(toks: DataFrame, language: str) -> DataFrame:
     rows = rows.withColumn("fresh", F.col("prev_line") < F.col("line")).withColumn(
         "inside", F.col("level") - F.when(opener | closer, 1).otherwise(0)
     )
+    # only brackets share a level here, so after an opening one stands its closing one
+    level = Window.partitionBy(*KEY, "level", opener | closer).orderBy("idx")
+
+    def of_close(column: str) -> Column:
+        return F.when(opener, F.lead(column).over(level))
+
+    rows = rows.select(
+        "*",
+        of_close("idx").alias("close"),
+        of_close("line").alias("close_line"),
+        of_close("prev_line").alias("last_line"),
+        of_close("n1").alias("after"),
+        of_close("n2").alias("after2"),
+    )
     if language == "go":
         ended = F.col("p1_kind").isin("number", "string", "template") | F.when(
             F.col("p1_kind") == "word", ~F.col("p1").isin(*GO_KEYWORDS)
@@ -171,8 +191,8 @@ def code(toks: DataFrame, language: str) -> DataFrame:
     before = at.rowsBetween(Window.unboundedPreceding, -1)
 
     def latest(condition: Column, *facts: str) -> Column:
-        return F.max(
-            F.when(condition & ~F.col("anchor"), F.struct("idx", *facts))
+        return F.last(
+            F.when(condition & ~F.col("anchor"), F.struct("idx", *facts)), ignorenulls=True
         ).over(before)
 
     control = GO_CONTROL if language == "go" else JS_CONTROL
@@ -182,7 +202,7 @@ def code(toks: DataFrame, language: str) -> DataFrame:
         F.last(F.when(F.col("anchor"), F.col("idx")), ignorenulls=True)
         .over(upto)
         .alias("encl"),
-        F.coalesce(F.max(first).over(upto), F.lit(1)).alias("stmt"),
+        F.coalesce(F.last(first, ignorenulls=True).over(upto), F.lit(1)).alias("stmt"),
         latest(tok.isin("func", "function"), "line", "inside", "p1", *nexts).alias("last_func"),
         latest(tok.isin(*control), "tok", "line", "p1", "p2", *nexts).alias("last_control"),
         latest(tok.isin(*JS_TYPE_WORDS), "tok", "line", "n1").alias("last_type"),
@@ -302,21 +322,17 @@ def js_head_line() -> Column:
 
 
 def pairs(rows: DataFrame, *keep: str) -> DataFrame:
-    """``(repo, path, open, close, close_line, after, after2)`` of every bracket."""
-    at = Window.partitionBy(*KEY, "level").orderBy("idx")
-    both = rows.filter(F.col("tok").isin("(", "[", "{", ")", "]", "}")).select(
+    """``(repo, path, bracket, open, close, open_line, close_line, after)`` of brackets."""
+    return rows.filter(F.col("tok").isin("(", "[", "{") & F.col("close").isNotNull()).select(
         *KEY,
         F.col("tok").alias("bracket"),
         F.col("idx").alias("open"),
-        F.lead("idx").over(at).alias("close"),
+        "close",
         F.col("line").alias("open_line"),
-        F.lead("line").over(at).alias("close_line"),
-        F.lead("prev_line").over(at).alias("last_line"),
-        F.lead("n1").over(at).alias("after"),
-        F.lead("n2").over(at).alias("after2"),
+        "close_line",
+        "after",
         *keep,
     )
-    return both.filter(F.col("bracket").isin("(", "[", "{") & F.col("close").isNotNull())
 
 
 def enclosing(rows: DataFrame, wanted: Column, item: list[str], outer: list[str]) -> DataFrame:

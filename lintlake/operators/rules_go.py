@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.operators.hits import say, this
-from lintlake.operators.relations import KEY, enclosing, pairs, run_depth
+from lintlake.operators.relations import KEY, enclosing, run_depth
 from lintlake.operators.thresholds import with_limits
 from lintlake.plans.catalogue import report
 
@@ -23,15 +23,18 @@ SENSITIVE_WORDS = ("token", "secret", "password", "key")
 
 def _sequence(name: str) -> Column:
     """Condition of a rule that is a fixed run of tokens."""
+    # errors . New ( fmt . Sprintf (
+    sprintf = (this.tok == "(") & (this.p1 == "Sprintf") & (F.col("p2") == ".") & (F.col("p3") == "fmt")
     errors_new = (
-        (this.tok == "(") & (this.p1 == "New") & (F.col("p2") == ".") & (F.col("p3") == "errors")
-        & ~F.coalesce(F.col("p4") == ".", F.lit(False))
+        (F.col("p4") == "(") & (F.col("p5") == "New") & (F.col("p6") == ".") & (F.col("p7") == "errors")
+        & ~F.coalesce(F.col("p8") == ".", F.lit(False))
     )
+    alone = (F.col("after") == ")") | ((F.col("after") == ",") & (F.col("after2") == ")"))
     return {
         "tls": (this.tok == "InsecureSkipVerify") & (this.n1 == ":") & (this.n2 == "true") & this.n3.isin(",", "}"),
         "rand": (this.tok == "rand") & ~F.coalesce(this.p1 == ".", F.lit(False)) & (this.n1 == ".")
         & this.n2.isin(*RAND_METHODS) & (this.n3 == "("),
-        "errors.New": errors_new & (this.n1 == "fmt") & (this.n2 == ".") & (this.n3 == "Sprintf") & (F.col("n4") == "("),
+        "errors.New": sprintf & errors_new & alone,
         "sql": (this.tok == "(") & this.p1.isin(*SQL_METHODS) & (F.col("p2") == "."),
     }[name]
 
@@ -150,16 +153,10 @@ def _declared(rows: DataFrame) -> DataFrame:
         F.min_by("n1", "idx").alias("first"),
         F.min(F.when((F.col("kind") == "word") & top & (this.tok != "func"), F.struct("idx", "tok")))["tok"].alias("name"),
         *[F.min_by(f"n{i + 1}", "idx").alias(f"r{i}") for i in range(1, 5)],
-        F.min(F.when(body, F.col("idx"))).alias("body"),
+        F.min(F.when(body, F.struct("idx", "close_line")))["close_line"].alias("end_line"),
     )
 
 
-def _with_end(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """Add ``end_line`` of the body to rows that have ``body``."""
-    ends = pairs(rows).select(*KEY, F.col("open").alias("body"), F.col("close_line").alias("end_line"))
-    return found.join(ends, [*KEY, "body"])
-
-
 def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
     """Deepest if/for/switch/select per declaration; closures are not entered."""
     brackets = rows.filter(this.tok.isin("(", "[", "{", ")", "]", "}", "func"))
@@ -193,7 +190,7 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
         deepest.join(_declared(rows), [*KEY, "decl"]), limits, "go", "max_nesting_depth"
     )
     limit = F.col("limit_max_nesting_depth")
-    found = _with_end(limited.filter(F.col("deepest") >= limit), rows)
+    found = limited.filter(F.col("deepest") >= limit)
     return report(
         found, "go/deep-nesting", language="go", line_end=F.col("end_line"),
         severity=F.when(F.col("deepest") >= limit + 2, "high").otherwise("medium"),
@@ -528,13 +525,7 @@ def _inside_defer(rows: DataFrame) -> DataFrame:
 
 def error_string_format(rows: DataFrame) -> DataFrame:
     """``errors.New(fmt.Sprintf(...))`` and nothing else in the outer call."""
-    calls = rows.filter(_sequence("errors.New")).select(
-        *KEY, "idx", "line", (F.col("idx") + 4).alias("open")
-    )
-    ends = pairs(rows).select(*KEY, "open", "after", "after2")
-    found = calls.join(ends, [*KEY, "open"]).filter(
-        (F.col("after") == ")") | ((F.col("after") == ",") & (F.col("after2") == ")"))
-    )
+    found = rows.filter(_sequence("errors.New"))
     return report(
         found, "go/error-string-format", language="go",
         message="errors.New(fmt.Sprintf(...)) spells out what fmt.Errorf does.",

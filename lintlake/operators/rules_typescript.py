@@ -16,7 +16,8 @@ from lintlake.operators.relations import (
     KEY, enclosing, js_head_line, js_name, pairs, run_depth,
 )
 from lintlake.operators.thresholds import with_limits
-from lintlake.plans.catalogue import report
+from lintlake.model import string_list
+from lintlake.plans.catalogue import BY_ID, report
 
 # What the rules look for.
 CONSOLE_METHODS = ("log", "debug", "info", "warn", "error", "trace")
@@ -26,7 +27,6 @@ ASSIGNMENTS = (
     "=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=",
     "&&=", "||=", "??=",
 )
-BIT_OPERATORS = ("&", "|", "^", "<<", ">>", ">>>")
 TRIVIAL_NUMBERS = (0.0, 1.0)
 # Words that a value follows.
 BEFORE_VALUES = (
@@ -68,10 +68,6 @@ def _plain() -> Column:
     return ~F.coalesce(this.p1.isin(".", "?."), F.lit(False))
 
 
-def _declared() -> Column:
-    return F.coalesce(this.p1.isin("function", "get", "set", "async", "*"), F.lit(False))
-
-
 def _value_before() -> Column:
     """The token before ends a value, so an operator or index follows."""
     word = F.col("p1_kind").isin("word", "string", "template") & ~F.coalesce(
@@ -81,16 +77,23 @@ def _value_before() -> Column:
 
 
 def _sequences() -> dict[str, Column]:
-    """Rules that are a fixed run of tokens, by the name their hits carry."""
+    """Rules that are a fixed run of tokens, by the name their hits carry.
+
+    A call is found at its opening bracket, whose row also knows where the call ends.
+    """
+    call = this.tok == "("
+    member = this.p2 == "."
+    own = ~F.coalesce(this.p2.isin(".", "?."), F.lit(False))
+    whole = ~F.coalesce(this.p4.isin(".", "?."), F.lit(False))
+    declared = F.coalesce(this.p2.isin("function", "get", "set", "async", "*"), F.lit(False))
     return {
-        "eval": (this.tok == "eval") & _plain() & ~_declared() & (this.n1 == "("),
-        "Function": (this.tok == "Function") & (this.p1 == "new") & ~F.coalesce(this.n1 == ".", F.lit(False)),
+        "eval": call & (this.p1 == "eval") & own & ~declared,
+        "Function": (call & (this.p1 == "Function") & (this.p2 == "new"))
+        | ((this.tok == "Function") & (this.p1 == "new") & ~F.coalesce(this.n1.isin(".", "("), F.lit(False))),
         "html": this.tok.isin("innerHTML", "outerHTML") & this.p1.isin(".", "?.") & this.n1.isin(*ASSIGNMENTS),
-        "then": (this.tok == "then") & this.p1.isin(".", "?.") & (this.n1 == "("),
-        "console": this.tok.isin(*CONSOLE_METHODS) & (this.p1 == ".") & (this.p2 == "console")
-        & ~F.coalesce(this.p3.isin(".", "?."), F.lit(False)) & (this.n1 == "("),
-        "mock": (this.tok == "mock") & (this.p1 == ".") & (this.p2 == "jest")
-        & ~F.coalesce(this.p3.isin(".", "?."), F.lit(False)) & (this.n1 == "("),
+        "then": call & (this.p1 == "then") & this.p2.isin(".", "?."),
+        "console": call & this.p1.isin(*CONSOLE_METHODS) & member & (this.p3 == "console") & whole,
+        "mock": call & (this.p1 == "mock") & member & (this.p3 == "jest") & whole,
         "any": (this.tok == "any") & (
             (this.p1.isin(":", "<", "|", "&", "as", "=>", "extends", "keyof", "is", "readonly", "?")
              & ~F.coalesce(this.n1.isin(".", "(", "?."), F.lit(False)))
@@ -103,8 +106,11 @@ def _sequences() -> dict[str, Column]:
         & ~((this.p1 == ")") & F.coalesce(F.col("last_open.p1").isin("if", "while", "for"), F.lit(False)))
         # `name!: T` promises a later assignment, it is no assertion
         & ~F.coalesce((this.n1 == ":") & this.p2.isin(*DECLARERS), F.lit(False)),
-        "roulette": (this.tok == "expect") & _plain() & (this.n1 == "(") & this.n2.isin(*TRIVIAL_LITERALS) & (this.n3 == ")")
-        & (F.col("n4") == ".") & F.col("n5").isin(*SAME_CHECKS) & (F.col("n6") == "("),
+        # expect ( true ) . toBe ( true
+        "roulette": call & this.p1.isin(*SAME_CHECKS) & member & (this.p3 == ")")
+        & this.p4.isin(*TRIVIAL_LITERALS) & (this.p5 == "(") & (this.p6 == "expect")
+        & ~F.coalesce(this.p7.isin(".", "?."), F.lit(False))
+        & (this.n1 == this.p4) & this.n2.isin(")", ","),
     }
 
 
@@ -113,21 +119,17 @@ def sequence_hits(rows: DataFrame, *names: str) -> DataFrame:
     return hits(rows, {n: c for n, c in _sequences().items() if not names or n in names})
 
 
-def _call_ends(rows: DataFrame) -> DataFrame:
-    return pairs(rows).filter("bracket = '('").select(
-        *KEY, F.col("open").alias("call"), F.col("close").alias("call_close"),
-        F.col("close_line").alias("call_line"),
+def _calls(rows: DataFrame, name: str) -> DataFrame:
+    """Hits at call brackets, with ``line`` of the word before and ``end_line``."""
+    return (
+        sequence_hits(rows, name)
+        .withColumn("end_line", F.coalesce("close_line", "line"))
+        .withColumn("line", F.when(this.tok == "(", F.col("prev_line")).otherwise(F.col("line")))
     )
 
 
-def _calls(rows: DataFrame, name: str, offset: int = 1) -> DataFrame:
-    """Hits joined to the end of the call whose bracket is ``offset`` tokens on."""
-    found = sequence_hits(rows, name).withColumn("call", F.col("idx") + offset)
-    return found.join(_call_ends(rows), [*KEY, "call"])
-
-
 def _expression_ends(rows: DataFrame, wanted: Column) -> DataFrame:
-    """``(repo, path, idx, end_line)``: the line where a wanted token's expression ends.
+    """Wanted rows with ``end_line``, the line where the token's expression ends.
 
     It ends before the next comma, semicolon or new statement of its place, else before
     the bracket that closes the place.
@@ -141,52 +143,46 @@ def _expression_ends(rows: DataFrame, wanted: Column) -> DataFrame:
         Window.partitionBy(*KEY, "inside", "encl").orderBy(F.col("idx").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    found = (
+    marked = (
         rows.withColumn("_stop", stop)
-        .withColumn("_wanted", wanted)
-        .filter("_stop or _wanted")
+        .withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
+        .filter(F.col("_stop") | F.col("_wanted") | this.tok.isin("(", "[", "{"))
         .withColumn(
             "stop_line", F.last(F.when(F.col("_stop"), F.col("prev_line")), ignorenulls=True).over(later)
         )
-        .filter("_wanted")
-        .select(*KEY, "encl", "idx", "line", "stop_line")
     )
-    places = pairs(rows).select(*KEY, F.col("open").alias("encl"), "last_line")
-    return found.join(places, [*KEY, "encl"], "left").select(
-        *KEY, "idx", F.coalesce("stop_line", "last_line", "line").alias("end_line")
+    return _innermost(marked, F.col("_wanted"), ["last_line"]).withColumn(
+        "end_line", F.coalesce("stop_line", "outer.last_line", "line")
     )
 
 
 def eval_usage(rows: DataFrame) -> DataFrame:
-    """``eval(...)`` calls and ``new Function``."""
-    called = _calls(rows, "eval")
-    one = report(
-        called, "ts/eval-usage", language=language(), line_end=F.col("call_line"),
-        message="`eval()` runs any text as code; with user input that is an open door.",
-        remediation="Use JSON.parse() for data or a lookup object for behaviour.",
-        ordinal=F.col("idx"),
-    )
-    # `new Function` may come without an argument list
-    made = sequence_hits(rows, "Function").withColumn("call", F.col("idx") + 1).join(
-        _call_ends(rows), [*KEY, "call"], "left"
-    )
-    two = report(
-        made, "ts/eval-usage", language=language(),
-        line_end=F.coalesce(F.col("call_line"), F.col("line")),
-        antipattern_name="new Function() Usage",
-        references=F.array().cast("array<string>"),
-        message="`new Function()` builds code from text, just as eval() does.",
-        remediation="Use a named function, a closure or a lookup object.",
+    """``eval(...)`` calls and ``new Function``, each under its own name."""
+    found = hits(rows, {n: _sequences()[n] for n in ("eval", "Function")})
+    is_eval = F.col("hit") == "eval"
+    links = string_list(BY_ID["ts/eval-usage"].references)
+    return report(
+        found.withColumn("end_line", F.coalesce("close_line", "line")).withColumn(
+            "line", F.when(this.tok == "(", F.col("prev_line")).otherwise(F.col("line"))
+        ),
+        "ts/eval-usage", language=language(), line_end=F.col("end_line"),
+        antipattern_name=F.when(is_eval, "eval() Usage").otherwise("new Function() Usage"),
+        references=F.when(is_eval, links).otherwise(string_list(())),
+        message=F.when(is_eval, "`eval()` runs any text as code; with user input that is an open door.").otherwise(
+            "`new Function()` builds code from text, just as eval() does."
+        ),
+        remediation=F.when(is_eval, "Use JSON.parse() for data or a lookup object for behaviour.").otherwise(
+            "Use a named function, a closure or a lookup object."
+        ),
         ordinal=F.col("idx"),
     )
-    return one.unionByName(two)
 
 
 def innerhtml_assignment(rows: DataFrame) -> DataFrame:
     """Assignments to ``.innerHTML`` / ``.outerHTML``; they end where the statement does."""
-    found = sequence_hits(rows, "html").withColumn(
+    found = _expression_ends(rows, _sequences()["html"]).withColumn(
         "line", F.coalesce("last_head.line", "line")
-    ).join(_expression_ends(rows, _sequences()["html"]), [*KEY, "idx"])
+    )
     return report(
         found, "ts/innerhtml-assignment", language=language(), line_end=F.col("end_line"),
         message=say("Writing to `.", this.tok, "` puts text into the page as HTML; user input in it can run scripts."),
@@ -215,7 +211,7 @@ def promise_no_catch(rows: DataFrame, strict: bool = False) -> DataFrame:
         )
         found = later.filter(F.col("catch_at").isNull() | (F.col("catch_at") < F.col("idx")))
     return report(
-        found, "ts/promise-no-catch", language=language(), line_end=F.col("call_line"),
+        found, "ts/promise-no-catch", language=language(), line_end=F.col("end_line"),
         message=".then() has no .catch() with it; a rejection that nobody handles ends the process.",
         remediation="End the chain with .catch(), or await it inside try/catch.",
         ordinal=F.col("idx"),
@@ -224,18 +220,10 @@ def promise_no_catch(rows: DataFrame, strict: bool = False) -> DataFrame:
 
 def assertion_roulette(rows: DataFrame) -> DataFrame:
     """``expect(true).toBe(true)`` and its kin: the same literal on both sides."""
-    args = rows.select(*KEY, F.col("idx").alias("arg_at"), this.tok.alias("arg"), this.n1.alias("arg_next"))
-    found = (
-        sequence_hits(rows, "roulette")
-        .withColumn("call", F.col("idx") + 6)
-        .withColumn("arg_at", F.col("idx") + 7)
-        .join(args.filter(F.col("arg").isin(*TRIVIAL_LITERALS)), [*KEY, "arg_at"])
-        .filter((F.col("arg") == this.n2) & F.col("arg_next").isin(")", ","))
-        .join(_call_ends(rows), [*KEY, "call"])
-    )
+    found = _calls(rows, "roulette")
     return report(
-        found, "ts/assertion-roulette", language=language(), line_end=F.col("call_line"),
-        message=say("`expect(", this.n2, ").", F.col("n5"), "(", F.col("arg"), ")` can never fail."),
+        found, "ts/assertion-roulette", language=language(), line_end=F.col("end_line"),
+        message=say("`expect(", this.p4, ").", this.p1, "(", this.n1, ")` can never fail."),
         remediation="Assert on a value that the tested code produced.",
         ordinal=F.col("idx"),
     )
@@ -256,7 +244,7 @@ def _per_file(found: DataFrame, least) -> DataFrame:
 
 def excessive_mocking(rows: DataFrame, limits=None) -> DataFrame:
     found = with_limits(
-        _per_file(sequence_hits(rows, "mock").filter(test_name()), 0),
+        _per_file(_calls(rows, "mock").filter(test_name()), 0),
         limits, "typescript", "max_mock_calls",
     ).filter(F.col("hits") > F.col("limit_max_mock_calls"))
     return report(
@@ -270,7 +258,7 @@ def excessive_mocking(rows: DataFrame, limits=None) -> DataFrame:
 def console_log_left(rows: DataFrame) -> DataFrame:
     name = base_name(F.col("path"))
     found = _per_file(
-        sequence_hits(rows, "console").filter(~_has(name, ".test.", ".spec.", "config")), CONSOLE_LIMIT
+        _calls(rows, "console").filter(~_has(name, ".test.", ".spec.", "config")), CONSOLE_LIMIT
     )
     return report(
         found, "ts/console-log-left", language=language(), line_end=F.col("end_line"),
@@ -371,12 +359,13 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
         .otherwise(0)
     )
     depth = run_depth(
-        linked, weight, "idx", "tok", "inside", "level", "word", "link", "kind_of_block", "head_line", "name"
+        linked, weight, "idx", "tok", "inside", "level", "word", "link", "kind_of_block", "head_line", "name",
+        "close_line",
     ).withColumn(
         "here", F.col("depth") + F.when(this.tok == "if", F.col("link")).otherwise(1)
     )
     spread = enclosing(
-        depth, F.col("word"), ["here"], ["kind_of_block", "depth", "head_line", "name"]
+        depth, F.col("word"), ["here"], ["kind_of_block", "depth", "head_line", "name", "close_line"]
     )
     deepest = (
         spread.filter(F.col("outer.kind_of_block").isin("function", "method", "arrow"))
@@ -385,12 +374,12 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
             F.max(F.col("here") - F.col("outer.depth")).alias("deepest"),
             F.first("outer.head_line").alias("line"),
             F.first("outer.name").alias("name"),
+            F.first("outer.close_line").alias("end_line"),
         )
     )
     limited = with_limits(deepest, limits, "typescript", "max_nesting_depth")
     limit = F.col("limit_max_nesting_depth")
-    ends = pairs(rows).select(*KEY, "open", F.col("close_line").alias("end_line"))
-    found = limited.filter(F.col("deepest") >= limit).join(ends, [*KEY, "open"])
+    found = limited.filter(F.col("deepest") >= limit)
     return report(
         found, "ts/deep-nesting", language=language(), line_end=F.col("end_line"),
         severity=F.when(F.col("deepest") >= limit + 2, "high").otherwise("medium"),
@@ -405,19 +394,19 @@ def god_class(rows: DataFrame, limits=None) -> DataFrame:
     """Method bodies that stand directly in a class."""
     heads = _heads(rows)
     classes = heads.filter(this.kind_of_block == "class").select(
-        *KEY, F.col("idx").alias("encl"), F.col("head_line").alias("line"), "name"
+        *KEY, F.col("idx").alias("encl"), F.col("head_line").alias("line"), "name",
+        F.col("close_line").alias("end_line"),
     )
     methods = (
         rows.filter(this.kind_of_block == "method").groupBy(*KEY, "encl").agg(F.count("*").alias("methods"))
     )
-    ends = pairs(rows).select(*KEY, F.col("open").alias("encl"), F.col("close_line").alias("end_line"))
     limited = with_limits(
         classes.join(methods, [*KEY, "encl"]), limits, "typescript", "god_class_method_count"
     )
     limit = F.col("limit_god_class_method_count")
     name = F.coalesce(F.col("name"), F.lit("<anonymous>"))
     return report(
-        limited.filter(F.col("methods") > limit).join(ends, [*KEY, "encl"]),
+        limited.filter(F.col("methods") > limit),
         "ts/god-class", language=language(), line_end=F.col("end_line"),
         severity=F.when(F.col("methods") > limit * 2, "high").otherwise("medium"),
         message=say("Class '", name, "' has ", F.col("methods"), " methods."),
@@ -503,29 +492,25 @@ def _function_extent(rows: DataFrame, found: DataFrame) -> DataFrame:
 
     A body in braces ends at its bracket, any other arrow body where its expression ends.
     """
-    facts = rows.select(
-        *KEY, "idx", this.tok.alias("mark"), this.n1.alias("next"), this.p1.alias("previous"), this.p2.alias("before"),
-        "inside", "encl", F.col("last_open.idx").alias("params"), F.col("last_open.line").alias("params_line"),
-        "kind_of_block",
+    ends = _expression_ends(rows, (this.tok == "=>") | (this.tok == "function") | (this.kind_of_block == "method"))
+    facts = ends.select(
+        *KEY, "idx", this.tok.alias("mark"), this.n1.alias("next"), this.p1.alias("previous"),
+        F.col("last_open.line").alias("params_line"), F.col("close_line").alias("own_end"),
+        F.col("end_line").alias("stop_line"),
     )
     items = found.join(facts, [*KEY, "idx"])
-    block_at = F.when(F.col("mark") == "{", F.col("idx")).when(
-        (F.col("mark") == "=>") & (F.col("next") == "{"), F.col("idx") + 1
-    )
-    bodies = pairs(rows, "last_func").filter("bracket = '{'").select(
-        *KEY, F.col("open").alias("body"), F.col("close_line").alias("body_end"),
-        F.col("last_func.idx").alias("func_at"),
-    )
-    with_block = items.withColumn("body", block_at).join(
-        bodies.drop("func_at"), [*KEY, "body"], "left"
-    )
-    words = bodies.filter(F.col("func_at").isNotNull()).groupBy(*KEY, F.col("func_at").alias("idx")).agg(
-        F.min_by("body_end", "body").alias("word_end")
-    )
-    arrows = _expression_ends(rows, this.tok == "=>").withColumnRenamed("end_line", "stop_line")
+    bodies = pairs(rows, "last_func").filter("bracket = '{'")
+    with_block = items.withColumn(
+        "body", F.when((F.col("mark") == "=>") & (F.col("next") == "{"), F.col("idx") + 1)
+    ).join(
+        bodies.select(*KEY, F.col("open").alias("body"), F.col("close_line").alias("body_end")),
+        [*KEY, "body"], "left",
+    )
+    words = bodies.filter(F.col("last_func").isNotNull()).groupBy(
+        *KEY, F.col("last_func.idx").alias("idx")
+    ).agg(F.min_by("close_line", "open").alias("word_end"))
     return (
         with_block.join(words, [*KEY, "idx"], "left")
-        .join(arrows, [*KEY, "idx"], "left")
         .withColumn(
             "line",
             F.when((F.col("mark") == "=>") & (F.col("previous") == ")"), F.col("params_line"))
@@ -534,7 +519,7 @@ def _function_extent(rows: DataFrame, found: DataFrame) -> DataFrame:
         .withColumn(
             "end_line",
             F.when(F.col("mark") == "function", F.coalesce("word_end", "line"))
-            .otherwise(F.coalesce("body_end", "stop_line", "line")),
+            .otherwise(F.coalesce("own_end", "body_end", "stop_line", "line")),
         )
     )
 
@@ -549,7 +534,13 @@ def magic_number(rows: DataFrame) -> DataFrame:
         & (value.isNull() | ~value.isin(*TRIVIAL_NUMBERS))
         & ~test_path()
     )
-    placed = _innermost(rows, number)
+    placed = _innermost(rows, number, ["tok", "kind_of_block", "after_value", "p1", "after"])
+    is_params = F.coalesce(
+        (F.col("outer.tok") == "(")
+        & F.col("outer.after").isin("=>", "{", ":")
+        & ~F.coalesce(F.col("outer.p1").isin("if", "while", "for", "switch", "catch", "with"), F.lit(False)),
+        F.lit(False),
+    )
     around, group, word = F.col("outer.tok"), F.col("outer.kind_of_block"), F.col("declared")
     # the literal is the whole value, not a part of a larger expression
     alone = ~F.coalesce(
@@ -565,7 +556,7 @@ def magic_number(rows: DataFrame) -> DataFrame:
         # const X = 5, also with a type
         ((this.p1 == "=") & (word == "const") & this.p3.isin("const", ",", ":", ".", "|", "&", "<"))
         # default values of parameters and of names taken from objects or arrays
-        | ((this.p1 == "=") & (F.col("is_params") | in_object | in_array))
+        | ((this.p1 == "=") & (is_params | in_object | in_array))
         # data: values of arrays, values and keys of objects
         | (this.p1.isin("[", ",") & in_array)
         | (this.p1.isin(":", "{", ",") & in_object & ((this.p1 == ":") | (this.n1 == ":")))
@@ -577,7 +568,7 @@ def magic_number(rows: DataFrame) -> DataFrame:
         # enum members and literal types
         | F.coalesce(group.isin("enum", "interface"), F.lit(False))
         | F.coalesce((word == "type") | this.p1.isin("as", "extends"), F.lit(False))
-        | F.coalesce((this.p1 == ":") & ((group == "class") | F.col("is_params")), F.lit(False))
+        | F.coalesce((this.p1 == ":") & ((group == "class") | is_params), F.lit(False))
         # bit masks
         | F.coalesce(this.p1.isin("|", "&", "^", "<<") | this.n1.isin("|", "&", "^", "<<"), F.lit(False))
         | F.coalesce(((this.p1 == ">") & (this.p2 == ">")) | ((this.n1 == ">") & (this.n2 == ">")), F.lit(False))
@@ -590,12 +581,9 @@ def magic_number(rows: DataFrame) -> DataFrame:
     )
 
 
-def _innermost(rows: DataFrame, wanted: Column) -> DataFrame:
-    """Wanted tokens with the bracket directly around them and their declaring word.
-
-    ``outer`` is that bracket's row; ``is_params`` tells that it is a parameter list, by
-    what follows its end; ``declared`` is the last declaring word of the statement there.
-    """
+def _innermost(rows: DataFrame, wanted: Column, facts: list[str]) -> DataFrame:
+    """Wanted rows with ``outer``, the given columns of the bracket directly around them,
+    and ``declared``, the last declaring word of their statement."""
     opener = this.tok.isin("(", "[", "{")
     declares = this.tok.isin("const", "let", "var", "type", "return") & _plain()
     role = F.struct(F.col("inside").alias("place"), F.lit(False).alias("anchor"))
@@ -611,46 +599,29 @@ def _innermost(rows: DataFrame, wanted: Column) -> DataFrame:
         Window.partitionBy(*KEY, "role.place").orderBy("idx")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    found = (
+    is_anchor = F.col("role.anchor")
+    return (
         spread.withColumn(
-            "outer",
-            F.last(
-                F.when(F.col("role.anchor"), F.struct("idx", "tok", "kind_of_block", "after_value", "p1")),
-                ignorenulls=True,
-            ).over(before),
+            "outer", F.last(F.when(is_anchor, F.struct(*facts)), ignorenulls=True).over(before)
         )
         .withColumn(
             "latest",
-            F.max(F.when(F.col("declares") & ~F.col("role.anchor"), F.struct("idx", "tok"))).over(before),
+            F.last(F.when(F.col("declares") & ~is_anchor, F.struct("idx", "tok")), ignorenulls=True).over(before),
         )
-        .filter(~F.col("role.anchor") & F.col("wanted"))
+        .filter(~is_anchor & F.col("wanted"))
         .withColumn("outer", F.when(F.col("inside") > 0, F.col("outer")))
-        .withColumn(
-            "declared", F.when(F.col("latest.idx") >= F.col("stmt"), F.col("latest.tok"))
-        )
-        .withColumn("outer_idx", F.coalesce("outer.idx", F.lit(-1)))
+        .withColumn("declared", F.when(F.col("latest.idx") >= F.col("stmt"), F.col("latest.tok")))
         .drop("role")
     )
-    ends = pairs(rows).select(*KEY, F.col("open").alias("outer_idx"), F.col("after").alias("outer_after"))
-    return found.join(ends, [*KEY, "outer_idx"], "left").withColumn(
-        "is_params",
-        F.coalesce(
-            (F.col("outer.tok") == "(")
-            & F.col("outer_after").isin("=>", "{", ":")
-            & ~F.coalesce(F.col("outer.p1").isin("if", "while", "for", "switch", "catch", "with"), F.lit(False)),
-            F.lit(False),
-        ),
-    )
 
 
 def test_no_assertion(rows: DataFrame) -> DataFrame:
     """``it`` / ``test`` calls with a function as second argument and no ``expect`` in it."""
-    calls = (
-        rows.filter(this.tok.isin("it", "test") & _plain() & ~_declared() & (this.n1 == "(") & test_path())
-        .select(*KEY, "idx", "line", this.n2.alias("title"), F.col("n3").alias("title_next"),
-                (F.col("idx") + 1).alias("call"))
-        .join(_call_ends(rows), [*KEY, "call"])
-    )
+    own = ~F.coalesce(this.p2.isin(".", "?.", "function", "get", "set", "async", "*"), F.lit(False))
+    calls = rows.filter((this.tok == "(") & this.p1.isin("it", "test") & own & test_path()).select(
+        *KEY, F.col("idx").alias("call"), F.col("prev_line").alias("line"), this.n1.alias("title"),
+        F.col("close").alias("call_close"), F.col("close_line").alias("call_line"),
+    ).filter(F.col("call_close").isNotNull())
     # commas and arrows that stand directly in the argument list of these calls
     inside_call = rows.filter(this.tok.isin(",", "=>") & F.col("encl").isNotNull()).select(
         *KEY, F.col("encl").alias("call"), F.col("idx").alias("at"), "tok", "n1", "n2"
@@ -696,7 +667,7 @@ def test_no_assertion(rows: DataFrame) -> DataFrame:
         found, "ts/test-no-assertion", language=language(), line_end=F.col("call_line"),
         message=say("Test '", name, "' never calls expect(), so it checks nothing."),
         remediation="Add an expect() on what the test is about.",
-        ordinal=F.col("idx"),
+        ordinal=F.col("call"),
     )
 
 
