@@ -338,7 +338,7 @@ def _secret_oracle() -> str:
 
     parts = [
         f"SELECT repo, path, ln, '{name}' AS rule_id, unnest(regexp_extract_all(line, '{_re2(rx)}', 0)) AS m FROM lines"
-        for name, _, rx in SECRET_RULES
+        for name, _, rx, _ in SECRET_RULES
     ]
     return (
         SRC + ", ls AS (SELECT repo, path, string_split(content, chr(10)) AS l FROM src),"

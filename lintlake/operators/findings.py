@@ -103,42 +103,44 @@ def validate_findings(df: DataFrame) -> DataFrame:
 # Counts
 
 
+def _sided(df: DataFrame, *dimensions: str) -> DataFrame:
+    """Counts per ``(repo, dimension, value)`` from one pass over the findings.
+
+    Each finding counts once per dimension, and tasks add up before anything moves.
+    """
+    sides = F.array(
+        *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions]
+    )
+    return df.select("repo", F.inline(sides)).groupBy("repo", "dimension", "value").agg(
+        F.count("*").alias("n")
+    )
+
+
 def build_summary(df: DataFrame) -> DataFrame:
     """One row per repository: total, a count for each severity, maps, distinct files.
 
-    Findings are counted per (severity, category, language) first; all later steps work
-    on those few rows.
+    The findings are read once; the maps hold only the few known categories and languages,
+    and files are counted, never collected.
     """
-    counts = df.groupBy("repo", "severity", "category", "language").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("repo").agg(
-        F.sum("n").alias("total"),
-        *[
-            F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)).alias(s)
-            for s in SEVERITIES
-        ],
-    )
+    counts = _sided(df, "severity", "category", "language", "file")
+    dimension, value, n = F.col("dimension"), F.col("value"), F.col("n")
 
-    def by(column: str) -> DataFrame:
-        return (
-            counts.groupBy("repo", column)
-            .agg(F.sum("n").alias("n"))
-            .groupBy("repo")
-            .agg(
-                F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"by_{column}")
-            )
+    def entries(name: str) -> Column:
+        return F.map_from_entries(
+            F.array_sort(F.collect_list(F.when(dimension == name, F.struct("value", "n"))))
         )
 
-    files = df.groupBy("repo", "file").agg(F.lit(1).alias("one")).groupBy("repo").agg(
-        F.count("*").alias("files_affected")
-    )
-    joined = totals.join(by("category"), "repo").join(by("language"), "repo").join(files, "repo")
-    return joined.select(
-        "repo",
-        "total",
-        F.create_map(*[x for s in SEVERITIES for x in (F.lit(s), F.col(s))]).alias("by_severity"),
-        "by_category",
-        "by_language",
-        "files_affected",
+    by_severity = [
+        x
+        for s in SEVERITIES
+        for x in (F.lit(s), F.sum(F.when((dimension == "severity") & (value == s), n).otherwise(0)))
+    ]
+    return counts.groupBy("repo").agg(
+        F.sum(F.when(dimension == "severity", n).otherwise(0)).alias("total"),
+        F.create_map(*by_severity).alias("by_severity"),
+        entries("category").alias("by_category"),
+        entries("language").alias("by_language"),
+        F.count_if(dimension == "file").alias("files_affected"),
     )
 
 
@@ -157,22 +159,8 @@ def summary_for_all(repos: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def summary_sets(df: DataFrame) -> DataFrame:
-    """The same counts in long form: ``(repo, dimension, value, n)``, from one pass."""
-    counts = df.groupBy("repo", "severity", "category", "language").agg(F.count("*").alias("n"))
-    sides = F.array(
-        *[
-            F.struct(F.lit(d).alias("dimension"), v.alias("value"))
-            for d, v in (
-                ("total", F.lit("total")),
-                ("severity", F.col("severity")),
-                ("category", F.col("category")),
-                ("language", F.col("language")),
-            )
-        ]
-    )
-    return counts.select("repo", "n", F.inline(sides)).groupBy("repo", "dimension", "value").agg(
-        F.sum("n").alias("n")
-    )
+    """The same counts in long form: ``(repo, dimension, value, n)``."""
+    return _sided(df.withColumn("total", F.lit("total")), "total", "severity", "category", "language")
 
 
 def gate_fail(df: DataFrame, level: str) -> DataFrame:

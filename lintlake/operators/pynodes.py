@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from lintlake.operators.relations import by_file
+
 _SCOPE = pa.struct(
     [("pre", pa.int32()), ("kind", pa.string()), ("edge", pa.string()), ("deep", pa.bool_()),
      ("elif_pos", pa.int32())]
@@ -142,17 +144,24 @@ def _files(batches: Iterator[pa.RecordBatch]):
             yield row["repo"], row["path"], _parse(row["content"])
 
 
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in NODE_SCHEMA]
+    return pa.RecordBatch.from_arrays(columns, schema=NODE_SCHEMA)
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pending: list[dict] = []
     for repo, path, tree in _files(batches):
         if isinstance(tree, str):
             continue
-        pending.extend({"repo": repo, "path": path, **row} for row in _walk(tree))
+        for row in _walk(tree):
+            row["repo"], row["path"] = repo, path
+            pending.append(row)
         if len(pending) >= _ROWS_PER_BATCH:
-            yield pa.RecordBatch.from_pylist(pending, schema=NODE_SCHEMA)
+            yield _batch(pending)
             pending = []
     if pending:
-        yield pa.RecordBatch.from_pylist(pending, schema=NODE_SCHEMA)
+        yield _batch(pending)
 
 
 def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +172,8 @@ def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(src: DataFrame) -> DataFrame:
-    return src.select("repo", "path", "content").filter(F.col("content").isNotNull())
+    """Texts spread by file: parsing takes far longer than moving them once."""
+    return by_file(src.select("repo", "path", "content").filter(F.col("content").isNotNull()))
 
 
 def py_nodes(src: DataFrame) -> DataFrame:

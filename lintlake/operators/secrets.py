@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.text import extension
@@ -10,16 +10,18 @@ from lintlake.model import build_findings, string_list
 
 LEAK_FIELDS = ("RuleID", "Description", "File", "StartLine", "EndLine")
 
-# Rule name, description and pattern of the secrets looked for.
+# Rule name, description and pattern of the secrets looked for, and the
+# words, in small letters, of which a text must hold one for the pattern to match.
 SECRET_RULES = (
-    ("aws-access-key", "AWS access key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("github-token", "GitHub token", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"),
-    ("slack-token", "Slack token", r"\bxox[abprs]-[0-9A-Za-z-]{10,}"),
-    ("private-key", "Private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("aws-access-key", "AWS access key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", ("akia", "asia")),
+    ("github-token", "GitHub token", r"\bgh[pousr]_[A-Za-z0-9]{36}\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    ("slack-token", "Slack token", r"\bxox[abprs]-[0-9A-Za-z-]{10,}", ("xox",)),
+    ("private-key", "Private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("private key",)),
     (
         "generic-secret",
         "Secret in an assignment",
-        r"(?i)\b[a-z_]*(?:token|secret|password|passwd|api_?key)[a-z_]*\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']",
+        r"(?i)(?:token|secret|password|passwd|api_?key)[a-z_]*\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']",
+        ("token", "secret", "passw", "apikey", "api_key"),
     ),
 )
 # Which extensions each pack takes secrets from.
@@ -30,25 +32,35 @@ SECRET_EXTENSIONS = (
 )
 
 
+def _may_match(text: Column, hints: tuple) -> Column:
+    found = F.lit(False)
+    for hint in hints:
+        found = found | text.contains(hint)
+    return found
+
+
 def scan_secrets(src: DataFrame) -> DataFrame:
     """Leak records of whole files, one per match.
 
-    Only files in which some rule matches at all are cut into lines.
+    Plain words are looked for first; only files and then lines that hold one are matched
+    against a pattern, and only matching files are cut into lines.
     """
+    small = F.lower("content")
     any_rule = F.lit(False)
-    for _, _, pattern in SECRET_RULES:
-        any_rule = any_rule | F.col("content").rlike(pattern)
+    for _, _, pattern, hints in SECRET_RULES:
+        any_rule = any_rule | (_may_match(small, hints) & F.col("content").rlike(pattern))
     lines = src.filter(any_rule).select(
         "repo", "path", F.posexplode(F.split("content", "\n")).alias("at", "line")
     )
 
-    def found(name: str, text: str, pattern: str):
+    def found(name: str, text: str, pattern: str, hints: tuple):
         return F.transform(
             F.regexp_extract_all("line", F.lit(pattern), F.lit(0)),
             lambda m: F.struct(F.lit(name).alias("RuleID"), F.lit(text).alias("Description"), m.alias("Match")),
         )
 
     matches = F.concat(*[found(*rule) for rule in SECRET_RULES])
+    lines = lines.filter(_may_match(F.lower("line"), sum((r[3] for r in SECRET_RULES), ())))
     return lines.select("repo", "path", "at", F.posexplode(matches).alias("ordinal", "m")).select(
         "repo",
         "m.RuleID",

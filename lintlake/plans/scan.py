@@ -16,7 +16,7 @@ from lintlake.operators.findings import (
     build_summary, filter_confidence, filter_paths, filter_severity, scan_outputs, summary_for_all,
 )
 from lintlake.operators.pynodes import py_nodes
-from lintlake.operators.relations import by_file, code_rows
+from lintlake.operators.relations import code_rows
 from lintlake.operators.secrets import label_by_pack, leaks_to_findings, scan_secrets
 from lintlake.plans.catalogue import runs
 from lintlake.plans.registry import apply_user_rules
@@ -71,7 +71,7 @@ class Relations:
     def of(self, language: str) -> tuple[DataFrame, DataFrame]:
         if language not in self.made:
             files = sources_of(self.src, language, self.editor)
-            made = py_nodes(by_file(files)) if language == "python" else code_rows(files, language)
+            made = py_nodes(files) if language == "python" else code_rows(files, language)
             if self.keep:
                 made = made.persist(StorageLevel.MEMORY_AND_DISK)
             self.made[language] = (files, made)

@@ -54,7 +54,7 @@ def read_source_files(spark: SparkSession, root: str, extensions=None) -> DataFr
     """``(repo, path, ext, content)`` below ``root``; its first directories are the repos.
 
     Files are listed and read in parallel, one row each; broken UTF-8 becomes the
-    replacement character, files that cannot be read are left out.
+    replacement character, files that are empty or cannot be read are left out.
     """
     wanted = sorted(extensions or {*EXTENSIONS, *EDITOR_EXTENSIONS, ".cjs"})
     names = ",".join(e.lstrip(".") for e in wanted)
