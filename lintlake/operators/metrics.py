@@ -22,28 +22,37 @@ def python_metrics(nodes: DataFrame) -> DataFrame:
     comprehension parts and further operands of and/or.
     """
     kind = F.col("kind")
-    functions = nodes.filter(kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line", "end_line")
     points = (
         F.when(kind.isin("If", "IfExp", "ExceptHandler", *LOOP_KINDS), 1)
         .when(kind == "comprehension", 1 + F.col("size"))
         .when(kind == "BoolOp", F.col("size") - 1)
     )
     around = F.filter("scopes", lambda s: s["kind"].isin(*DEF_KINDS))
-    decisions = (
-        nodes.withColumn("points", points)
-        .filter("points > 0")
-        .select(*KEY, F.get(around, F.size(around) - 1)["pre"].alias("pre"), "points")
-        .groupBy(*KEY, "pre")
-        .agg(F.sum("points").alias("points"))
+    owner = F.get(around, F.size(around) - 1)
+    fields = ("pre", "name", "line", "end_line")
+    # each function stands for itself, and each decision for the function around it
+    shares = F.array_compact(
+        F.array(
+            F.when(kind.isin(*DEF_KINDS), F.struct(*fields, F.lit(0).alias("points"))),
+            F.when(
+                (points > 0) & owner.isNotNull(),
+                F.struct(*[owner[f].alias(f) for f in fields], points.alias("points")),
+            ),
+        )
     )
-    return functions.join(decisions, [*KEY, "pre"], "left").select(
-        "repo",
-        F.col("path").alias("file"),
-        "name",
-        F.col("line").alias("start"),
-        F.col("end_line").alias("end"),
-        (F.col("end_line") - F.col("line") + 1).alias("length"),
-        (F.lit(1) + F.coalesce("points", F.lit(0))).cast("int").alias("ccn"),
+    return (
+        nodes.select(*KEY, F.explode(shares).alias("s"))
+        .groupBy(*KEY, *[f"s.{f}" for f in fields])
+        .agg(F.sum("s.points").alias("points"))
+        .select(
+            "repo",
+            F.col("path").alias("file"),
+            "name",
+            F.col("line").alias("start"),
+            F.col("end_line").alias("end"),
+            (F.col("end_line") - F.col("line") + 1).alias("length"),
+            (F.lit(1) + F.col("points")).cast("int").alias("ccn"),
+        )
     )
 
 

@@ -3,8 +3,9 @@
 The standard parser is the one step that needs Python: Spark hands it batches of files
 and gets one row per node back. Nothing is judged here; the rules are queries on the
 rows. ``pre`` / ``last`` number the nodes in source order, so a node lies in another
-when its ``pre`` is in that range; ``scopes`` lists the surrounding functions, classes,
-loops, branches and handlers, so no rule has to search for them.
+when its ``pre`` is in that range. ``scopes`` lists the surrounding functions, classes,
+loops, branches and handlers with their names and lines, and calls carry their keywords
+and first argument; so a rule is one pass over the rows and never reads the files twice.
 """
 
 from __future__ import annotations
@@ -21,13 +22,21 @@ from lintlake.operators.relations import by_file
 
 _SCOPE = pa.struct(
     [("pre", pa.int32()), ("kind", pa.string()), ("edge", pa.string()), ("deep", pa.bool_()),
-     ("elif_pos", pa.int32())]
+     ("elif_pos", pa.int32()), ("name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32())]
 )
+_KEYWORD = pa.struct([("name", pa.string()), ("value", pa.string())])
 NODE_SCHEMA = pa.schema(
     [("repo", pa.string()), ("path", pa.string())]
     + [(c, pa.int32()) for c in ("pre", "last", "parent", "idx", "line", "end_line", "size", "elif_pos")]
-    + [(c, pa.string()) for c in ("parent_kind", "grand_kind", "field", "kind", "name", "shown", "op", "receiver", "receiver_kind")]
-    + [("num", pa.float64()), ("str_val", pa.bool_()), ("early_exit", pa.bool_()), ("scopes", pa.list_(_SCOPE))]
+    + [
+        (c, pa.string())
+        for c in (
+            "parent_kind", "grand_kind", "field", "kind", "name", "shown", "op", "receiver",
+            "receiver_kind", "first", "assigned", "line_text",
+        )
+    ]
+    + [("num", pa.float64()), ("early_exit", pa.bool_()), ("alone", pa.bool_()),
+       ("keywords", pa.list_(_KEYWORD)), ("scopes", pa.list_(_SCOPE))]
 )
 ERROR_SCHEMA = pa.schema([("repo", pa.string()), ("path", pa.string()), ("error", pa.string())])
 # Kinds of nodes that other nodes look back at.
@@ -40,93 +49,119 @@ DEF_KINDS = ("FunctionDef", "AsyncFunctionDef")
 _ROWS_PER_BATCH = 50_000
 
 
-def _facts(node: ast.AST) -> dict:
+def _word(node) -> str | None:
+    """The identifier of a name or attribute."""
+    return getattr(node, "id", getattr(node, "attr", None))
+
+
+def _first(node: ast.AST) -> str:
+    """What a first argument is: a string, a call by method name, an operator, a kind."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return "str"
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
+        return "Call." + node.func.attr
+    if isinstance(node, ast.BinOp):
+        return "BinOp." + type(node.op).__name__
+    return type(node).__name__
+
+
+def _facts(node: ast.AST, lines: list[str]) -> dict:
     """The values of one node that the rules compare."""
     out = {}
     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
         out["name"] = node.name
-    elif isinstance(node, ast.Name):
-        out["name"] = node.id
-    elif isinstance(node, ast.Attribute):
-        out["name"] = node.attr
-        out["receiver"] = getattr(node.value, "id", getattr(node.value, "attr", None))
-    elif isinstance(node, (ast.alias,)):
-        out["name"] = node.name
+    elif isinstance(node, (ast.Name, ast.Attribute)):
+        out["name"] = _word(node)
     elif isinstance(node, ast.ImportFrom):
         out["name"] = node.module
-    elif isinstance(node, ast.keyword):
-        out["name"] = node.arg
+        out["keywords"] = [{"name": a.name} for a in node.names]
     elif isinstance(node, ast.Call):
         func = node.func
         out["op"] = type(func).__name__
         out["size"] = len(node.args)
-        if isinstance(func, ast.Name):
-            out["name"] = func.id
-        elif isinstance(func, ast.Attribute):
-            out["name"] = func.attr
+        out["first"] = _first(node.args[0]) if node.args else None
+        out["keywords"] = [{"name": k.arg, "value": _word(k.value)} for k in node.keywords]
+        if isinstance(func, (ast.Name, ast.Attribute)):
+            out["name"] = _word(func)
+        if isinstance(func, ast.Attribute):
             out["receiver_kind"] = type(func.value).__name__
-            out["receiver"] = getattr(func.value, "id", getattr(func.value, "attr", None))
-    elif isinstance(node, ast.Constant):
-        out["str_val"] = isinstance(node.value, str)
-        if isinstance(node.value, (int, float)):
-            out["shown"] = str(node.value)
-            try:
-                out["num"] = float(node.value)
-            except OverflowError:
-                out["num"] = float("inf")
-    elif isinstance(node, ast.BinOp):
-        out["op"] = type(node.op).__name__
+            out["receiver"] = _word(func.value)
+    elif isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
+        out["shown"] = str(node.value)
+        out["line_text"] = lines[node.lineno - 1] if node.lineno <= len(lines) else ""
+        try:
+            out["num"] = float(node.value)
+        except OverflowError:
+            out["num"] = float("inf")
+    elif isinstance(node, ast.For):
+        # the variable of a loop over range(...)
+        if isinstance(node.iter, ast.Call) and getattr(node.iter.func, "id", None) == "range":
+            out["name"] = getattr(node.target, "id", None)
     elif isinstance(node, ast.BoolOp):
         out["size"] = len(node.values)
     elif isinstance(node, ast.comprehension):
         out["size"] = len(node.ifs)
     elif isinstance(node, ast.If):
-        out["size"] = len(node.orelse)
+        # the function that the test calls
+        if isinstance(node.test, ast.Call):
+            out["name"] = getattr(node.test.func, "id", None)
         out["early_exit"] = (
             not node.orelse
             and len(node.body) == 1
             and isinstance(node.body[0], (ast.Return, ast.Continue, ast.Break))
         )
     elif isinstance(node, ast.ExceptHandler):
+        out["op"] = type(node.type).__name__ if node.type else None
+        out["first"] = type(node.body[0]).__name__
         out["size"] = len(node.body)
     return out
 
 
-def _walk(tree: ast.AST) -> list[dict]:
+_MARKS = (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
+
+
+def _walk(tree: ast.AST, content: str = "") -> list[dict]:
     """Rows of one file in source order, without recursion."""
     rows: list[dict] = []
-    stack = [(tree, -1, None, None, None, 0, (), 0)]
+    lines = content.splitlines()
+    stack = [(tree, {"pre": -1}, None, 0, False, ())]
     while stack:
-        node, parent, parent_kind, grand_kind, field, idx, scopes, line = stack.pop()
+        node, above, field, idx, alone, scopes = stack.pop()
         if node is None:
-            rows[parent]["last"] = len(rows) - 1
+            above["last"] = len(rows) - 1
             continue
         kind = type(node).__name__
         pre = len(rows)
         row = {
-            "pre": pre, "last": pre, "parent": parent, "parent_kind": parent_kind,
-            "grand_kind": grand_kind, "field": field, "idx": idx, "kind": kind,
-            "line": getattr(node, "lineno", line), "scopes": scopes, **_facts(node),
+            "pre": pre, "last": pre, "parent": above["pre"], "parent_kind": above.get("kind"),
+            "grand_kind": above.get("parent_kind"), "field": field, "idx": idx, "alone": alone,
+            "kind": kind, "line": getattr(node, "lineno", above.get("line", 0)), "scopes": scopes,
+            "assigned": above.get("target"), **_facts(node, lines),
         }
         row["end_line"] = getattr(node, "end_lineno", None) or row["line"]
         if kind == "If":
-            above = rows[parent] if parent >= 0 else {}
             chained = above.get("kind") == "If" and field == "orelse"
             row["elif_pos"] = above["elif_pos"] + 1 if chained else 0
+        elif kind == "Assign":
+            # for the values below it; the key is no column
+            row["target"] = getattr(node.targets[0], "id", None)
         rows.append(row)
-        deep = kind in LOOP_KINDS or (kind == "If" and not row["early_exit"])
         children = []
         for name, value in ast.iter_fields(node):
+            items = value if isinstance(value, list) else [value]
+            kids = [(i, c) for i, c in enumerate(items) if isinstance(c, ast.AST) and not isinstance(c, _MARKS)]
+            if not kids:
+                continue
             around = scopes
             if kind in SCOPE_KINDS:
-                around = (*scopes, {"pre": pre, "kind": kind, "edge": name, "deep": deep, "elif_pos": row.get("elif_pos")})
-            items = value if isinstance(value, list) else [value]
-            for i, child in enumerate(items):
-                if isinstance(child, ast.AST) and not isinstance(
-                    child, (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
-                ):
-                    children.append((child, pre, kind, parent_kind, name, i, around, row["line"]))
-        stack.append((None, pre, None, None, None, 0, (), 0))
+                deep = kind in LOOP_KINDS or (kind == "If" and not row["early_exit"])
+                around = (
+                    *scopes,
+                    {"pre": pre, "kind": kind, "edge": name, "deep": deep, "elif_pos": row.get("elif_pos"),
+                     "name": row.get("name"), "line": row["line"], "end_line": row["end_line"]},
+                )
+            children += [(c, row, name, i, len(items) == 1, around) for i, c in kids]
+        stack.append((None, row, None, 0, False, ()))
         stack.extend(reversed(children))
     return rows
 
@@ -141,7 +176,7 @@ def _parse(content: str) -> ast.AST | str:
 def _files(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for row in batch.to_pylist():
-            yield row["repo"], row["path"], _parse(row["content"])
+            yield row["repo"], row["path"], row["content"], _parse(row["content"])
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -151,10 +186,10 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pending: list[dict] = []
-    for repo, path, tree in _files(batches):
+    for repo, path, content, tree in _files(batches):
         if isinstance(tree, str):
             continue
-        for row in _walk(tree):
+        for row in _walk(tree, content):
             row["repo"], row["path"] = repo, path
             pending.append(row)
         if len(pending) >= _ROWS_PER_BATCH:
@@ -165,7 +200,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for repo, path, tree in _files(batches):
+    for repo, path, _, tree in _files(batches):
         if isinstance(tree, str):
             row = {"repo": repo, "path": path, "error": tree}
             yield pa.RecordBatch.from_pylist([row], schema=ERROR_SCHEMA)

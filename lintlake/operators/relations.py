@@ -25,7 +25,7 @@ JS_TOKENS = (
     r"|`(?:[^`\\]|\\(?s:.))*+`"
     r"|\"(?:[^\"\\\n]|\\(?s:.))*+\""
     r"|'(?:[^'\\\n]|\\(?s:.))*+'"
-    r"|(?<=[(,=:\[!&|?{};]\s{0,8})/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+    r"|(?:(?<=[(,=:\[!&|?{};]\s{0,8})|(?<=[^+]\+\s{0,8})|(?<=\b(?:return|typeof|case)\s{1,8}))/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
     r"|0[xXbBoO][0-9a-fA-F_]++n?"
     r"|(?:[0-9][0-9_]*+(?:\.[0-9_]*+)?|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9]++)?n?"
     r"|[\p{L}_$#][\p{L}\p{N}_$]*+"

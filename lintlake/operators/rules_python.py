@@ -9,6 +9,7 @@ from lintlake.functions.text import base_name
 from lintlake.operators.hits import say, this
 from lintlake.operators.pynodes import DEF_KINDS, LOOP_KINDS
 from lintlake.operators.thresholds import with_limits
+from lintlake.model import as_column
 from lintlake.plans.catalogue import report
 
 KEY = ("repo", "path")
@@ -30,145 +31,143 @@ def _calls(nodes: DataFrame) -> DataFrame:
     return nodes.filter(this.kind == "Call")
 
 
-def _children(nodes: DataFrame, condition: Column, *keep) -> DataFrame:
-    """Child nodes that satisfy a condition, keyed by ``pre`` of their parent."""
-    return nodes.filter(condition).select(*KEY, F.col("parent").alias("pre"), *keep)
+def _has_keyword(*names: str) -> Column:
+    return F.coalesce(F.exists("keywords", lambda k: k["name"].isin(*names)), F.lit(False))
+
+
+def _defs() -> Column:
+    """Functions around a node."""
+    return F.filter("scopes", lambda s: s["kind"].isin(*DEF_KINDS))
 
 
 def mutable_default_argument(nodes: DataFrame) -> DataFrame:
     """List, dict or set literals as defaults, one finding each, at the ``def``."""
-    defaults = nodes.filter(
+    owner = F.get("scopes", F.size("scopes") - 1)
+    found = nodes.filter(
         (this.parent_kind == "arguments") & F.col("field").isin("defaults", "kw_defaults")
-        & this.kind.isin("List", "Dict", "Set") & (F.col("grand_kind").isin(*DEF_KINDS))
-    ).select(*KEY, F.col("pre").alias("default"), F.lower("kind").alias("type"), F.col("parent").alias("arguments"))
-    arguments = nodes.filter(this.kind == "arguments").select(
-        *KEY, F.col("pre").alias("arguments"), F.col("parent").alias("pre")
+        & this.kind.isin("List", "Dict", "Set") & F.col("grand_kind").isin(*DEF_KINDS)
+    ).select(
+        *KEY, "pre", F.lower("kind").alias("type"), owner["name"].alias("name"), owner["line"].alias("line")
     )
-    functions = nodes.filter(this.kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line")
-    found = defaults.join(arguments, [*KEY, "arguments"]).join(functions, [*KEY, "pre"])
     return report(
         found, "python/mutable-default-argument", language="python",
         message=say("Function '", this.name, "' has a ", F.col("type"), " as a default; all calls share that one object."),
         remediation=say("Default to None in '", this.name, "' and make the ", F.col("type"), " inside."),
-        ordinal=F.col("default"),
+        ordinal=F.col("pre"),
     )
 
 
-def _owned(nodes: DataFrame, stop_kinds: tuple) -> DataFrame:
-    """Nodes with ``owner``, the innermost scope around them of the given kinds, and
-    ``within``, the scopes between that and the node."""
-    kinds = F.array(*[F.lit(k) for k in stop_kinds])
-    marked = F.transform(
-        "scopes", lambda s, i: F.when(F.array_contains(kinds, s["kind"]), i + 1).otherwise(0)
+def _owned(kinds: tuple) -> Column:
+    """``owner``, the innermost scope of these kinds around a node, and ``within``, the
+    scopes between the two."""
+    wanted = F.array(*[F.lit(k) for k in kinds])
+    position = F.coalesce(
+        F.array_max(
+            F.transform(
+                "scopes", lambda s, i: F.when(F.array_contains(wanted, s["kind"]), i + 1).otherwise(0)
+            )
+        ),
+        F.lit(0),
     )
-    position = F.array_max(marked)
-    return (
-        nodes.withColumn("position", F.coalesce(position, F.lit(0)))
-        .filter(F.col("position") > 0)
-        .withColumn("owner", F.get("scopes", F.col("position") - 1))
-        .withColumn(
-            "within",
-            F.slice("scopes", F.col("position") + 1, F.greatest(F.size("scopes") - F.col("position"), F.lit(0))),
-        )
+    return F.struct(
+        F.get("scopes", position - 1).alias("owner"),
+        F.slice("scopes", position + 1, F.greatest(F.size("scopes") - position, F.lit(0))).alias("within"),
     )
 
 
-def _loops(scopes: Column) -> Column:
-    return F.size(F.filter(scopes, lambda s: s["kind"].isin(*LOOP_KINDS)))
-
+def _function_facts(nodes: DataFrame) -> DataFrame:
+    """Per function: cognitive ``score``, nesting ``depth`` and whether it is ``recursive``.
 
-def _scores(nodes: DataFrame) -> DataFrame:
-    """Cognitive score per function ``pre``; functions without any point are absent."""
-    owned = _owned(nodes, (*DEF_KINDS, "ClassDef")).filter(
-        F.col("owner.kind").isin(*DEF_KINDS)
-        # the test of a branch is not walked
-        & ~F.exists("within", lambda s: (s["kind"] == "If") & (s["edge"] == "test"))
-    )
+    One pass: every node gives points to the function it belongs to, and calls mark the
+    functions of their name around them; all of it is added up in one aggregation.
+    """
+    own = _owned((*DEF_KINDS, "ClassDef"))
     above = F.get("scopes", F.size("scopes") - 1)
-    loops = _loops(F.col("within"))
     in_else = (
         (this.parent_kind == "If") & (F.col("field") == "orelse") & (above["elif_pos"] % 2 == 0)
     )
-    # a function's own call counts by name; names of functions come in by a join
-    own = nodes.filter(this.kind.isin(*DEF_KINDS)).select(
-        *KEY, F.col("pre").alias("owner_pre"), this.name.alias("owner_name")
-    )
-    points = F.coalesce(in_else.cast("int"), F.lit(0)) + F.when(
-        this.kind == "If", F.when(F.col("elif_pos") % 2 == 0, 1 + loops).otherwise(0)
-    ).when(this.kind.isin(*LOOP_KINDS, "ExceptHandler"), 1 + loops).when(this.kind == "BoolOp", 1).otherwise(0)
-    is_call = (this.kind == "Call") & (F.col("op") == "Name")
-    scored = owned.select(
-        *KEY, F.col("owner.pre").alias("owner_pre"), points.alias("points"),
-        F.when(is_call, this.name).alias("called"),
-    ).filter((F.col("points") > 0) | F.col("called").isNotNull())
+    loops = F.size(F.filter(own["within"], lambda s: s["kind"].isin(*LOOP_KINDS)))
+    self_call = (this.kind == "Call") & (F.col("op") == "Name") & (this.name == own["owner"]["name"])
+    points = (
+        F.coalesce(in_else.cast("int"), F.lit(0))
+        + F.when(this.kind == "If", F.when(F.col("elif_pos") % 2 == 0, 1 + loops).otherwise(0))
+        .when(this.kind.isin(*LOOP_KINDS, "ExceptHandler"), 1 + loops)
+        .when((this.kind == "BoolOp") | self_call, 1)
+        .otherwise(0)
+    )
+    # the test of a branch is not walked, and classes keep their own
+    counted = own["owner"]["kind"].isin(*DEF_KINDS) & ~F.exists(
+        own["within"], lambda s: (s["kind"] == "If") & (s["edge"] == "test")
+    )
+    home = _owned(DEF_KINDS)
+    deep = this.kind.isin(*LOOP_KINDS) | ((this.kind == "If") & ~F.col("early_exit"))
+    depth = 1 + F.size(F.filter(home["within"], lambda s: s["deep"]))
+
+    def share(scope: Column, points, depth, recursive) -> Column:
+        return F.struct(
+            scope["pre"].alias("pre"), scope["name"].alias("name"), scope["line"].alias("line"),
+            scope["end_line"].alias("end_line"), as_column(points).cast("int").alias("points"),
+            as_column(depth).cast("int").alias("depth"), F.lit(recursive).alias("recursive"),
+        )
+
+    shares = F.concat(
+        F.array_compact(
+            F.array(
+                F.when(counted & (points > 0), share(own["owner"], points, 0, 0)),
+                F.when(deep & home["owner"].isNotNull(), share(home["owner"], 0, depth, 0)),
+            )
+        ),
+        F.when(
+            (this.kind == "Call") & this.name.isNotNull(),
+            F.transform(
+                F.filter(_defs(), lambda s: s["name"] == this.name), lambda s: share(s, 0, 0, 1)
+            ),
+        ).otherwise(F.array()),
+    )
     return (
-        scored.groupBy(*KEY, "owner_pre", "called")
-        .agg(F.sum("points").alias("points"), F.count("*").alias("calls"))
-        .join(own, [*KEY, "owner_pre"])
-        .groupBy(*KEY, F.col("owner_pre").alias("pre"))
+        nodes.filter(F.size("scopes") > 0)
+        .select(*KEY, F.explode(shares).alias("s"))
+        .groupBy(*KEY, "s.pre", "s.name", "s.line", "s.end_line")
         .agg(
-            (
-                F.sum("points")
-                + F.sum(F.when(F.col("called") == F.col("owner_name"), F.col("calls")).otherwise(0))
-            ).alias("score")
+            F.sum("s.points").alias("score"), F.max("s.depth").alias("depth"),
+            F.max("s.recursive").alias("recursive"),
         )
     )
 
 
-def _complex(nodes: DataFrame, limits) -> DataFrame:
-    limited = with_limits(_scores(nodes), limits, "python", "max_cyclomatic_complexity")
-    return limited.withColumn("limit", F.col("limit_max_cyclomatic_complexity") * 2).filter(
-        F.col("score") >= F.col("limit")
+def _judged(nodes: DataFrame, limits) -> DataFrame:
+    limited = with_limits(
+        _function_facts(nodes), limits, "python", "max_cyclomatic_complexity", "max_nesting_depth"
+    )
+    return limited.withColumn("score_limit", F.col("limit_max_cyclomatic_complexity") * 2).withColumn(
+        "depth_limit", F.col("limit_max_nesting_depth") + 1 + F.col("recursive")
     )
 
 
 def cognitive_complexity(nodes: DataFrame, limits=None) -> DataFrame:
-    functions = nodes.filter(this.kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line", "end_line")
-    found = _complex(nodes, limits).join(functions, [*KEY, "pre"])
+    score, limit = F.col("score"), F.col("score_limit")
     return report(
-        found, "python/cognitive-complexity", language="python", line_end=F.col("end_line"),
-        severity=F.when(F.col("score") < F.col("limit") * 1.25, "medium").otherwise("high"),
-        message=say("Function '", this.name, "' scores ", F.col("score"), " in cognitive complexity (threshold: ",
-                    F.col("limit").cast("int"), ")."),
+        _judged(nodes, limits).filter(score >= limit), "python/cognitive-complexity", language="python",
+        line_end=F.col("end_line"),
+        severity=F.when(score < limit * 1.25, "medium").otherwise("high"),
+        message=say("Function '", this.name, "' scores ", score, " in cognitive complexity (threshold: ",
+                    limit.cast("int"), ")."),
         remediation="Move parts into helpers, flatten loops, return early, or simplify conditions.",
         ordinal=F.col("pre"),
     )
 
 
 def deep_nesting(nodes: DataFrame, limits=None) -> DataFrame:
-    """Loops and branches inside each other; early exits are free, recursion gives one more."""
-    deep = this.kind.isin(*LOOP_KINDS) | ((this.kind == "If") & ~F.col("early_exit"))
-    depth = (
-        _owned(nodes.filter(deep), DEF_KINDS)
-        .withColumn("depth", 1 + F.size(F.filter("within", lambda s: s["deep"])))
-        .groupBy(*KEY, F.col("owner.pre").alias("pre"))
-        .agg(F.max("depth").alias("depth"))
-    )
-    functions = nodes.filter(this.kind.isin(*DEF_KINDS)).select(*KEY, "pre", "name", "line", "end_line")
-    recursive = (
-        _calls(nodes)
-        .filter(this.name.isNotNull())
-        .select(*KEY, "name", F.explode(F.filter("scopes", lambda s: s["kind"].isin(*DEF_KINDS))).alias("s"))
-        .select(*KEY, F.col("s.pre").alias("pre"), "name")
-        .distinct()
-        .withColumn("recursive", F.lit(1))
-    )
-    limited = with_limits(depth.join(functions, [*KEY, "pre"]), limits, "python", "max_nesting_depth")
-    # only those that could be reported look for calls of themselves
-    near = limited.filter(F.col("depth") >= F.col("limit_max_nesting_depth") + 1)
-    judged = (
-        near.join(recursive, [*KEY, "pre", "name"], "left")
-        .withColumn(
-            "limit", F.col("limit_max_nesting_depth") + 1 + F.coalesce(F.col("recursive"), F.lit(0))
-        )
-        .filter(F.col("depth") >= F.col("limit"))
-        .join(_complex(nodes, limits).select(*KEY, "pre"), [*KEY, "pre"], "left_anti")
-    )
+    """Loops and branches inside each other; early exits are free, recursion gives one more.
+
+    Functions that are reported for their cognitive score are left out.
+    """
+    depth, limit = F.col("depth"), F.col("depth_limit")
+    found = _judged(nodes, limits).filter((depth >= limit) & (F.col("score") < F.col("score_limit")))
     return report(
-        judged, "python/deep-nesting", language="python", line_end=F.col("end_line"),
-        severity=F.when(F.col("depth") < F.col("limit") + 2, "medium").otherwise("high"),
-        message=say("Function '", this.name, "' nests ", F.col("depth"), " levels deep (threshold: ",
-                    F.col("limit").cast("int"), ")."),
+        found, "python/deep-nesting", language="python", line_end=F.col("end_line"),
+        severity=F.when(depth < limit + 2, "medium").otherwise("high"),
+        message=say("Function '", this.name, "' nests ", depth, " levels deep (threshold: ", limit.cast("int"), ")."),
         remediation="Return early, move inner blocks into functions, or use generators in place of loops.",
         ordinal=F.col("pre"),
     )
@@ -176,14 +175,8 @@ def deep_nesting(nodes: DataFrame, limits=None) -> DataFrame:
 
 def bare_except(nodes: DataFrame) -> DataFrame:
     """Handlers without a type; with a lone ``pass`` they swallow everything."""
-    inside = _children(
-        nodes, (this.parent_kind == "ExceptHandler") & F.col("field").isin("type", "body"), "field", "kind"
-    ).groupBy(*KEY, "pre").agg(
-        F.max((F.col("field") == "type").cast("int")).alias("typed"),
-        F.max(((F.col("field") == "body") & (F.col("kind") == "Pass")).cast("int")).alias("has_pass"),
-    )
-    found = nodes.filter(this.kind == "ExceptHandler").join(inside, [*KEY, "pre"]).filter("typed = 0")
-    sink = (F.col("has_pass") == 1) & (F.col("size") == 1)
+    found = nodes.filter((this.kind == "ExceptHandler") & F.col("op").isNull())
+    sink = (F.col("first") == "Pass") & (F.col("size") == 1)
     return report(
         found, "python/bare-except", language="python", line_end=F.col("end_line"),
         antipattern=F.when(sink, "exception_sink").otherwise("bare_except"),
@@ -197,42 +190,34 @@ def bare_except(nodes: DataFrame) -> DataFrame:
 
 
 def wildcard_import(nodes: DataFrame) -> DataFrame:
-    stars = _children(
-        nodes, (this.kind == "alias") & (this.name == "*") & (this.parent_kind == "ImportFrom"), F.col("pre").alias("star")
+    found = nodes.filter(this.kind == "ImportFrom").select(
+        *KEY, "pre", "line", F.coalesce("name", F.lit("None")).alias("module"),
+        F.explode(F.filter("keywords", lambda k: k["name"] == "*")),
     )
-    modules = nodes.filter(this.kind == "ImportFrom").select(*KEY, "pre", "line", F.coalesce("name", F.lit("None")).alias("module"))
-    found = stars.join(modules, [*KEY, "pre"])
     return report(
         found, "python/wildcard-import", language="python",
         message=say("`from ", F.col("module"), " import *` hides where names come from."),
         remediation=say("Import the names you use from ", F.col("module"), "."),
-        ordinal=F.col("star"),
+        ordinal=F.col("pre"),
     )
 
 
-def magic_number(nodes: DataFrame, src: DataFrame, limits=None) -> DataFrame:
-    """Numbers whose place does not explain them; needs the text for hex on the line."""
-    path = F.col("path")
+def magic_number(nodes: DataFrame, limits=None) -> DataFrame:
+    """Numbers whose place does not explain them."""
+    path, name = F.col("path"), F.col("assigned")
     tests = path.rlike(r"(_test\.py|test_\.py)$") | path.contains("/test")
+    # letters all in capitals, and at least one
+    constant = (F.upper(name) == name) & (F.lower(name) != name)
+    assigned = (this.parent_kind == "Assign") & ((F.col("grand_kind") == "Module") | constant)
     candidates = nodes.filter(
         (this.kind == "Constant") & F.col("num").isNotNull() & ~tests
         & ~F.coalesce(this.parent_kind.isin(*EXPLAINED_IN), F.lit(False))
-        & ~F.coalesce((this.parent_kind == "Assign") & (F.col("grand_kind") == "Module"), F.lit(False))
+        & ~F.coalesce(assigned, F.lit(False))
+        & ~F.col("line_text").rlike("0[xXoO]")
     )
-    limited = with_limits(candidates, limits, "python", "magic_number_allowed").filter(
+    found = with_limits(candidates, limits, "python", "magic_number_allowed").filter(
         ~F.array_contains("limit_magic_number_allowed", F.col("num"))
     )
-    # letters all in capitals, and at least one
-    constant_names = _children(
-        nodes,
-        (this.parent_kind == "Assign") & (F.col("field") == "targets") & (F.col("idx") == 0)
-        & (this.kind == "Name") & (F.upper("name") == this.name) & (F.lower("name") != this.name),
-    ).withColumnRenamed("pre", "parent")
-    unnamed = limited.join(constant_names, [*KEY, "parent"], "left_anti")
-    texts = src.select(*KEY, F.split("content", r"\r\n|\r|\n").alias("lines"))
-    found = unnamed.join(texts, list(KEY)).filter(
-        ~F.coalesce(F.get("lines", F.col("line") - 1), F.lit("")).rlike("0[xXoO]")
-    )
     return report(
         found, "python/magic-number", language="python", line_end=F.col("line"),
         message=say("Number `", F.col("shown"), "` has no name that tells what it means."),
@@ -243,42 +228,22 @@ def magic_number(nodes: DataFrame, src: DataFrame, limits=None) -> DataFrame:
 
 def n_plus_one_query(nodes: DataFrame) -> DataFrame:
     """Loops with database calls in their body; every loop around such a call reports."""
-    keywords = _children(nodes, (this.kind == "keyword") & (this.parent_kind == "Call")).distinct()
-    strings = _children(
-        nodes, (this.parent_kind == "Call") & (F.col("field") == "args") & (F.col("idx") == 0) & F.col("str_val")
-    )
-    methods = _calls(nodes).filter(F.col("op") == "Attribute")
-    maybe = (
-        methods.filter(this.name.isin(*MAYBE_ORM_METHODS))
-        .join(keywords, [*KEY, "pre"], "left_semi")
-        .join(strings, [*KEY, "pre"], "left_anti")
-    )
-    queries = methods.filter(this.name.isin(*ORM_METHODS)).select(*KEY, "name", "scopes").unionByName(
-        maybe.select(*KEY, "name", "scopes")
-    )
-    in_loops = (
-        queries.select(
-            *KEY, "name",
-            F.explode(
-                F.filter("scopes", lambda s: (s["kind"] == "For") & (s["edge"] == "body"))
-            ).alias("s"),
-        )
-        .groupBy(*KEY, F.col("s.pre").alias("pre"))
-        # a set over a list of fixed words
-        .agg(F.array_sort(F.collect_set("name")).alias("methods"))
+    method = (this.kind == "Call") & (F.col("op") == "Attribute")
+    maybe = this.name.isin(*MAYBE_ORM_METHODS) & (F.size("keywords") > 0) & (
+        F.coalesce(F.col("first"), F.lit("")) != "str"
     )
-    ranges = _children(
-        nodes, (this.kind == "Call") & (this.parent_kind == "For") & (F.col("field") == "iter")
-        & (F.col("op") == "Name") & (this.name == "range"),
+    loops = F.filter(
+        "scopes",
+        lambda s: (s["kind"] == "For") & (s["edge"] == "body")
+        # a loop over a range for retries asks the same thing again
+        & ~F.coalesce(s["name"].rlike(RETRY_NAMES), F.lit(False)),
     )
-    retries = _children(
-        nodes, (this.kind == "Name") & (this.parent_kind == "For") & (F.col("field") == "target") & this.name.rlike(RETRY_NAMES)
-    ).join(ranges, [*KEY, "pre"], "left_semi")
     found = (
-        nodes.filter(this.kind == "For")
-        .drop("name", "scopes")
-        .join(in_loops, [*KEY, "pre"])
-        .join(retries, [*KEY, "pre"], "left_anti")
+        nodes.filter(method & (this.name.isin(*ORM_METHODS) | maybe))
+        .select(*KEY, "name", F.explode(loops).alias("s"))
+        .groupBy(*KEY, "s.pre", "s.line", "s.end_line")
+        # a set over a list of fixed words
+        .agg(F.array_sort(F.collect_set("name")).alias("methods"))
     )
     return report(
         found, "python/n-plus-one-query", language="python", line_end=F.col("end_line"),
@@ -290,11 +255,11 @@ def n_plus_one_query(nodes: DataFrame) -> DataFrame:
 
 def datetime_now_naive(nodes: DataFrame) -> DataFrame:
     """``datetime.now()`` without a time zone in any form."""
-    zones = _children(nodes, (this.kind == "keyword") & this.name.isin("tz", "tzinfo"))
     found = _calls(nodes).filter(
         (F.col("op") == "Attribute") & (this.name == "now") & (F.col("size") == 0)
         & F.col("receiver_kind").isin("Name", "Attribute") & (F.col("receiver") == "datetime")
-    ).join(zones, [*KEY, "pre"], "left_anti")
+        & ~_has_keyword("tz", "tzinfo")
+    )
     return report(
         found, "python/datetime-now-naive", language="python",
         message="datetime.now() without a time zone gives a time that means something else elsewhere.",
@@ -305,18 +270,10 @@ def datetime_now_naive(nodes: DataFrame) -> DataFrame:
 
 def string_format_sql(nodes: DataFrame) -> DataFrame:
     """SQL calls whose first argument is built by an f-string, ``.format`` or ``%``."""
-    built = _children(
-        nodes,
-        (this.parent_kind == "Call") & (F.col("field") == "args") & (F.col("idx") == 0)
-        & (
-            (this.kind == "JoinedStr")
-            | ((this.kind == "Call") & (F.col("op") == "Attribute") & (this.name == "format"))
-            | ((this.kind == "BinOp") & (F.col("op") == "Mod"))
-        ),
-    )
     found = _calls(nodes).filter(
         (F.col("op") == "Attribute") & this.name.isin("execute", "raw", "executemany")
-    ).join(built, [*KEY, "pre"], "left_semi")
+        & F.col("first").isin("JoinedStr", "Call.format", "BinOp.Mod")
+    )
     return report(
         found, "python/string-format-sql", language="python",
         message=say("The SQL of .", this.name, "() is formatted from values, which opens it to injection."),
@@ -331,27 +288,16 @@ def isinstance_chain(nodes: DataFrame) -> DataFrame:
     The members of one if/elif ladder are numbered by ``elif_pos``; runs are found as
     gaps and islands over that number, so no walk along the ladder is needed.
     """
-    tests = _children(
-        nodes, (this.parent_kind == "If") & (F.col("field") == "test") & (this.kind == "Call")
-        & (F.col("op") == "Name") & (this.name == "isinstance"),
-    ).withColumn("tested", F.lit(1))
-    ifs = nodes.filter(this.kind == "If")
-    # an `if` follows on its parent when it is the only statement of the else branch
-    above = ifs.select(*KEY, F.col("pre").alias("parent"), F.col("size").alias("else_size"))
     linked = (
-        ifs.join(tests, [*KEY, "pre"], "left")
-        .join(above, [*KEY, "parent"], "left")
-        .withColumn(
-            "follows",
-            F.coalesce((F.col("field") == "orelse") & (F.col("else_size") == 1), F.lit(False)),
-        )
+        nodes.filter(this.kind == "If")
+        .withColumn("tested", this.name == "isinstance")
+        # an `if` follows on its parent when it is the only statement of the else branch
+        .withColumn("follows", (F.col("elif_pos") > 0) & F.col("alone"))
         # a ladder is known by its first member: it lies `elif_pos` links up
         .withColumn(
             "ladder",
-            F.when(
-                F.col("elif_pos") > 0,
-                F.get("scopes", F.size("scopes") - F.col("elif_pos"))["pre"],
-            ).otherwise(F.col("pre")),
+            F.when(F.col("elif_pos") > 0, F.get("scopes", F.size("scopes") - F.col("elif_pos"))["pre"])
+            .otherwise(F.col("pre")),
         )
     )
     # ladders with several statements in an else branch fork; the fork number parts them
@@ -361,9 +307,9 @@ def isinstance_chain(nodes: DataFrame) -> DataFrame:
     parted = linked.withColumn("part", F.sum((~F.col("follows")).cast("int")).over(fork))
     ladder = Window.partitionBy(*KEY, "ladder", "part").orderBy(F.col("elif_pos").desc())
     run = parted.withColumn(
-        "island", F.sum(F.when(F.col("tested").isNull(), 1).otherwise(0)).over(ladder)
+        "island", F.sum(F.when(F.col("tested"), 0).otherwise(1)).over(ladder)
     )
-    counted = run.filter(F.col("tested").isNotNull()).withColumn(
+    counted = run.filter("tested").withColumn(
         "length",
         F.count("*").over(
             Window.partitionBy(*KEY, "ladder", "part", "island").orderBy(F.col("elif_pos").desc())
@@ -391,17 +337,15 @@ def eval_usage(nodes: DataFrame) -> DataFrame:
 
 def yaml_unsafe_load(nodes: DataFrame) -> DataFrame:
     """``yaml.load`` without ``Loader=SafeLoader``."""
-    loaders = nodes.filter((this.kind == "keyword") & (this.name == "Loader")).select(
-        *KEY, F.col("pre").alias("keyword"), F.col("parent").alias("pre")
+    safe = F.exists(
+        "keywords",
+        lambda k: (k["name"] == "Loader") & F.coalesce(k["value"] == "SafeLoader", F.lit(False)),
     )
-    safe_values = nodes.filter(
-        (this.parent_kind == "keyword") & this.kind.isin("Name", "Attribute") & (this.name == "SafeLoader")
-    ).select(*KEY, F.col("parent").alias("keyword"))
-    safe = loaders.join(safe_values, [*KEY, "keyword"], "left_semi").select(*KEY, "pre")
     found = _calls(nodes).filter(
         (F.col("op") == "Attribute") & (this.name == "load")
         & (F.col("receiver_kind") == "Name") & (F.col("receiver") == "yaml")
-    ).join(safe, [*KEY, "pre"], "left_anti")
+        & ~F.coalesce(safe, F.lit(False))
+    )
     return report(
         found, "python/yaml-unsafe-load", language="python",
         message="yaml.load() without SafeLoader can run code from the document.",
@@ -425,18 +369,32 @@ def file_not_closed(nodes: DataFrame) -> DataFrame:
 def test_no_assertion(nodes: DataFrame) -> DataFrame:
     """``test_*`` functions of test files with no assertion anywhere inside."""
     file = base_name(F.col("path"))
-    tests = nodes.filter(
-        this.kind.isin(*DEF_KINDS) & this.name.startswith("test_")
-        & (file.contains("test_") | file.contains("_test"))
-    )
-    checks = nodes.filter(
-        (this.kind == "Assert")
-        | ((this.kind == "Call") & (F.col("op") == "Attribute") & this.name.startswith("assert")
-           & (F.col("receiver_kind") == "Name") & (F.col("receiver") == "self"))
-    ).select(
-        *KEY, F.explode(F.filter("scopes", lambda s: s["kind"].isin(*DEF_KINDS))).alias("s")
-    ).select(*KEY, F.col("s.pre").alias("pre"))
-    found = tests.join(checks, [*KEY, "pre"], "left_anti")
+    check = (this.kind == "Assert") | (
+        (this.kind == "Call") & (F.col("op") == "Attribute") & this.name.startswith("assert")
+        & (F.col("receiver_kind") == "Name") & (F.col("receiver") == "self")
+    )
+    # each function stands for itself, and each assertion for the functions around it
+    shares = F.when(
+        this.kind.isin(*DEF_KINDS),
+        F.array(F.struct("pre", "name", "line", "end_line", F.lit(0).alias("checks"))),
+    ).when(
+        check,
+        F.transform(
+            _defs(),
+            lambda s: F.struct(
+                s["pre"].alias("pre"), s["name"].alias("name"), s["line"].alias("line"),
+                s["end_line"].alias("end_line"), F.lit(1).alias("checks"),
+            ),
+        ),
+    )
+    found = (
+        nodes.filter(file.contains("test_") | file.contains("_test"))
+        .select(*KEY, F.explode(shares).alias("s"))
+        .filter(F.startswith("s.name", F.lit("test_")))
+        .groupBy(*KEY, "s.pre", "s.name", "s.line", "s.end_line")
+        .agg(F.sum("s.checks").alias("checks"))
+        .filter("checks = 0")
+    )
     return report(
         found, "python/test-no-assertion", language="python", line_end=F.col("end_line"),
         message=say("Test '", this.name, "' asserts nothing."),

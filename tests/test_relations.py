@@ -139,11 +139,7 @@ def test_cognitive_scores_match_a_direct_walk(sources):
     rng = random.Random(11)
     files = {f"f{i}.py": _random_function(rng, f"fn{i}") for i in range(80)}
     nodes = py_nodes(sources(files))
-    names = nodes.filter(F.col("kind") == "FunctionDef").select("path", "pre", "name")
-    got = {
-        (r["path"], r["name"]): r["score"]
-        for r in names.join(rules_python._scores(nodes).drop("repo"), ["path", "pre"]).collect()
-    }
+    got = {(r["path"], r["name"]): r["score"] for r in rules_python._function_facts(nodes).collect()}
     want = {(p, n): s for p, t in files.items() for n, s in _direct_scores(t).items() if s > 0}
     assert {k: v for k, v in got.items() if v > 0} == want
 
