@@ -76,25 +76,24 @@ def _value_before() -> Column:
     return word | F.coalesce(this.p1.isin(")", "]", "}", "!"), F.lit(False))
 
 
-def _sequences() -> dict[str, Column]:
-    """Rules that are a fixed run of tokens, by the name their hits carry.
+def _sequence(name: str) -> Column:
+    """The condition of a rule that is a fixed run of tokens.
 
     A call is found at its opening bracket, whose row also knows where the call ends.
     """
     call = this.tok == "("
     member = this.p2 == "."
-    own = ~F.coalesce(this.p2.isin(".", "?."), F.lit(False))
     whole = ~F.coalesce(this.p4.isin(".", "?."), F.lit(False))
-    declared = F.coalesce(this.p2.isin("function", "get", "set", "async", "*"), F.lit(False))
     return {
-        "eval": call & (this.p1 == "eval") & own & ~declared,
-        "Function": (call & (this.p1 == "Function") & (this.p2 == "new"))
+        "eval": lambda: call & (this.p1 == "eval")
+        & ~F.coalesce(this.p2.isin(".", "?.", "function", "get", "set", "async", "*"), F.lit(False)),
+        "Function": lambda: (call & (this.p1 == "Function") & (this.p2 == "new"))
         | ((this.tok == "Function") & (this.p1 == "new") & ~F.coalesce(this.n1.isin(".", "("), F.lit(False))),
-        "html": this.tok.isin("innerHTML", "outerHTML") & this.p1.isin(".", "?.") & this.n1.isin(*ASSIGNMENTS),
-        "then": call & (this.p1 == "then") & this.p2.isin(".", "?."),
-        "console": call & this.p1.isin(*CONSOLE_METHODS) & member & (this.p3 == "console") & whole,
-        "mock": call & (this.p1 == "mock") & member & (this.p3 == "jest") & whole,
-        "any": (this.tok == "any") & (
+        "html": lambda: this.tok.isin("innerHTML", "outerHTML") & this.p1.isin(".", "?.") & this.n1.isin(*ASSIGNMENTS),
+        "then": lambda: call & (this.p1 == "then") & this.p2.isin(".", "?."),
+        "console": lambda: call & this.p1.isin(*CONSOLE_METHODS) & member & (this.p3 == "console") & whole,
+        "mock": lambda: call & (this.p1 == "mock") & member & (this.p3 == "jest") & whole,
+        "any": lambda: (this.tok == "any") & (
             (this.p1.isin(":", "<", "|", "&", "as", "=>", "extends", "keyof", "is", "readonly", "?")
              & ~F.coalesce(this.n1.isin(".", "(", "?."), F.lit(False)))
             | ((this.p1 == ",") & ((this.n1 == ">") | ((this.n1 == "[") & (this.n2 == "]"))))
@@ -102,21 +101,21 @@ def _sequences() -> dict[str, Column]:
             | ((this.p1 == "[") & this.n1.isin(",", "]"))
             | ((this.p1 == "=") & ((this.p3 == "type") | this.n1.isin(">", ",")))
         ),
-        "nonnull": (this.tok == "!") & _value_before() & (this.p1 != "}") & ~F.col("fresh")
+        "nonnull": lambda: (this.tok == "!") & _value_before() & (this.p1 != "}") & ~F.col("fresh")
         & ~((this.p1 == ")") & F.coalesce(F.col("last_open.p1").isin("if", "while", "for"), F.lit(False)))
         # `name!: T` promises a later assignment, it is no assertion
         & ~F.coalesce((this.n1 == ":") & this.p2.isin(*DECLARERS), F.lit(False)),
         # expect ( true ) . toBe ( true
-        "roulette": call & this.p1.isin(*SAME_CHECKS) & member & (this.p3 == ")")
+        "roulette": lambda: call & this.p1.isin(*SAME_CHECKS) & member & (this.p3 == ")")
         & this.p4.isin(*TRIVIAL_LITERALS) & (this.p5 == "(") & (this.p6 == "expect")
         & ~F.coalesce(this.p7.isin(".", "?."), F.lit(False))
         & (this.n1 == this.p4) & this.n2.isin(")", ","),
-    }
+    }[name]()
 
 
 def sequence_hits(rows: DataFrame, *names: str) -> DataFrame:
     """Hits of the named runs of tokens, all in one pass."""
-    return hits(rows, {n: c for n, c in _sequences().items() if not names or n in names})
+    return hits(rows, {n: _sequence(n) for n in names})
 
 
 def _calls(rows: DataFrame, name: str) -> DataFrame:
@@ -158,7 +157,7 @@ def _expression_ends(rows: DataFrame, wanted: Column) -> DataFrame:
 
 def eval_usage(rows: DataFrame) -> DataFrame:
     """``eval(...)`` calls and ``new Function``, each under its own name."""
-    found = hits(rows, {n: _sequences()[n] for n in ("eval", "Function")})
+    found = sequence_hits(rows, "eval", "Function")
     is_eval = F.col("hit") == "eval"
     links = string_list(BY_ID["ts/eval-usage"].references)
     return report(
@@ -180,7 +179,7 @@ def eval_usage(rows: DataFrame) -> DataFrame:
 
 def innerhtml_assignment(rows: DataFrame) -> DataFrame:
     """Assignments to ``.innerHTML`` / ``.outerHTML``; they end where the statement does."""
-    found = _expression_ends(rows, _sequences()["html"]).withColumn(
+    found = _expression_ends(rows, _sequence("html")).withColumn(
         "line", F.coalesce("last_head.line", "line")
     )
     return report(

@@ -22,6 +22,7 @@ from lintlake.plans.catalogue import runs
 from lintlake.plans.registry import apply_user_rules
 from lintlake.sources.files import CHECKER_EXTENSIONS, EDITOR_EXTENSIONS, prune_dirs, prune_ignored
 from lintlake.sources.reports import union_findings
+from lintlake.sources.storage import cut
 
 
 def session(app: str = "lintlake", **conf) -> SparkSession:
@@ -61,18 +62,25 @@ def sources_of(src: DataFrame, language: str, editor: bool = False) -> DataFrame
 
 @dataclass
 class Relations:
-    """The parse-once relations of a scan, kept until ``release``."""
+    """The parse-once relations of a scan, kept until ``release``.
+
+    ``keep`` is "persist" for a large scan (columns a rule does not read are not touched),
+    "checkpoint" for small and frequent ones (the plans of the rules become short), or
+    False to compute them anew in every rule.
+    """
 
     src: DataFrame
     editor: bool = False
-    keep: bool = True
+    keep: str | bool = "persist"
     made: dict = field(default_factory=dict)
 
     def of(self, language: str) -> tuple[DataFrame, DataFrame]:
         if language not in self.made:
             files = sources_of(self.src, language, self.editor)
             made = py_nodes(files) if language == "python" else code_rows(files, language)
-            if self.keep:
+            if self.keep == "checkpoint":
+                made = cut(made)
+            elif self.keep:
                 made = made.persist(StorageLevel.MEMORY_AND_DISK)
             self.made[language] = (files, made)
         return self.made[language]
@@ -107,13 +115,13 @@ def scan(
     categories: list[str] | None = None,
     limits=None,
     editor: bool = False,
-    keep: bool = True,
+    keep: str | bool = "persist",
     relations: Relations | None = None,
 ) -> DataFrame:
     """Findings of source files ``(repo, path, content)`` by rules and the secret scan.
 
-    ``limits`` is None, a dict, or a table per repository. With ``keep`` the relations
-    are persisted for the many rules that read them; pass ``relations`` to release them.
+    ``limits`` is None, a dict, or a table per repository. ``keep`` says how the relations
+    are held for the many rules that read them; pass ``relations`` to release them.
     """
     relations = relations or Relations(src, editor, keep)
     parts = [scan_language(relations, lang, limits, categories) for lang in languages]

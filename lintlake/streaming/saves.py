@@ -78,7 +78,7 @@ def scan_batch(
 ) -> DataFrame:
     """Findings of sources that the editor shows."""
     found = scan(
-        src, languages=languages, editor=True, keep=relations is not None, relations=relations
+        src, languages=languages, editor=True, keep=False, relations=relations
     )
     return filter_editor(found, severity, confidence).select(*FINDING_COLUMNS)
 
@@ -94,7 +94,7 @@ def log_writer(path: str, severity: str = "medium", confidence: float = 0.7):
         latest = batch.groupBy("repo", "uri").agg(F.max_by("content", "ts").alias("content"))
         kept = latest.persist()
         src = saved_sources(kept)
-        relations = Relations(src, editor=True)
+        relations = Relations(src, editor=True, keep="checkpoint")
         try:
             found = scan_batch(src, severity, confidence, packs_of(src), relations)
             found.write.mode("overwrite").parquet(f"{path}/findings/scan_id={batch_id}")
