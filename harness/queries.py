@@ -24,7 +24,7 @@ from lintlake.plans.catalogue import RULES, gate_categories, rules_table
 from lintlake.plans.scan import _apply, scan, scan_meta, write_report
 from lintlake.sources import files as S
 from lintlake.sources import reports as I
-from lintlake.sources.storage import fresh_path, written
+from lintlake.sources.storage import fresh_path
 from lintlake.streaming import saves as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -850,7 +850,6 @@ add(
     )(A.findings(spark, sf_dir)),
     FOUND + _BODY_SQL,
 )
-_CHANGED = "SELECT DISTINCT repo, file FROM findings WHERE user_id % 2 = 0"
 add(
     "pr_candidates",
     lambda spark, sf_dir: (
@@ -1091,12 +1090,6 @@ def _(spark, sf_dir):
     return spark.read.schema(bursts.schema).parquet(path)
 
 
-_CODE_SAVES = (
-    "SELECT concat('repo', user_id % 5) AS repo, concat('src/u', user_id, '.py') AS uri, ts,"
-    " concat('x = eval(', event_id, ')', repeat('\\nexec(y)', cast(event_id % 3 as int))) AS content FROM {events}"
-)
-
-
 @query(
     "scan_stream",
     "WITH s AS (SELECT concat('repo', user_id % 5) AS repo, concat('src/u', user_id, '.py') AS uri, arg_max(event_id, ts) AS e FROM events GROUP BY 1, 2)"
@@ -1117,8 +1110,6 @@ def _(spark, sf_dir):
     return ST.latest_findings(log, scans).select("repo", "file", "line_start", "rule_id")
 
 
-_SCANS = "SELECT repo, file, min(event_id // 700) AS lo, max(event_id // 700) AS hi FROM findings GROUP BY 1, 2"
-
 
 @query(
     "latest_findings",

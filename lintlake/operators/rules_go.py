@@ -236,12 +236,13 @@ def magic_number(rows: DataFrame, limits=None) -> DataFrame:
     starts = F.col("idx") == F.col("stmt")
     top = starts & (F.col("inside") == 0)
     # the top-level declaration a token belongs to, and the spec inside `var ( ... )`
-    marked = rows.withColumn("head", F.max(F.when(top, F.struct("idx", "tok", "n1"))).over(order))
+    marked = rows.withColumn("head", F.last(F.when(top, F.struct("idx", "tok", "n1")), ignorenulls=True).over(order))
     grouped = starts & (F.col("inside") == 1) & (F.col("head.n1") == "(")
     marked = marked.withColumn(
         "spec",
-        F.max(
-            F.when(grouped, F.struct("idx", this.tok.alias("name"))).when(top, F.struct("idx", this.n1.alias("name")))
+        F.last(
+            F.when(grouped, F.struct("idx", this.tok.alias("name"))).when(top, F.struct("idx", this.n1.alias("name"))),
+            ignorenulls=True,
         ).over(order),
     )
     named = (F.col("head.tok") == "var") & (F.length("spec.name") > 1)
@@ -623,8 +624,9 @@ def weak_rand(rows: DataFrame) -> DataFrame:
     for part in SENSITIVE_WORDS:
         sensitive = sensitive | F.lower(this.tok).contains(part)
     order = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.max(
-        F.when((F.col("inside") == 0) & (F.col("idx") == F.col("stmt")), F.struct("idx", "tok"))
+    head = F.last(
+        F.when((F.col("inside") == 0) & (F.col("idx") == F.col("stmt")), F.struct("idx", "tok")),
+        ignorenulls=True,
     ).over(order)
     crypto = F.col("kind").isin("string", "template") & this.tok.contains("crypto") & (F.col("head.tok") == "import")
     suspects = (

@@ -458,11 +458,11 @@ def callback_hell(rows: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     state = spread.withColumn(
-        "opened", F.max(F.when(F.col("part") == "open", F.struct("idx", "is_call"))).over(before)
+        "opened", F.last(F.when(F.col("part") == "open", F.struct("idx", "is_call")), ignorenulls=True).over(before)
     ).withColumn(
-        "comma", F.max(F.when(F.col("part") == "comma", F.col("idx"))).over(before)
+        "comma", F.last(F.when(F.col("part") == "comma", F.col("idx")), ignorenulls=True).over(before)
     ).withColumn(
-        "func", F.max(F.when((F.col("part") == "function"), F.col("idx"))).over(before)
+        "func", F.last(F.when(F.col("part") == "function", F.col("idx")), ignorenulls=True).over(before)
     )
     depth = (
         state.filter(F.col("part") == "item")
