@@ -170,13 +170,15 @@ class Model:
         return total
 
 
-def fit(voted: DataFrame, rules: Sequence[Rule], rounds: int = 50, right: float = 0.9, good: float = 0.85, weight: float = 0.1) -> Model:
+def fit(voted: DataFrame, rules: Sequence[Rule], rounds: int = 50, right: float = 0.95, caught: float = 0.4, good: float = 0.85, weight: float = 0.02) -> Model:
     """Expectation-maximisation over all rows, as counts of vote patterns.
 
     The driver gets one row per pattern, at most 3 ** :data:`MOST_RULES` however large the
-    input. ``right`` and ``good`` are where accuracies and the share of good texts start and,
-    with ``weight`` of all rows, what they are drawn to; that keeps the classes from changing
-    places, and a rule that never votes keeps its start. No rows: the start is the model.
+    input. ``right`` (a vote on a good text is right), ``caught`` (one on a bad text is; low, as a
+    rule sees one kind of bad text) and ``good`` (share of good texts) are where the
+    estimates start and, with ``weight`` of all rows, what they are drawn to; that keeps the
+    classes from changing places, and a rule that never votes keeps its start. No rows: the
+    start is the model.
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"at most {MOST_RULES} rules")
@@ -185,7 +187,7 @@ def fit(voted: DataFrame, rules: Sequence[Rule], rounds: int = 50, right: float
     patterns = sorted((tuple(r[: len(names)]), r[len(names)]) for r in rows)
     total = sum(c for _, c in patterns)
     pull = weight * total
-    prior, a, b = good, [right] * len(names), [right] * len(names)
+    prior, a, b = good, [right] * len(names), [caught] * len(names)
     for _ in range(rounds if total else 0):
         good_sum, hits = 0.0, [[0.0, 0.0, 0.0, 0.0] for _ in names]  # good right, good all, bad right, bad all
         for votes, count in patterns:
@@ -203,24 +205,28 @@ def fit(voted: DataFrame, rules: Sequence[Rule], rounds: int = 50, right: float
                     h[2] += (1 - p) * count * (v < 0)
                     h[3] += (1 - p) * count
         prior = min(0.99, max(0.01, (good_sum + good * pull) / (total + pull)))
-        a = [min(0.999, max(0.5, (h[0] + right * pull) / (h[1] + pull))) for h in hits]
-        b = [min(0.999, max(0.5, (h[2] + right * pull) / (h[3] + pull))) for h in hits]
+        a = [min(0.999, max(0.6, (h[0] + right * pull) / (h[1] + pull))) for h in hits]
+        b = [min(0.999, max(0.02, (h[2] + caught * pull) / (h[3] + pull))) for h in hits]
     return Model(prior, dict(zip(names, a, strict=True)), dict(zip(names, b, strict=True)))
 
 
+def base_failed() -> Column:
+    """Fewer than 10 words, or over a fifth of the words in repeated runs."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, least: float = 0.5) -> DataFrame:
     """Per row of ``docs``: the measures, each vote, ``base_failed``, ``p_good`` and ``kept``.
 
-    Base: fewer than 10 words, or over a fifth of the words in repeated runs. A text that
-    passes the base is kept if its posterior reaches ``least``. An empty or null text has no
+    A text that passes the base is kept if its posterior reaches ``least``; the model is
+    estimated on those, as the base has settled the rest. An empty or null text has no
     words and fails the base. The measures are checkpointed, so texts are read once.
     """
     rules = default_rules() if rules is None else rules
     voted = vote(cut(measures(docs)), rules)
-    model = fit(voted, rules)
+    model = fit(voted.where(~base_failed()), rules)
     p = 1 / (1 + F.exp(-model.log_odds()))
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return voted.withColumns({"base_failed": base, "p_good": p}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
+    return voted.withColumns({"base_failed": base_failed(), "p_good": p}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, least: float = 0.5) -> DataFrame:
@@ -230,8 +236,7 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, least: float
     nothing is joined; the texts are read twice, once for the model and once for the filter.
     """
     rules = default_rules() if rules is None else rules
-    model = fit(vote(measures(docs), rules), rules)
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    model = fit(vote(measures(docs).where(~base_failed()), rules), rules)
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     shaped = docs.select(F.struct(*(F.col(f"`{c}`").alias(own[c]) for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     schema = ddl({k: t for k, t in MEASURES.items() if k != "doc_id"})
@@ -239,7 +244,7 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, least: float
 
     out = StructType(shaped.select("row").schema.fields + StructType.fromDDL(schema).fields)
     voted = vote(shaped.mapInArrow(_beside, out), rules)
-    kept = voted.where(~base & (1 / (1 + F.exp(-model.log_odds())) >= least))
+    kept = voted.where(~base_failed() & (1 / (1 + F.exp(-model.log_odds())) >= least))
     return kept.select(*(F.col(f"row.{own[c]}").alias(c) for c in docs.columns))
 
 

@@ -1,16 +1,19 @@
 """WARC archives, index first.
 
-Spark's text writer lays the records out, one archive per task, with its commit protocol, so
-a lost executor leaves no half archive. The index (file, offset, length, URL, digest) is
-written beside them before anything is read. Reading takes any selection of index rows, puts
-the ranges of an archive in order, joins those that lie close together, and fetches each
-joined range once.
+Each task writes archives of gzip members, one per record, and tells file, offset, length, URL
+and digest of each record; these rows are the index, which Spark writes with its commit
+protocol. A file's name is new for each attempt of a task and only what the index names
+counts, so a lost executor or a second attempt does no harm. Reading takes any selection of
+index rows, puts the ranges of an archive in order, joins those that lie close together, and
+fetches each joined range once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +26,10 @@ END = "\r\n\r\n"
 #: Bytes between two ranges that are still read as one, and the most bytes of a joined range
 #: (a longer record is a range of its own).
 GAP, CHUNK = 64 << 10, 4 << 20
-INDEX = "file_no int, offset long, length long, page_id long, url string, payload_digest string, record_type string"
+#: An archive that has reached this size is closed and a new one begun.
+ARCHIVE_BYTES = 1 << 30
+LEVEL = 6
+INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
 
 
@@ -62,44 +68,52 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", F.col("digest").alias("payload_digest"), kind.alias("record_type"), record.alias("record"))
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, archives: int | None = None) -> str:
-    """Writes archives and their index below ``folder``; gives the folder.
+def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
+    """Writes archives (``folder/warc``) and then their index (``folder/index``, parquet);
+    gives the folder, a new one in the cluster's shared folder if none is named."""
+    folder = folder or fresh_path(pages.sparkSession, "warc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _place(f"{folder}/warc")
+        system.create_dir(base, recursive=True)
+        file, at, name = None, 0, ""
+        try:
+            for batch in batches:
+                rows = []
+                for page_id, url, digest, kind, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if file is None:
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        file = system.open_output_stream(f"{base}/{name}", compression=None)
+                    press = zlib.compressobj(LEVEL, wbits=31)
+                    member = press.compress(f"{record}{END}".encode()) + press.flush()
+                    file.write(member)
+                    rows.append((name, at, len(member), page_id, url, digest, kind))
+                    at += len(member)
+                    if at >= archive_bytes:
+                        file.close()
+                        file = None
+                if rows:
+                    yield _index_batch(rows)
+        finally:
+            if file is not None:
+                file.close()
 
-    The archives are ``folder/warc/part-*`` and the index ``folder/index`` (parquet). The
-    records are laid out once as numbered lines before both are written, so that the index
-    tells the bytes of the very files that lie there.
-    """
-    spark = pages.sparkSession
-    folder = folder or fresh_path(spark, "warc")
-    laid = records(pages, least_bytes)
-    laid = laid.repartition(archives, "page_id") if archives else laid
-    (laid.select("record").write.option("lineSep", END).text(f"{folder}/warc"))
-    index(spark, folder).write.parquet(f"{folder}/index")
+    records(pages, least_bytes).mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return folder
 
 
-def index(spark, folder: str) -> DataFrame:
-    """Index rows read off the archives themselves: a task walks over the headers of one
-    archive in bounded reads and skips each payload by its length."""
-    files = archive_files(spark, folder)
-    table = spark.createDataFrame(list(enumerate(files)), "file_no int, file string").repartition(max(1, len(files)), "file_no")
-    return table.mapInArrow(_walk, INDEX)
-
+def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
-def archive_files(spark, folder: str) -> list[str]:
-    """Names of the archives, in order: as many as there were writing tasks."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/warc")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().toString() for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("part-"))
 
-
-def _open(uri: str):
+def _place(uri: str):
+    """File system and path of a folder that all executors share."""
     from pyarrow import fs
 
-    if "://" not in uri:  # Hadoop writes file:/a/b
-        uri = uri.replace(":/", ":///", 1) if ":/" in uri else f"file://{uri}"
-    system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(path)
+    if "://" not in uri:
+        uri = f"file://{uri.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(uri)
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -112,46 +126,18 @@ def _number(text: str | None) -> int | None:
     return int(inner) if inner else None
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file_no", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("record_type", pa.string())])
-    for batch in batches:
-        for no, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            with _open(name) as file:
-                rows, at, size, start, window = [], 0, file.size(), 0, b""
-                while at < size:
-                    cut = window.find(END.encode(), at - start)
-                    if at < start or cut < 0:
-                        if start <= at and start + len(window) >= size:
-                            raise ValueError(f"{name}: no end of header after {at}")
-                        file.seek(at)
-                        wanted = CHUNK if start != at else 2 * max(len(window), CHUNK)
-                        start, window = at, file.read(wanted)
-                        continue
-                    h = _headers(window[at - start : cut])
-                    length = cut - (at - start) + 4 + int(h["content-length"]) + 4
-                    rows.append((no, at, length, _number(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]))
-                    at += length
-                    if at - start > len(window):
-                        start, window = at, b""
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
 def ranges(selected: DataFrame, gap: int = GAP, chunk: int = CHUNK) -> DataFrame:
-    """``file_no, start, stop, parts``: sorted ranges of an archive, joined where at most
+    """``file, start, stop, parts``: sorted ranges of an archive, joined where at most
     ``gap`` bytes lie between and the sum stays in its ``chunk`` of the archive."""
     from pyspark.sql import Window
 
-    spot = selected.select("file_no", "offset", "length", F.expr(f"offset div {int(chunk)}").alias("stretch")).distinct()
+    spot = selected.select("file", "offset", "length", F.expr(f"offset div {int(chunk)}").alias("stretch")).distinct()
     # a stretch of an archive is a bounded number of bytes, so are its windows and lists
-    order = Window.partitionBy("file_no", "stretch").orderBy("offset")
+    order = Window.partitionBy("file", "stretch").orderBy("offset")
     before = F.lag(F.col("offset") + F.col("length")).over(order)
     first = F.when(before.isNull() | (F.col("offset") - before > gap), 1).otherwise(0)
     runs = spot.withColumn("new", first).withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("file_no", "stretch", "run").agg(
+    return runs.groupBy("file", "stretch", "run").agg(
         F.min("offset").alias("start"),
         F.max(F.col("offset") + F.col("length")).alias("stop"),
         F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("parts"),
@@ -161,26 +147,27 @@ def ranges(selected: DataFrame, gap: int = GAP, chunk: int = CHUNK) -> DataFrame
 def read_records(spark, folder: str, selected: DataFrame | None = None, gap: int = GAP, chunk: int = CHUNK) -> DataFrame:
     """The records of the selected index rows (all, if none are given), each checked against
     its digest. A revisit has the length and digest of the payload it refers to."""
-    files = archive_files(spark, folder)
-    if not files:
-        return spark.createDataFrame([], RECORDS)
     selected = spark.read.parquet(f"{folder}/index") if selected is None else selected
-    names = spark.createDataFrame(list(enumerate(files)), "file_no int, file string")
-    return ranges(selected, gap, chunk).join(names, "file_no").select("file", "start", "stop", "parts").mapInArrow(_fetch, RECORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _fetch(batches, f"{folder}/warc")
+
+    return ranges(selected, gap, chunk).select("file", "start", "stop", "parts").mapInArrow(run, RECORDS)
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
     names = [x.split()[0] for x in RECORDS.split(", ")]
+    system, base = _place(folder)
     for batch in batches:
         for row in batch.to_pylist():
-            with _open(row["file"]) as file:
+            with system.open_input_file(f"{base}/{row['file']}") as file:
                 file.seek(row["start"])
                 data = file.read(row["stop"] - row["start"])
             rows = []
             for part in row["parts"]:
                 at = part["offset"] - row["start"]
-                record = data[at : at + part["length"]]
+                record = zlib.decompress(data[at : at + part["length"]], wbits=31)
                 head, _, rest = record.partition(END.encode())
                 h = _headers(head)
                 payload, digest, kind = rest[:-4], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]
