@@ -32,7 +32,7 @@ BITS, SEED = 64, 42
 BLOCK = 20_000
 #: Work of one probe and of one verified candidate, relative to each other.
 PROBE, VERIFY = 20.0, 1.0
-PRINTS = {"doc_id": "long", "print": "long"}
+PRINTS = {"doc_id": "long", "text_hash": "long", "print": "long"}
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -60,17 +60,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, print`` per row (the 64 bits as a signed long); a null text has no words."""
+    """``doc_id, text_hash, print`` per row (the 64 bits as a signed long); a null text has no
+    words."""
     schema = arrow_schema(PRINTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(doc_id, text):
+        def one(doc_id, text_hash, text):
             p = fingerprint(text, words)
-            return doc_id, p - (1 << 64) if p >> 63 else p
+            return doc_id, text_hash, p - (1 << 64) if p >> 63 else p
 
         return row_wise(batches, one, schema)
 
-    return ids_and_texts(docs).mapInArrow(run, ddl(PRINTS))
+    own = ids_and_texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return own.mapInArrow(run, ddl(PRINTS))
 
 
 @dataclass(frozen=True)
@@ -270,11 +272,41 @@ def classes(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     columns play no part; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words))
+    hexed = F.lpad(F.lower(F.hex("print")), 16, "0")
+    return prints.join(owners(prints, radius), "print").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def owners(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """``print, root, component_id`` of each distinct fingerprint; roots name the classes."""
     distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
     plan = make_plan(*bit_counts(distinct), radius)
     root = components(links(distinct.select("print"), plan, radius))
     rooted = distinct.join(root.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = rooted.select("print", "root").join(named, "root").select("print", "component_id")
-    hexed = F.lpad(F.lower(F.hex("print")), 16, "0")
-    return prints.join(owner, "print").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return rooted.select("print", "root").join(named, "root").select("print", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """One row of ``docs`` per class, that of the smallest doc_id; all columns stay.
+
+    Of rows that share this id the one of the smallest text hash stays, and one of its
+    repetitions; a class of rows without any id keeps one of these. Classes are found on
+    fingerprints alone; the texts move once, for the semi-join that takes the kept rows.
+    """
+    prints = cut(fingerprints(docs, words))
+    named = prints.join(owners(prints, radius), "print").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    each = named.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = cut(each.groupBy("root").agg(F.min(F.struct("text_hash", "doc_id", "n")).alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"), "first.n"))
+    columns = docs.columns
+    shaped = docs.select(
+        F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
+    out = shaped.join(kept.where("n = 1"), same, "left_semi").select("row")
+    repeated = kept.where("n > 1")
+    if not repeated.isEmpty():
+        some = shaped.join(repeated, same, "left_semi")
+        out = out.unionByName(some.groupBy("doc_id", "text_hash").agg(F.first("row").alias("row")).select("row"))
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)))
