@@ -41,34 +41,34 @@ def tiles(a: list[int], b: list[int], least: int) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     length = min(len(a), len(b))
     while length >= least:
-        places = _windows(a, marked_a, length)
-        found = 0
-        if places:
-            for at_b, h in _running(b, marked_b, length):
-                for at_a in places.get(h, ()):
-                    if any(marked_a[at_a : at_a + length]) or any(marked_b[at_b : at_b + length]):
-                        continue
-                    if a[at_a : at_a + length] == b[at_b : at_b + length]:
-                        found = _extended(a, b, marked_a, marked_b, at_a, at_b, length)
-                        break
-                if found:
-                    break
-        if found > length:
-            # something longer was overstepped: look for the longest first
-            length = _longest(a, b, marked_a, marked_b, length)
-            continue
+        found = _matches(a, b, marked_a, marked_b, length)
         if not found:
             length = max(least, length // 2) if length > least else 0
             continue
-        for at_a in sorted(p for ps in places.values() for p in ps):
-            if any(marked_a[at_a : at_a + length]):
+        longest = max(n for _, _, n in found)
+        for at_a, at_b, n in sorted(found):
+            if n == longest and not any(marked_a[at_a : at_a + n]) and not any(marked_b[at_b : at_b + n]):
+                out.append((at_a, at_b, n))
+                marked_a[at_a : at_a + n] = marked_b[at_b : at_b + n] = [True] * n
+        length = longest - 1
+    return out
+
+
+def _matches(a: list[int], b: list[int], marked_a: list[bool], marked_b: list[bool], length: int) -> list[tuple[int, int, int]]:
+    """All matches of unmarked tokens, as long as they go, of ``length`` or more."""
+    places: dict[int, list[int]] = {}
+    for at, h in _running(a, marked_a, length):
+        places.setdefault(h, []).append(at)
+    out = []
+    for at_b, h in _running(b, marked_b, length) if places else ():
+        for at_a in places.get(h, ()):
+            before = at_a and at_b and a[at_a - 1] == b[at_b - 1] and not marked_a[at_a - 1] and not marked_b[at_b - 1]
+            if before or a[at_a : at_a + length] != b[at_b : at_b + length]:
                 continue
-            for at_b, h in _running(b, marked_b, length):
-                if a[at_a : at_a + length] == b[at_b : at_b + length]:
-                    out.append((at_a, at_b, length))
-                    marked_a[at_a : at_a + length] = marked_b[at_b : at_b + length] = [True] * length
-                    break
-        length -= 1
+            i, j = at_a + length, at_b + length
+            while i < len(a) and j < len(b) and a[i] == b[j] and not marked_a[i] and not marked_b[j]:
+                i, j = i + 1, j + 1
+            out.append((at_a, at_b, i - at_a))
     return out
 
 
@@ -88,30 +88,6 @@ def _running(text: list[int], marked: list[bool], length: int) -> Iterator[tuple
             yield i - length + 1, h
 
 
-def _windows(text: list[int], marked: list[bool], length: int) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for at, h in _running(text, marked, length):
-        out.setdefault(h, []).append(at)
-    return out
-
-
-def _extended(a, b, marked_a, marked_b, at_a: int, at_b: int, length: int) -> int:
-    while at_a + length < len(a) and at_b + length < len(b) and a[at_a + length] == b[at_b + length] and not marked_a[at_a + length] and not marked_b[at_b + length]:
-        length += 1
-    return length
-
-
-def _longest(a, b, marked_a, marked_b, length: int) -> int:
-    """Length of the longest match of unmarked tokens that has ``length`` or more."""
-    best = length
-    places = _windows(a, marked_a, length)
-    for at_b, h in _running(b, marked_b, length):
-        for at_a in places.get(h, ()):
-            if a[at_a : at_a + length] == b[at_b : at_b + length]:
-                best = max(best, _extended(a, b, marked_a, marked_b, at_a, at_b, length))
-    return best
-
-
 class Tests:
     """A block of benchmark texts as numbered tokens, with their seeds."""
 

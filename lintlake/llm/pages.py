@@ -2,8 +2,9 @@
 
 A page is read into text blocks, each with the paths of the containers it stands in: tags with
 classes and ids, digits generalised. A page scores its containers by the share of its good text
-they hold. Spark adds the scores up per host and path; a host's best path is then used to
-extract all its pages, and a page that lacks it, or has no host, uses its own best.
+they hold, and votes for the best. Spark counts the votes per host and path; the path that wins
+a host is then used to extract all its pages, and a page that lacks it, or has no host, uses its
+own best.
 """
 
 from __future__ import annotations
@@ -224,37 +225,45 @@ def scores_of(blocks: list[Block]) -> dict[str, float]:
     return out
 
 
+def _best(scores: dict[str, float]) -> str:
+    return max(scores, key=lambda p: (scores[p], p), default="")
+
+
 def text_of(blocks: list[Block], path: str | None) -> str:
     """The text below ``path``; below the page's own best if it does not have that."""
     found = [b.text for b in blocks if path in b.paths] if path is not None else []
     if not found and blocks:
-        scores = scores_of(blocks)
-        own = max(scores, key=lambda p: (scores[p], p)) if scores else ""
+        own = _best(scores_of(blocks))
         found = [b.text for b in blocks if own in b.paths]
     return "\n".join(found)
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """``host, path, score``: the container scores of all pages that have a host, summed."""
+    """``host, path, votes, score``: over all pages that have a host, how many find a path best,
+    and the sum of its scores."""
     own = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> '' AND html <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[tuple[str, str], float] = {}
+            total: dict[tuple[str, str], list[int]] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                for path, score in scores_of(blocks_of(page.as_py())).items():
-                    total[host, path] = total.get((host, path), 0.0) + score
+                scores = scores_of(blocks_of(page.as_py()))
+                best = _best(scores)
+                for path, score in scores.items():
+                    held = total.setdefault((host, path), [0, 0])
+                    held[0] += path == best
+                    held[1] += round(score * 1000)  # whole numbers: sums do not hang on their order
             if total:
-                # whole numbers, so that sums do not hang on their order
-                rows = [(h, p, round(s * 1000)) for (h, p), s in total.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["host", "path", "score"])
+                rows = [(h, p, *held) for (h, p), held in total.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "votes", "score"])
 
-    return own.mapInArrow(run, "host string, path string, score long").groupBy("host", "path").agg(F.sum("score").alias("score"))
+    return own.mapInArrow(run, "host string, path string, votes long, score long").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """``host, path``: each host's path of the highest sum; the last by name of equals."""
-    return votes(pages).groupBy("host").agg(F.max(F.struct("score", "path"))["path"].alias("path"))
+    """``host, path``: each host's path of most votes, of equals that of the highest sum, then
+    the last by name."""
+    return votes(pages).groupBy("host").agg(F.max(F.struct("votes", "score", "path"))["path"].alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

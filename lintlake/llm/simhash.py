@@ -137,14 +137,16 @@ def make_plan(rows: int, both: np.ndarray, radius: int = 3) -> Plan:
 
 
 def _groups(together: np.ndarray, parts: int) -> list[np.ndarray]:
-    """Bits in ``parts`` groups of equal size, each grown by the bit that goes best with it."""
+    """Bits in ``parts`` groups of equal size, each begun with the bit that goes best with all
+    that are left, and grown by the bit that goes best with it."""
     left = list(range(BITS))
     groups = []
     for i in range(parts):
         size = (len(left) + parts - i - 1) // (parts - i)
-        group = [left.pop(0)]
+        group = [max(left, key=lambda b: (round(together[b, left].sum(), 9), -b))]
+        left.remove(group[0])
         while len(group) < size:
-            bit = max(left, key=lambda b: (together[b, group].sum(), -b))
+            bit = max(left, key=lambda b: (round(together[b, group].sum(), 9), -b))
             left.remove(bit)
             group.append(bit)
         groups.append(np.array(sorted(group)))
