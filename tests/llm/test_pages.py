@@ -32,10 +32,10 @@ def test_hosts_agree_on_a_path(spark):
     # one page's sidebar without a telling name outweighs its article
     odd = '<body><div class="c7"><p>{a}</p></div><div class="k3"><p>{b}</p></div></body>'
     rows = [(i, "http://host.org/x", odd.format(a="Article text. " * 50, b="Short.")) for i in range(9)]
-    rows.append((9, "http://HOST.org/y", odd.format(a="Brief.", b="Long box. " * 40)))
-    rows.append((10, "none", odd.format(a="Brief.", b="Long box. " * 40)))
+    rows.append((9, "http://HOST.org/y", odd.format(a="Brief.", b="Long box. " * 200)))
+    rows.append((10, "none", odd.format(a="Brief.", b="Long box. " * 200)))
     got = {i: t for i, _, t, _ in run(spark, rows)}
-    assert got[9] == "Brief." and got[10] == ("Long box. " * 40).strip()
+    assert got[9] == "Brief." and got[10] == ("Long box. " * 200).strip()
 
 
 def test_salted_join_gives_the_same(spark, monkeypatch):
