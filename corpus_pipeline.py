@@ -36,8 +36,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of each text, and whether they spell it."""
-    back = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
-    return back.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), check_col="lossless")
+    n_pieces = F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long")
+    return coded.select("doc_id", "lang", "source", "ids", n_pieces.alias("n_pieces"), "lossless")
 
 
 STAGES = [
