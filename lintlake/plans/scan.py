@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import inspect
+import tempfile
+import zipfile
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +42,23 @@ def session(app: str = "lintlake", **conf) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application; nothing to do where it
+    is installed on them or on their path, and no harm."""
+    if getattr(spark.sparkContext, "_lintlake_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="lintlake-ship-")) / "lintlake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._lintlake_shipped = True
 
 
 def _apply(rule, relation: DataFrame, src: DataFrame, limits) -> DataFrame:
@@ -175,10 +194,13 @@ def write_report(findings: DataFrame, meta: DataFrame, path: str, fmt: str = "js
     them becomes several files and small ones share a task. Returns the run's outputs.
     """
     base = path.rstrip("/")
+    spark = findings.sparkSession
     spread = findings.repartitionByRange("repo", "file", "line_start", "id").sortWithinPartitions(
         "repo", "file", "line_start"
     )
     spread.write.mode("overwrite").partitionBy("repo").format(fmt).save(f"{base}/findings")
+    # what follows reads what was written: the findings are worked out once
+    findings = spark.read.schema(findings.schema).format(fmt).load(f"{base}/findings")
     meta.write.mode("overwrite").partitionBy("repo").format(fmt).save(f"{base}/meta")
     summary_for_all(meta, build_summary(findings)).write.mode("overwrite").partitionBy("repo").format(
         fmt

@@ -50,32 +50,54 @@ SKIP_DIRS = {
 ENTERS_HIDDEN = ("python",)
 
 
+def _place(root: str) -> tuple[Column, Column, Column]:
+    """Repository, path and extension of the column ``uri`` below ``root``."""
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    inner = F.regexp_replace(F.try_url_decode(F.col("uri")), "^.*?" + "\\Q" + base + "\\E" + "/+", "")
+    repo = F.regexp_extract(inner, "^([^/]+)/", 1).alias("repo")
+    return repo, F.regexp_replace(inner, "^[^/]+/", "").alias("path"), extension(inner).alias("ext")
+
+
+def _glob(extensions) -> str:
+    wanted = sorted(extensions or {*EXTENSIONS, *EDITOR_EXTENSIONS, ".cjs"})
+    return "*.{" + ",".join(e.lstrip(".") for e in wanted) + "}"
+
+
+def list_source_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
+    """``(repo, path, ext, size)`` of every file below ``root``, empty ones too; reads no text."""
+    found = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", _glob(extensions))
+        .load(root)
+        .select(F.regexp_replace("path", "%", "%25").alias("uri"), F.col("length").alias("size"))
+    )
+    return found.select(*_place(root), "size")
+
+
 def read_source_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
     """``(repo, path, ext, content)`` below ``root``; its first directories are the repos.
 
-    Files are listed and read in parallel, one row each; broken UTF-8 becomes the
-    replacement character, files that are empty or cannot be read are left out.
+    Files are read in parallel, one row each; broken UTF-8 becomes the replacement character.
+    Empty files come from the listing, as Spark's readers give no row for them. Files that
+    cannot be read are left out; ``unread_files`` tells which.
     """
-    wanted = sorted(extensions or {*EXTENSIONS, *EDITOR_EXTENSIONS, ".cjs"})
-    names = ",".join(e.lstrip(".") for e in wanted)
     rows = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + names + "}")
+        .option("pathGlobFilter", _glob(extensions))
         .option("ignoreCorruptFiles", "true")
         .option("ignoreMissingFiles", "true")
         .text(root, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("uri"))
     )
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    inner = F.regexp_replace(
-        F.try_url_decode(F.col("uri")), "^.*?" + "\\Q" + base + "\\E" + "/+", ""
-    )
-    return rows.select(
-        F.regexp_extract(inner, "^([^/]+)/", 1).alias("repo"),
-        F.regexp_replace(inner, "^[^/]+/", "").alias("path"),
-        extension(inner).alias("ext"),
-        F.make_valid_utf8("value").alias("content"),
-    )
+    texts = rows.select(*_place(root), F.make_valid_utf8("value").alias("content"))
+    empty = list_source_files(spark, root, extensions).filter("size = 0")
+    return texts.unionByName(empty.select("repo", "path", "ext", F.lit("").alias("content")))
+
+
+def unread_files(listed: DataFrame, read: DataFrame) -> DataFrame:
+    """``(repo, path, size)`` of the listed files that gave no row."""
+    return listed.join(read.select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "path", "size")
 
 
 def _directories() -> Column:

@@ -409,9 +409,14 @@ def ingest_npm_audit(reports: DataFrame) -> DataFrame:
 
 
 def _vulncheck_lines(reports: DataFrame) -> DataFrame:
-    return reports.select("repo", F.posexplode(F.split("json", "\n")).alias("at", "line")).filter(
-        F.trim("line") != ""
-    ).withColumn("bad", F.try_parse_json("line").isNull())
+    """``repo, stop, at, line, bad``: lines of each report, and where its first bad one is."""
+    each = F.transform(
+        F.split("json", "\n"),
+        lambda line, at: F.struct(at.alias("at"), line.alias("line"), F.try_parse_json(line).isNull().alias("bad")),
+    )
+    lines = reports.select("repo", F.filter(each, lambda x: F.trim(x["line"]) != "").alias("lines"))
+    stop = F.array_min(F.transform(F.filter("lines", lambda x: x["bad"]), lambda x: x["at"]))
+    return lines.withColumn("stop", stop).select("repo", "stop", F.inline("lines"))
 
 
 def govulncheck_quarantine(reports: DataFrame) -> DataFrame:
@@ -420,13 +425,10 @@ def govulncheck_quarantine(reports: DataFrame) -> DataFrame:
 
 
 def ingest_govulncheck(reports: DataFrame, stop_at_bad_line: bool = False) -> DataFrame:
-    """JSON lines; bad ones go to the quarantine, or end their report as an option."""
+    """JSON lines; bad ones go to the quarantine, or end their own report as an option."""
     lines = _vulncheck_lines(reports)
     if stop_at_bad_line:
-        first_bad = lines.filter("bad").groupBy("repo").agg(F.min("at").alias("stop"))
-        lines = lines.join(first_bad, "repo", "left").filter(
-            F.col("stop").isNull() | (F.col("at") < F.col("stop"))
-        )
+        lines = lines.filter(F.col("stop").isNull() | (F.col("at") < F.col("stop")))
     rows = (
         lines.filter("not bad")
         .select("repo", "at", F.from_json("line", GOVULNCHECK)["vulnerability"].alias("v"))

@@ -11,9 +11,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set (tests)."""
+    """The shared folder of the cluster; a local one only where none is set and driver and
+    executors are one process (tests)."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
         folder = getattr(shared_dir, "fallback", None) or tempfile.mkdtemp(prefix="lintlake-")
         shared_dir.fallback = folder
     return folder.rstrip("/")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from lintlake.functions.severity import severity_rank
 from lintlake.model import FINDING_COLUMNS
 from lintlake.operators.findings import filter_editor
 from lintlake.plans.scan import Relations, scan
@@ -20,15 +24,24 @@ EDITOR_DEFAULTS = {
 }
 
 
-def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE, lateness: str = "1 minute") -> DataFrame:
+BURSTS = "repo string, uri string, ts timestamp, content string, saves long"
+_OPEN = "first timestamp, last timestamp, content string, saves long"
+
+
+def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
     """The last save of each burst: ``(repo, uri, ts, content, saves)``.
 
-    A burst of a file ends after ``gap`` without a save. Works on a stream and on a
-    table alike; a stream drops what comes later than ``lateness``.
+    A burst of a file ends after ``gap`` without a save. On a table it is a session window. On
+    a stream each file keeps its open burst as state with a timer: it is emitted once ``gap``
+    has passed on the clock, with or without a later event, and a save that comes late is a
+    burst of its own; none is dropped.
     """
     saves = saves.withColumn("ts", F.col("ts").cast("timestamp"))
     if saves.isStreaming:
-        saves = saves.withWatermark("ts", lateness)
+        millis = int(saves.sparkSession.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {gap})").first()[0])
+        return saves.select("repo", "uri", "ts", "content").groupBy("repo", "uri").applyInPandasWithState(
+            _burst_emitter(millis), BURSTS, _OPEN, "append", GroupStateTimeout.ProcessingTimeTimeout
+        )
     return (
         saves.groupBy(F.session_window("ts", gap).alias("burst"), "repo", "uri")
         .agg(
@@ -40,6 +53,46 @@ def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE, lateness: str = "1 min
     )
 
 
+def _burst_emitter(millis: int):
+    """Emits a file's bursts that are over by the clock and keeps the open one."""
+
+    def emit(key, frames, state):
+        gap = pd.Timedelta(milliseconds=millis)
+        if state.hasTimedOut:
+            _, last, content, count = state.get
+            state.remove()
+            yield _burst_frame(key, [(last, content, count)])
+            return
+        rows = [(t, c, 1) for f in frames for t, c in zip(f["ts"], f["content"], strict=True)]
+        if state.exists:
+            _, last, content, count = state.get
+            rows.append((pd.Timestamp(last), content, count))
+        bursts: list[list] = []
+        for ts, content, count in sorted(rows, key=lambda r: r[0]):
+            if bursts and ts - bursts[-1][0] < gap:
+                bursts[-1] = [ts, content, bursts[-1][2] + count]
+            else:
+                bursts.append([ts, content, count])
+        now = pd.Timestamp(state.getCurrentProcessingTimeMs(), unit="ms")
+        last, content, count = bursts[-1]
+        wait = int((last + gap - now).total_seconds() * 1000)
+        if wait > 0:
+            bursts.pop()
+            state.update((last, last, content, count))
+            state.setTimeoutDuration(wait)
+        elif state.exists:
+            state.remove()
+        if bursts:
+            yield _burst_frame(key, bursts)
+
+    return emit
+
+
+def _burst_frame(key, bursts) -> pd.DataFrame:
+    ts, content, count = zip(*bursts, strict=True)
+    return pd.DataFrame({"repo": key[0], "uri": key[1], "ts": list(ts), "content": list(content), "saves": list(count)})
+
+
 def newest_config(config_log: DataFrame) -> DataFrame:
     """One row per repository; each key has its newest value, else the default."""
     return config_log.groupBy("repo").agg(
@@ -83,24 +136,64 @@ def scan_batch(
     return filter_editor(found, severity, confidence).select(*FINDING_COLUMNS)
 
 
-def log_writer(path: str, severity: str = "medium", confidence: float = 0.7):
+def shown_by_settings(found: DataFrame, config_log: DataFrame) -> DataFrame:
+    """Findings that pass the thresholds of their own repository's settings; an unknown
+    level shows medium and above, a confidence that is no number is the default."""
+    level = severity_rank(F.col("severityThreshold"))
+    least = F.coalesce(F.try_to_number("confidenceThreshold", F.lit("9.99")), F.lit(0.7)).cast("double")
+    rank = severity_rank("severity")
+    shown = (rank >= 0) & (rank <= F.when(level < 0, 2).otherwise(level)) & (F.col("confidence") >= least)
+    return apply_config(found, config_log).filter(shown).select(*found.columns)
+
+
+def _first_scan(spark: SparkSession, path: str, run: str) -> int:
+    """The number of a run's batch 0 in the log at ``path``.
+
+    A run is a checkpoint: it keeps its number over restarts, so a batch that runs again
+    replaces its own output. A new one starts above all scans there are.
+    """
+    try:
+        known = spark.read.parquet(f"{path}/runs")
+        mine = known.filter(F.col("run") == run).agg(F.max("base")).first()[0]
+        if mine is not None:
+            return mine
+    except AnalysisException:
+        pass  # the first run of a log
+    try:
+        last = spark.read.parquet(f"{path}/scans").agg(F.max("scan_id")).first()[0]
+    except AnalysisException:
+        last = None
+    base = 0 if last is None else int(last) + 1
+    spark.createDataFrame([(run, base)], "run string, base long").write.mode("append").parquet(f"{path}/runs")
+    return base
+
+
+def log_writer(path: str, severity: str = "medium", confidence: float = 0.7, config_log: DataFrame | None = None, run: str = "run"):
     """A ``foreachBatch`` function that scans a batch and appends to the log at ``path``.
 
-    Each batch owns a folder named by its number, so a batch that runs again after a
-    failure replaces its own output. A file without findings still leaves a scan row.
+    Each batch owns a folder named by its scan number, so a batch that runs again after a
+    failure replaces its own output. A file without findings still leaves a scan row. With
+    ``config_log`` the settings of each repository as of the batch decide: switched off, its
+    saves are not scanned, and its thresholds filter its findings.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        scan_id = _first_scan(batch.sparkSession, path, run) + batch_id
         latest = batch.groupBy("repo", "uri").agg(F.max_by("content", "ts").alias("content"))
+        if config_log is not None:
+            latest = apply_config(latest, config_log).select("repo", "uri", "content")
         kept = latest.persist()
         src = saved_sources(kept)
         relations = Relations(src, editor=True, keep="checkpoint")
         try:
-            found = scan_batch(src, severity, confidence, packs_of(src), relations)
-            found.write.mode("overwrite").parquet(f"{path}/findings/scan_id={batch_id}")
+            wide = ("info", 0.0) if config_log is not None else (severity, confidence)
+            found = scan_batch(src, *wide, packs_of(src), relations)
+            if config_log is not None:
+                found = shown_by_settings(found, config_log)
+            found.write.mode("overwrite").parquet(f"{path}/findings/scan_id={scan_id}")
             kept.select(
                 "repo", F.col("uri").alias("file"), F.lit(False).alias("cleared")
-            ).write.mode("overwrite").parquet(f"{path}/scans/scan_id={batch_id}")
+            ).write.mode("overwrite").parquet(f"{path}/scans/scan_id={scan_id}")
         finally:
             relations.release()
             kept.unpersist()
@@ -108,13 +201,55 @@ def log_writer(path: str, severity: str = "medium", confidence: float = 0.7):
     return write
 
 
-def scan_stream(saves: DataFrame, path: str, checkpoint: str, severity: str = "medium", confidence: float = 0.7):
-    """Start the scan of a stream of saves; returns the streaming query."""
-    return (
-        saves.writeStream.foreachBatch(log_writer(path, severity, confidence))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+def clear_findings(repos: DataFrame, path: str) -> None:
+    """Appends a clear event for each row's ``repo``: what was found before is not shown."""
+    spark = repos.sparkSession
+    last = spark.read.parquet(f"{path}/scans").agg(F.max("scan_id")).first()[0]
+    rows = repos.select("repo", F.lit(None).cast("string").alias("file"), F.lit(True).alias("cleared"))
+    rows.write.mode("append").parquet(f"{path}/scans/scan_id={last}")
+
+
+def compact_log(spark: SparkSession, path: str, to: str) -> None:
+    """Writes what ``latest_findings`` shows of the log at ``path``, and the scans behind it,
+    as a log at ``to``; old findings are left behind. Run numbers go along."""
+    scans = spark.read.parquet(f"{path}/scans")
+    found = latest_findings(spark.read.parquet(f"{path}/findings"), scans)
+    found.write.partitionBy("scan_id").parquet(f"{to}/findings")
+    newest = scans.groupBy("repo", "file", "cleared").agg(F.max("scan_id").alias("scan_id"))
+    newest.write.partitionBy("scan_id").parquet(f"{to}/scans")
+    spark.read.parquet(f"{path}/runs").write.parquet(f"{to}/runs")
+
+
+def start_available(writer):
+    """Starts a stream that ends when what has arrived is done.
+
+    Batches without data exist to let timers fire, and with clock timers there is always one
+    more; such a run leaves them out, and bursts still open wait in the state for the next run.
+    """
+    spark = SparkSession.getActiveSession()
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
+
+
+def scan_stream(
+    saves: DataFrame, path: str, checkpoint: str, severity: str = "medium", confidence: float = 0.7,
+    config_log: DataFrame | None = None, gap: str | None = None,
+):
+    """Start the scan of a stream of saves; returns the streaming query.
+
+    With ``gap`` the saves are debounced first; with ``config_log`` (repo, key, value, ts) the
+    repositories' settings hold.
+    """
+    events = debounce_saves(saves, gap) if gap else saves
+    return start_available(
+        events.writeStream.foreachBatch(log_writer(path, severity, confidence, config_log, checkpoint)).option(
+            "checkpointLocation", checkpoint
+        )
     )
 
 

@@ -1,6 +1,5 @@
 """Relations against direct walks of the same text."""
 
-import ast
 import random
 
 from pyspark.sql import functions as F
@@ -60,87 +59,72 @@ def test_blocks_of_both_languages(sources):
     ]
 
 
-def _direct_scores(text: str) -> dict:
-    """Score and depth of each function by walking the tree, from the rule's wording."""
-    out = {}
-    for func in ast.walk(ast.parse(text)):
-        if not isinstance(func, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            continue
-        points = [0]
-
-        def visit(node, loops, in_chain=False):
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                return
-            if isinstance(node, ast.If) and not in_chain:
-                points[0] += 1 + loops
-                for child in node.body:
-                    visit(child, loops)
-                for child in node.orelse:
-                    points[0] += 1
-                    if isinstance(child, ast.If):
-                        for inner in child.body + child.orelse:
-                            visit(inner, loops)
-                    else:
-                        visit(child, loops)
-                return
-            if isinstance(node, (ast.For, ast.While, ast.AsyncFor)):
-                points[0] += 1 + loops
-                loops += 1
-            elif isinstance(node, ast.ExceptHandler):
-                points[0] += 1 + loops
-            elif isinstance(node, ast.BoolOp):
-                points[0] += 1
-            elif isinstance(node, ast.Call) and getattr(node.func, "id", None) == func.name:
-                points[0] += 1
-            for child in ast.iter_child_nodes(node):
-                visit(child, loops)
-
-        for child in ast.iter_child_nodes(func):
-            visit(child, 0)
-        out[func.name] = points[0]
-    return out
-
-
-def _random_function(rng, name):
-    lines = [f"def {name}(a, b):"]
-
-    def body(depth, indent):
-        for _ in range(rng.randrange(1, 4)):
-            pad = "    " * indent
-            pick = rng.random()
-            if depth == 0 or pick < 0.25:
-                lines.append(pad + rng.choice(["go(a)", f"{name}(b)", "x = a and b or c", "return"]))
-            elif pick < 0.5:
-                lines.append(pad + rng.choice(["for i in a:", "while a:"]))
-                body(depth - 1, indent + 1)
-            elif pick < 0.8:
-                lines.append(pad + "if a and b:")
-                body(depth - 1, indent + 1)
-                for _ in range(rng.randrange(3)):
-                    lines.append(pad + "elif c:")
-                    body(depth - 1, indent + 1)
-                if rng.random() < 0.5:
-                    lines.append(pad + "else:")
-                    body(depth - 1, indent + 1)
-            elif pick < 0.9:
-                lines.append(pad + "try:")
-                body(depth - 1, indent + 1)
-                lines.append(pad + "except E:")
-                body(depth - 1, indent + 1)
-            else:
-                lines.append(pad + f"def inner{len(lines)}():")
-                body(depth - 1, indent + 1)
-
-    body(4, 1)
-    return "\n".join(lines) + "\n"
-
-
-def test_cognitive_scores_match_a_direct_walk(sources):
+class _Writer:
+    """Writes random functions and adds up, line by line, what each has to score."""
+
+    def __init__(self, rng):
+        self.rng, self.lines, self.points = rng, [], {}
+
+    def function(self, name, depth, indent):
+        self.put(indent, f"def {name}(a, b):")
+        self.points[name] = 0
+        self.block(name, depth, indent + 1, 1)
+
+    def put(self, indent, text):
+        self.lines.append("    " * indent + text)
+
+    def block(self, name, depth, indent, cost):
+        """Statements below a header; ``cost`` is what a branch or loop costs there. Gives their number."""
+        count = self.rng.randrange(1, 4)
+        for _ in range(count):
+            kind = "plain" if depth == 0 else self.rng.choice(["plain", "loop", "if", "if", "try", "def"])
+            getattr(self, kind + "_")(name, depth - 1, indent, cost)
+        return count
+
+    def plain_(self, name, depth, indent, cost):
+        text, worth = self.rng.choice([("go(a)", 0), (f"{name}(b)", 1), ("x = a and b or c", 2), ("return", 0)])
+        self.put(indent, text)
+        self.points[name] += worth
+
+    def loop_(self, name, depth, indent, cost):
+        self.put(indent, self.rng.choice(["for i in a:", "while a:"]))
+        self.points[name] += cost
+        self.block(name, depth, indent + 1, cost + 1)
+
+    def if_(self, name, depth, indent, cost):
+        # every other branch of a chain opens it anew at full cost, those between cost one;
+        # an else below a full one costs one for each of its statements
+        branches = 1 + self.rng.randrange(3)
+        for i in range(branches):
+            self.put(indent, "elif c:" if i else "if a and b:")
+            self.points[name] += 1 if i % 2 else cost
+            self.block(name, depth, indent + 1, cost)
+        if self.rng.random() < 0.5:
+            self.put(indent, "else:")
+            count = self.block(name, depth, indent + 1, cost)
+            self.points[name] += count * (branches % 2)
+
+    def try_(self, name, depth, indent, cost):
+        self.put(indent, "try:")
+        self.block(name, depth, indent + 1, cost)
+        self.put(indent, "except E:")
+        self.points[name] += cost
+        self.block(name, depth, indent + 1, cost)
+
+    def def_(self, name, depth, indent, cost):
+        self.function(f"inner{len(self.lines)}", depth, indent)
+
+
+def test_cognitive_scores_are_what_was_written(sources):
     rng = random.Random(11)
-    files = {f"f{i}.py": _random_function(rng, f"fn{i}") for i in range(80)}
+    files, want = {}, {}
+    for i in range(80):
+        writer = _Writer(rng)
+        writer.function(f"fn{i}", 4, 0)
+        files[f"f{i}.py"] = "\n".join(writer.lines) + "\n"
+        want |= {(f"f{i}.py", n): p for n, p in writer.points.items() if p}
     nodes = py_nodes(sources(files))
     got = {(r["path"], r["name"]): r["score"] for r in rules_python._function_facts(nodes).collect()}
-    want = {(p, n): s for p, t in files.items() for n, s in _direct_scores(t).items() if s > 0}
     assert {k: v for k, v in got.items() if v > 0} == want
 
 
