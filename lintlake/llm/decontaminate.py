@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.shared import arrow_schema, cut, ddl, ids_and_texts
+from lintlake.llm.shared import arrow_schema, as_rows, cut, ddl, from_rows, ids_and_texts
 
 #: Characters of benchmark text that go to every task at once; more go in further rounds.
 BLOCK_CHARS = 8 << 20
@@ -208,16 +208,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, see
     Each row is judged by its own text where it lies, so nothing is joined and rows that share
     an id, or have none, don't touch each other.
     """
-    left, columns = docs, docs.columns
+    left = docs
     for items in blocks_of(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        shaped = left.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("row"), F.col("text").cast("string").alias("text"))
+        shaped, names = as_rows(left)
+        place = names.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, place=place) -> Iterator[pa.RecordBatch]:
             tests = Tests(shared.value, seed)
             for batch in batches:
-                clean = [all(marked < least * n for _, marked, n in tests.hits(t)) for t in batch.column("text").to_pylist()]
-                yield batch.select(["row"]).filter(pa.array(clean, pa.bool_()))
+                clean = [all(marked < least * n for _, marked, n in tests.hits(t)) for t in batch.column("row").field(place).cast(pa.string()).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
-        left = shaped.mapInArrow(run, shaped.select("row").schema).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)))
+        left = shaped.mapInArrow(run, shaped.schema)
+        left = left.select(*from_rows(left, names))
     return left

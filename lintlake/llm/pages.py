@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.shared import BATCH_BYTES, cut
+from lintlake.llm.shared import BATCH_BYTES, cut, small_batches
 from lintlake.llm.urls import host_of
 
 #: Winning paths of up to this many hosts are sent to every task; more are joined by salted host.
@@ -241,6 +241,7 @@ def text_of(blocks: list[Block], path: str | None) -> str:
 def votes(pages: DataFrame) -> DataFrame:
     """``host, path, votes, score``: over all pages that have a host, how many find a path best,
     and the sum of its scores."""
+    small_batches(pages)
     own = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> '' AND html <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,8 +15,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lintlake.llm.shared import arrow_schema, cut, ddl, ids_and_texts, row_wise
+from lintlake.llm.shared import arrow_schema, as_rows, cut, ddl, from_rows, ids_and_texts, row_wise
 
 MEASURES = {
     "doc_id": "long",
@@ -237,20 +238,17 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, least: float
     """
     rules = default_rules() if rules is None else rules
     model = fit(vote(measures(docs).where(~base_failed()), rules), rules)
-    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    shaped = docs.select(F.struct(*(F.col(f"`{c}`").alias(own[c]) for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = ddl({k: t for k, t in MEASURES.items() if k != "doc_id"})
-    from pyspark.sql.types import StructType
-
-    out = StructType(shaped.select("row").schema.fields + StructType.fromDDL(schema).fields)
-    voted = vote(shaped.mapInArrow(_beside, out), rules)
+    shaped, names = as_rows(docs)
+    out = StructType(shaped.schema.fields + StructType.fromDDL(ddl({k: t for k, t in MEASURES.items() if k != "doc_id"})).fields)
+    place = names.index("text")
+    voted = vote(shaped.mapInArrow(lambda batches: _beside(batches, place), out), rules)
     kept = voted.where(~base_failed() & (1 / (1 + F.exp(-model.log_odds())) >= least))
-    return kept.select(*(F.col(f"row.{own[c]}").alias(c) for c in docs.columns))
+    return kept.select(*from_rows(kept, names))
 
 
-def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _beside(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema({k: t for k, t in MEASURES.items() if k != "doc_id"})
     for batch in batches:
-        rows = [_measure(None, t)[1:] for t in batch.column("text").to_pylist()]
+        rows = [_measure(None, t)[1:] for t in batch.column("row").field(place).cast(pa.string()).to_pylist()]
         columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, f.type) for c, f in zip(columns, schema, strict=True))], names=["row", *schema.names])

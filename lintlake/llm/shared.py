@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lintlake.sources.storage import cut, fresh_path, written  # noqa: F401
 
@@ -41,6 +42,31 @@ def ddl(columns: dict[str, str]) -> str:
     return ", ".join(f"{n} {t}" for n, t in columns.items())
 
 
+#: Rows of an Arrow batch: each holds a whole text, and some batches are under way per task.
+BATCH_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Holds the session to Arrow batches of at most :data:`BATCH_ROWS` rows."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
+        conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+
+
+def as_rows(df: DataFrame, leave_out: tuple = ()) -> tuple[DataFrame, list[str]]:
+    """``df`` as one column ``row`` of structs with fields ``c0, c1, ...``, and their names in
+    order; names of the columns cannot clash with anything then."""
+    small_batches(df)
+    names = [c for c in df.columns if c not in leave_out]
+    return df.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("row")), names
+
+
+def from_rows(df: DataFrame, names: list[str]) -> list:
+    return [F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def ids_and_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text``; other columns play no part."""
+    small_batches(docs)
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lintlake.llm.shared import fresh_path, ids_and_texts
+from lintlake.llm.shared import fresh_path
 
 LENGTH, GRAM = 200, 80
 #: Bytes that are hashed at once; longer texts go in overlapping stretches.
@@ -556,7 +556,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     groups = max(LEAST_GROUPS, min(size // GROUP_BYTES, 1 << 40))  # how finely work is dealt; results don't hang on it
-    own = ids_and_texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    own = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "coalesce(CAST(text AS STRING), '') AS text")
     keyed = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
     as_group = F.expr(f"CASE WHEN doc_key >= 0 THEN doc_key % {groups} ELSE (doc_key % {groups} + {(1 << 64) % groups} + {groups}) % {groups} END")
     schema = StructType.fromDDL(_PART)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.sources.storage import fresh_path
+from lintlake.llm.shared import fresh_path, small_batches
 
 END = "\r\n\r\n"
 #: Bytes between two ranges that are still read as one, and the most bytes of a joined range
@@ -71,6 +71,7 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Writes archives (``folder/warc``) and then their index (``folder/index``, parquet);
     gives the folder, a new one in the cluster's shared folder if none is named."""
+    small_batches(pages)
     folder = folder or fresh_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
