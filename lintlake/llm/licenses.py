@@ -80,7 +80,7 @@ SPELLINGS = (
     ("https:", "http:"),
 )
 #: A line that opens with a copyright sign or word, or reserves all rights.
-COPYRIGHT_LINE = r"(?m)^[\x20\t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?dm)^[\x20\t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[!-/:-@\[-`{-~©“”‘’«»–—\x20\t\r\f\x0b]+"
 
 

@@ -72,7 +72,46 @@ QUERIES = {
     "op10_pieces": op10_pieces,
 }
 
+def _canonical_sql(text: str) -> str:
+    """The canonical form of ``licenses`` in DuckDB's functions."""
+    low = f"lower({text})"
+    for old, new in licenses.SPELLINGS:
+        low = f"replace({low}, '{old}', '{new}')"
+    lines = licenses.COPYRIGHT_LINE.replace("(?dm)", "(?m)")
+    marks = licenses.PUNCTUATION.replace("'", "''")
+    plain = f"regexp_replace(regexp_replace({low}, '{lines}', '', 'g'), '{marks}', ' ', 'g')"
+    return f"regexp_replace({plain}, ' *\\n *', chr(10), 'g')"
+
+
+def _flat_sql(form: str) -> str:
+    return f"trim(regexp_replace({form}, '[ \\n]+', ' ', 'g'))"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN)
+_BASE32 = (
+    "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +"
+    " ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '')"
+)
+
 ORACLES = {
+    "op6_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS size, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM d
+""",
+    "op7_licenses": f"""
+WITH known AS (SELECT {_flat_sql(_canonical_sql("body"))} AS unit, min(license) AS license FROM (VALUES {_KNOWN}) AS k(license, body) GROUP BY 1),
+forms AS (SELECT doc_id, {_canonical_sql("text")} AS form FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, 'text' AS scope, {_flat_sql("form")} AS unit FROM forms
+  UNION ALL SELECT doc_id, 'paragraph', {_flat_sql("part")} FROM (SELECT doc_id, unnest(string_split_regex(form, '\n\n+')) AS part FROM forms)
+  UNION ALL SELECT doc_id, 'line', trim(part) FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS part FROM forms)
+)
+SELECT doc_id, license, scope, count(*) AS n_units FROM units JOIN known USING (unit) WHERE unit <> '' GROUP BY ALL
+""",
     "op5_url_filter": r"""
 WITH raw AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
