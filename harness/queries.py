@@ -248,6 +248,27 @@ add(
 )
 
 
+_DEEP = (
+    "concat('const a = [', chr(10), repeat(' ', p_size), '/`/,', chr(10), repeat(' ', p_size), 'eval(', p_partkey, '),',"
+    " chr(10), repeat(' ', p_size), '/[\"`]/g ];')"
+)
+
+
+@query(
+    "tokens_typescript",
+    # regular expressions with quotes and backticks, indented by up to 50 blanks
+    "SELECT p_brand AS repo, p_partkey AS k, kind, n, lines FROM part, (VALUES ('word', 3, 5), ('punct', 8, 21), ('newline', 3, 6),"
+    " ('regex', 2, 6), ('number', 1, 3)) AS t(kind, n, lines)",
+)
+def _(spark, sf_dir):
+    src = A.table(spark, sf_dir, "part").selectExpr("p_brand AS repo", "CAST(p_partkey AS STRING) AS path", f"{_DEEP} AS content")
+    return (
+        R.tokens(src, "typescript")
+        .groupBy("repo", F.col("path").cast("long").alias("k"), "kind")
+        .agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+    )
+
+
 def _planted_rows(spark, sf_dir, rule_id):
     plant = BY_RULE[rule_id]
     src = planted(A.table(spark, sf_dir, "part"), plant)

@@ -19,13 +19,22 @@ KEY = ("repo", "path")
 
 # The shapes of tokens. Alternatives are tried in this order.
 # Repeats are possessive, so long strings and comments do not use the stack.
+JS_REGEX = r"/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+# A slash begins a regular expression after one of these, however far off; so the two are found
+# as one match, with what lies between, and taken apart afterwards.
+JS_BEFORE_REGEX = (
+    r"(?:===|!==|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\+=|-=|\*=|%=|&=|\|=|\^=|[(,=:\[!&|?{};+]"
+    r"|(?<![\p{L}\p{N}_$.#])(?:return|typeof|case|throw|delete|void|in|of|yield|await|else|do)(?![\p{L}\p{N}_$]))"
+)
+JS_GAP = r"(?:\s++|//[^\n]*+|/\*(?s:.*?)\*/)*+"
 JS_TOKENS = (
     r"//[^\n]*+"
     r"|/\*(?s:.*?)\*/"
     r"|`(?:[^`\\]|\\(?s:.))*+`"
     r"|\"(?:[^\"\\\n]|\\(?s:.))*+\""
     r"|'(?:[^'\\\n]|\\(?s:.))*+'"
-    r"|(?:(?<=[(,=:\[!&|?{};]\s{0,8})|(?<=[^+]\+\s{0,8})|(?<=\b(?:return|typeof|case)\s{1,8}))/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+    rf"|{JS_BEFORE_REGEX}{JS_GAP}{JS_REGEX}"
+    rf"|(?<![\s\S])\s*+{JS_REGEX}"
     r"|0[xXbBoO][0-9a-fA-F_]++n?"
     r"|(?:[0-9][0-9_]*+(?:\.[0-9_]*+)?|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9]++)?n?"
     r"|[\p{L}_$#][\p{L}\p{N}_$]*+"
@@ -75,7 +84,7 @@ def _kind(tok: Column) -> Column:
     return (
         F.when(tok == "\n", "newline")
         .when(tok.startswith("//") | tok.startswith("/*"), "comment")
-        .when(first == "`", "template")
+        .when((first == "`") | ((first == "}") & (F.length(tok) > 1)), "template")
         .when(first.isin('"', "'") & (F.length(tok) > 1), "string")
         .when((first == "/") & (F.length(tok) > 2), "regex")
         .when(tok.rlike(r"^\.?[0-9]"), "number")
@@ -84,14 +93,58 @@ def _kind(tok: Column) -> Column:
     )
 
 
+def _all(text: Column, shape: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(shape), F.lit(group))
+
+
+def _regexes_apart(toks: Column) -> Column:
+    """Matches of a regular expression with what stands before it, as single tokens."""
+    parts = f"^({JS_BEFORE_REGEX})({JS_GAP})({JS_REGEX})$"
+    space = rf"^(\s++)({JS_REGEX})$"
+
+    def split(tok: Column) -> Column:
+        part = lambda i: F.regexp_extract(tok, parts, i)
+        gap = _all(part(2), r"//[^\n]*+|/\*(?s:.*?)\*/|\n")
+        first = F.substring(tok, 1, 1)
+        plain = ~tok.contains("/") | first.isin("/", "`", '"', "'")
+        return (
+            F.when(plain, F.array(tok))
+            .when(tok.rlike(parts), F.concat(F.array(part(1)), gap, F.array(part(3))))
+            .when(tok.rlike(space), F.concat(_all(F.regexp_extract(tok, space, 1), r"\n"), F.array(F.regexp_extract(tok, space, 2))))
+            .otherwise(F.array(tok))
+        )
+
+    return F.flatten(F.transform(toks, split))
+
+
+# What stands in ``${}``, with braces up to one level deep.
+_IN_TEMPLATE = r"\$\{((?:[^{}`]|\{[^{}`]*+\})*+)\}"
+
+
+def _templates_apart(toks: Column) -> Column:
+    """Template literals as what they are: texts joined by ``+`` with bracketed code."""
+
+    def split(tok: Column) -> Column:
+        texts, inner = F.split(tok, _IN_TEMPLATE, -1), _all(tok, _IN_TEMPLATE, 1)
+        after = lambda i: F.concat(F.lit("}"), F.get(texts, i + 1), F.when(i + 1 < F.size(inner), "${").otherwise(""))
+        code = F.transform(
+            inner,
+            lambda x, i: F.concat(
+                F.array(F.lit("+"), F.lit("(")), _regexes_apart(_all(x, JS_TOKENS)), F.array(F.lit(")"), F.lit("+")), F.array(after(i))
+            ),
+        )
+        whole = F.concat(F.array(F.concat(F.get(texts, F.lit(0)), F.lit("${"))), F.flatten(code))
+        return F.when(tok.startswith("`") & tok.rlike(_IN_TEMPLATE), whole).otherwise(F.array(tok))
+
+    return F.flatten(F.transform(toks, split))
+
+
 def tokens(src: DataFrame, language: str) -> DataFrame:
     """``(repo, path, pos, tok, kind, line)`` with comments and newlines kept."""
-    found = by_file(src.select(*KEY, "content")).select(
-        *KEY,
-        F.posexplode(
-            F.regexp_extract_all("content", F.lit(TOKEN_SHAPES[language]), F.lit(0))
-        ).alias("pos", "tok"),
-    )
+    toks = _all(F.col("content"), TOKEN_SHAPES[language])
+    if language != "go":
+        toks = _templates_apart(_regexes_apart(toks))
+    found = by_file(src.select(*KEY, "content")).select(*KEY, F.posexplode(toks).alias("pos", "tok"))
     before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,49 +53,63 @@ SKIP_DIRS = {
 ENTERS_HIDDEN = ("python",)
 
 
-def _place(root: str) -> tuple[Column, Column, Column]:
-    """Repository, path and extension of the column ``uri`` below ``root``."""
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    inner = F.regexp_replace(F.try_url_decode(F.col("uri")), "^.*?" + "\\Q" + base + "\\E" + "/+", "")
-    repo = F.regexp_extract(inner, "^([^/]+)/", 1).alias("repo")
-    return repo, F.regexp_replace(inner, "^[^/]+/", "").alias("path"), extension(inner).alias("ext")
+def _folder(root: str):
+    """File system and path of ``root`` for the tasks that walk and read it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
 
 
-def _glob(extensions) -> str:
+def list_source_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
+    """``(repo, path, ext, size)`` of every file below ``root``; its first folders are the repos.
+
+    The driver lists the repositories, tasks walk them; no text is read. Empty files, and names
+    that begin with a dot or an underscore, are there too, unlike with Spark's readers.
+    """
     wanted = sorted(extensions or {*EXTENSIONS, *EDITOR_EXTENSIONS, ".cjs"})
-    return "*.{" + ",".join(e.lstrip(".") for e in wanted) + "}"
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listing = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(top)
+    repos = sorted(s.getPath().getName() for s in listing if s.isDirectory())
+    table = spark.createDataFrame([(r,) for r in repos], "repo string").repartition(max(1, len(repos)), "repo")
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-def list_source_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
-    """``(repo, path, ext, size)`` of every file below ``root``, empty ones too; reads no text."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _glob(extensions))
-        .load(root)
-        .select(F.regexp_replace("path", "%", "%25").alias("uri"), F.col("length").alias("size"))
-    )
-    return found.select(*_place(root), "size")
+        system, base = _folder(root)
+        for batch in batches:
+            for repo in batch.column("repo").to_pylist():
+                start = f"{base.rstrip('/')}/{repo}/"
+                found = system.get_file_info(fs.FileSelector(start, recursive=True))
+                rows = [(repo, f.path[len(start) :], f.size) for f in found if f.type == fs.FileType.File]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["repo", "path", "size"])
+
+    files = table.mapInArrow(walk, "repo string, path string, size long")
+    return files.select("repo", "path", extension(F.col("path")).alias("ext"), "size").filter(F.col("ext").isin(*wanted))
 
 
 def read_source_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
     """``(repo, path, ext, content)`` below ``root``; its first directories are the repos.
 
     Files are read in parallel, one row each; broken UTF-8 becomes the replacement character.
-    Empty files come from the listing, as Spark's readers give no row for them. Files that
-    cannot be read are left out; ``unread_files`` tells which.
+    Files that cannot be read are left out; ``unread_files`` tells which.
     """
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _glob(extensions))
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-        .text(root, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("uri"))
-    )
-    texts = rows.select(*_place(root), F.make_valid_utf8("value").alias("content"))
-    empty = list_source_files(spark, root, extensions).filter("size = 0")
-    return texts.unionByName(empty.select("repo", "path", "ext", F.lit("").alias("content")))
+    listed = list_source_files(spark, root, extensions).select("repo", "path", "ext")
+    spread = listed.repartition(4 * spark.sparkContext.defaultParallelism, "repo", "path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _folder(root)
+        for batch in batches:
+            for repo, path, ext in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    with system.open_input_file(f"{base.rstrip('/')}/{repo}/{path}") as file:
+                        content = file.read().decode("utf-8", "replace")
+                except OSError:
+                    continue
+                row = {"repo": [repo], "path": [path], "ext": [ext], "content": [content]}
+                yield pa.RecordBatch.from_pydict(row)
+
+    return spread.mapInArrow(read, "repo string, path string, ext string, content string")
 
 
 def unread_files(listed: DataFrame, read: DataFrame) -> DataFrame:

@@ -73,45 +73,51 @@ class _Writer:
     def put(self, indent, text):
         self.lines.append("    " * indent + text)
 
-    def block(self, name, depth, indent, cost):
-        """Statements below a header; ``cost`` is what a branch or loop costs there. Gives their number."""
+    def block(self, name, depth, indent, cost, counted=False):
+        """Statements below a header; ``cost`` is what a branch or loop costs there, ``counted``
+        that they have been counted one by one. Gives their number."""
         count = self.rng.randrange(1, 4)
         for _ in range(count):
-            kind = "plain" if depth == 0 else self.rng.choice(["plain", "loop", "if", "if", "try", "def"])
-            getattr(self, kind + "_")(name, depth - 1, indent, cost)
+            kind = "plain" if depth == 0 else self.rng.choice(["plain", "loop", "if", "if", "try_block", "inner"])
+            if kind == "if":
+                self.chain(name, depth - 1, indent, cost, counted)
+            else:
+                getattr(self, kind)(name, depth - 1, indent, cost)
         return count
 
-    def plain_(self, name, depth, indent, cost):
+    def plain(self, name, depth, indent, cost):
         text, worth = self.rng.choice([("go(a)", 0), (f"{name}(b)", 1), ("x = a and b or c", 2), ("return", 0)])
         self.put(indent, text)
         self.points[name] += worth
 
-    def loop_(self, name, depth, indent, cost):
+    def loop(self, name, depth, indent, cost):
         self.put(indent, self.rng.choice(["for i in a:", "while a:"]))
         self.points[name] += cost
         self.block(name, depth, indent + 1, cost + 1)
 
-    def if_(self, name, depth, indent, cost):
-        # every other branch of a chain opens it anew at full cost, those between cost one;
-        # an else below a full one costs one for each of its statements
+    def chain(self, name, depth, indent, cost, counted):
+        # every other branch of a chain opens it anew at full cost, those between cost one (or
+        # nothing, if they were counted as statements); an else below a full one costs one for
+        # each of its statements
         branches = 1 + self.rng.randrange(3)
         for i in range(branches):
+            full = i % 2 == (1 if counted else 0)
             self.put(indent, "elif c:" if i else "if a and b:")
-            self.points[name] += 1 if i % 2 else cost
+            self.points[name] += cost if full else min(i, 1)
             self.block(name, depth, indent + 1, cost)
         if self.rng.random() < 0.5:
             self.put(indent, "else:")
-            count = self.block(name, depth, indent + 1, cost)
-            self.points[name] += count * (branches % 2)
+            count = self.block(name, depth, indent + 1, cost, full)
+            self.points[name] += count * full
 
-    def try_(self, name, depth, indent, cost):
+    def try_block(self, name, depth, indent, cost):
         self.put(indent, "try:")
         self.block(name, depth, indent + 1, cost)
         self.put(indent, "except E:")
         self.points[name] += cost
         self.block(name, depth, indent + 1, cost)
 
-    def def_(self, name, depth, indent, cost):
+    def inner(self, name, depth, indent, cost):
         self.function(f"inner{len(self.lines)}", depth, indent)
 
 
