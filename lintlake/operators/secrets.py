@@ -39,17 +39,27 @@ def _may_match(text: Column, hints: tuple) -> Column:
     return found
 
 
+def _once(value: Column, test) -> Column:
+    """``test`` of a value that is worked out once, however often the test names it."""
+    return F.exists(F.array(value), test)
+
+
 def scan_secrets(src: DataFrame) -> DataFrame:
     """Leak records of whole files, one per match.
 
     Plain words are looked for first; only files and then lines that hold one are matched
     against a pattern, and only matching files are cut into lines.
     """
-    small = F.lower("content")
-    any_rule = F.lit(False)
-    for _, _, pattern, hints in SECRET_RULES:
-        any_rule = any_rule | (_may_match(small, hints) & F.col("content").rlike(pattern))
-    lines = src.filter(any_rule).select(
+    def any_rule(small: Column) -> Column:
+        hit = F.lit(False)
+        for _, _, pattern, hints in SECRET_RULES:
+            hit = hit | (_may_match(small, hints) & F.col("content").rlike(pattern))
+        return hit
+
+    def any_hint(small: Column) -> Column:
+        return _may_match(small, sum((r[3] for r in SECRET_RULES), ()))
+
+    lines = src.filter(_once(F.lower("content"), any_rule)).select(
         "repo", "path", F.posexplode(F.split("content", "\n")).alias("at", "line")
     )
 
@@ -60,7 +70,7 @@ def scan_secrets(src: DataFrame) -> DataFrame:
         )
 
     matches = F.concat(*[found(*rule) for rule in SECRET_RULES])
-    lines = lines.filter(_may_match(F.lower("line"), sum((r[3] for r in SECRET_RULES), ())))
+    lines = lines.filter(_once(F.lower("line"), any_hint))
     return lines.select("repo", "path", "at", F.posexplode(matches).alias("ordinal", "m")).select(
         "repo",
         "m.RuleID",

@@ -134,13 +134,14 @@ def scan(
     categories: list[str] | None = None,
     limits=None,
     editor: bool = False,
-    keep: str | bool = "persist",
+    keep: str | bool = False,
     relations: Relations | None = None,
 ) -> DataFrame:
     """Findings of source files ``(repo, path, content)`` by rules and the secret scan.
 
-    ``limits`` is None, a dict, or a table per repository. ``keep`` says how the relations
-    are held for the many rules that read them; pass ``relations`` to release them.
+    ``limits`` is None, a dict, or a table per repository. Nothing is left behind in memory:
+    to hold the parsed relations for the many rules that read them, pass ``relations`` and
+    release them after the findings are written; ``keep="checkpoint"`` holds them on disk.
     """
     relations = relations or Relations(src, editor, keep)
     parts = [scan_language(relations, lang, limits, categories) for lang in languages]
