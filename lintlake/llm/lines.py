@@ -4,10 +4,11 @@ A line goes down a tree of fixed depth: its number of tokens, then its leading t
 tokens that hold a digit read as variable. At the leaf it has the template of all its tokens
 and, if it is long enough, templates in which one stretch of tokens is variable: the tail, the
 head behind the leading tokens, or the middle. A template that turns up in many different
-surroundings is boilerplate, and lines of it are dropped from every document.
+documents is boilerplate, and lines of it are dropped from every document.
 
-Surroundings are the heads of the lines before and after. Copies of a document repeat its lines
-in the same surroundings, so copies alone make no template recur.
+Copies of a document, exact ones and near ones, count as one document, so copies alone make no
+template recur. Near copies are found by least hashes of their three-token shingles: texts that
+share a band of hashes and agree in most of all hashes are folded.
 """
 
 from __future__ import annotations
@@ -15,11 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.llm.components import components
 from lintlake.llm.shared import cut, ids_and_texts, written
 
 WILD = "<*>"
 #: Recurring templates up to this many (8 bytes each) are sent to every task.
 BROADCAST_ROWS = 1_000_000
+#: Bands of least hashes that a copy shares one of, hashes of a band, and of all hashes those
+#: in which copies agree (about the share of shingles that they have in common).
+BANDS, BAND, AGREE = 6, 3, 11
+#: Odd numbers of 64 bits; the shingle nearest to each, bit by bit, is one of the least hashes.
+DRAWS = [(0x9E3779B97F4A7C15 * (2 * i + 1) + 0x1F83D9ABFB41BD6B * i * i) % (1 << 64) - (1 << 63) for i in range(BANDS * BAND)]
+#: Band keys of more than one text up to this many (about 100 bytes each) are sent to every task.
+BROADCAST_KEYS = 100_000
 
 
 def tokens_of(line: Column) -> Column:
@@ -37,8 +46,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def templates(docs: DataFrame, depth: int = 2, least_tokens: int = 4, least_constant: int = 5) -> DataFrame:
-    """``doc_id, text_hash, line_no, ways, around``: the hashed templates of each line that has
-    at least ``least_tokens`` tokens, and its surroundings.
+    """``doc_id, text_hash, line_no, ways``: the hashed templates of each line that has at
+    least ``least_tokens`` tokens.
 
     ``ways`` holds the full template and, where at least ``least_constant`` tokens stay
     constant, those with a variable tail, head or middle; every template names the number of
@@ -47,16 +56,7 @@ def templates(docs: DataFrame, depth: int = 2, least_tokens: int = 4, least_cons
     own = ids_and_texts(docs)
     split = F.transform(F.split("text", "\n", -1), tokens_of)
     shaped = own.select("doc_id", F.xxhash64("text").alias("text_hash"), split.alias("lines"))
-    heads = F.transform("lines", lambda t: F.xxhash64(F.slice(t, 1, depth)))
-    around = F.transform(
-        "lines",
-        lambda t, i: F.xxhash64(
-            F.when(i > 0, F.get("heads", i - 1)), F.get("heads", i + 1)
-        ),
-    )
-    rows = shaped.withColumn("heads", heads).withColumn("around", around)
-    rows = rows.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("lines", "around")).alias("line_no", "z"))
-    rows = rows.select("doc_id", "text_hash", "line_no", F.col("z.lines").alias("t"), F.col("z.around").alias("around"))
+    rows = shaped.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "t"))
     rows = rows.withColumn("n", F.size("t")).where((F.col("n") >= least_tokens))
     n, head = F.col("n"), F.slice("t", 1, depth)
     half, third = F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")
@@ -65,23 +65,40 @@ def templates(docs: DataFrame, depth: int = 2, least_tokens: int = 4, least_cons
     front = F.xxhash64(n, F.lit(2), head, F.slice("t", half + 1, n - half))
     middle = F.xxhash64(n, F.lit(3), F.slice("t", F.lit(1), third), F.slice("t", n - third + 1, third))
     ways = F.when(2 * third >= least_constant, F.array(full, tail, front, middle)).when(half >= least_constant, F.array(full, tail, front)).otherwise(F.array(full))
-    return rows.select("doc_id", "text_hash", "line_no", ways.alias("ways"), "around")
-
-
-def recurring(lined: DataFrame, least_places: int = 10, copied: float = 0.2) -> DataFrame:
-    """``way``: templates with at least ``least_places`` different surroundings, beyond
-    ``copied`` times the occurrences in the commonest one, in more than one document.
-
-    The second bound keeps the lines of a document with thousands of slightly different
-    copies: few of those copies change the surroundings of any one line.
-    """
-    occurrences = lined.select(F.explode("ways").alias("way"), "around", "doc_id", "text_hash")
-    places = occurrences.groupBy("way", "around").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max(F.struct("doc_id", "text_hash")).alias("last")
-    )
-    # a template has few surroundings of its own per task after this; sums are made there first
-    found = places.groupBy("way").agg(F.count("*").alias("places"), F.max("n").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return found.where((F.col("places") >= least_places + copied * F.col("most")) & (F.col("first") != F.col("last"))).select("way")
+    return rows.select("doc_id", "text_hash", "line_no", ways.alias("ways"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """``text_hash, root``: each text that is a near copy of others, and the one that stands
+    for all of them; a text that stands for itself has no row."""
+    own = ids_and_texts(docs).where("text IS NOT NULL")
+    tokens = own.select(F.xxhash64("text").alias("text_hash"), tokens_of(F.col("text")).alias("t"))
+    two = F.zip_with("t", F.slice("t", F.lit(2), F.size("t")), lambda x, y: F.xxhash64(x, y))
+    shingles = F.zip_with(two, F.slice("t", F.lit(3), F.size("t")), lambda h, y: F.xxhash64(h, y))
+    # no filter is inferred from an outer one, which would make all tokens twice
+    least = tokens.select("text_hash", F.explode_outer(shingles).alias("h")).groupBy("text_hash")
+    least = least.agg(*(F.min(F.col("h").bitwiseXOR(F.lit(d).cast("long"))).alias(f"m{i}") for i, d in enumerate(DRAWS)))
+    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{i}" for i in range(b * BAND, (b + 1) * BAND))) for b in range(BANDS)))
+    short = F.array(*(F.pmod(f"m{i}", F.lit(1 << 15)).cast("short") for i in range(len(DRAWS))))
+    sketched = written(least.select("text_hash", keys.alias("keys"), short.alias("sketch")), "sketches")
+    banded = sketched.select("text_hash", "sketch", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min(F.struct("text_hash", "sketch")).alias("one"), F.max("text_hash").alias("last"))
+    shared = cut(shared.where("one.text_hash <> last").select("key", "one"))
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
+    alike = F.size(F.filter(F.zip_with("sketch", "one.sketch", lambda x, y: x == y), lambda same: same)) >= AGREE
+    met = banded.join(shared, "key").where(F.col("text_hash") != F.col("one.text_hash")).where(alike)
+    root = components(met.select(F.col("text_hash").alias("a"), F.col("one.text_hash").alias("b")))
+    return root.where("node <> root").select(F.col("node").alias("text_hash"), "root")
+
+
+def recurring(lined: DataFrame, folded: DataFrame, least_places: int = 10) -> DataFrame:
+    """``way``: templates in at least ``least_places`` different documents, copies folded
+    into one."""
+    folded = F.broadcast(folded) if folded.count() <= BROADCAST_ROWS else folded
+    placed = lined.join(folded, "text_hash", "left").select(F.explode("ways").alias("way"), F.coalesce("root", "text_hash").alias("place"))
+    # a template has few places of its own per task after this; sums are made there first
+    found = placed.distinct().groupBy("way").agg(F.count("*").alias("places"))
+    return found.where(F.col("places") >= F.greatest(F.lit(least_places), F.lit(2))).select("way")
 
 
 def dedup_lines(docs: DataFrame, least_places: int = 10, **shape) -> DataFrame:
@@ -93,7 +110,7 @@ def dedup_lines(docs: DataFrame, least_places: int = 10, **shape) -> DataFrame:
     their own text.
     """
     lined = written(templates(docs, **shape), "templates")
-    found = cut(recurring(lined, least_places))
+    found = cut(recurring(lined, copies(docs), least_places))
     found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     hits = lined.select("doc_id", "text_hash", "line_no", F.explode("ways").alias("way")).join(found, "way", "left_semi")
     dropped = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
