@@ -58,7 +58,8 @@ WORDS = (
     word_rule("block", r"(?:^|[.-])casino[.-]", "casino"),
     word_rule("block", r"(?:^|[.-])free-bets[.-]", "free", "bets"),
     word_rule("block", r"(?:^|[.-])ads-track[.-]", "ads", "track"),
-    word_rule("block", r"(?:^|[.-])(?:porn|xxx-\w+)[.-]", "porn"),
+    word_rule("block", r"(?:^|[.-])porn[.-]", "porn"),
+    word_rule("block", r"(?:^|[.-])xxx-\w+[.-]", "xxx"),
     word_rule("block", r"^(?:[^/]*\.)?doubleclick\.", "doubleclick"),
     word_rule("block", r"/wp-login\.php$", "wp", "login", "php"),
 )

@@ -44,3 +44,13 @@ def test_many_rules_are_joined(spark, monkeypatch):
     pages = spark.createDataFrame(list(enumerate(CASES)), "page_id long, url string")
     got = sorted((tuple(r) for r in urls.filter_urls(pages).collect()), key=str)
     assert got == sorted(((i, *direct(u)) for i, u in enumerate(CASES)), key=str)
+
+
+def test_every_branch_of_a_rule_is_fetched(spark):
+    xxx = ["http://xxx-clips.net/a", "http://www.xxx-a1.org/", "http://my-xxx-clips-x.com", "http://a.org/b.xxx-c.html", "http://XXX-clips.net/", "http://a.porn.org/"]
+    free = ["http://xxx.net/a", "http://axxx-clips.net/", "http://xxx-clips/", "http://a.xxx/-clips.", "http://a.net/XXX-b.c"]
+    pages = spark.createDataFrame(list(enumerate([*xxx, *free])), "page_id long, url string")
+    got = sorted((tuple(r) for r in urls.filter_urls(pages).collect()), key=str)
+    assert got == sorted(((i, *direct(u)) for i, u in enumerate([*xxx, *free])), key=str)
+    both = re.compile(r"(^|[.-])casino[.-]|(^|[.-])free-bets[.-]|(^|[.-])ads-track[.-]|(^|[.-])(porn|xxx-\w+)[.-]")
+    assert all((r[4] == "block") == bool(both.search(r[1] + r[2])) for r in got)
