@@ -7,8 +7,9 @@ head behind the leading tokens, or the middle. A template that turns up in many
 documents is boilerplate, and lines of it are dropped from every document.
 
 Copies of a document, exact ones and near ones, count as one document, so copies alone make no
-template recur. Near copies are found by least hashes of their three-token shingles: texts that
-share a band of hashes and agree in most of all hashes are folded.
+template recur. A full template of many tokens needs only two documents. Near copies are found
+by least hashes of their three-token shingles: texts that share a band of hashes and agree in
+most of all hashes are folded.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from lintlake.llm.shared import cut, ids_and_texts, written
 WILD = "<*>"
 #: Recurring templates up to this many (8 bytes each) are sent to every task.
 BROADCAST_ROWS = 1_000_000
+#: Full templates of this many tokens recur in two documents; their hashes are odd, others even.
+LONG_TOKENS = 50
 #: Bands of least hashes that a copy shares one of, hashes of a band, and of all hashes those
 #: in which copies agree (about the share of shingles that they have in common).
 BANDS, BAND, AGREE = 6, 3, 11
@@ -60,10 +63,11 @@ def templates(docs: DataFrame, depth: int = 2, least_tokens: int = 4, least_cons
     rows = rows.withColumn("n", F.size("t")).where((F.col("n") >= least_tokens))
     n, head = F.col("n"), F.slice("t", 1, depth)
     half, third = F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")
-    full = F.xxhash64(n, F.lit(0), "t")
-    tail = F.xxhash64(n, F.lit(1), F.slice("t", F.lit(1), n - half))
-    front = F.xxhash64(n, F.lit(2), head, F.slice("t", half + 1, n - half))
-    middle = F.xxhash64(n, F.lit(3), F.slice("t", F.lit(1), third), F.slice("t", n - third + 1, third))
+    even = lambda h: h.bitwiseAND(F.lit(-2))
+    full = even(F.xxhash64(n, F.lit(0), "t")).bitwiseOR(F.when(n >= LONG_TOKENS, 1).otherwise(0))
+    tail = even(F.xxhash64(n, F.lit(1), F.slice("t", F.lit(1), n - half)))
+    front = even(F.xxhash64(n, F.lit(2), head, F.slice("t", half + 1, n - half)))
+    middle = even(F.xxhash64(n, F.lit(3), F.slice("t", F.lit(1), third), F.slice("t", n - third + 1, third)))
     ways = F.when(2 * third >= least_constant, F.array(full, tail, front, middle)).when(half >= least_constant, F.array(full, tail, front)).otherwise(F.array(full))
     return rows.select("doc_id", "text_hash", "line_no", ways.alias("ways"))
 
@@ -93,12 +97,13 @@ def copies(docs: DataFrame) -> DataFrame:
 
 def recurring(lined: DataFrame, folded: DataFrame, least_places: int = 10) -> DataFrame:
     """``way``: templates in at least ``least_places`` different documents, copies folded
-    into one."""
+    into one; two are enough for full templates of :data:`LONG_TOKENS`."""
     folded = F.broadcast(folded) if folded.count() <= BROADCAST_ROWS else folded
     placed = lined.join(folded, "text_hash", "left").select(F.explode("ways").alias("way"), F.coalesce("root", "text_hash").alias("place"))
     # a template has few places of its own per task after this; sums are made there first
     found = placed.distinct().groupBy("way").agg(F.count("*").alias("places"))
-    return found.where(F.col("places") >= F.greatest(F.lit(least_places), F.lit(2))).select("way")
+    least = F.when(F.col("way").bitwiseAND(F.lit(1)) == 1, 2).otherwise(max(least_places, 2))
+    return found.where(F.col("places") >= least).select("way")
 
 
 def dedup_lines(docs: DataFrame, least_places: int = 10, **shape) -> DataFrame:

@@ -46,3 +46,24 @@ def test_copies_are_one_document(spark):
         rows.append((2000 + i, "\n".join([*body, "the same end of all of these"])))
     got = texts_of(lines.dedup_lines(documents(spark, rows)))
     assert got == dict(rows)
+
+
+def test_long_lines_recur_in_two_documents(spark):
+    rnd = random.Random(7)
+    long, short = words(rnd, 60), words(rnd, 20)
+    rows = [(i, "\n".join([words(rnd, 200), long, short, words(rnd, 150)])) for i in range(2)]
+    rows += [(10 + i, "\n".join([words(rnd, 30), words(rnd, 70)])) for i in range(2)] + [(20, rows[0][1])]
+    rows += [(30 + i, "\n".join(["\n".join(["own " + long] * 3), words(rnd, 5)])) for i in range(1)]
+    got = texts_of(lines.dedup_lines(documents(spark, rows)))
+    for i, t in rows:
+        assert got[i] == "\n".join(x for x in t.split("\n") if x != long)
+
+
+def test_one_large_group_of_copies_raises_no_bar(spark):
+    rnd = random.Random(8)
+    hot = "This line is in many copies and elsewhere"
+    copied = "\n".join([words(rnd, 40), hot, words(rnd, 40)])
+    rows = [(i, f"{copied} {i}") for i in range(400)] + [(1000 + i, "\n".join([words(rnd, 40), hot, words(rnd, 30)])) for i in range(12)]
+    got = texts_of(lines.dedup_lines(documents(spark, rows)))
+    assert not any(hot in t for t in got.values())
+    assert all(len(t.split("\n")) == 2 for t in got.values())
