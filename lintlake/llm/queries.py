@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontaminate, licenses, lines, pages, pieces, quality, simhash, suffixes, urls, warc
+from lintlake.llm import decontaminate, licenses, lines, pages, pieces, quality, runs, simhash, spelling, suffixes, urls, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,44 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_pieces.alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "lossless")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in one document of ten the words from a place on repeat with a period,
+    both drawn from the id."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    own = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    own = own.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), F.when(F.col("h") % 10 == 0, words).alias("w"))
+    own = own.withColumn("n", F.when(F.size("w") > 0, F.size("w"))).withColumn("a", F.col("g") % F.col("n"))
+    own = own.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", place(i))), " ")
+    return own.select("doc_id", F.coalesce(repeated, "text").alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_with_periods(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    spelt = F.array_join(F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * -F.col("best.less") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(spelt, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_main_text": op2_main_text,
@@ -70,6 +108,9 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_simhash": op9_simhash,
     "op10_pieces": op10_pieces,
+    "op11_spelling": op11_spelling,
+    "op12_top_k": op12_top_k,
+    "op13_runs": op13_runs,
 }
 
 def _canonical_sql(text: str) -> str:
@@ -93,7 +134,100 @@ _BASE32 = (
     " ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '')"
 )
 
+_CRC_TABLE = [0] * 256
+for _i in range(256):
+    _CRC_TABLE[_i] = _i
+    for _ in range(8):
+        _CRC_TABLE[_i] = (_CRC_TABLE[_i] >> 1) ^ (0xEDB88320 * (_CRC_TABLE[_i] & 1))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes in DuckDB's functions."""
+    digits = f"hex(encode({text}))"
+    byte = f"CAST('0x' || substr({digits}, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)"
+    step = f"xor(c >> 8, {_CRC_TABLE}[CAST(1 + (xor(c, b) & 255) AS INTEGER)])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen({text})), lambda i: {byte})), lambda c, b: {step}), 4294967295)"
+
+
+_A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 ORACLES = {
+    "op11_spelling": rf"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_A_Z}', '{_A_Z.lower()}'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT *, coalesce({_crc32_sql("CAST(doc_id AS VARCHAR) || ':' || run")}, 1) AS h FROM counted
+), spoilt AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) + 2 AS INTEGER)) ELSE run END AS word
+  FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), cut AS (
+  SELECT word, n, i, left(word, CAST(i - 1 AS INTEGER)) || substr(word, CAST(i + 1 AS INTEGER)) AS rest FROM places
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.rest
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word
+), judged AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), way(word, top) AS (
+  SELECT word, word FROM judged
+  UNION SELECT way.word, j.form FROM way JOIN judged j ON j.word = way.top WHERE j.form IS NOT NULL
+)
+SELECT j.word, j.form, w.top AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN way w ON w.word = j.word JOIN judged e ON e.word = w.top WHERE e.form IS NULL
+""",
+    "op12_top_k": """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_inner_product(q.x, c.x) AS BIGINT)) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x) GROUP BY ALL
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+""",
+    "op13_runs": rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS row_no, doc_id, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), drawn AS (
+  SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split
+), words AS (
+  SELECT row_no, i, w[CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM drawn)
+), equal AS (
+  SELECT x.row_no, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.row_no = y.row_no AND x.word = y.word AND y.i > x.i
+  JOIN drawn d ON d.row_no = x.row_no WHERE 4 * (y.i - x.i) <= d.n
+), islands AS (
+  SELECT row_no, q, min(i) AS s, count(*) + q AS len
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row_no, q ORDER BY i) AS island FROM equal) GROUP BY row_no, q, island
+), long AS (
+  SELECT * FROM islands WHERE len >= greatest(6, 4 * q)
+), runs AS (
+  SELECT * FROM long r WHERE NOT EXISTS (
+    SELECT 1 FROM long p WHERE p.row_no = r.row_no AND p.q < r.q AND r.q % p.q = 0 AND p.s <= r.s AND p.s + p.len >= r.s + r.len)
+), listed AS (
+  SELECT row_no, count(*) AS n_runs, string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS spelt,
+         first(struct_pack(s := s, len := len, q := q) ORDER BY len DESC, s, q) AS best
+  FROM runs GROUP BY row_no
+), kept AS (
+  SELECT w.row_no, string_agg(w.word, ' ' ORDER BY w.i) AS rest FROM words w
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.row_no = w.row_no AND w.i >= r.s + r.q AND w.i < r.s + r.len) GROUP BY w.row_no
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.len AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+       CAST(1000 * best.len // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(spelt, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM drawn d LEFT JOIN listed USING (row_no) LEFT JOIN kept USING (row_no)
+""",
     "op6_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS size, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS last FROM p)
