@@ -1089,13 +1089,17 @@ def _saves(spark, sf_dir):
     return A.run(spark, sf_dir, A.SAVES_SQL, "events")
 
 
-def _saves_stream(spark, sf_dir):
-    events = (
-        spark.readStream.schema(A.table(spark, sf_dir, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    return events.selectExpr(
+def _saves_stream(spark, sf_dir, batches=4):
+    """The saves as a stream of several batches, each a stretch of time in no order."""
+    events = A.table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    stretch = F.floor((at - F.lit(first)) * batches / F.lit(last - first + 1))
+    path = fresh_path(spark, "saves")
+    for i in range(batches):
+        events.filter(stretch == i).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.selectExpr(
         "concat('repo', user_id % 5) AS repo", "concat('src/u', user_id, '.py') AS uri", "ts", "concat('x = ', event_id) AS content"
     )
 
@@ -1109,14 +1113,13 @@ add(
 
 @query("debounce_saves_stream", _SAVES + _BURSTS + "SELECT * FROM d")
 def _(spark, sf_dir):
-    path = fresh_path(spark, "bursts")
+    path, state = fresh_path(spark, "bursts"), fresh_path(spark, "bursts-state")
     bursts = ST.debounce_saves(_saves_stream(spark, sf_dir), "90 minutes")
     ST.start_available(
-        bursts.writeStream.format("parquet").outputMode("append").option("path", path).option(
-            "checkpointLocation", fresh_path(spark, "bursts-state")
-        )
+        bursts.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", state)
     ).awaitTermination()
-    return spark.read.schema(bursts.schema).parquet(path)
+    # the newest burst of a file waits for the clock
+    return spark.read.schema(bursts.schema).parquet(path).unionByName(ST.open_bursts(spark, state))
 
 
 @query(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lintlake.functions.severity import severity_rank
 from lintlake.model import FINDING_COLUMNS
@@ -24,24 +28,44 @@ EDITOR_DEFAULTS = {
 }
 
 
+#: How long the clock has to stand still for a file whose saves are old, as in a backlog.
+QUIET = "1 minute"
+# Where Spark keeps the state of such streams.
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+
 BURSTS = "repo string, uri string, ts timestamp, content string, saves long"
-_OPEN = "first timestamp, last timestamp, content string, saves long"
+_PART = "first long, last long, content string, saves long"
 
 
-def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
+def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE, quiet: str = QUIET, late: str = "0 seconds") -> DataFrame:
     """The last save of each burst: ``(repo, uri, ts, content, saves)``.
 
-    A burst of a file ends after ``gap`` without a save. On a table it is a session window. On
-    a stream each file keeps its open burst as state with a timer: it is emitted once ``gap``
-    has passed on the clock, with or without a later event, and a save that comes late is a
-    burst of its own; none is dropped.
+    A burst of a file ends with more than ``gap`` without a save, by the times of the saves; rows without
+    a time are left out. On a table it is a session window.
+
+    On a stream the bursts of a file are state, and come out the same however the saves are cut
+    into batches, as long as a file's saves do not come in more than ``late`` out of order; one
+    that does is a burst of its own, none is dropped. A burst is emitted when a save shows that
+    it is over (by ``late`` more). Only the newest burst of a file needs a timer on the clock:
+    it fires at the end of its gap, or, where that is past because the saves are old, when the
+    file has been silent for ``quiet``. Rows are folded into bursts before the shuffle and as
+    they come in after it, so a file takes as much memory as it has open bursts. The stream
+    needs the state store that ``start_available`` sets.
     """
     saves = saves.withColumn("ts", F.col("ts").cast("timestamp"))
     if saves.isStreaming:
-        millis = int(saves.sparkSession.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {gap})").first()[0])
-        return saves.select("repo", "uri", "ts", "content").groupBy("repo", "uri").applyInPandasWithState(
-            _burst_emitter(millis), BURSTS, _OPEN, "append", GroupStateTimeout.ProcessingTimeTimeout
+        spark = saves.sparkSession
+        micros = [spark.sql(f"SELECT unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {x})").first()[0] for x in (gap, quiet, late)]
+        us = F.unix_micros("ts")
+        parts = saves.filter("ts IS NOT NULL").select("repo", "uri", us.alias("first"), us.alias("last"), "content", F.lit(1).cast("long").alias("saves"))
+        folded = parts.mapInArrow(_folder(micros[0]), parts.schema)
+        bursts = folded.groupBy("repo", "uri").transformWithStateInPandas(
+            _Bursts(*micros), f"repo string, uri string, {_PART}", "Append", "ProcessingTime"
         )
+        return bursts.select("repo", "uri", F.timestamp_micros("last").alias("ts"), "content", "saves")
     return (
         saves.groupBy(F.session_window("ts", gap).alias("burst"), "repo", "uri")
         .agg(
@@ -53,44 +77,79 @@ def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
     )
 
 
-def _burst_emitter(millis: int):
-    """Emits a file's bursts that are over by the clock and keeps the open one."""
-
-    def emit(key, frames, state):
-        gap = pd.Timedelta(milliseconds=millis)
-        if state.hasTimedOut:
-            _, last, content, count = state.get
-            state.remove()
-            yield _burst_frame(key, [(last, content, count)])
-            return
-        rows = [(t, c, 1) for f in frames for t, c in zip(f["ts"], f["content"], strict=True)]
-        if state.exists:
-            _, last, content, count = state.get
-            rows.append((pd.Timestamp(last), content, count))
-        bursts: list[list] = []
-        for ts, content, count in sorted(rows, key=lambda r: r[0]):
-            if bursts and ts - bursts[-1][0] < gap:
-                bursts[-1] = [ts, content, bursts[-1][2] + count]
-            else:
-                bursts.append([ts, content, count])
-        now = pd.Timestamp(state.getCurrentProcessingTimeMs(), unit="ms")
-        last, content, count = bursts[-1]
-        wait = int((last + gap - now).total_seconds() * 1000)
-        if wait > 0:
-            bursts.pop()
-            state.update((last, last, content, count))
-            state.setTimeoutDuration(wait)
-        elif state.exists:
-            state.remove()
-        if bursts:
-            yield _burst_frame(key, bursts)
-
-    return emit
-
-
-def _burst_frame(key, bursts) -> pd.DataFrame:
-    ts, content, count = zip(*bursts, strict=True)
-    return pd.DataFrame({"repo": key[0], "uri": key[1], "ts": list(ts), "content": list(content), "saves": list(count)})
+def open_bursts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The bursts that a stopped stream of ``debounce_saves`` has not emitted yet."""
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    held = state.select("key.*", "list_element.*")
+    return held.select("repo", "uri", F.timestamp_micros("last").alias("ts"), "content", "saves")
+
+
+def _fold(parts: list[tuple], gap: int) -> list[tuple]:
+    """Parts ``(first, last, content, saves)`` of one file joined where no more than ``gap`` lies
+    between them, in order."""
+    out: list[tuple] = []
+    for part in sorted(parts, key=lambda p: p[:2]):
+        if out and part[0] - out[-1][1] <= gap:
+            held = out[-1]
+            newer = part if part[1] >= held[1] else held
+            out[-1] = (held[0], newer[1], newer[2], held[3] + part[3])
+        else:
+            out.append(part)
+    return out
+
+
+def _folder(gap: int):
+    def run(batches):
+        for batch in batches:
+            files: dict[tuple, list] = {}
+            for repo, uri, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files.setdefault((repo, uri), []).append(tuple(part))
+            rows = [(*key, *burst) for key, parts in files.items() for burst in _fold(parts, gap)]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in batch.schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, batch.schema, strict=True)], schema=batch.schema)
+
+    return run
+
+
+class _Bursts(StatefulProcessor):
+    """A file's bursts that may still grow, and the timer of the newest; times in microseconds."""
+
+    def __init__(self, gap: int, quiet: int, late: int):
+        self.gap, self.quiet, self.late = gap, quiet, late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", _PART)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        for frame in rows:
+            parts = zip(frame["first"].tolist(), frame["last"].tolist(), frame["content"].tolist(), frame["saves"].tolist(), strict=True)
+            held = _fold([*held, *parts], self.gap)
+        newest = held[-1][1]
+        over = [b for b in held[:-1] if b[1] + self.gap + self.late < newest]
+        kept = held[len(over) :]
+        self.open.put(kept)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        now = timerValues.getCurrentProcessingTimeInMs() * 1000
+        end = newest + self.gap + self.late
+        self.handle.registerTimer(-(-(end if end > now else now + self.quiet) // 1000))
+        if over:
+            yield self._frame(key, over)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        self.open.clear()
+        if held:
+            yield self._frame(key, held)
+
+    def close(self) -> None:
+        pass
+
+    def _frame(self, key, bursts: list[tuple]) -> pd.DataFrame:
+        first, last, content, count = zip(*bursts, strict=True)
+        return pd.DataFrame({"repo": key[0], "uri": key[1], "first": list(first), "last": list(last), "content": list(content), "saves": list(count)})
 
 
 def newest_config(config_log: DataFrame) -> DataFrame:
@@ -146,26 +205,38 @@ def shown_by_settings(found: DataFrame, config_log: DataFrame) -> DataFrame:
     return apply_config(found, config_log).filter(shown).select(*found.columns)
 
 
-def _first_scan(spark: SparkSession, path: str, run: str) -> int:
-    """The number of a run's batch 0 in the log at ``path``.
-
-    A run is a checkpoint: it keeps its number over restarts, so a batch that runs again
-    replaces its own output. A new one starts above all scans there are.
-    """
+def _parts_of(spark: SparkSession, folder: str) -> DataFrame | None:
     try:
-        known = spark.read.parquet(f"{path}/runs")
-        mine = known.filter(F.col("run") == run).agg(F.max("base")).first()[0]
-        if mine is not None:
-            return mine
+        return spark.read.parquet(folder)
     except AnalysisException:
-        pass  # the first run of a log
-    try:
-        last = spark.read.parquet(f"{path}/scans").agg(F.max("scan_id")).first()[0]
-    except AnalysisException:
-        last = None
-    base = 0 if last is None else int(last) + 1
-    spark.createDataFrame([(run, base)], "run string, base long").write.mode("append").parquet(f"{path}/runs")
-    return base
+        return None  # nothing is written yet
+
+
+def _claim(spark: SparkSession, path: str, run: str, batch_id: int) -> int:
+    """The scan number of a run's batch in the log at ``path``.
+
+    A number is claimed in the log before it is used, and a batch that runs again finds the one
+    it has. Numbers rise; their low bits come of the run, so no two runs ever share one, even if
+    they claim at the same time.
+    """
+    claims = _parts_of(spark, f"{path}/claims")
+    most = None
+    if claims is not None:
+        mine = (F.col("run") == run) & (F.col("batch") == batch_id)
+        known, most = claims.agg(F.max(F.when(mine, F.col("claimed"))), F.max("claimed")).first()
+        if known is not None:
+            return known
+    number = _above(most, run)
+    spark.createDataFrame([(run, batch_id, number)], "run string, batch long, claimed long").coalesce(1).write.mode("append").parquet(f"{path}/claims")
+    return number
+
+
+_RUN_BITS = 24
+
+
+def _above(most: int | None, run: str) -> int:
+    """The next number after ``most``, with the run in its low bits."""
+    return ((0 if most is None else (most >> _RUN_BITS) + 1) << _RUN_BITS) | zlib.crc32(run.encode()) >> (32 - _RUN_BITS)
 
 
 def log_writer(path: str, severity: str = "medium", confidence: float = 0.7, config_log: DataFrame | None = None, run: str = "run"):
@@ -178,7 +249,7 @@ def log_writer(path: str, severity: str = "medium", confidence: float = 0.7, con
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scan_id = _first_scan(batch.sparkSession, path, run) + batch_id
+        scan_id = _claim(batch.sparkSession, path, run, batch_id)
         latest = batch.groupBy("repo", "uri").agg(F.max_by("content", "ts").alias("content"))
         if config_log is not None:
             latest = apply_config(latest, config_log).select("repo", "uri", "content")
@@ -202,22 +273,22 @@ def log_writer(path: str, severity: str = "medium", confidence: float = 0.7, con
 
 
 def clear_findings(repos: DataFrame, path: str) -> None:
-    """Appends a clear event for each row's ``repo``: what was found before is not shown."""
-    spark = repos.sparkSession
-    last = spark.read.parquet(f"{path}/scans").agg(F.max("scan_id")).first()[0]
+    """Appends a clear event for each row's ``repo``: what was found before is not shown. A
+    clear has a number of its own, which no batch that runs again writes to."""
     rows = repos.select("repo", F.lit(None).cast("string").alias("file"), F.lit(True).alias("cleared"))
-    rows.write.mode("append").parquet(f"{path}/scans/scan_id={last}")
+    scan_id = _claim(repos.sparkSession, path, f"clear-{uuid.uuid4().hex}", 0)
+    rows.write.parquet(f"{path}/scans/scan_id={scan_id}")
 
 
 def compact_log(spark: SparkSession, path: str, to: str) -> None:
     """Writes what ``latest_findings`` shows of the log at ``path``, and the scans behind it,
-    as a log at ``to``; old findings are left behind. Run numbers go along."""
+    as a log at ``to``; old findings are left behind. Claims go along."""
     scans = spark.read.parquet(f"{path}/scans")
     found = latest_findings(spark.read.parquet(f"{path}/findings"), scans)
     found.write.partitionBy("scan_id").parquet(f"{to}/findings")
     newest = scans.groupBy("repo", "file", "cleared").agg(F.max("scan_id").alias("scan_id"))
     newest.write.partitionBy("scan_id").parquet(f"{to}/scans")
-    spark.read.parquet(f"{path}/runs").write.parquet(f"{to}/runs")
+    spark.read.parquet(f"{path}/claims").write.parquet(f"{to}/claims")
 
 
 def start_available(writer):
@@ -227,13 +298,15 @@ def start_available(writer):
     more; such a run leaves them out, and bursts still open wait in the state for the next run.
     """
     spark = SparkSession.getActiveSession()
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", STATE_STORE[0]: STATE_STORE[1]}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         return writer.trigger(availableNow=True).start()
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def scan_stream(
