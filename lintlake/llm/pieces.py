@@ -2,9 +2,14 @@
 
 The vocabulary is a public BPE model whose path is a parameter. Encoding is the merge
 agenda of BPE: the adjacent pair whose joint piece has the best score is merged first, the
-leftmost of equals. With dropout each candidate merge is skipped if a hash of the seed, the
-variant, the word and the candidate's place falls below the rate; a skipped candidate comes
-back only as part of another pair. Equal inputs and seeds give equal pieces on any executor.
+leftmost of equals. With dropout each candidate that comes up is skipped with the given rate; a
+skipped candidate comes back only as part of another pair. The skips are drawn by a hash keyed
+with the seed, the text and the place of the word in it, so every occurrence is cut by itself,
+while equal texts and seeds give equal pieces on any executor.
+
+What is drawn is the number of candidates up to the next skip. The pieces of a word are thus
+given by the ordinals of its skipped candidates, and a worker remembers words as trees: a node
+has the pieces for the skips on the way to it, and a child for each further skip.
 """
 
 from __future__ import annotations
@@ -25,15 +30,17 @@ from lintlake.llm.shared import as_rows, from_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose pieces a Python worker remembers; then it starts afresh. Results don't depend on it.
-REMEMBERED = 150_000
+#: Nodes that a Python worker remembers; then it starts afresh. Results don't depend on it.
+REMEMBERED = 1_000_000
 #: No piece reaches over the start of a blank after other text, so these are encoded alone;
 #: line breaks and the mark itself are spelt in bytes.
 CHUNK = regex.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n|\r")
 MASK = (1 << 64) - 1
-#: Chunks beyond this many characters are merged one by one; rows of a matrix at once.
-LONG, ROWS = 48, 20_000
-NONE = 1 << 40
+#: Parts beyond this many characters are not remembered; rows of a matrix at once.
+LONG, ROWS = 48, 4000
+#: Characters of texts that are encoded at once, unless one text is longer.
+CHARS = 2_000_000
+NONE = 1 << 30
 
 
 class Vocabulary:
@@ -49,14 +56,17 @@ class Vocabulary:
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {pieces[i]: i for i in plain}
         self.scores = {pieces[i]: model.get_score(i) for i in plain}
-        self.spelt = [b""] * size
+        spelt = [b""] * size
         for i in plain:
-            self.spelt[i] = pieces[i].replace(SPACE, " ").encode()
+            spelt[i] = pieces[i].replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
-            self.spelt[i] = bytes([b])
+            spelt[i] = bytes([b])
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self.spelt_length = np.array([len(x) for x in spelt], np.int64)
+        self.spelt_begin = np.cumsum(self.spelt_length) - self.spelt_length
         # characters are symbols too: their piece, or a number beyond all pieces
         self.size = size
-        self.symbol = np.arange(0x110000, dtype=np.int64) + size
+        self.symbol = np.arange(0x110000, dtype=np.int32) + size
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
@@ -67,15 +77,15 @@ class Vocabulary:
         keys = np.array([(a << 32) | b for a, b, _, _ in joins], np.int64)
         order = np.argsort(keys)
         self.pairs = keys[order]
-        self.joints = np.array([j[2] for j in joins], np.int64)[order]
-        self.ranks = np.array([best_first[j[3]] for j in joins], np.int64)[order]
-        self.length = np.array([len(p) for p in pieces], np.int64)
+        self.joints = np.array([j[2] for j in joins], np.int32)[order]
+        self.ranks = np.array([best_first[j[3]] for j in joins], np.int32)[order]
 
-    def pieces_of(self, word: str, rate: float = 0.0, key: int = 0) -> list[int]:
-        """Ids of one chunk of any length, merged with a heap and links; ``key`` seeds the skips."""
+    def pieces_of(self, word: str, skips: Iterator[int] | None = None) -> tuple[list[int], int]:
+        """Ids of one chunk of any length, merged with a heap and links, and how many candidates
+        came up; ``skips`` gives the ordinals of those left out, in order."""
         scores = self.scores.get
-        keyed = _keyed(word, key)
-        limit = int(rate * (1 << 32))
+        skip = next(skips, -1) if skips else -1
+        came = 0
         live: list[str | None] = list(word)
         n = len(live)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -85,7 +95,9 @@ class Vocabulary:
             _, left, right, joint = heappop(heap)
             if live[left] is None or after[left] != right or live[right] is None or live[left] + live[right] != joint:
                 continue
-            if rate and int(_mixed(keyed, left, len(joint))) < limit:
+            came += 1
+            if came - 1 == skip:
+                skip = next(skips, -1)
                 continue
             live[left], live[right] = joint, None
             after[left] = nxt = after[right]
@@ -99,40 +111,43 @@ class Vocabulary:
         for p in live:
             if p is not None:
                 out.extend([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])
-        return out
+        return out, came
 
-    def many(self, words: list[str], rate: float = 0.0, key: int = 0) -> Iterator[bytes]:
-        """Little-endian ids of each chunk, the same as ``pieces_of``: the agendas of chunks of
-        like length advance together, a row of a matrix each."""
+    def many(self, words: list[str], skips: list[tuple[int, ...]] | None = None) -> list[tuple[bytes, int]]:
+        """``pieces_of`` of each chunk, ids as little-endian bytes: the agendas of chunks of like
+        length advance together, a row of a matrix each."""
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        done: list[bytes] = [b""] * len(words)
+        done: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
         at = 0
         while at < len(order):
             least = len(words[order[at]])
             if least > LONG:
                 for i in order[at:]:
-                    done[i] = np.array(self.pieces_of(words[i], rate, key), "<i4").tobytes()
+                    ids, came = self.pieces_of(words[i], iter(skips[i]) if skips else None)
+                    done[i] = np.array(ids, "<i4").tobytes(), came
                 break
-            most = max(8, least + 3)
+            most = min(max(8, least + 3), LONG)
             end = at
             while end < len(order) and end - at < ROWS and len(words[order[end]]) <= most:
                 end += 1
-            some = [words[i] for i in order[at:end]]
-            for i, ids in zip(order[at:end], self._rows(some, rate, key), strict=True):
-                done[i] = ids
+            some = order[at:end]
+            for i, one in zip(some, self._rows([words[i] for i in some], [skips[i] for i in some] if skips else None), strict=True):
+                done[i] = one
             at = end
-        return iter(done)
+        return done
 
-    def _rows(self, words: list[str], rate: float, key: int) -> list[bytes]:
+    def _rows(self, words: list[str], skips: list[tuple[int, ...]] | None) -> list[tuple[bytes, int]]:
         lengths = np.array([len(w) for w in words])
         width = int(lengths.max(initial=0)) + 1
+        if skips:
+            # a last column ends every row: no candidate has the ordinal -1
+            most = max(map(len, skips)) + 1
+            left_out = np.array([(*x, *(-1,) * (most - len(x))) for x in skips])
+            came, passed = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         inside = np.arange(width) < lengths[:, None]
-        symbols = np.full((len(words), width), -1, np.int64)
+        symbols = np.full((len(words), width), -1, np.int32)
         symbols[inside] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-        starts = np.where(inside, np.arange(width), 0)
-        keyed = np.array([_keyed(w, key) for w in words], np.uint64) if rate else None
-        limit = int(rate * (1 << 32))
-        out: list[bytes] = [b""] * len(words)
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
         rows = np.arange(len(words))
         joints, ranks = self._joined(symbols[:, :-1], symbols[:, 1:])
         columns = np.arange(width)
@@ -147,32 +162,36 @@ class Vocabulary:
                 ends = 4 * np.cumsum(real.sum(1))
                 spelt = (closed >= self.size).any(1).tolist()
                 begin = 0
+                # each merge has made two symbols one
+                merged = (lengths[rows[~open_]] - real.sum(1)).tolist()
+                times = [n + m for n, m in zip(merged, passed[~open_].tolist(), strict=True)] if skips else merged
                 for r, (row, end) in enumerate(zip(rows[~open_].tolist(), ends.tolist(), strict=True)):
-                    out[row] = self._with_bytes(closed[r][real[r]]) if spelt[r] else flat[begin:end]
+                    out[row] = (self._with_bytes(closed[r][real[r]]) if spelt[r] else flat[begin:end]), times[r]
                     begin = end
-                rows, symbols, starts, joints, ranks, at = (x[open_] for x in (rows, symbols, starts, joints, ranks, at))
+                rows, symbols, joints, ranks, at = (x[open_] for x in (rows, symbols, joints, ranks, at))
+                if skips:
+                    left_out, came, passed = left_out[open_], came[open_], passed[open_]
                 every = np.arange(len(rows))
-                if rate:
-                    keyed = keyed[open_]
                 if not len(rows):
                     break
-            joint = joints[every, at]
-            if rate:
-                skip = _mixed(keyed, starts[every, at].astype(np.uint64), self.length[joint].astype(np.uint64)) < limit
+            if skips:
+                skip = left_out[every, passed] == came
+                came += 1
+                passed += skip
                 ranks[every[skip], at[skip]] = NONE
-                every, at, joint = every[~skip], at[~skip], joint[~skip]
+                every, at = every[~skip], at[~skip]
                 if not len(every):
                     continue
-            symbols[every, at] = joint
+            symbols[every, at] = joints[every, at]
             # close the gap: what stands right of the merged pair moves one place left
+            whole = len(every) == len(rows)
             source = np.minimum(columns + (columns > at[:, None]), width - 1)
-            moved = np.take_along_axis(symbols[every], source, 1)
-            moved[:, -1] = -1
-            symbols[every] = moved
-            starts[every] = np.take_along_axis(starts[every], source, 1)
             pairs = np.minimum(columns[:-1] + (columns[:-1] > at[:, None]), width - 2)
-            ranks[every] = np.take_along_axis(ranks[every], pairs, 1)
-            joints[every] = np.take_along_axis(joints[every], pairs, 1)
+            if whole:
+                symbols, ranks, joints = np.take_along_axis(symbols, source, 1), np.take_along_axis(ranks, pairs, 1), np.take_along_axis(joints, pairs, 1)
+            else:
+                symbols[every], ranks[every], joints[every] = (np.take_along_axis(x[every], y, 1) for x, y in ((symbols, source), (ranks, pairs), (joints, pairs)))
+            symbols[every, -1] = -1
             ranks[every, -1] = NONE
             for spot in (at - 1, at):
                 held = (spot >= 0) & (spot < width - 1)
@@ -182,10 +201,10 @@ class Vocabulary:
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Joint piece and rank of symbol pairs; ``NONE`` where no piece joins them."""
-        pair = (left << 32) | (right & 0xFFFFFFFF)
+        pair = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
         place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         found = (self.pairs[place] == pair) & (left >= 0) & (right >= 0)
-        return np.where(found, self.joints[place], 0), np.where(found, self.ranks[place], NONE)
+        return np.where(found, self.joints[place], np.int32(0)), np.where(found, self.ranks[place], np.int32(NONE))
 
     def _with_bytes(self, symbols: np.ndarray) -> bytes:
         ids: list[int] = []
@@ -194,82 +213,195 @@ class Vocabulary:
         return np.array(ids, "<i4").tobytes()
 
 
-def _keyed(word: str, key: int) -> int:
-    return xxhash.xxh64_intdigest(word.encode(), key & MASK)
-
-
-def _mixed(keyed, start, length):
-    """32 bits of the chunk's hash and a candidate's place, for numbers and for arrays."""
-    one, two = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-    with np.errstate(over="ignore"):
-        x = (np.uint64(keyed) ^ (np.uint64(start) << np.uint64(20)) ^ np.uint64(length)) * one
-        x = (x ^ (x >> np.uint64(32))) * two
-    return x >> np.uint64(32)
-
-
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-_REMEMBERED: dict[tuple, dict] = {}
+class Gaps:
+    """Numbers of candidates up to the next skip, drawn by hash: geometric with the rate."""
+
+    def __init__(self, rate: float):
+        # a hash below the kth bound goes on for k candidates or more; whole numbers, so that
+        # all machines draw alike
+        bounds, kept = [], 1.0
+        while rate > 0 and (kept := kept * (1 - min(rate, 1.0))) * 2**64 >= 1:
+            bounds.append(int(kept * 2**64))
+        self.rate, self.bounds = rate, np.array(bounds[::-1], np.uint64)
+        #: a gap is below k from this hash on
+        self.reach = np.array([MASK, *bounds, 0], np.uint64)
+
+    def draw(self, keys: np.ndarray, no: int) -> np.ndarray:
+        """The ``no``th gap of each key."""
+        return self._gaps(self._hashes(keys, no))
+
+    def draw_below(self, keys: np.ndarray, no: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys whose gap is below ``most``, and those gaps."""
+        hashes = self._hashes(keys, no)
+        some = np.flatnonzero((most > 0) & (hashes >= self.reach[np.clip(most, 0, len(self.bounds) + 1)]))
+        gaps = self._gaps(hashes[some])
+        below = gaps < most[some]
+        return some[below], gaps[below]
+
+    def _gaps(self, hashes: np.ndarray) -> np.ndarray:
+        return len(self.bounds) - np.searchsorted(self.bounds, hashes, side="right")
+
+    def _hashes(self, keys: np.ndarray, no: int) -> np.ndarray:
+        one, two, three = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+        with np.errstate(over="ignore"):
+            x = keys + one * np.uint64(no + 1)
+            x = (x ^ (x >> np.uint64(30))) * two
+            x = (x ^ (x >> np.uint64(27))) * three
+            return x ^ (x >> np.uint64(31))
+
+    def skips(self, key: int) -> Iterator[int]:
+        """Ordinals of the candidates that are left out under one key."""
+        at, no, keys = -1, 0, np.array([key], np.uint64)
+        while self.rate > 0:
+            at += 1 + int(self.draw(keys, no)[0])
+            yield at
+            no += 1
+
+
+class Memory:
+    """The nodes that a worker knows, as columns."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.mark = np.array([vocab.bytes[b] for b in SPACE.encode()], "<i4").tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.of: dict = {}
+        self.long: list = []  # units beyond LONG of the texts at hand
+        self.ids: list[bytes] = []
+        self.came = np.empty(1 << 12, np.int64)
+        self.skipped: list[tuple[int, ...]] = []
+        self.part: list[str] = []
+        self.child: dict[tuple[int, int], int] = {}
+
+    def _add(self, made: list[tuple[bytes, int]], parts: list[str], skipped: list[tuple[int, ...]]) -> range:
+        first = len(self.ids)
+        self.ids += [m[0] for m in made]
+        if len(self.ids) > len(self.came):
+            self.came = np.concatenate([self.came, np.empty(max(len(self.came), len(made)), np.int64)])
+        self.came[first : len(self.ids)] = [m[1] for m in made]
+        self.part += parts
+        self.skipped += skipped
+        return range(first, len(self.ids))
+
+    def learn(self, units: list) -> None:
+        """Nodes without skips for new units."""
+        parts = [_chunk(u) for u in units]
+        self.long = [u for u, p in zip(units, parts, strict=True) if len(p) > LONG]
+        self.of.update(zip(units, self._add(self._cut(parts, None), parts, [()] * len(parts)), strict=True))
+
+    def grow(self, wanted: list[tuple[int, int]]) -> None:
+        """Nodes for pairs of a node and a further skip, where they are new."""
+        new = list(set(wanted).difference(self.child))
+        parts, skips = [self.part[n] for n, _ in new], [(*self.skipped[n], s) for n, s in new]
+        self.child.update(zip(new, self._add(self._cut(parts, skips), parts, skips), strict=True))
+
+    def _cut(self, parts: list[str], skips: list[tuple[int, ...]] | None) -> list[tuple[bytes, int]]:
+        found = self.vocab.many(parts, skips)
+        return [x if p else (self.mark, 0) for x, p in zip(found, parts, strict=True)]
+
+
+_MEMORIES: dict[str, Memory] = {}
+
+
+NEWLINE = ("\n",)
 
 
 def units(text: str) -> list:
-    """A text in parts that no piece crosses.
+    """A text in chunks that no piece crosses.
 
-    Single blanks between other characters are the common case: a part is then what stands
-    between them, its blank left out. Else it is a 1-tuple of a chunk with its marks, empty
-    for a mark that the text has itself.
+    Single blanks between other characters are the common case: a chunk is then a blank and what
+    stands behind it, given without the blank. Else it is a 1-tuple of the chunk with its marks,
+    empty for a mark that the text has itself.
     """
-    if SPACE not in text and "  " not in text and text[:1] != " ":
-        return text.split(" ")
-    out: list = []
-    for no, part in enumerate(text.split(SPACE)):
-        if no:
-            out.append(("",))
-        out.extend((c,) for c in CHUNK.findall(("" if no else SPACE) + part.replace(" ", SPACE)))
+    if SPACE in text or "  " in text or text[:1] == " ":
+        out: list = []
+        for no, part in enumerate(text.split(SPACE)):
+            if no:
+                out.append(("",))
+            out.extend((c,) for c in CHUNK.findall(("" if no else SPACE) + part.replace(" ", SPACE)))
+        return out
+    lines = text.split("\n")
+    out = lines[0].split(" ")
+    for line in lines[1:]:
+        out.append(NEWLINE)
+        first, *rest = line.split(" ")
+        if first:
+            out.append((first,))
+        out += rest
     return out
 
 
-def _spelt_out(unit: str | tuple) -> list[str]:
-    return CHUNK.findall(SPACE + unit) if isinstance(unit, str) else list(unit)
+def _chunk(unit: str | tuple) -> str:
+    return SPACE + unit if isinstance(unit, str) else unit[0]
 
 
-def encode_texts(texts: list[str], path: str = MODEL, rate: float = 0.0, seed: int = 0, variant: int = 0) -> list[bytes]:
+def encode_texts(texts: list[str], path: str = MODEL, rate: float = 0.0, seed: int = 0) -> list[bytes]:
     """Little-endian 32-bit ids of each whole text; an empty text has none."""
-    vocab = vocabulary(path)
-    known = _REMEMBERED.setdefault((path, rate, seed, variant), {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    key = xxhash.xxh64_intdigest(variant.to_bytes(4, "little"), seed & MASK)
-    cut = [units(t) if t else [] for t in texts]
-    new = list(set().union(*cut).difference(known))
-    parts = [_spelt_out(u) for u in new]
-    each = list({c for p in parts for c in p if c})
-    ids = dict(zip(each, vocab.many(each, rate, key), strict=True))
-    ids[""] = np.array([vocab.bytes[b] for b in SPACE.encode()], "<i4").tobytes()
-    known.update(zip(new, (b"".join([ids[c] for c in p]) for p in parts), strict=True))
-    out = [b"".join(map(known.__getitem__, part)) for part in cut]
-    for u in new:
-        if len(u) > LONG:  # seldom seen again
-            del known[u]
+    if path not in _MEMORIES:
+        _MEMORIES[path] = Memory(vocabulary(path))
+    memory = _MEMORIES[path]
+    if len(memory.ids) > REMEMBERED:
+        memory.forget()
+    parts = [units(t) if t else [] for t in texts]
+    every = [u for p in parts for u in p]
+    memory.learn(list(set(every).difference(memory.of)))
+    nodes = np.fromiter(map(memory.of.__getitem__, every), np.int64, len(every))
+    ends = np.cumsum([0, *map(len, parts)])
+    whole: dict[int, bytes] = {}
+    if rate > 0 and len(every):
+        gaps = Gaps(rate)
+        starts = np.array([xxhash.xxh64_intdigest(t.encode(), seed & MASK) for t in texts], np.uint64)
+        places = (np.arange(len(every)) - np.repeat(ends[:-1], np.diff(ends))).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            keys = np.repeat(starts, np.diff(ends)) + places * np.uint64(0xD6E8FEB86659FD93)
+        no, (open_, skips) = 0, gaps.draw_below(keys, 0, memory.came[nodes])
+        if memory.long:
+            apart = np.isin(nodes[open_], [memory.of[u] for u in memory.long])
+            for i in open_[apart].tolist():  # by themselves, all skips at once
+                ids, _ = memory.vocab.pieces_of(memory.part[nodes[i]], gaps.skips(int(keys[i])))
+                whole[i] = np.array(ids, "<i4").tobytes()
+            open_, skips = open_[~apart], skips[~apart]
+        while len(open_):
+            wanted = list(zip(nodes[open_].tolist(), skips.tolist(), strict=True))
+            memory.grow(wanted)
+            nodes[open_] = np.fromiter(map(memory.child.__getitem__, wanted), np.int64, len(wanted))
+            no += 1
+            some, more = gaps.draw_below(keys[open_], no, memory.came[nodes[open_]] - skips - 1)
+            open_, skips = open_[some], skips[some] + 1 + more
+    spelt = list(map(memory.ids.__getitem__, nodes.tolist()))
+    for i, ids in whole.items():
+        spelt[i] = ids
+    out = [b"".join(spelt[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+    for u in memory.long:  # seldom seen again
+        memory.ids[memory.of[u]] = b""
+        memory.part[memory.of.pop(u)] = ""
+    memory.long = []
     return out
 
 
 def decode_ids(ids, path: str = MODEL) -> str:
     """The text of ids: bytes are joined, marks become blanks, the first blank is dropped."""
-    spelt = vocabulary(path).spelt
-    data = b"".join([spelt[i] for i in ids])
-    return data.removeprefix(b" ").decode()
+    vocab = vocabulary(path)
+    ids = np.asarray(ids, np.int64)
+    lengths = vocab.spelt_length[ids]
+    ends = np.cumsum(lengths)
+    places = np.repeat(vocab.spelt_begin[ids] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return vocab.spelt[places].tobytes().removeprefix(b" ").decode()
 
 
-def encode(docs: DataFrame, path: str = MODEL, rate: float = 0.1, seed: int = 17, variants: int = 2, text_col: str = "text", check_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, rate: float = 0.1, seed: int = 17, text_col: str = "text", check_col: str | None = None) -> DataFrame:
     """``docs`` with the array ``ids``; all columns stay (a column ``ids`` is replaced).
 
-    A text's variant comes of its id-free content hash, so copies share their pieces and
-    different texts vary. A null text has null ids, an empty one no ids. ``rate`` 0 is the
-    plain encoding. With ``check_col`` the ids are decoded again where they are made, and that
+    Skips come of the text and a word's place in it: copies share their pieces, different texts
+    and the words of one text vary. A null text has null ids, an empty one no ids. ``rate`` 0 is
+    the plain encoding, 1 that of single characters. With ``check_col`` the ids are decoded again where they are made, and that
     column tells whether they spell the text (true for null).
     """
     shaped, names = as_rows(docs, ("ids", check_col))
@@ -280,23 +412,22 @@ def encode(docs: DataFrame, path: str = MODEL, rate: float = 0.1, seed: int = 17
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("row").field(place).cast(pa.string())
-            for at in range(0, batch.num_rows, 500):
-                part = texts.slice(at, 500).to_pylist()
-                coded: list[bytes | None] = [None] * len(part)
-                by: dict[int, list[int]] = {}
-                for i, t in enumerate(part):
-                    if t is not None:
-                        by.setdefault(xxhash.xxh32_intdigest(t.encode()) % variants, []).append(i)
-                for variant, places in by.items():
-                    for i, ids in zip(places, encode_texts([part[i] for i in places], path, rate, seed, variant), strict=True):
-                        coded[i] = ids
+            at = 0
+            while at < batch.num_rows:
+                part, size = [], 0
+                while at + len(part) < batch.num_rows and len(part) < 500 and size < CHARS:
+                    part.append(texts[at + len(part)].as_py())
+                    size += len(part[-1] or "")
+                whole = encode_texts([t or "" for t in part], path, rate, seed)
+                coded = [None if t is None else c for t, c in zip(part, whole, strict=True)]
                 ends = np.cumsum([0, *(len(c or b"") // 4 for c in coded)], dtype=np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(c or b"" for c in coded))])
+                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(whole))])
                 offsets = pa.array(ends, pa.int32(), mask=np.array([*(c is None for c in coded), False]))
-                columns = [batch.column("row").slice(at, 500), pa.ListArray.from_arrays(offsets, values)]
+                columns = [batch.column("row").slice(at, len(part)), pa.ListArray.from_arrays(offsets, values)]
                 if check_col:
-                    columns.append(pa.array([t is None or decode_ids(np.frombuffer(c, "<i4").tolist(), path) == t for t, c in zip(part, coded, strict=True)], pa.bool_()))
+                    columns.append(pa.array([t is None or decode_ids(np.frombuffer(c, "<i4"), path) == t for t, c in zip(part, coded, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "spelt"][: len(columns)])
+                at += len(part)
 
     made = shaped.mapInArrow(run, schema)
     return made.select(*from_rows(made, names), "ids", *([F.col("spelt").alias(check_col)] if check_col else []))
@@ -313,7 +444,7 @@ def decode(coded: DataFrame, path: str = MODEL, ids_col: str = "ids", out_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 column = batch.column("row").field(place).slice(at, 500)
-                texts = [decode_ids(x.values.to_numpy(zero_copy_only=False).tolist(), path) if x.is_valid else None for x in column]
+                texts = [decode_ids(x.values.to_numpy(zero_copy_only=False), path) if x.is_valid else None for x in column]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, 500), pa.array(texts, pa.string())], names=["row", "decoded"])
 
     made = shaped.mapInArrow(run, schema)

@@ -27,14 +27,75 @@ def test_no_dropout_is_the_plain_encoding():
             assert ids(t) == MODEL.encode(t), t
 
 
-def test_rows_and_heap_agree_and_decode():
+def plain_agenda(word, skips):
+    """One chunk by looking over all pairs again after each step."""
+    scores = pieces.vocabulary(pieces.MODEL).scores
+    live, at, came, gone = list(word), list(range(len(word))), 0, set()
+    while True:
+        pairs = [(-scores[live[i] + live[i + 1]], at[i], i) for i in range(len(live) - 1) if live[i] + live[i + 1] in scores and (at[i], live[i], live[i + 1]) not in gone]
+        if not pairs:
+            break
+        _, _, i = min(pairs)
+        if came in skips:
+            gone.add((at[i], live[i], live[i + 1]))
+        else:
+            live[i : i + 2] = [live[i] + live[i + 1]]
+            del at[i + 1]
+        came += 1
     vocab = pieces.vocabulary(pieces.MODEL)
+    return [x for p in live for x in ([vocab.ids[p]] if p in vocab.ids else [vocab.bytes[b] for b in p.encode()])], came
+
+
+def test_rows_and_heap_agree_with_a_plain_agenda():
+    vocab = pieces.vocabulary(pieces.MODEL)
+    import numpy as np
+
+    chunks = sorted({c for t in texts(60, 2) for u in pieces.units(t) if (c := pieces._chunk(u))})
+    assert [(np.frombuffer(b, "<i4").tolist(), n) for b, n in vocab.many(chunks)] == [plain_agenda(c, ()) for c in chunks]
+    rnd = random.Random(5)
+    for c in chunks:
+        skips = sorted(rnd.sample(range(12), rnd.randint(1, 6)))
+        assert vocab.pieces_of(c, iter(skips)) == plain_agenda(c, skips)
+
+
+def test_dropout_against_a_plain_agenda_per_occurrence():
+    """Every word of a text by the skips drawn for its place, remembered or not."""
+    import numpy as np
+    import xxhash
+
+    for rate in (0.1, 0.5, 1.0):
+        gaps = pieces.Gaps(rate)
+        for t in texts(60, 4):
+            want = []
+            for place, u in enumerate(pieces.units(t) if t else []):
+                key = (xxhash.xxh64_intdigest(t.encode(), 9) + place * 0xD6E8FEB86659FD93) % (1 << 64)
+                skips = [s for s, _ in zip(gaps.skips(key), range(400), strict=False)]
+                if c := pieces._chunk(u):
+                    want += plain_agenda(c, set(skips))[0]
+                else:
+                    want += [pieces.vocabulary(pieces.MODEL).bytes[b] for b in "▁".encode()]
+            assert np.frombuffer(pieces.encode_texts([t], rate=rate, seed=9)[0], "<i4").tolist() == want, t
+
+
+def test_occurrences_of_a_word_vary():
+    from collections import Counter
+
+    ways = Counter()
+    text = " ".join(["internationalization"] * 3000)
+    found = ids(text, rate=0.1, seed=3)
+    begin = {i for i, p in enumerate(MODEL.id_to_piece(list(range(MODEL.get_piece_size())))) if p.startswith("▁")}
+    word = []
+    for i in found:
+        if i in begin and word:
+            ways[tuple(word)] += 1
+            word = []
+        word.append(i)
+    plain = tuple(MODEL.encode("internationalization"))
+    assert len(ways) > 50 and ways.most_common(1)[0][0] == plain
     import numpy as np
 
-    chunks = sorted({c for t in texts(60, 2) for u in pieces.units(t) for c in pieces._spelt_out(u) if c})
-    for rate in (0.0, 0.2, 0.9):
-        got = [np.frombuffer(b, "<i4").tolist() for b in vocab.many(chunks, rate, 99)]
-        assert got == [vocab.pieces_of(c, rate, 99) for c in chunks]
+    drawn = pieces.Gaps(0.1).draw(np.arange(20_000, dtype=np.uint64), 2)
+    assert all(abs((drawn >= k).mean() - 0.9**k) < 0.015 for k in (0, 1, 5, 20))
 
 
 def test_dropout_varies_by_seed_only_and_is_lossless(spark):
