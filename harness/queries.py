@@ -18,6 +18,7 @@ from lintlake.operators import rules_go, rules_python, rules_typescript
 from lintlake.operators import thresholds as T
 from lintlake.operators.metrics import function_metrics
 from lintlake.operators.pynodes import py_nodes
+from lintlake.operators.statements import statements
 from lintlake.operators.secrets import label_by_pack, leaks_to_findings, scan_secrets
 from lintlake.plans import registry
 from lintlake.plans.catalogue import RULES, gate_categories, rules_table
@@ -293,6 +294,41 @@ add(
     f"SELECT repo, {_TS_PATH} AS path, 'function' AS kind, CAST(1 AS BIGINT) AS n, 1 AS deepest FROM {_NEST}"
     f" UNION ALL SELECT repo, {_TS_PATH}, 'if', CAST(d AS BIGINT), d + 1 FROM {_NEST} WHERE d > 0",
 )
+# Control statements of all nine kinds, most of them without braces: one more per line.
+_OPENERS = "array('if (x)', 'for (;;)', 'for (k in x)', 'for (k of x)', 'while (x)', 'with (x)')"
+_INNERMOST = "array('do go(x)\\n while (x)\\n', 'switch (x) { case 1: go(x)\\n }\\n', 'try { go(x) }\\n catch (e) { }\\n')"
+
+
+def _bare_bodies(spark, sf_dir):
+    src = A.table(spark, sf_dir, "part").selectExpr(
+        "p_brand AS repo", "concat('src/part_', p_partkey, '.ts') AS path",
+        "concat('function g(x) {\\n  go(1)\\n', array_join(transform(slice(sequence(0, 60), 1, cast(p_size % 8 as int)),"
+        f" d -> concat(element_at({_OPENERS}, cast((p_partkey + d) % 6 + 1 as int)), '\\n')), ''),"
+        f" element_at({_INNERMOST}, cast(p_partkey % 3 + 1 as int)), '  go(2)\\n}}\\nif (y)\\n go(3)\\n else if (z) go(4)\\n') AS content",
+    )
+    return R.code_rows(src, "typescript")
+
+
+_BARE = (
+    "(SELECT p_brand AS repo, concat('src/part_', p_partkey, '.ts') AS path, p_partkey AS k, p_size % 8 AS d FROM part)"
+)
+add(
+    "statements",
+    lambda spark, sf_dir: statements(_bare_bodies(spark, sf_dir)).select("repo", "path", "kind", "tok", "line", "end_line", "depth", "braced"),
+    f"WITH s AS {_BARE}, w AS (SELECT *, unnest(range(0, d)) AS i FROM s)"
+    " SELECT repo, path, 'control' AS kind, ['if', 'for', 'for', 'for', 'while', 'with'][(k + i) % 6 + 1] AS tok,"
+    " CAST(3 + i AS INTEGER) AS line, CAST(4 + d AS INTEGER) AS end_line, CAST(1 + i AS INTEGER) AS depth, false AS braced FROM w"
+    " UNION ALL SELECT repo, path, 'control', ['do', 'switch', 'try'][k % 3 + 1], 3 + d, 4 + d, 1 + d, k % 3 > 0 FROM s"
+    " UNION ALL SELECT repo, path, 'function', '{', 1, 6 + d, 1 + d, true FROM s"
+    " UNION ALL SELECT repo, path, 'control', 'if', 7 + d, 9 + d, 1, false FROM s"
+    " UNION ALL SELECT repo, path, 'control', 'if', 9 + d, 9 + d, 2, false FROM s",
+)
+add(
+    "rule_ts_deep_nesting_without_braces",
+    lambda spark, sf_dir: rules_typescript.deep_nesting(_bare_bodies(spark, sf_dir)).select("repo", "file", "line_start", "line_end", "severity"),
+    f"SELECT repo, path AS file, 1 AS line_start, CAST(6 + d AS INTEGER) AS line_end, CASE WHEN d >= 5 THEN 'high' ELSE 'medium' END AS severity"
+    f" FROM {_BARE} WHERE d >= 3",
+)
 _PYCOG = "(SELECT p_brand AS repo, concat('src/part_', p_partkey, '.py') AS path, p_size % 4 + 2 AS loops, p_size % 7 AS ifs FROM part)"
 add(
     "py_nodes",

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from lintlake.functions.text import base_name, extension
 from lintlake.operators.hits import hits, say, this
 from lintlake.operators.relations import (
-    KEY, enclosing, js_head_line, js_name, pairs, run_depth,
+    KEY, enclosing, js_head_line, js_name, pairs,
 )
+from lintlake.operators.statements import statements
 from lintlake.operators.thresholds import with_limits
 from lintlake.model import string_list
 from lintlake.plans.catalogue import BY_ID, report
@@ -328,53 +329,11 @@ def _heads(rows: DataFrame) -> DataFrame:
 def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
     """Control statements inside each function, inner functions included.
 
-    An ``else if`` is a statement in the else branch of its ``if``, so a chain goes one
-    deeper with each link, and so do the bodies along it.
+    Bodies count with braces or without. An ``else if`` is a statement in the else branch of its
+    ``if``, so a chain goes one deeper with each link, and so do the bodies along it.
     """
-    words = this.tok.isin("if", "for", "while", "do", "switch", "try", "with") & _plain() & ~F.coalesce(
-        this.n1.isin(":", "?", "=", ",", ")"), F.lit(False)
-    )
-    brackets = this.tok.isin("(", "[", "{", ")", "]", "}")
-    place = Window.partitionBy(*KEY, "inside").orderBy("idx")
-    upto = place.rowsBetween(Window.unboundedPreceding, 0)
-    chained = (
-        _heads(rows)
-        .filter(brackets | words)
-        .withColumn("word", words & ~brackets)
-        .withColumn(
-            "chain",
-            F.coalesce(F.sum(F.when((this.tok == "if") & (F.coalesce(this.p1, F.lit("")) != "else"), 1)).over(upto), F.lit(0)),
-        )
-    )
-    link = Window.partitionBy(*KEY, "inside", "chain").orderBy("idx").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    linked = chained.withColumn(
-        "link", F.coalesce(F.sum(F.when(this.tok == "if", 1)).over(link), F.lit(0))
-    )
-    weight = (
-        F.when(this.kind_of_block.isin("if", "else"), F.col("link"))
-        .when(this.kind_of_block.isin("for", "while", "do", "switch", "try", "catch", "finally", "with"), 1)
-        .otherwise(0)
-    )
-    depth = run_depth(
-        linked, weight, "idx", "tok", "inside", "level", "word", "link", "kind_of_block", "head_line", "name",
-        "close_line",
-    ).withColumn(
-        "here", F.col("depth") + F.when(this.tok == "if", F.col("link")).otherwise(1)
-    )
-    spread = enclosing(
-        depth, F.col("word"), ["here"], ["kind_of_block", "depth", "head_line", "name", "close_line"]
-    )
-    deepest = (
-        spread.filter(F.col("outer.kind_of_block").isin("function", "method", "arrow"))
-        .groupBy(*KEY, F.col("outer.idx").alias("open"))
-        .agg(
-            F.max(F.col("here") - F.col("outer.depth")).alias("deepest"),
-            F.first("outer.head_line").alias("line"),
-            F.first("outer.name").alias("name"),
-            F.first("outer.close_line").alias("end_line"),
-        )
+    deepest = statements(rows).filter("kind = 'function'").select(
+        *KEY, F.col("idx").alias("open"), F.col("depth").alias("deepest"), "line", "end_line", "name"
     )
     limited = with_limits(deepest, limits, "typescript", "max_nesting_depth")
     limit = F.col("limit_max_nesting_depth")
