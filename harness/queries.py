@@ -22,7 +22,7 @@ from lintlake.operators.statements import statements
 from lintlake.operators.secrets import label_by_pack, leaks_to_findings, scan_secrets
 from lintlake.plans import registry
 from lintlake.plans.catalogue import RULES, gate_categories, rules_table
-from lintlake.plans.scan import _apply, scan, scan_meta, write_report
+from lintlake.plans.scan import Relations, _apply, full_scan, scan, scan_meta, write_report
 from lintlake.sources import files as S
 from lintlake.sources import reports as I
 from lintlake.sources.storage import fresh_path
@@ -1293,3 +1293,31 @@ add(
     # `exec` and `eval` plants hold nothing else; the chain of 7 branches and more nests too deep
     + " UNION ALL SELECT 'python_isinstance-chain', 'x', 'x' FROM part WHERE false) GROUP BY 1, 2, 3",
 )
+
+
+# A run with all its runners: rules, metrics, a tool's report, snippets, files that do not parse.
+_RUN_SOURCE = (
+    "CASE WHEN p_size % 5 = 0 THEN 'def f(:\\n' ELSE concat('from a', p_partkey, ' import *\\nx = eval(y)\\ndef g(z):\\n',"
+    " repeat('    z()\\n', p_size + 20)) END"
+)
+
+
+@query(
+    "full_scan",
+    "WITH s AS (SELECT p_brand AS repo, concat('src/part_', p_partkey, '.py') AS file, p_partkey AS k, p_size AS n FROM part),"
+    " b AS (SELECT * FROM s WHERE n % 5 > 0),"
+    f" t AS (SELECT *, concat('from a', k, ' import *', chr(10), 'x = eval(y)', chr(10), 'def g(z):') AS head FROM b)"
+    " SELECT repo, file, 'python/wildcard-import' AS rule_id, 1 AS line_start, 1 AS line_end, head AS code_snippet FROM t"
+    " UNION ALL SELECT repo, file, 'python/eval-usage', 2, 2, concat(head, chr(10), '    z()') FROM t"
+    " UNION ALL SELECT repo, file, 'python/long-method', 3, CAST(n + 23 AS INTEGER), NULL FROM b WHERE n > 29"
+    " UNION ALL SELECT repo, file, 'not parsed', NULL, NULL, NULL FROM s WHERE n % 5 = 0"
+    " UNION ALL SELECT repo, concat('src/', w, '.py'), concat('bandit/', CASE k % 5 WHEN 0 THEN 'B105' WHEN 1 THEN 'B307' WHEN 2 THEN 'B608' WHEN 3 THEN 'B999' ELSE 'B311' END),"
+    f" n, CASE WHEN n % 3 = 0 THEN n + 2 ELSE n END, concat('x = \"', k, '\"') FROM {A.PARTS}",
+)
+def _(spark, sf_dir):
+    src = A.table(spark, sf_dir, "part").selectExpr("p_brand AS repo", "concat('src/part_', p_partkey, '.py') AS path", f"{_RUN_SOURCE} AS content")
+    relations = Relations(src, keep="checkpoint")
+    found, errors = full_scan(src, relations=relations, reports={"bandit": A.reports(spark, sf_dir, _BANDIT)}, languages=("python",))
+    rows = found.select("repo", "file", "rule_id", "line_start", "line_end", "code_snippet")
+    none = errors.select("repo", F.col("path").alias("file"), F.lit("not parsed").alias("rule_id"))
+    return rows.unionByName(none, allowMissingColumns=True)

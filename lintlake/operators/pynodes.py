@@ -38,7 +38,6 @@ NODE_SCHEMA = pa.schema(
     + [("num", pa.float64()), ("early_exit", pa.bool_()), ("alone", pa.bool_()),
        ("keywords", pa.list_(_KEYWORD)), ("scopes", pa.list_(_SCOPE))]
 )
-ERROR_SCHEMA = pa.schema([("repo", pa.string()), ("path", pa.string()), ("error", pa.string())])
 # Kinds of nodes that other nodes look back at.
 SCOPE_KINDS = (
     "FunctionDef", "AsyncFunctionDef", "ClassDef", "For", "AsyncFor", "While", "If",
@@ -184,12 +183,14 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=NODE_SCHEMA)
 
 
+#: The kind of the one row of a file that does not parse; ``name`` tells why.
+NOT_PARSED = "ParseError"
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pending: list[dict] = []
     for repo, path, content, tree in _files(batches):
-        if isinstance(tree, str):
-            continue
-        for row in _walk(tree, content):
+        for row in [{"kind": NOT_PARSED, "name": tree}] if isinstance(tree, str) else _walk(tree, content):
             row["repo"], row["path"] = repo, path
             pending.append(row)
         if len(pending) >= _ROWS_PER_BATCH:
@@ -199,23 +200,30 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(pending)
 
 
-def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for repo, path, _, tree in _files(batches):
-        if isinstance(tree, str):
-            row = {"repo": repo, "path": path, "error": tree}
-            yield pa.RecordBatch.from_pylist([row], schema=ERROR_SCHEMA)
-
-
 def _texts(src: DataFrame) -> DataFrame:
     """Texts spread by file: parsing takes far longer than moving them once."""
     return by_file(src.select("repo", "path", "content").filter(F.col("content").isNotNull()))
 
 
+def py_parse(src: DataFrame) -> DataFrame:
+    """The one parse: rows of nodes, and a row of kind :data:`NOT_PARSED` for other files."""
+    return _texts(src).mapInArrow(_nodes, from_arrow_schema(NODE_SCHEMA))
+
+
+def nodes_of(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("kind") != NOT_PARSED)
+
+
+def errors_of(parsed: DataFrame) -> DataFrame:
+    """``(repo, path, error)`` of the files that have no nodes."""
+    return parsed.filter(F.col("kind") == NOT_PARSED).select("repo", "path", F.col("name").alias("error"))
+
+
 def py_nodes(src: DataFrame) -> DataFrame:
     """One row per syntax node; files that do not parse give no rows."""
-    return _texts(src).mapInArrow(_nodes, from_arrow_schema(NODE_SCHEMA))
+    return nodes_of(py_parse(src))
 
 
 def parse_errors(src: DataFrame) -> DataFrame:
     """``(repo, path, error)`` of the files that ``py_nodes`` leaves out."""
-    return _texts(src).mapInArrow(_errors, from_arrow_schema(ERROR_SCHEMA))
+    return errors_of(py_parse(src))

@@ -18,12 +18,15 @@ from lintlake.operators import rules_go, rules_python, rules_typescript
 from lintlake.operators.findings import (
     build_summary, filter_confidence, filter_paths, filter_severity, scan_outputs, summary_for_all,
 )
-from lintlake.operators.pynodes import py_nodes
+from lintlake.operators.metrics import function_metrics
+from lintlake.operators.pynodes import errors_of, nodes_of, py_parse
 from lintlake.operators.relations import code_rows
+from lintlake.operators.render import with_snippets
 from lintlake.operators.secrets import label_by_pack, leaks_to_findings, scan_secrets
 from lintlake.plans.catalogue import runs
 from lintlake.plans.registry import apply_user_rules
 from lintlake.sources.files import CHECKER_EXTENSIONS, EDITOR_EXTENSIONS, prune_dirs, prune_ignored
+from lintlake.sources import reports as R
 from lintlake.sources.reports import union_findings
 from lintlake.sources.storage import cut
 
@@ -96,13 +99,19 @@ class Relations:
     def of(self, language: str) -> tuple[DataFrame, DataFrame]:
         if language not in self.made:
             files = sources_of(self.src, language, self.editor)
-            made = py_nodes(files) if language == "python" else code_rows(files, language)
+            made = py_parse(files) if language == "python" else code_rows(files, language)
             if self.keep == "checkpoint":
                 made = cut(made)
             elif self.keep:
                 made = made.persist(StorageLevel.MEMORY_AND_DISK)
             self.made[language] = (files, made)
-        return self.made[language]
+        files, made = self.made[language]
+        return files, nodes_of(made) if language == "python" else made
+
+    def errors(self) -> DataFrame:
+        """``(repo, path, error)`` of Python files that do not parse, from the same parse."""
+        self.of("python")
+        return errors_of(self.made["python"][1])
 
     def release(self) -> None:
         for _, relation in self.made.values():
@@ -150,6 +159,55 @@ def scan(
     return union_findings(*[p for p in parts if p is not None])
 
 
+#: How the reports of each outside tool become findings.
+INGEST = {
+    "bandit": R.ingest_bandit,
+    "gosec": R.ingest_gosec,
+    "gitleaks": R.ingest_gitleaks,
+    "osv-python": lambda reports: R.ingest_osv(reports, "python"),
+    "osv-typescript": lambda reports: R.ingest_osv(reports, "typescript"),
+    "pip-audit": R.ingest_pip_audit,
+    "npm-audit": R.ingest_npm_audit,
+    "govulncheck": R.ingest_govulncheck,
+    "coverage": R.ingest_coverage,
+}
+
+
+def metric_findings(relations: Relations, language: str, limits=None) -> DataFrame:
+    """Long and complex functions and, but for Go, files with too many of them."""
+    metrics = function_metrics(relations.of(language)[1], language)
+    found = R.long_method(metrics, language, limits).unionByName(R.high_cyclomatic_complexity(metrics, language, limits))
+    if language != "go":
+        found = found.unionByName(R.god_class_file(metrics, language, limits))
+    return found.select(*FINDING_COLUMNS)
+
+
+def full_scan(
+    src: DataFrame,
+    *,
+    relations: Relations,
+    reports: dict[str, DataFrame] | None = None,
+    languages=("python", "typescript", "go"),
+    categories: list[str] | None = None,
+    limits=None,
+) -> tuple[DataFrame, DataFrame]:
+    """Findings of all runners of a run, and the files that could not be read as code.
+
+    To the rules and the secret scan come the metrics of functions and files, the ``reports`` of
+    outside tools by the names in :data:`INGEST`, and the code of each rule finding. A report of
+    a category that is switched off is left out. All read the ``relations``, parsed once.
+    """
+    found = [scan(src, languages=languages, categories=categories, limits=limits, relations=relations)]
+    if categories is None or "code_structure" in categories:
+        found += [metric_findings(relations, language, limits) for language in languages]
+    for tool, rows in (reports or {}).items():
+        found.append(INGEST[tool](rows).select(*FINDING_COLUMNS))
+    every = union_findings(*found)
+    if categories is not None:
+        every = every.filter(F.col("category").isin(*categories))
+    return with_snippets(every, src), relations.errors()
+
+
 def select_findings(
     findings: DataFrame, *, confidence=0.7, severity: str = "low", ignore_paths=()
 ) -> DataFrame:
