@@ -14,6 +14,9 @@ most of all hashes are folded.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,18 @@ DRAWS = [(0x9E3779B97F4A7C15 * (2 * i + 1) + 0x1F83D9ABFB41BD6B * i * i) % (1 <<
 BROADCAST_KEYS = 100_000
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line; a token that holds a digit is variable."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\t-\r]*[0-9][^\x20\t-\r]*", WILD)).otherwise(line)
-    trimmed = F.regexp_replace(masked, r"^[\x20\t-\r]+|[\x20\t-\r]+$", "")
-    return F.split(trimmed, r"[\x20\t-\r]+")
+def spaced(text: Column, breaks: bool = False) -> Column:
+    """``text`` with one blank for all white space between tokens; line breaks stay unless
+    ``breaks``."""
+    marks = ("  ", "\t", "\x0b", "\x0c", "\r", *(("\n",) if breaks else ()))
+    odd = reduce(or_, (F.contains(text, F.lit(m)) for m in marks))
+    return F.when(odd, F.regexp_replace(text, r"[\x20\t-\r]+" if breaks else r"[\x20\t\x0b-\r]+", " ")).otherwise(text)
+
+
+def masked(text: Column) -> Column:
+    """Tokens of spaced text with those that hold a digit as variable, one blank between them."""
+    known = F.regexp_replace(text, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", WILD)
+    return F.trim(F.when(text.rlike("[0-9]"), known).otherwise(text))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -57,17 +67,18 @@ def templates(docs: DataFrame, depth: int = 2, least_tokens: int = 4, least_cons
     tokens and the ``depth`` leading ones.
     """
     own = ids_and_texts(docs)
-    split = F.transform(F.split("text", "\n", -1), tokens_of)
-    shaped = own.select("doc_id", F.xxhash64("text").alias("text_hash"), split.alias("lines"))
-    rows = shaped.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "t"))
-    rows = rows.withColumn("n", F.size("t")).where((F.col("n") >= least_tokens))
-    n, head = F.col("n"), F.slice("t", 1, depth)
+    split = F.posexplode(F.split(spaced(F.col("text")), "\n", -1)).alias("line_no", "line")
+    rows = own.select("doc_id", F.xxhash64("text").alias("text_hash"), split).withColumn("line", masked(F.col("line")))
+    rows = rows.withColumn("n", F.size(F.split("line", " "))).where(F.col("n") >= least_tokens)
+    n, line = F.col("n"), F.col("line")
     half, third = F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")
+    first = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
+    last = lambda k: first(-k)
     even = lambda h: h.bitwiseAND(F.lit(-2))
-    full = even(F.xxhash64(n, F.lit(0), "t")).bitwiseOR(F.when(n >= LONG_TOKENS, 1).otherwise(0))
-    tail = even(F.xxhash64(n, F.lit(1), F.slice("t", F.lit(1), n - half)))
-    front = even(F.xxhash64(n, F.lit(2), head, F.slice("t", half + 1, n - half)))
-    middle = even(F.xxhash64(n, F.lit(3), F.slice("t", F.lit(1), third), F.slice("t", n - third + 1, third)))
+    full = even(F.xxhash64(n, F.lit(0), line)).bitwiseOR(F.when(n >= LONG_TOKENS, 1).otherwise(0))
+    tail = even(F.xxhash64(n, F.lit(1), first(n - half)))
+    front = even(F.xxhash64(n, F.lit(2), first(F.lit(depth)), last(n - half)))
+    middle = even(F.xxhash64(n, F.lit(3), first(third), last(third)))
     ways = F.when(2 * third >= least_constant, F.array(full, tail, front, middle)).when(half >= least_constant, F.array(full, tail, front)).otherwise(F.array(full))
     return rows.select("doc_id", "text_hash", "line_no", ways.alias("ways"))
 
@@ -76,9 +87,9 @@ def copies(docs: DataFrame) -> DataFrame:
     """``text_hash, root``: each text that is a near copy of others, and the one that stands
     for all of them; a text that stands for itself has no row."""
     own = ids_and_texts(docs).where("text IS NOT NULL")
-    tokens = own.select(F.xxhash64("text").alias("text_hash"), tokens_of(F.col("text")).alias("t"))
-    two = F.zip_with("t", F.slice("t", F.lit(2), F.size("t")), lambda x, y: F.xxhash64(x, y))
-    shingles = F.zip_with(two, F.slice("t", F.lit(3), F.size("t")), lambda h, y: F.xxhash64(h, y))
+    tokens = own.select(F.xxhash64("text").alias("text_hash"), F.split(masked(spaced(F.col("text"), breaks=True)), " ").alias("t"))
+    # the last two lack what would follow them, so that short texts have some too
+    shingles = F.transform("t", lambda x, i: F.xxhash64(x, F.get("t", i + 1), F.get("t", i + 2)))
     # no filter is inferred from an outer one, which would make all tokens twice
     least = tokens.select("text_hash", F.explode_outer(shingles).alias("h")).groupBy("text_hash")
     least = least.agg(*(F.min(F.col("h").bitwiseXOR(F.lit(d).cast("long"))).alias(f"m{i}") for i, d in enumerate(DRAWS)))

@@ -6,12 +6,14 @@ from lintlake.llm import lines
 from tests.llm.edge import EDGE, documents
 
 
-def shapes(text, depth=2, least=4, constant=5):
-    """Per line its templates as tuples and its surroundings, by hand."""
+def tokens(text):
     parts = [re.sub(r"[^\x20\t-\r]*[0-9][^\x20\t-\r]*", "<*>", x) for x in text.split("\n")]
-    toks = [re.split(r"[\x20\t-\r]+", re.sub(r"^[\x20\t-\r]+|[\x20\t-\r]+$", "", p)) for p in parts]
-    heads = [tuple(t[:depth]) for t in toks]
-    for i, t in enumerate(toks):
+    return [re.split(r"[\x20\t-\r]+", re.sub(r"^[\x20\t-\r]+|[\x20\t-\r]+$", "", p)) for p in parts]
+
+
+def shapes(text, depth=2, least=4, constant=5):
+    """Per line its templates as tuples, by hand."""
+    for i, t in enumerate(tokens(text)):
         n = len(t)
         if n < least:
             continue
@@ -21,25 +23,40 @@ def shapes(text, depth=2, least=4, constant=5):
             ways += [("tail", n, *t[: n - half]), ("front", n, *t[:depth], "/", *t[half:])]
         if 2 * third >= constant:
             ways.append(("middle", n, *t[:third], "/", *t[n - third :]))
-        around = (heads[i - 1] if i else None, heads[i + 1] if i + 1 < len(heads) else None)
-        yield i, ways, around
+        yield i, ways
 
 
-def direct(rows, least_places=10, copied=0.2):
-    seen = defaultdict(Counter)
-    where = defaultdict(set)
-    for d, t in rows:
-        for _, ways, around in shapes(t) if t is not None else ():
+def folded(texts, least=0.6):
+    """Each text's class: texts that share most of their shingles, and so on."""
+    def shingles(text):
+        t = [x for line in tokens(text) for x in line if x]
+        return {tuple(t[i : i + 3]) for i in range(len(t))}
+
+    texts, root = sorted(texts), {}
+    grams = {t: shingles(t) for t in texts}
+    for t in texts:
+        near = [u for u in root if grams[t] and len(grams[t] & grams[u]) >= least * len(grams[t] | grams[u])]
+        old = {root[u] for u in near}
+        root[t] = t
+        root.update({u: t for u in root if root[u] in old})
+    return root
+
+
+def direct(rows, least_places=10):
+    """What the operator does, with exact similarities for its sketches."""
+    root = folded({t for _, t in rows if t is not None})
+    places = defaultdict(set)
+    for _, t in rows:
+        for _, ways in shapes(t) if t is not None else ():
             for w in ways:
-                seen[w][around] += 1
-                where[w].add((d, t))
-    hot = {w for w, c in seen.items() if len(c) >= least_places + copied * max(c.values()) and len(where[w]) > 1}
+                places[w].add(root[t])
+    hot = {w for w, p in places.items() if len(p) >= (2 if w[0] == "full" and w[1] >= 50 else least_places)}
     out = []
     for d, t in rows:
         if t is None:
             out.append((d, None, 0, 0))
             continue
-        gone = {i for i, ways, _ in shapes(t) if hot.intersection(ways)}
+        gone = {i for i, ways in shapes(t) if hot.intersection(ways)}
         parts = t.split("\n")
         out.append((d, "\n".join(x for i, x in enumerate(parts) if i not in gone), len(parts), len(gone)))
     return sorted(out, key=str)
@@ -71,6 +88,12 @@ def corpus(n=150, seed=3):
 
 def test_against_direct(spark):
     rows = [*corpus(), *((1000 + (i or 0), t) for i, t in EDGE)]
+    passage = " ".join(f"long{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    other = ("".join(random.Random(i).choices("ijklm", k=5)) for i in range(900))
+    # other white space, and a passage that stands in two different documents
+    rows += [(2000 + i, " ".join(next(other) for _ in range(120)) + f"\n{passage}\n" + "\t \x0b".join(next(other) for _ in range(90))) for i in range(2)]
+    rows += [(3000 + i, " ".join(next(other) for _ in range(20)) + "\n\t the\x0bsame \r footer\x0c of\tour pages \n\n") for i in range(12)]
+    assert {r[3] for r in direct(rows) if r[0] >= 2000 and r[0] != 2002} == {1}
     got = lines.dedup_lines(documents(spark, rows))
     assert sorted((tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=str) == direct(rows)
 
