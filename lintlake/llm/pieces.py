@@ -73,7 +73,7 @@ class Vocabulary:
         number = lambda p: self.ids.get(p, size + ord(p) if len(p) == 1 else -1)
         joins = [(number(p[:k]), number(p[k:]), i, self.scores[p]) for p, i in self.ids.items() for k in range(1, len(p))]
         joins = [j for j in joins if j[0] >= 0 and j[1] >= 0]
-        best_first = {s: r for r, s in enumerate(sorted({j[3] for j in joins}, reverse=True))}
+        best_first = {x: r for r, x in enumerate(sorted({j[3] for j in joins}, reverse=True))}
         keys = np.array([(a << 32) | b for a, b, _, _ in joins], np.int64)
         order = np.argsort(keys)
         self.pairs = keys[order]
@@ -149,8 +149,11 @@ class Vocabulary:
         symbols[inside] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
         rows = np.arange(len(words))
-        joints, ranks = self._joined(symbols[:, :-1], symbols[:, 1:])
-        columns = np.arange(width)
+        # symbols stay in their columns; a merge leaves its left one and links past the right one
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (len(words), 1))
+        before = after - 2
+        ranks = np.full((len(words), width), NONE, np.int32)
+        ranks[:, :-1] = self._joined(symbols[:, :-1], symbols[:, 1:])
         while len(rows):
             at = ranks.argmin(1)
             every = np.arange(len(rows))
@@ -168,7 +171,7 @@ class Vocabulary:
                 for r, (row, end) in enumerate(zip(rows[~open_].tolist(), ends.tolist(), strict=True)):
                     out[row] = (self._with_bytes(closed[r][real[r]]) if spelt[r] else flat[begin:end]), times[r]
                     begin = end
-                rows, symbols, joints, ranks, at = (x[open_] for x in (rows, symbols, joints, ranks, at))
+                rows, symbols, after, before, ranks, at = (x[open_] for x in (rows, symbols, after, before, ranks, at))
                 if skips:
                     left_out, came, passed = left_out[open_], came[open_], passed[open_]
                 every = np.arange(len(rows))
@@ -182,29 +185,28 @@ class Vocabulary:
                 every, at = every[~skip], at[~skip]
                 if not len(every):
                     continue
-            symbols[every, at] = joints[every, at]
-            # close the gap: what stands right of the merged pair moves one place left
-            whole = len(every) == len(rows)
-            source = np.minimum(columns + (columns > at[:, None]), width - 1)
-            pairs = np.minimum(columns[:-1] + (columns[:-1] > at[:, None]), width - 2)
-            if whole:
-                symbols, ranks, joints = np.take_along_axis(symbols, source, 1), np.take_along_axis(ranks, pairs, 1), np.take_along_axis(joints, pairs, 1)
-            else:
-                symbols[every], ranks[every], joints[every] = (np.take_along_axis(x[every], y, 1) for x, y in ((symbols, source), (ranks, pairs), (joints, pairs)))
-            symbols[every, -1] = -1
-            ranks[every, -1] = NONE
-            for spot in (at - 1, at):
-                held = (spot >= 0) & (spot < width - 1)
-                e, p = every[held], spot[held]
-                joints[e, p], ranks[e, p] = self._joined(symbols[e, p], symbols[e, p + 1])
+            gone = after[every, at]
+            nxt = after[every, gone]
+            pair = (symbols[every, at].astype(np.int64) << 32) | symbols[every, gone]
+            symbols[every, at] = self.joints[np.searchsorted(self.pairs, pair)]
+            symbols[every, gone] = -1
+            ranks[every, gone] = NONE
+            after[every, at] = nxt
+            # the last column is never a symbol
+            nxt = np.minimum(nxt, width - 1)
+            before[every, nxt] = at
+            ranks[every, at] = self._joined(symbols[every, at], symbols[every, nxt])
+            held = before[every, at] >= 0
+            e, left = every[held], before[every, at][held]
+            ranks[e, left] = self._joined(symbols[e, left], symbols[e, at[held]])
         return out
 
-    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Joint piece and rank of symbol pairs; ``NONE`` where no piece joins them."""
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of symbol pairs; ``NONE`` where no piece joins them."""
         pair = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
         place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         found = (self.pairs[place] == pair) & (left >= 0) & (right >= 0)
-        return np.where(found, self.joints[place], np.int32(0)), np.where(found, self.ranks[place], np.int32(NONE))
+        return np.where(found, self.ranks[place], np.int32(NONE))
 
     def _with_bytes(self, symbols: np.ndarray) -> bytes:
         ids: list[int] = []
