@@ -101,7 +101,8 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert scans.count() == 2
     latest = ST.latest_findings(log, scans)
     assert [(r["file"], r["rule_id"]) for r in latest.collect()] == [("a.py", "python/eval-usage")]
-    clear = spark.createDataFrame([("r", None, 5, True)], "repo string, file string, scan_id int, cleared boolean")
+    later = scans.agg(F.max("scan_id")).first()[0] + 1
+    clear = spark.createDataFrame([("r", None, later, True)], "repo string, file string, scan_id int, cleared boolean")
     assert ST.latest_findings(log, scans.unionByName(clear)).count() == 0
 
 
