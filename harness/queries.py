@@ -280,11 +280,13 @@ _NEST = "(SELECT p_brand AS repo, p_partkey AS k, p_size % 8 AS d FROM part)"
 _TS_PATH = "concat('src/part_', k, '.ts')"
 add(
     "brackets",
-    lambda spark, sf_dir: R.pairs(_planted_rows(spark, sf_dir, "ts/deep-nesting"), "level").filter("bracket = '{'").select(
-        "repo", "path", "open_line", "close_line", "level"
+    lambda spark, sf_dir: R.pairs(_planted_rows(spark, sf_dir, "ts/deep-nesting"), "level").select(
+        "repo", "path", "bracket", "open_line", "close_line", "level"
     ),
-    f"SELECT repo, {_TS_PATH} AS path, CAST(i + 1 AS INTEGER) AS open_line, CAST(2 * d + 3 - i AS INTEGER) AS close_line,"
-    f" CAST(i + 1 AS INTEGER) AS level FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM {_NEST})",
+    f"SELECT repo, {_TS_PATH} AS path, '{{' AS bracket, CAST(i + 1 AS INTEGER) AS open_line, CAST(2 * d + 3 - i AS INTEGER) AS close_line,"
+    f" CAST(i + 1 AS INTEGER) AS level FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM {_NEST})"
+    f" UNION ALL SELECT repo, {_TS_PATH}, '(', CAST(i + 1 AS INTEGER), CAST(i + 1 AS INTEGER), CAST(i + 1 AS INTEGER)"
+    f" FROM (SELECT *, unnest(range(0, d + 2)) AS i FROM {_NEST})",
 )
 add(
     "blocks",
