@@ -69,7 +69,7 @@ def extents(tokens: list[dict]) -> tuple[list[tuple], list[tuple]]:
         if frame.kind == "control":
             depth -= 1
             controls.append((frame.at, end, frame.depth, frame.braced))
-        elif frame.tok in opened:
+        elif frame.kind != "simple" and frame.tok in opened:
             opened[frame.tok] -= 1
         if frame.function:
             functions.append((frame.at, frame.deepest - frame.depth))

@@ -116,3 +116,17 @@ def test_broken_text_and_none(spark, sources):
     files = {"a.ts": "if ( { ) } ] while", "b.ts": "", "c.ts": "} } else { if (x) }", "d.ts": "function f() { if (a) b()"}
     assert statements(R.code_rows(sources(files), "typescript")).filter("kind = 'control'").count() >= 2
     assert statements(R.code_rows(sources(files).limit(0), "typescript")).count() == 0
+
+
+def test_statements_that_begin_with_a_bracket(spark, sources):
+    text = "(function () {\n  [1].map(f)\n  if (a) { b() }\n})()\nfunction q() {\n  (a || b)()\n  if (a) if (b) c()\n}\n"
+    rows = statements(R.code_rows(sources({"a.ts": text}), "typescript")).collect()
+    assert sorted((r.line, r.end_line, r.depth) for r in rows if r.kind == "control") == [(3, 3, 1), (7, 7, 1), (7, 7, 2)]
+    assert sorted((r.line, r.end_line, r.depth) for r in rows if r.kind == "function") == [(1, 4, 1), (5, 8, 2)]
+
+
+def test_any_text_is_passed(spark, sources):
+    rng = random.Random(3)
+    words = "( ) [ ] { } ; , : ? => if else do while for try catch function class case x ( ) \n".split(" ")
+    files = {f"f{i}.ts": " ".join(rng.choice(words) for _ in range(60)) for i in range(200)}
+    assert statements(R.code_rows(sources(files), "typescript")).count() > 200
