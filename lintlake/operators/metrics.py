@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.operators.pynodes import DEF_KINDS, LOOP_KINDS
-from lintlake.operators.relations import KEY, enclosing, js_head_line, js_name, pairs
+from lintlake.operators.relations import KEY, enclosing, js_head_line, js_name
 
 # Tokens that open one more path through a function.
 DECISIONS = {
@@ -75,27 +75,31 @@ def block_metrics(rows: DataFrame, language: str) -> DataFrame:
         own = F.col("kind_of_block").isin(*kinds)
     named = named.withColumn("own", F.coalesce(own, F.lit(False)))
     wanted = F.col("tok").isin(*DECISIONS[language]) & ~F.coalesce(F.col("p1") == ".", F.lit(False))
-    decisions = (
-        enclosing(named, wanted, ["idx"], ["own"])
-        .filter("outer.own")
-        .groupBy(*KEY, "idx")
-        .agg(F.max("outer.idx").alias("open"))
-        .groupBy(*KEY, "open")
-        .agg(F.count("*").alias("points"))
+    facts = ["idx", "name", "head_line", "close_line"]
+    around = enclosing(
+        named.withColumn("function", F.when(F.col("own") & F.col("close").isNotNull(), F.struct(*facts))),
+        wanted, ["idx", "function"], ["function"], own=F.col("own") & F.col("close").isNotNull(),
     )
-    functions = (
-        named.filter("own")
-        .select(*KEY, F.col("idx").alias("open"), "name", "head_line")
-        .join(pairs(rows).select(*KEY, "open", "close_line"), [*KEY, "open"])
+    # a function stands for itself, a decision for the innermost function around it
+    innermost = (
+        around.withColumn("itself", F.col("outer").isNull())
+        .withColumn("of", F.when(F.col("itself"), F.col("function")).otherwise(F.col("outer.function")))
+        .filter(F.col("of").isNotNull())
+        .groupBy(*KEY, "idx", "itself")
+        .agg(F.max("of").alias("of"))
     )
-    return functions.join(decisions, [*KEY, "open"], "left").select(
-        "repo",
-        F.col("path").alias("file"),
-        F.coalesce("name", F.lit("(anonymous)")).alias("name"),
-        F.col("head_line").alias("start"),
-        F.col("close_line").alias("end"),
-        (F.col("close_line") - F.col("head_line") + 1).alias("length"),
-        (F.lit(1) + F.coalesce("points", F.lit(0))).cast("int").alias("ccn"),
+    return (
+        innermost.groupBy(*KEY, "of")
+        .agg(F.count_if(~F.col("itself")).alias("points"))
+        .select(
+            "repo",
+            F.col("path").alias("file"),
+            F.coalesce("of.name", F.lit("(anonymous)")).alias("name"),
+            F.col("of.head_line").alias("start"),
+            F.col("of.close_line").alias("end"),
+            (F.col("of.close_line") - F.col("of.head_line") + 1).alias("length"),
+            (F.lit(1) + F.col("points")).cast("int").alias("ccn"),
+        )
     )
 
 

@@ -388,15 +388,26 @@ def pairs(rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def enclosing(rows: DataFrame, wanted: Column, item: list[str], outer: list[str]) -> DataFrame:
+_ITSELF = -(2**31)
+
+
+def enclosing(
+    rows: DataFrame, wanted: Column, item: list[str], outer: list[str], own: Column | None = None
+) -> DataFrame:
     """Each wanted token once per bracket around it.
 
     Output: key, the ``item`` columns, and a struct ``outer`` with ``idx`` and the
     ``outer`` columns of that bracket's row. In one place the bracket around a token
     is simply the last one opened at that level, so a window finds it.
+    Tokens of ``own`` come once more with ``outer`` NULL, for themselves: what a rule would
+    join to the brackets around other tokens comes out of the same pass.
     """
     opener = F.col("tok").isin("(", "[", "{")
     depths = F.when(wanted & (F.col("inside") > 0), F.sequence(F.lit(1), F.col("inside")))
+    if own is not None:
+        # no bracket has that level, also where closing ones are too many
+        itself = F.when(own, F.array(F.lit(_ITSELF))).otherwise(F.array().cast("array<int>"))
+        depths = F.concat(itself, F.coalesce(depths, F.array().cast("array<int>")))
     as_item = F.transform(
         depths, lambda d: F.struct(d.alias("place"), F.lit(False).alias("anchor"))
     )
@@ -420,13 +431,16 @@ def enclosing(rows: DataFrame, wanted: Column, item: list[str], outer: list[str]
         *KEY,
         *item,
         "anchor",
+        "place",
         F.last(
             F.when(F.col("anchor"), F.struct(*dict.fromkeys(["idx", *outer]))), ignorenulls=True
         )
         .over(seen)
         .alias("outer"),
     )
-    return found.filter(~F.col("anchor") & F.col("outer").isNotNull()).drop("anchor")
+    return found.filter(
+        ~F.col("anchor") & (F.col("outer").isNotNull() | (F.col("place") == _ITSELF))
+    ).drop("anchor", "place")
 
 
 def run_depth(rows: DataFrame, weight: Column, *keep: str) -> DataFrame:

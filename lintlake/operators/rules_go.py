@@ -108,19 +108,17 @@ def unchecked_error(rows: DataFrame) -> DataFrame:
 
 def bare_goroutine(rows: DataFrame) -> DataFrame:
     """``go`` statements without a ``recover()`` call in what they start."""
-    starts = rows.filter((this.tok == "go") & ~F.coalesce(this.p1 == ".", F.lit(False)))
+    go = (this.tok == "go") & ~F.coalesce(this.p1 == ".", F.lit(False))
+    guard = (this.tok == "recover") & (this.n1 == "(") & (this.p1 != ".")
+    place = ["encl", "stmt", "inside"]
     # brackets that stand in the very statement of the `go` word hold its call
-    guards = enclosing(
-        rows, (this.tok == "recover") & (this.n1 == "(") & (this.p1 != "."), ["tok"],
-        ["encl", "stmt", "inside"],
-    ).select(*KEY, F.col("outer.encl").alias("encl"), F.col("outer.stmt").alias("stmt"),
-             F.col("outer.inside").alias("inside"), F.col("outer.idx").alias("at"))
-    found = starts.alias("g").join(
-        guards.alias("r"),
-        (F.col("g.repo") == F.col("r.repo")) & (F.col("g.path") == F.col("r.path"))
-        & (F.col("g.stmt") == F.col("r.stmt")) & (F.col("g.inside") == F.col("r.inside"))
-        & F.col("g.encl").eqNullSafe(F.col("r.encl")) & (F.col("r.at") > F.col("g.idx")),
-        "left_anti",
+    seen = enclosing(rows, guard, ["idx", "line", *place], place, own=go).select(
+        *KEY, "idx", "line", F.col("outer.idx").alias("guarded"),
+        *[F.when(F.col("outer").isNull(), F.col(c)).otherwise(F.col(f"outer.{c}")).alias(c) for c in place],
+    )
+    last_guard = F.max("guarded").over(Window.partitionBy(*KEY, *place))
+    found = seen.withColumn("last_guard", last_guard).filter(
+        F.col("guarded").isNull() & (F.col("last_guard").isNull() | (F.col("last_guard") < F.col("idx")))
     )
     return report(
         found, "go/bare-goroutine", language="go",
@@ -143,23 +141,16 @@ def _functions(rows: DataFrame) -> DataFrame:
     )
 
 
-def _declared(rows: DataFrame) -> DataFrame:
-    """One row per declaration: line, name, receiver and the start of its body."""
-    top = F.col("inside") == 0
-    body = (this.tok == "{") & (F.col("kind_of_block") == "func") & top
-    return _functions(rows).groupBy(*KEY, "decl").agg(
-        F.min("idx").alias("idx"),
-        F.min_by("line", "idx").alias("line"),
-        F.min_by("n1", "idx").alias("first"),
-        F.min(F.when((F.col("kind") == "word") & top & (this.tok != "func"), F.struct("idx", "tok")))["tok"].alias("name"),
-        *[F.min_by(f"n{i + 1}", "idx").alias(f"r{i}") for i in range(1, 5)],
-        F.min(F.when(body, F.struct("idx", "close_line")))["close_line"].alias("end_line"),
-    )
+def _name() -> Column:
+    """Aggregate over the tokens of a declaration: its name."""
+    named = (F.col("kind") == "word") & (F.col("inside") == 0) & (this.tok != "func")
+    return F.min(F.when(named, F.struct("idx", "tok")))["tok"]
 
 
 def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
     """Deepest if/for/switch/select per declaration; closures are not entered."""
-    brackets = rows.filter(this.tok.isin("(", "[", "{", ")", "]", "}", "func"))
+    # brackets make the depth, what stands outside of them the name of the declaration
+    counted = rows.filter(this.tok.isin("(", "[", "{", ")", "]", "}", "func") | (F.col("inside") == 0))
     kind = F.col("kind_of_block")
     control = kind.isin("if", "for", "switch", "select")
     # a label directly before the word hides the statement
@@ -179,16 +170,22 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
         .otherwise(0)
     )
     depth = run_depth(
-        _functions(brackets).withColumn("counted", control & ~labeled), weight, "decl", "counted"
+        _functions(counted).withColumn("counted", control & ~labeled), weight,
+        "decl", "counted", "idx", "line", "tok", "kind", "inside", "kind_of_block", "close_line",
     )
+    body = (this.tok == "{") & (kind == "func") & (F.col("inside") == 0)
+    nested = F.when(F.col("counted") & (F.col("depth") < beyond), F.col("depth"))
     deepest = (
-        depth.filter(F.col("counted") & (F.col("depth") < beyond))
-        .groupBy(*KEY, "decl")
-        .agg((F.max("depth") + 1).alias("deepest"))
-    )
-    limited = with_limits(
-        deepest.join(_declared(rows), [*KEY, "decl"]), limits, "go", "max_nesting_depth"
+        depth.groupBy(*KEY, "decl")
+        .agg(
+            (F.max(nested) + 1).alias("deepest"),
+            F.min_by("line", "idx").alias("line"),
+            _name().alias("name"),
+            F.min(F.when(body, F.struct("idx", "close_line")))["close_line"].alias("end_line"),
+        )
+        .filter(F.col("deepest").isNotNull())
     )
+    limited = with_limits(deepest, limits, "go", "max_nesting_depth")
     limit = F.col("limit_max_nesting_depth")
     found = limited.filter(F.col("deepest") >= limit)
     return report(
@@ -212,7 +209,14 @@ def god_struct(rows: DataFrame, limits=None) -> DataFrame:
         .when((r2 == "*") & (r4 == ")"), r3)
     )
     methods = (
-        _declared(rows)
+        _functions(rows)
+        .groupBy(*KEY, "decl")
+        .agg(
+            F.min("idx").alias("idx"),
+            F.min_by("line", "idx").alias("line"),
+            F.min_by("n1", "idx").alias("first"),
+            *[F.min_by(f"n{i + 1}", "idx").alias(f"r{i}") for i in range(1, 5)],
+        )
         .filter(F.col("first") == "(")
         .withColumn("receiver", receiver)
         .filter(F.col("receiver").isNotNull())
@@ -272,13 +276,17 @@ def _parameters(rows: DataFrame) -> DataFrame:
     """Parameters of declarations, one row per name, with field number and type.
 
     Tokens of the parameter bracket are cut at commas. A piece that is only a name
-    takes the type of the next piece that has both, as in ``a, b any``.
+    takes the type of the next piece that has both, as in ``a, b any``. Each row has the
+    ``line`` and the ``name`` of its declaration.
     """
     top = F.col("inside") == 0
     decl = Window.partitionBy(*KEY, "decl").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     # the parameter bracket is the first one, or the second one after a receiver
+    every = Window.partitionBy(*KEY, "decl")
     listed = (
         _functions(rows)
+        .withColumn("name", F.min(F.when((F.col("kind") == "word") & top & (this.tok != "func"), F.struct("idx", "tok"))).over(every)["tok"])
+        .withColumn("decl_line", F.first("line").over(decl))
         .withColumn("group", F.sum(F.when(top & (this.tok == "("), 1).otherwise(0)).over(decl))
         .withColumn("wanted", F.first(F.when(this.n1 == "(", 2).otherwise(1)).over(decl))
         .withColumn("closed", F.sum(F.when(top & (this.tok == ")"), 1).otherwise(0)).over(decl))
@@ -289,12 +297,15 @@ def _parameters(rows: DataFrame) -> DataFrame:
         listed.withColumn("piece", F.sum(F.when(comma, 1).otherwise(0)).over(decl))
         .filter(~comma)
         .groupBy(*KEY, "decl", "piece")
-        .agg(F.sort_array(F.collect_list(F.struct("idx", "tok"))).alias("toks"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("idx", "tok"))).alias("toks"),
+            F.min("decl_line").alias("line"),
+            F.min("name").alias("name"),
+        )
         .withColumn("text", F.array_join(F.transform("toks", lambda t: t["tok"]), " "))
     )
     name = r"^(?!(?:func|map|chan|struct|interface) )[\p{L}_][\p{L}\p{N}_]* "
     typed = F.col("text").rlike(name + r"(?!\. )")
-    every = Window.partitionBy(*KEY, "decl")
     back = every.orderBy(F.col("piece").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ahead = every.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -303,6 +314,8 @@ def _parameters(rows: DataFrame) -> DataFrame:
         .select(
             *KEY,
             "decl",
+            "line",
+            "name",
             "piece",
             F.when(
                 F.col("named"),
@@ -322,14 +335,13 @@ def _parameters(rows: DataFrame) -> DataFrame:
 
 def empty_interface_abuse(rows: DataFrame) -> DataFrame:
     """Three or more parameters of type ``any`` / ``interface{}``, by name."""
-    loose = (
+    found = (
         _parameters(rows)
         .filter(F.col("type").isin("any", "interface { }"))
-        .groupBy(*KEY, "decl")
+        .groupBy(*KEY, "decl", "line", "name")
         .agg(F.count("*").alias("loose"))
         .filter(F.col("loose") >= 3)
     )
-    found = loose.join(_declared(rows), [*KEY, "decl"])
     return report(
         found, "go/empty-interface-abuse", language="go",
         message=say("Function '", F.col("name"), "' takes ", F.col("loose"),
@@ -342,16 +354,15 @@ def empty_interface_abuse(rows: DataFrame) -> DataFrame:
 def context_not_first(rows: DataFrame) -> DataFrame:
     """``context.Context`` in a later field while the first field is something else."""
     is_context = F.col("type") == "context . Context"
-    late = (
+    found = (
         _parameters(rows)
-        .groupBy(*KEY, "decl")
+        .groupBy(*KEY, "decl", "line", "name")
         .agg(
             F.max(F.when(is_context, F.col("field"))).alias("last_context"),
             F.min(F.when(is_context, F.col("field"))).alias("first_context"),
         )
         .filter((F.col("first_context") > 0) & (F.col("last_context") > 0))
     )
-    found = late.join(_declared(rows), [*KEY, "decl"])
     return report(
         found, "go/context-not-first", language="go",
         message=say("Function '", F.col("name"), "' takes a context.Context after other parameters."),
@@ -363,8 +374,7 @@ def context_not_first(rows: DataFrame) -> DataFrame:
 def large_interface(rows: DataFrame, limits=None) -> DataFrame:
     """Members of each named interface, embedded ones included."""
     p2 = F.col("p2")
-    around = enclosing_kind(rows)
-    opened = around.filter(
+    opened = (
         (F.col("kind_of_block") == "interface")
         & p2.rlike(r"^[\p{L}_]")
         & (
@@ -372,16 +382,25 @@ def large_interface(rows: DataFrame, limits=None) -> DataFrame:
             # a spec inside `type ( ... )`
             | ((F.col("stmt") == F.col("idx") - 2) & (F.col("around") == "group"))
         )
-    ).select(*KEY, F.col("idx").alias("encl"), "line", p2.alias("name"))
+    )
     starts = (F.col("idx") == F.col("stmt")) | (this.p1 == ";")
-    members = (
-        around.filter(starts & (F.col("around") == "interface") & ~this.tok.isin(")", "]", "}"))
-        .groupBy(*KEY, "encl")
-        .agg(F.count("*").alias("members"))
+    member = starts & (F.col("around") == "interface") & ~this.tok.isin(")", "]", "}")
+    # a bracket stands for itself, a member for the bracket around it
+    shares = F.array_compact(
+        F.array(
+            F.when(opened, F.struct(F.col("idx").alias("open"), F.struct("line", p2.alias("name")).alias("head"), F.lit(0).alias("n"))),
+            F.when(member, F.struct(F.col("encl").alias("open"), F.lit(None).cast("struct<line:int,name:string>").alias("head"), F.lit(1).alias("n"))),
+        )
     )
-    limited = with_limits(
-        opened.join(members, [*KEY, "encl"]), limits, "go", "max_interface_methods"
+    sized = (
+        enclosing_kind(rows)
+        .select(*KEY, F.explode(shares).alias("s"))
+        .groupBy(*KEY, F.col("s.open").alias("encl"))
+        .agg(F.max("s.head").alias("head"), F.sum("s.n").alias("members"))
+        .filter(F.col("head").isNotNull() & (F.col("members") > 0))
+        .select(*KEY, "encl", "head.line", "head.name", "members")
     )
+    limited = with_limits(sized, limits, "go", "max_interface_methods")
     limit = F.col("limit_max_interface_methods")
     return report(
         limited.filter(F.col("members") > limit), "go/large-interface", language="go",
@@ -485,17 +504,27 @@ def _called(column_prefix: str = "n") -> Column:
 
 def defer_in_loop(rows: DataFrame) -> DataFrame:
     """Each ``defer`` once per loop around it within the file's functions."""
-    wanted = (this.tok == "defer") & ~F.coalesce(this.p1 == ".", F.lit(False))
+    any_defer = this.tok == "defer"
     around = enclosing(
-        rows.withColumn("called", _called()), wanted, ["idx", "line", "called", "inside"],
-        ["kind_of_block", "p1", "stmt", "encl"],
-    )
-    # a defer inside another defer's call, both in the loop, is not looked at
-    outer_defer = _inside_defer(rows)
-    loops = around.filter(F.col("outer.kind_of_block") == "for").join(
-        outer_defer, [*KEY, "idx"], "left"
-    ).filter(
-        F.col("defer_at").isNull() | (F.col("defer_at") < F.col("outer.idx"))
+        rows.withColumn("called", _called()).withColumn("plain", ~F.coalesce(this.p1 == ".", F.lit(False))),
+        any_defer, ["idx", "line", "called", "plain", "stmt", "inside"],
+        ["kind_of_block", "stmt", "inside"], own=any_defer,
+    )
+    # a defer inside another defer's call, both in the loop, is not looked at: the bracket of that
+    # call stands in the other's statement, behind it
+    itself = F.col("outer").isNull()
+    in_statement = Window.partitionBy(*KEY, "at_stmt", "at_inside").orderBy("at").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    per_defer = Window.partitionBy(*KEY, "idx")
+    loops = (
+        around.withColumn("at_stmt", F.when(itself, F.col("stmt")).otherwise(F.col("outer.stmt")))
+        .withColumn("at_inside", F.when(itself, F.col("inside")).otherwise(F.col("outer.inside")))
+        .withColumn("at", F.when(itself, F.col("idx")).otherwise(F.col("outer.idx")))
+        .withColumn("before", F.max(F.when(itself, F.col("idx"))).over(in_statement))
+        .withColumn("defer_at", F.max(F.when(~itself, F.col("before"))).over(per_defer))
+        .filter(F.col("plain") & (F.col("outer.kind_of_block") == "for"))
+        .filter(F.col("defer_at").isNull() | (F.col("defer_at") < F.col("outer.idx")))
     )
     return report(
         loops, "go/defer-in-loop", language="go",
@@ -505,25 +534,6 @@ def defer_in_loop(rows: DataFrame) -> DataFrame:
     )
 
 
-def _inside_defer(rows: DataFrame) -> DataFrame:
-    """For a ``defer`` inside the call of another: where the innermost such begins."""
-    statements = rows.filter((this.tok == "defer")).select(
-        *KEY, F.col("idx").alias("defer_at"), "stmt", "inside", "encl"
-    )
-    around = enclosing(
-        rows, this.tok == "defer", ["idx"], ["stmt", "inside", "encl"]
-    ).select(
-        *KEY, "idx", F.col("outer.stmt").alias("stmt"), F.col("outer.inside").alias("inside"),
-        F.col("outer.idx").alias("at"),
-    )
-    return (
-        around.join(statements.drop("encl"), [*KEY, "stmt", "inside"])
-        .filter((F.col("defer_at") < F.col("at")) & (F.col("defer_at") != F.col("idx")))
-        .groupBy(*KEY, "idx")
-        .agg(F.max("defer_at").alias("defer_at"))
-    )
-
-
 def error_string_format(rows: DataFrame) -> DataFrame:
     """``errors.New(fmt.Sprintf(...))`` and nothing else in the outer call."""
     found = rows.filter(_sequence("errors.New"))
@@ -569,18 +579,22 @@ def goroutine_closure_capture(rows: DataFrame) -> DataFrame:
             F.struct((F.col("last_func.idx") - 1).alias("idx"), F.col("last_func.line").alias("line")),
         ),
     )
-    bodies = enclosing(
-        facts, F.col("kind") == "word", ["tok"], ["started"]
-    ).filter(F.col("outer.started").isNotNull()).select(
-        *KEY, F.col("tok").alias("variable"), F.col("outer.started.idx").alias("go_at"),
-        F.col("outer.started.line").alias("line"), F.col("outer.idx").alias("body"),
-    ).distinct()
-    loops = enclosing(
-        facts.withColumn("go_at", F.col("started.idx")), F.col("started").isNotNull(), ["go_at"], ["variable"]
-    ).filter(F.col("outer.variable").isNotNull()).select(
-        *KEY, "go_at", F.col("outer.variable").alias("variable"), F.col("outer.idx").alias("loop"),
-    )
-    found = loops.join(bodies, [*KEY, "go_at", "variable"])
+    around = enclosing(
+        facts, (F.col("kind") == "word") | F.col("started").isNotNull(), ["tok", "started"], ["started", "variable"]
+    )
+    # a word in the body, and the body in a loop with that variable, meet under its name
+    named = F.when(F.col("started").isNull() & F.col("outer.started").isNotNull(), F.struct(
+        F.col("outer.started").alias("go"), F.col("tok").alias("variable"), F.lit(None).cast("int").alias("loop")))
+    looped = F.when(F.col("started").isNotNull() & F.col("outer.variable").isNotNull(), F.struct(
+        F.col("started").alias("go"), F.col("outer.variable").alias("variable"), F.col("outer.idx").alias("loop")))
+    found = (
+        around.select(*KEY, F.coalesce(named, looped).alias("s"))
+        .filter(F.col("s").isNotNull())
+        .groupBy(*KEY, F.col("s.go.idx").alias("go_at"), F.col("s.go.line").alias("line"), F.col("s.variable").alias("variable"))
+        .agg(F.collect_set("s.loop").alias("loops"), F.count_if(F.col("s.loop").isNull()).alias("uses"))
+        .filter(F.col("uses") > 0)
+        .select(*KEY, "go_at", "line", "variable", F.explode("loops").alias("loop"))
+    )
     return report(
         found, "go/goroutine-closure-capture", language="go",
         message=say("The goroutine uses loop variable '", F.col("variable"), "' itself, not its value of this round."),
@@ -591,24 +605,25 @@ def goroutine_closure_capture(rows: DataFrame) -> DataFrame:
 
 def sql_string_concat(rows: DataFrame) -> DataFrame:
     """SQL methods whose first argument is joined with ``+``."""
-    calls = rows.filter(_sequence("sql")).select(
-        *KEY, F.col("idx").alias("encl"), "idx", "line", this.p1.alias("method")
-    )
     # the operators that stand directly in the argument list
     weaker = ("==", "!=", "<", ">", "<=", ">=", "&&", "||")
     signs = ("(", ",", "+", "-", "*", "/", "%", *weaker)
-    parts = (
-        rows.filter(this.tok.isin(",", "+", *weaker) & F.col("encl").isNotNull())
-        .groupBy(*KEY, "encl")
+    call, part = _sequence("sql"), this.tok.isin(",", "+", *weaker)
+    end = F.coalesce(F.col("comma"), F.lit(2**31 - 1))
+    found = (
+        rows.filter(call | (part & F.col("encl").isNotNull()))
+        # a call stands for its own bracket
+        .withColumn("open", F.when(part, F.col("encl")).otherwise(F.col("idx")))
+        .groupBy(*KEY, F.col("open").alias("idx"))
         .agg(
+            F.max(F.when(~part, F.struct("line", this.p1.alias("method")))).alias("call"),
             F.min(F.when(this.tok == ",", F.col("idx"))).alias("comma"),
             F.min(F.when((this.tok == "+") & ~this.p1.isin(*signs), F.col("idx"))).alias("plus"),
             F.min(F.when(this.tok.isin(*weaker), F.col("idx"))).alias("weaker"),
         )
-    )
-    end = F.coalesce(F.col("comma"), F.lit(2**31 - 1))
-    found = calls.join(parts, [*KEY, "encl"]).filter(
-        (F.col("plus") < end) & (F.col("weaker").isNull() | (F.col("weaker") > end))
+        .filter(F.col("call").isNotNull() & (F.col("plus") < end))
+        .filter(F.col("weaker").isNull() | (F.col("weaker") > end))
+        .select(*KEY, "idx", "call.line", "call.method")
     )
     return report(
         found, "go/sql-string-concat", language="go",
@@ -629,15 +644,13 @@ def weak_rand(rows: DataFrame) -> DataFrame:
         ignorenulls=True,
     ).over(order)
     crypto = F.col("kind").isin("string", "template") & this.tok.contains("crypto") & (F.col("head.tok") == "import")
-    suspects = (
+    suspect = crypto | ((F.col("kind") == "word") & sensitive)
+    found = (
         rows.filter((F.col("idx") == F.col("stmt")) | F.col("kind").isin("string", "template", "word"))
         .withColumn("head", head)
-        .filter(crypto | ((F.col("kind") == "word") & sensitive))
-        .select(*KEY)
-        .distinct()
+        .withColumn("suspect", F.max(F.coalesce(suspect, F.lit(False))).over(Window.partitionBy(*KEY)))
+        .filter(F.col("suspect") & _sequence("rand"))
     )
-    calls = rows.filter(_sequence("rand"))
-    found = calls.join(suspects, list(KEY), "left_semi")
     return report(
         found, "go/weak-rand", language="go",
         message=say("rand.", this.n2, "() feeds code that handles secrets, but its numbers can be guessed."),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lintlake.functions.text import base_name, extension
 from lintlake.operators.hits import hits, say, this
 from lintlake.operators.relations import (
-    KEY, enclosing, js_head_line, js_name, pairs,
+    KEY, enclosing, js_head_line, js_name,
 )
 from lintlake.operators.statements import statements
 from lintlake.operators.thresholds import with_limits
@@ -128,27 +128,33 @@ def _calls(rows: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _stops() -> Column:
+    """Whether the expression before a token ends there."""
+    new_statement = (
+        F.col("fresh") & (this.kind == "word") & _value_before()
+        & ~this.tok.isin("instanceof", "in", "of", "as", "satisfies")
+    )
+    return this.tok.isin(",", ";") | F.coalesce(new_statement, F.lit(False))
+
+
+def _later():
+    """The tokens behind one in its place, the nearest last."""
+    place = Window.partitionBy(*KEY, "inside", "encl").orderBy(F.col("idx").desc())
+    return place.rowsBetween(Window.unboundedPreceding, -1)
+
+
 def _expression_ends(rows: DataFrame, wanted: Column) -> DataFrame:
     """Wanted rows with ``end_line``, the line where the token's expression ends.
 
     It ends before the next comma, semicolon or new statement of its place, else before
     the bracket that closes the place.
     """
-    new_statement = (
-        F.col("fresh") & (this.kind == "word") & _value_before()
-        & ~this.tok.isin("instanceof", "in", "of", "as", "satisfies")
-    )
-    stop = this.tok.isin(",", ";") | F.coalesce(new_statement, F.lit(False))
-    later = (
-        Window.partitionBy(*KEY, "inside", "encl").orderBy(F.col("idx").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     marked = (
-        rows.withColumn("_stop", stop)
+        rows.withColumn("_stop", _stops())
         .withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
         .filter(F.col("_stop") | F.col("_wanted") | this.tok.isin("(", "[", "{"))
         .withColumn(
-            "stop_line", F.last(F.when(F.col("_stop"), F.col("prev_line")), ignorenulls=True).over(later)
+            "stop_line", F.last(F.when(F.col("_stop"), F.col("prev_line")), ignorenulls=True).over(_later())
         )
     )
     return _innermost(marked, F.col("_wanted"), ["last_line"]).withColumn(
@@ -196,20 +202,17 @@ def promise_no_catch(rows: DataFrame, strict: bool = False) -> DataFrame:
 
     The finding runs from the line of the chain's first token to the call's end.
     """
+    if strict:
+        caught = (this.tok == "catch") & this.p1.isin(".", "?.") & (this.n1 == "(")
+        place = Window.partitionBy(*KEY, "inside", "stmt")
+        rows = rows.withColumn("catch_at", F.max(F.when(caught, F.col("idx"))).over(place))
     found = (
         _calls(rows, "then")
         .filter(~_has(F.col("path"), ".test.", ".spec."))
         .withColumn("line", F.coalesce("last_head.line", "line"))
     )
     if strict:
-        caught = rows.filter((this.tok == "catch") & this.p1.isin(".", "?.") & (this.n1 == "(")).select(
-            *KEY, "inside", "encl", "stmt", F.col("idx").alias("catch_at")
-        )
-        place = [*KEY, "inside", "stmt"]
-        later = found.join(
-            caught.drop("encl").groupBy(*place).agg(F.max("catch_at").alias("catch_at")), place, "left"
-        )
-        found = later.filter(F.col("catch_at").isNull() | (F.col("catch_at") < F.col("idx")))
+        found = found.filter(F.col("catch_at").isNull() | (F.col("catch_at") < F.col("idx")))
     return report(
         found, "ts/promise-no-catch", language=language(), line_end=F.col("end_line"),
         message=".then() has no .catch() with it; a rejection that nobody handles ends the process.",
@@ -350,17 +353,29 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
 
 def god_class(rows: DataFrame, limits=None) -> DataFrame:
     """Method bodies that stand directly in a class."""
-    heads = _heads(rows)
-    classes = heads.filter(this.kind_of_block == "class").select(
-        *KEY, F.col("idx").alias("encl"), F.col("head_line").alias("line"), "name",
-        F.col("close_line").alias("end_line"),
-    )
-    methods = (
-        rows.filter(this.kind_of_block == "method").groupBy(*KEY, "encl").agg(F.count("*").alias("methods"))
+    head = F.struct(F.col("head_line").alias("line"), "name", F.col("close_line").alias("end_line"))
+    # a class stands for itself, a method for the bracket around it
+    shares = F.array_compact(
+        F.array(
+            F.when(this.kind_of_block == "class", F.struct(F.col("idx").alias("open"), head.alias("head"), F.lit(0).alias("n"))),
+            F.when(
+                this.kind_of_block == "method",
+                F.struct(
+                    F.col("encl").alias("open"),
+                    F.lit(None).cast("struct<line:int,name:string,end_line:int>").alias("head"), F.lit(1).alias("n"),
+                ),
+            ),
+        )
     )
-    limited = with_limits(
-        classes.join(methods, [*KEY, "encl"]), limits, "typescript", "god_class_method_count"
+    sized = (
+        _heads(rows.filter(this.kind_of_block.isin("class", "method")))
+        .select(*KEY, F.explode(shares).alias("s"))
+        .groupBy(*KEY, F.col("s.open").alias("encl"))
+        .agg(F.max("s.head").alias("head"), F.sum("s.n").alias("methods"))
+        .filter(F.col("head").isNotNull() & (F.col("methods") > 0))
+        .select(*KEY, "encl", "head.*", "methods")
     )
+    limited = with_limits(sized, limits, "typescript", "god_class_method_count")
     limit = F.col("limit_god_class_method_count")
     name = F.coalesce(F.col("name"), F.lit("<anonymous>"))
     return report(
@@ -398,9 +413,8 @@ def callback_hell(rows: DataFrame) -> DataFrame:
         return F.struct(place.alias("place"), F.lit(name).alias("part"))
 
     none = F.array().cast(f"array<{role}>")
-    relevant = wanted | opener | (this.tok == ",") | (this.tok == "function")
-    spread = rows.filter(relevant).select(
-        *KEY, "idx", "line", "level", "inside", call.alias("is_call"),
+    spread = _function_ends(rows, wanted | opener).select(
+        *KEY, "idx", "line", "level", "inside", call.alias("is_call"), "last_line", "facts",
         F.explode(
             F.concat(
                 F.coalesce(F.transform(depths, lambda d: part(d, "item")), none),
@@ -417,25 +431,31 @@ def callback_hell(rows: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     state = spread.withColumn(
-        "opened", F.last(F.when(F.col("part") == "open", F.struct("idx", "is_call")), ignorenulls=True).over(before)
+        "opened", F.last(F.when(F.col("part") == "open", F.struct("idx", "is_call", "last_line")), ignorenulls=True).over(before)
     ).withColumn(
         "comma", F.last(F.when(F.col("part") == "comma", F.col("idx")), ignorenulls=True).over(before)
     ).withColumn(
         "func", F.last(F.when(F.col("part") == "function", F.col("idx")), ignorenulls=True).over(before)
     )
-    depth = (
+    facts = F.col("facts")
+    found = (
         state.filter(F.col("part") == "item")
-        .groupBy(*KEY, "idx", "line")
+        .groupBy(*KEY, "idx")
         .agg(
+            F.first("line").alias("own_line"),
+            F.first("facts").alias("facts"),
+            # before the bracket that closes the place of the function itself
+            F.max(F.when(F.col("place") == F.col("inside"), F.col("opened.last_line"))).alias("place_end"),
             F.count_if(
                 F.col("opened.is_call")
                 & (F.col("func") > F.col("opened.idx"))
                 & (F.col("func") > F.coalesce(F.col("comma"), F.lit(0)))
-            ).alias("callbacks")
+            ).alias("callbacks"),
         )
         .filter(F.col("callbacks") >= CALLBACK_LIMITS[0])
+        .withColumn("line", F.coalesce(facts["head_line"], "own_line"))
+        .withColumn("end_line", F.coalesce(facts["end_line"], F.when(~facts["is_word"], F.coalesce(facts["stop_line"], "place_end")), "line"))
     )
-    found = _function_extent(rows, depth)
     return report(
         found, "ts/callback-hell", language=language(), line_end=F.col("end_line"),
         severity=F.when(F.col("callbacks") >= CALLBACK_LIMITS[1], "high").otherwise("medium"),
@@ -445,40 +465,35 @@ def callback_hell(rows: DataFrame) -> DataFrame:
     )
 
 
-def _function_extent(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``line`` and ``end_line`` of function values found by their ``=>`` / word / this.kind_of_block.
+def _function_ends(rows: DataFrame, wanted: Column) -> DataFrame:
+    """Wanted rows, commas and function words with ``facts`` on where a function value there ends.
 
-    A body in braces ends at its bracket, any other arrow body where its expression ends.
+    A function is known by its ``=>``, its word, or the brace of its body. A body in braces ends at
+    its bracket, any other arrow body where its expression ends (``stop_line``, or the place).
     """
-    ends = _expression_ends(rows, (this.tok == "=>") | (this.tok == "function") | (this.kind_of_block == "method"))
-    facts = ends.select(
-        *KEY, "idx", this.tok.alias("mark"), this.n1.alias("next"), this.p1.alias("previous"),
-        F.col("last_open.line").alias("params_line"), F.col("close_line").alias("own_end"),
-        F.col("end_line").alias("stop_line"),
-    )
-    items = found.join(facts, [*KEY, "idx"])
-    bodies = pairs(rows, "last_func").filter("bracket = '{'")
-    with_block = items.withColumn(
-        "body", F.when((F.col("mark") == "=>") & (F.col("next") == "{"), F.col("idx") + 1)
-    ).join(
-        bodies.select(*KEY, F.col("open").alias("body"), F.col("close_line").alias("body_end")),
-        [*KEY, "body"], "left",
-    )
-    words = bodies.filter(F.col("last_func").isNotNull()).groupBy(
-        *KEY, F.col("last_func.idx").alias("idx")
-    ).agg(F.min_by("close_line", "open").alias("word_end"))
-    return (
-        with_block.join(words, [*KEY, "idx"], "left")
-        .withColumn(
-            "line",
-            F.when((F.col("mark") == "=>") & (F.col("previous") == ")"), F.col("params_line"))
-            .otherwise(F.col("line")),
-        )
-        .withColumn(
-            "end_line",
-            F.when(F.col("mark") == "function", F.coalesce("word_end", "line"))
-            .otherwise(F.coalesce("own_end", "body_end", "stop_line", "line")),
-        )
+    order = Window.partitionBy(*KEY).orderBy("idx")
+    level = Window.partitionBy(*KEY, "inside").orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    word = this.tok.isin("func", "function")
+    braces = (this.tok == "{") & F.col("close").isNotNull()
+    arrow = this.tok == "=>"
+    kept = rows.withColumn("_stop", _stops()).filter(wanted | F.col("_stop") | word | (this.tok == ",")).withColumn(
+        "next_end", F.lead("close_line").over(order)
+    ).withColumn(
+        "next_body", F.last(F.when(braces | word, F.struct("tok", "close_line")), ignorenulls=True).over(level)
+    ).withColumn(
+        "stop_line", F.last(F.when(F.col("_stop"), F.col("prev_line")), ignorenulls=True).over(_later())
+    )
+    end = (
+        F.when(this.tok == "function", F.when(F.col("next_body.tok") == "{", F.col("next_body.close_line")))
+        .when(arrow, F.when(this.n1 == "{", F.col("next_end")))
+        .otherwise(F.col("close_line"))
+    )
+    return kept.withColumn(
+        "facts",
+        F.struct(
+            F.when(arrow & (this.p1 == ")"), F.col("last_open.line")).alias("head_line"),
+            end.alias("end_line"), (this.tok == "function").alias("is_word"), "stop_line",
+        ),
     )
 
 
@@ -576,47 +591,36 @@ def _innermost(rows: DataFrame, wanted: Column, facts: list[str]) -> DataFrame:
 def test_no_assertion(rows: DataFrame) -> DataFrame:
     """``it`` / ``test`` calls with a function as second argument and no ``expect`` in it."""
     own = ~F.coalesce(this.p2.isin(".", "?.", "function", "get", "set", "async", "*"), F.lit(False))
-    calls = rows.filter((this.tok == "(") & this.p1.isin("it", "test") & own & test_path()).select(
-        *KEY, F.col("idx").alias("call"), F.col("prev_line").alias("line"), this.n1.alias("title"),
-        F.col("close").alias("call_close"), F.col("close_line").alias("call_line"),
-    ).filter(F.col("call_close").isNotNull())
-    # commas and arrows that stand directly in the argument list of these calls
-    inside_call = rows.filter(this.tok.isin(",", "=>") & F.col("encl").isNotNull()).select(
-        *KEY, F.col("encl").alias("call"), F.col("idx").alias("at"), "tok", "n1", "n2"
-    )
-    comma = F.col("tok") == ","
-    parts = (
-        inside_call.join(calls.select(*KEY, "call"), [*KEY, "call"], "left_semi")
+    call = (this.tok == "(") & this.p1.isin("it", "test") & own & F.col("close").isNotNull()
+    comma, arrow = this.tok == ",", this.tok == "=>"
+    part = (comma | arrow) & F.col("encl").isNotNull()
+    check = (this.tok == "expect") & _plain() & (this.n1 == "(")
+    # a call stands for its own bracket, commas and arrows for the one directly around them, a
+    # check for all around it
+    around = enclosing(
+        rows.filter(test_path()).withColumn("is_call", F.coalesce(call, F.lit(False))), check,
+        ["idx", "tok", "encl", "prev_line", "n1", "n2", "close_line", "is_call"], [], own=F.col("is_call") | part,
+    ).withColumn(
+        "call",
+        F.when(F.col("outer").isNotNull(), F.col("outer.idx")).when(F.col("is_call"), F.col("idx")).otherwise(F.col("encl")),
+    )
+    before = Window.partitionBy(*KEY, "call").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    second = F.count_if(comma).over(before) == 1
+    tests = (
+        around.withColumn("in_second", second)
         .groupBy(*KEY, "call")
         .agg(
-            F.min(F.when(comma, F.struct("at", "n1", "n2"))).alias("second"),
-            F.sort_array(F.collect_list(F.when(comma, F.col("at")))).alias("commas"),
-            F.collect_list(F.when(~comma, F.col("at"))).alias("arrows"),
+            F.max(F.when(F.col("is_call"), F.struct(F.col("prev_line").alias("line"), F.col("n1").alias("title"), F.col("close_line").alias("call_line")))).alias("head"),
+            F.min(F.when(comma, F.struct("idx", "n1", "n2"))).alias("second"),
+            F.count_if(arrow & F.col("in_second")).alias("arrows"),
+            F.count_if((this.tok == "expect") & F.col("in_second")).alias("checks"),
         )
-        .filter(F.col("second").isNotNull())
-    )
-    tests = (
-        calls.join(parts, [*KEY, "call"])
-        .withColumn("begin", F.col("second.at"))
-        .withColumn("end", F.coalesce(F.get("commas", F.lit(1)), F.col("call_close")))
-    )
-    own_arrow = F.exists(
-        "arrows", lambda a: (a > F.col("begin")) & (a < F.col("end")),
+        .filter(F.col("head").isNotNull() & F.col("second").isNotNull())
     )
     is_function = (F.col("second.n1") == "function") | (
         (F.col("second.n1") == "async") & (F.col("second.n2") == "function")
-    ) | (own_arrow & (F.col("second.n1").rlike(r"^[\p{L}_$(]")))
-    tests = tests.filter(is_function)
-    checks = enclosing(rows, (this.tok == "expect") & _plain() & (this.n1 == "("), ["idx"], []).select(
-        *KEY, F.col("outer.idx").alias("call"), F.col("idx").alias("check_at")
-    )
-    found = tests.alias("t").join(
-        checks.alias("c"),
-        (F.col("t.repo") == F.col("c.repo")) & (F.col("t.path") == F.col("c.path"))
-        & (F.col("t.call") == F.col("c.call"))
-        & (F.col("c.check_at") > F.col("t.begin")) & (F.col("c.check_at") < F.col("t.end")),
-        "left_anti",
-    )
+    ) | ((F.col("arrows") > 0) & (F.col("second.n1").rlike(r"^[\p{L}_$(]")))
+    found = tests.filter(is_function & (F.col("checks") == 0)).select(*KEY, "call", "head.*")
     quoted = F.col("title").rlike("^[\"'`]")
     name = F.when(
         quoted, F.regexp_replace(F.col("title"), "^[\"'`]|[\"'`]$|\\$\\{(?s:.*)$", "")

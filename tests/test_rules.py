@@ -4,6 +4,7 @@ import pytest
 
 from lintlake.operators import rules_go, rules_python, rules_typescript
 from lintlake.operators.findings import validate_findings
+from lintlake.operators.metrics import function_metrics
 from lintlake.operators.pynodes import parse_errors, py_nodes
 from lintlake.operators.relations import code_rows
 from lintlake.plans.scan import _apply, scan
@@ -128,3 +129,23 @@ def test_apply_passes_what_a_rule_asks_for(sources):
     src = sources({"a.py": "def f():\n    x = 3.5\n    y = 7  # 0x7\n"})
     found = _apply(rules_python.magic_number, py_nodes(src), src, None)
     assert [r["line_start"] for r in found.collect()] == [2]
+
+
+@pytest.mark.parametrize("language, module", [("go", rules_go), ("typescript", rules_typescript)])
+def test_rules_read_the_relation_once(sources, language, module):
+    src = sources({"a.go": "package p\n", "a.ts": "f()\n"})
+    for rule_id, rule in module.RULES.items():
+        plan = _apply(rule, code_rows(src, language), src, None)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan, rule_id
+        assert plan.count("RepartitionByExpression") == 1, rule_id
+    metrics = function_metrics(code_rows(src, language), language)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in metrics and metrics.count("RepartitionByExpression") == 1
+
+
+def test_goroutines_behind_a_bracket_too_many(sources):
+    """Levels go below zero there; a guard still belongs to its own statement."""
+    text = "package p\n)}\nfunc F() {\n\tfor {\n\t\tgo b()\n\t\tgo func() { defer func() { recover() }() }()\n\t}\n}\n"
+    rows = code_rows(sources({"a.go": text}), "go")
+    assert [r["line_start"] for r in rules_go.bare_goroutine(rows).collect()] == [5, 6]
+    plain = code_rows(sources({"a.go": text.replace(")}\n", "", 1)}), "go")
+    assert [r["line_start"] for r in rules_go.bare_goroutine(plain).collect()] == [4]
