@@ -40,6 +40,8 @@ def session(app: str = "lintlake", **conf) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # joins on the file and more keys may use the partitioning by file
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # a scan builds some ten thousand columns; noting the place of each takes most of that time
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # rows hold whole files, so few of them make a batch
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     )
@@ -143,14 +145,15 @@ def scan(
     categories: list[str] | None = None,
     limits=None,
     editor: bool = False,
-    keep: str | bool = False,
+    keep: str | bool = "checkpoint",
     relations: Relations | None = None,
 ) -> DataFrame:
     """Findings of source files ``(repo, path, content)`` by rules and the secret scan.
 
     ``limits`` is None, a dict, or a table per repository. Nothing is left behind in memory:
-    to hold the parsed relations for the many rules that read them, pass ``relations`` and
-    release them after the findings are written; ``keep="checkpoint"`` holds them on disk.
+    files are parsed once, when this is called, into the shared folder. To hold the parsed
+    relations in memory instead, pass ``relations`` and release them after the findings are
+    written; ``keep=False`` parses anew for every rule.
     """
     relations = relations or Relations(src, editor, keep)
     parts = [scan_language(relations, lang, limits, categories) for lang in languages]
