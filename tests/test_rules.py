@@ -146,6 +146,6 @@ def test_goroutines_behind_a_bracket_too_many(sources):
     """Levels go below zero there; a guard still belongs to its own statement."""
     text = "package p\n)}\nfunc F() {\n\tfor {\n\t\tgo b()\n\t\tgo func() { defer func() { recover() }() }()\n\t}\n}\n"
     rows = code_rows(sources({"a.go": text}), "go")
-    assert [r["line_start"] for r in rules_go.bare_goroutine(rows).collect()] == [5, 6]
+    assert [r["line_start"] for r in rules_go.bare_goroutine(rows).collect()] == [5]
     plain = code_rows(sources({"a.go": text.replace(")}\n", "", 1)}), "go")
     assert [r["line_start"] for r in rules_go.bare_goroutine(plain).collect()] == [4]
