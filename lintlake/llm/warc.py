@@ -26,6 +26,8 @@ END = "\r\n\r\n"
 #: Bytes between two ranges that are still read as one, and the most bytes of a joined range
 #: (a longer record is a range of its own).
 GAP, CHUNK = 64 << 10, 4 << 20
+#: Bytes that a task fetches, about.
+TASK_BYTES = 64 << 20
 #: An archive that has reached this size is closed and a new one begun.
 ARCHIVE_BYTES = 1 << 30
 LEVEL = 6
@@ -153,7 +155,11 @@ def read_records(spark, folder: str, selected: DataFrame | None = None, gap: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _fetch(batches, f"{folder}/warc")
 
-    return ranges(selected, gap, chunk).select("file", "start", "stop", "parts").mapInArrow(run, RECORDS)
+    # the index is small, what it points at is not: ranges are dealt by the bytes they fetch
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    spread = ranges(selected, gap, chunk).repartition(tasks, "file", "start")
+    return spread.select("file", "start", "stop", "parts").mapInArrow(run, RECORDS)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,9 @@ def test_edges(spark, tmp_path):
     assert got == sorted([(None, "revisit", 3), (None, "revisit", 3), (1, "revisit", 2), (1, "revisit", 2), (2, "response", None), (3, "response", None)], key=str)
     empty = warc.write_archives(pages(spark, rows).limit(0), f"{tmp_path}/b")
     assert warc.read_records(spark, empty).count() == 0
+
+
+def test_ranges_are_dealt_over_tasks(spark, tmp_path):
+    folder = warc.write_archives(pages(spark, rows_of(200)).repartition(16), str(tmp_path))
+    tasks = warc.read_records(spark, folder).select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 4
