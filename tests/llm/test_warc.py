@@ -68,5 +68,5 @@ def test_edges(spark, tmp_path):
 
 def test_ranges_are_dealt_over_tasks(spark, tmp_path):
     folder = warc.write_archives(pages(spark, rows_of(200)).repartition(16), str(tmp_path))
-    tasks = warc.read_records(spark, folder).select(F.spark_partition_id().alias("t")).distinct().count()
+    tasks = warc.read_records(spark, folder, gap=10, chunk=1_000).select(F.spark_partition_id().alias("t")).distinct().count()
     assert tasks > 4
