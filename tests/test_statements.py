@@ -129,4 +129,7 @@ def test_any_text_is_passed(spark, sources):
     rng = random.Random(3)
     words = "( ) [ ] { } ; , : ? => if else do while for try catch function class case x ( ) \n".split(" ")
     files = {f"f{i}.ts": " ".join(rng.choice(words) for _ in range(60)) for i in range(200)}
-    assert statements(R.code_rows(sources(files), "typescript")).count() > 200
+    rows = statements(R.code_rows(sources(files), "typescript")).collect()
+    assert {r.kind for r in rows} == {"control", "function"}
+    assert all(r.end_line is None and r.kind == "function" or r.line <= r.end_line for r in rows)
+    assert all(r.depth >= (r.kind == "control") for r in rows)
