@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harness import adapters as A
@@ -112,9 +112,16 @@ for _plant in PLANTS:
 )
 def _(spark, sf_dir):
     root = fresh_path(spark, "checkout")
-    A.table(spark, sf_dir, "documents").selectExpr("text", "source AS repo").repartition("repo").write.option(
-        "maxRecordsPerFile", 1
-    ).partitionBy("repo").text(root)
+    # a document that stands twice is two files; 256 folders a repository keep folders small
+    twin = Window.partitionBy("doc_id", "source").orderBy("text")
+    S.write_source_files(
+        A.table(spark, sf_dir, "documents").withColumn("twin", F.row_number().over(twin)).selectExpr(
+            "concat('repo=', coalesce(nullif(replace(source, '/', '%2F'), ''), '__HIVE_DEFAULT_PARTITION__')) AS repo",
+            "concat(pmod(hash(doc_id), 256), '/doc_', coalesce(cast(doc_id AS string), 'none'), '_', twin, '.txt') AS path",
+            "concat(coalesce(text, ''), '\n') AS content",
+        ),
+        root,
+    )
     rows = S.read_source_files(spark, root, extensions=(".txt",))
     body = F.expr("substr(content, 1, length(content) - 1)")
     return rows.select(

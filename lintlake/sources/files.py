@@ -53,6 +53,10 @@ SKIP_DIRS = {
 ENTERS_HIDDEN = ("python",)
 
 
+#: Small files go to Spark together, up to so many characters.
+_READ_CHARS = 1_000_000
+
+
 def _folder(root: str):
     """File system and path of ``root`` for the tasks that walk and read it."""
     from pyarrow import fs
@@ -88,6 +92,31 @@ def list_source_files(spark: SparkSession, root: str, extensions=None) -> DataFr
     return files.select("repo", "path", extension(F.col("path")).alias("ext"), "size").filter(F.col("ext").isin(*wanted))
 
 
+def write_source_files(src: DataFrame, root: str) -> None:
+    """Write ``(repo, path, content)`` as files below ``root``, a folder that all tasks share.
+
+    Tasks write side by side, with no step at the end that renames file by file in the driver.
+    Files are spread by ``(repo, path)``; of rows equal in both, one stays.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _folder(root)
+        made = set()
+        for batch in batches:
+            for repo, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file = f"{base.rstrip('/')}/{repo}/{path}"
+                folder = file.rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(file) as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    spread = src.select("repo", "path", "content").repartition(4 * src.sparkSession.sparkContext.defaultParallelism, "repo", "path")
+    spread.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def read_source_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
     """``(repo, path, ext, content)`` below ``root``; its first directories are the repos.
 
@@ -97,17 +126,26 @@ def read_source_files(spark: SparkSession, root: str, extensions=None) -> DataFr
     listed = list_source_files(spark, root, extensions).select("repo", "path", "ext")
     spread = listed.repartition(4 * spark.sparkContext.defaultParallelism, "repo", "path")
 
+    names = ("repo", "path", "ext", "content")
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _folder(root)
         for batch in batches:
+            held: list[tuple] = []
+            size = 0
             for repo, path, ext in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     with system.open_input_file(f"{base.rstrip('/')}/{repo}/{path}") as file:
                         content = file.read().decode("utf-8", "replace")
                 except OSError:
                     continue
-                row = {"repo": [repo], "path": [path], "ext": [ext], "content": [content]}
-                yield pa.RecordBatch.from_pydict(row)
+                held.append((repo, path, ext, content))
+                size += len(content)
+                if size >= _READ_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], names=names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], names=names)
 
     return spread.mapInArrow(read, "repo string, path string, ext string, content string")
 

@@ -40,3 +40,25 @@ def test_no_local_folder_off_local_masters(monkeypatch):
 
     with pytest.raises(ValueError):
         storage.shared_dir(Session())
+
+
+def test_checkouts_are_written_by_many_tasks(spark, tmp_path):
+    texts = {("r1", "a.py"): "x = 1\n", ("r1", "pkg/b.py"): "", ("r2", "a.py"): "\u00e9\n"}
+    rows = [(*key, text) for key, text in texts.items()] + [("r3", f"{i % 7}/{i}.py", "y\n" * (i % 5)) for i in range(500)]
+    src = spark.createDataFrame([*rows, ("r4", "none.py", None)], "repo string, path string, content string")
+    S.write_source_files(src, str(tmp_path))
+    read = S.read_source_files(spark, str(tmp_path))
+    got = {(r["repo"], r["path"]): r["content"] for r in read.collect()}
+    assert got == {(r, p): t for r, p, t in rows} | {("r4", "none.py"): ""}
+
+
+def test_the_query_spreads_a_repository(spark, tmp_path):
+    """One repository of many documents, some twice, without id or text: every row is a file."""
+    from harness.queries import QUERIES
+
+    rows = [(i % 40, f"text {i % 40}", "one") for i in range(80)] + [(None, None, None), (None, "x", "a/b"), (7, "", "one")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["read_source_files"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert {r["repo"] for r in got} == {"one", "a%2Fb", "__HIVE_DEFAULT_PARTITION__"}
+    assert sorted(r["chars"] for r in got if r["repo"] != "one") == [0, 1]
