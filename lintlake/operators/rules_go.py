@@ -128,6 +128,11 @@ def bare_goroutine(rows: DataFrame) -> DataFrame:
     )
 
 
+def _declares() -> Column:
+    """The ``func`` that begins a declaration."""
+    return (this.tok == "func") & (F.col("inside") == 0) & (F.col("idx") == F.col("stmt"))
+
+
 def _functions(rows: DataFrame) -> DataFrame:
     """Function and method declarations with name, receiver and body.
 
@@ -135,8 +140,7 @@ def _functions(rows: DataFrame) -> DataFrame:
     there, so every token of the file carries the number of its declaration.
     """
     order = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    decl = (this.tok == "func") & (F.col("inside") == 0) & (F.col("idx") == F.col("stmt"))
-    return rows.withColumn("decl", F.sum(F.when(decl, 1).otherwise(0)).over(order)).filter(
+    return rows.withColumn("decl", F.sum(F.when(_declares(), 1).otherwise(0)).over(order)).filter(
         F.col("decl") > 0
     )
 
@@ -208,16 +212,11 @@ def god_struct(rows: DataFrame, limits=None) -> DataFrame:
         .when(r3 == ")", r2)
         .when((r2 == "*") & (r4 == ")"), r3)
     )
+    # the first token of a method is a row of its own, with what follows it
+    names = {f"r{i}": F.col(f"n{i + 1}") for i in range(1, 5)}
     methods = (
-        _functions(rows)
-        .groupBy(*KEY, "decl")
-        .agg(
-            F.min("idx").alias("idx"),
-            F.min_by("line", "idx").alias("line"),
-            F.min_by("n1", "idx").alias("first"),
-            *[F.min_by(f"n{i + 1}", "idx").alias(f"r{i}") for i in range(1, 5)],
-        )
-        .filter(F.col("first") == "(")
+        rows.filter(_declares() & (F.col("n1") == "("))
+        .withColumns(names)
         .withColumn("receiver", receiver)
         .filter(F.col("receiver").isNotNull())
         .groupBy(*KEY, "receiver")
