@@ -1246,7 +1246,8 @@ add(
 @query("source_nodes_udtf", f"SELECT repo, path, CAST(loops AS BIGINT) AS loops FROM {_PYCOG}")
 def _(spark, sf_dir):
     registry.register_functions(spark)
-    src = planted(A.table(spark, sf_dir, "part"), BY_RULE["python/cognitive-complexity"])
+    # a table function runs where its rows are, so files are spread over the tasks first
+    src = R.by_file(planted(A.table(spark, sf_dir, "part"), BY_RULE["python/cognitive-complexity"]))
     return spark.sql(
         "SELECT repo, path, count(*) AS loops FROM {src}, LATERAL source_nodes(path, content) WHERE kind = 'For' GROUP BY repo, path",
         src=src,

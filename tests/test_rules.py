@@ -149,3 +149,23 @@ def test_goroutines_behind_a_bracket_too_many(sources):
     assert [r["line_start"] for r in rules_go.bare_goroutine(rows).collect()] == [5]
     plain = code_rows(sources({"a.go": text.replace(")}\n", "", 1)}), "go")
     assert [r["line_start"] for r in rules_go.bare_goroutine(plain).collect()] == [4]
+
+
+def test_god_struct_reads_the_first_token_of_a_method(sources):
+    """No aggregation over all tokens of all declarations."""
+    text = "package p\n" + "func (s *Store) A() {\n\tx := func() {}\n}\n" * 9 + "func (Store) B() {}\n" * 8 + "func free() {}\n"
+    found = rules_go.god_struct(code_rows(sources({"a.go": text}), "go"))
+    assert [(r["line_start"], r["message"]) for r in found.collect()] == [(2, "Type 'Store' has 17 methods in one file.")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+
+
+def test_the_table_function_runs_on_spread_files(spark, tmp_path):
+    from harness.queries import QUERIES
+
+    rows = [(i, f"part {i}", f"Brand#{i % 3}", i) for i in range(50)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["source_nodes_udtf"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert found.count() == 50
