@@ -64,58 +64,67 @@ def _first(node: ast.AST) -> str:
     return type(node).__name__
 
 
-def _facts(node: ast.AST, lines: list[str]) -> dict:
-    """The values of one node that the rules compare."""
-    out = {}
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-        out["name"] = node.name
-    elif isinstance(node, (ast.Name, ast.Attribute)):
-        out["name"] = _word(node)
-    elif isinstance(node, ast.ImportFrom):
-        out["name"] = node.module
-        out["keywords"] = [{"name": a.name} for a in node.names]
-    elif isinstance(node, ast.Call):
-        func = node.func
-        out["op"] = type(func).__name__
-        out["size"] = len(node.args)
-        out["first"] = _first(node.args[0]) if node.args else None
-        out["keywords"] = [{"name": k.arg, "value": _word(k.value)} for k in node.keywords]
-        if isinstance(func, (ast.Name, ast.Attribute)):
-            out["name"] = _word(func)
-        if isinstance(func, ast.Attribute):
-            out["receiver_kind"] = type(func.value).__name__
-            out["receiver"] = _word(func.value)
-    elif isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
-        out["shown"] = str(node.value)
-        out["line_text"] = lines[node.lineno - 1] if node.lineno <= len(lines) else ""
-        try:
-            out["num"] = float(node.value)
-        except OverflowError:
-            out["num"] = float("inf")
-    elif isinstance(node, ast.For):
-        # the variable of a loop over range(...)
-        if isinstance(node.iter, ast.Call) and getattr(node.iter.func, "id", None) == "range":
-            out["name"] = getattr(node.target, "id", None)
-    elif isinstance(node, ast.BoolOp):
-        out["size"] = len(node.values)
-    elif isinstance(node, ast.comprehension):
-        out["size"] = len(node.ifs)
-    elif isinstance(node, ast.If):
-        # the function that the test calls
-        if isinstance(node.test, ast.Call):
-            out["name"] = getattr(node.test.func, "id", None)
-        out["early_exit"] = (
-            not node.orelse
-            and len(node.body) == 1
-            and isinstance(node.body[0], (ast.Return, ast.Continue, ast.Break))
-        )
-    elif isinstance(node, ast.ExceptHandler):
-        out["op"] = type(node.type).__name__ if node.type else None
-        out["first"] = type(node.body[0]).__name__
-        out["size"] = len(node.body)
+def _constant(node: ast.Constant, lines: list[str]) -> dict:
+    if not isinstance(node.value, (int, float)):
+        return {}
+    out = {"shown": str(node.value), "line_text": lines[node.lineno - 1] if node.lineno <= len(lines) else ""}
+    try:
+        out["num"] = float(node.value)
+    except OverflowError:
+        out["num"] = float("inf")
+    return out
+
+
+def _call(node: ast.Call, lines: list[str]) -> dict:
+    func = node.func
+    out = {
+        "op": type(func).__name__, "size": len(node.args), "first": _first(node.args[0]) if node.args else None,
+        "keywords": [{"name": k.arg, "value": _word(k.value)} for k in node.keywords],
+    }
+    if isinstance(func, (ast.Name, ast.Attribute)):
+        out["name"] = _word(func)
+    if isinstance(func, ast.Attribute):
+        out["receiver_kind"] = type(func.value).__name__
+        out["receiver"] = _word(func.value)
+    return out
+
+
+def _for(node: ast.For, lines: list[str]) -> dict:
+    # the variable of a loop over range(...)
+    if isinstance(node.iter, ast.Call) and getattr(node.iter.func, "id", None) == "range":
+        return {"name": getattr(node.target, "id", None)}
+    return {}
+
+
+def _if(node: ast.If, lines: list[str]) -> dict:
+    out = {
+        "early_exit": not node.orelse
+        and len(node.body) == 1
+        and isinstance(node.body[0], (ast.Return, ast.Continue, ast.Break))
+    }
+    # the function that the test calls
+    if isinstance(node.test, ast.Call):
+        out["name"] = getattr(node.test.func, "id", None)
     return out
 
 
+#: The values of one node that the rules compare, by its type.
+_FACTS = {
+    **dict.fromkeys((ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef), lambda node, lines: {"name": node.name}),
+    **dict.fromkeys((ast.Name, ast.Attribute), lambda node, lines: {"name": _word(node)}),
+    ast.ImportFrom: lambda node, lines: {"name": node.module, "keywords": [{"name": a.name} for a in node.names]},
+    ast.Call: _call,
+    ast.Constant: _constant,
+    ast.For: _for,
+    ast.BoolOp: lambda node, lines: {"size": len(node.values)},
+    ast.comprehension: lambda node, lines: {"size": len(node.ifs)},
+    ast.If: _if,
+    ast.ExceptHandler: lambda node, lines: {
+        "op": type(node.type).__name__ if node.type else None, "first": type(node.body[0]).__name__, "size": len(node.body),
+    },
+}
+
+
 _MARKS = (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
 
 
@@ -130,13 +139,16 @@ def _walk(tree: ast.AST, content: str = "") -> list[dict]:
             above["last"] = len(rows) - 1
             continue
         kind = type(node).__name__
+        facts = _FACTS.get(type(node))
         pre = len(rows)
         row = {
             "pre": pre, "last": pre, "parent": above["pre"], "parent_kind": above.get("kind"),
             "grand_kind": above.get("parent_kind"), "field": field, "idx": idx, "alone": alone,
             "kind": kind, "line": getattr(node, "lineno", above.get("line", 0)), "scopes": scopes,
-            "assigned": above.get("target"), **_facts(node, lines),
+            "assigned": above.get("target"),
         }
+        if facts:
+            row |= facts(node, lines)
         row["end_line"] = getattr(node, "end_lineno", None) or row["line"]
         if kind == "If":
             chained = above.get("kind") == "If" and field == "orelse"
@@ -146,9 +158,14 @@ def _walk(tree: ast.AST, content: str = "") -> list[dict]:
             row["target"] = getattr(node.targets[0], "id", None)
         rows.append(row)
         children = []
-        for name, value in ast.iter_fields(node):
-            items = value if isinstance(value, list) else [value]
-            kids = [(i, c) for i, c in enumerate(items) if isinstance(c, ast.AST) and not isinstance(c, _MARKS)]
+        for name in node._fields:
+            value = getattr(node, name, None)
+            if isinstance(value, list):
+                kids = [(i, c) for i, c in enumerate(value) if isinstance(c, ast.AST) and not isinstance(c, _MARKS)]
+                items = value
+            else:
+                kids = [(0, value)] if isinstance(value, ast.AST) and not isinstance(value, _MARKS) else []
+                items = (value,)
             if not kids:
                 continue
             around = scopes
@@ -179,7 +196,19 @@ def _files(batches: Iterator[pa.RecordBatch]):
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in NODE_SCHEMA]
+    columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in NODE_SCHEMA if f.name != "scopes"]
+    # nodes of one place share their scopes: each list becomes Arrow once
+    places: dict[int, int] = {}
+    lists = []
+    at = []
+    for row in rows:
+        scopes = row.get("scopes")
+        place = places.get(id(scopes))
+        if place is None:
+            place = places[id(scopes)] = len(lists)
+            lists.append(scopes)
+        at.append(place)
+    columns.append(pa.array(lists, NODE_SCHEMA.field("scopes").type).take(pa.array(at, pa.int32())))
     return pa.RecordBatch.from_arrays(columns, schema=NODE_SCHEMA)
 
 
