@@ -1286,7 +1286,7 @@ def _scan_all(language: str, rule_ids: tuple):
         for rule_id in rule_ids:
             one = planted(part, BY_RULE[rule_id]).withColumn("repo", F.lit(rule_id.replace("/", "_")))
             src = one if src is None else src.unionByName(one)
-        found = scan(src, languages=(language,), categories=["code_structure"], keep=False)
+        found = scan(src, languages=(language,), categories=["code_structure"])
         return found.groupBy("repo", "rule_id", "severity").agg(F.count("*").alias("n"))
 
     return fn
