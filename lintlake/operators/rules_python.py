@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions.text import base_name
 from lintlake.operators.hits import say, this
-from lintlake.operators.pynodes import DEF_KINDS, LOOP_KINDS
+from lintlake.operators.pynodes import DEF_KINDS, LOOP_KINDS, NOT_PARSED
 from lintlake.operators.thresholds import with_limits
 from lintlake.model import as_column
 from lintlake.plans.catalogue import report
@@ -40,6 +40,25 @@ def _defs() -> Column:
     return F.filter("scopes", lambda s: s["kind"].isin(*DEF_KINDS))
 
 
+def read_by_rules() -> Column:
+    """Nodes that a rule of this module or the metrics of functions look at, by what their filters
+    share: most nodes of a file are names and values that none of them reads."""
+    kinds = (
+        "If", "IfExp", "ExceptHandler", "BoolOp", "comprehension", "ImportFrom", "Assert", NOT_PARSED, *LOOP_KINDS, *DEF_KINDS,
+    )
+    named = this.name.isin(
+        *ORM_METHODS, *MAYBE_ORM_METHODS, "now", "execute", "raw", "executemany", "eval", "exec", "load", "open"
+    ) | this.name.startswith("assert") | F.exists(_defs(), lambda s: s["name"] == this.name)
+    wanted = (
+        this.kind.isin(*kinds)
+        | ((this.kind == "Constant") & F.col("num").isNotNull())
+        | ((this.kind == "Call") & named)
+        | ((this.parent_kind == "If") & (F.col("field") == "orelse"))
+        | ((this.parent_kind == "arguments") & this.kind.isin("List", "Dict", "Set"))
+    )
+    return F.coalesce(wanted, F.lit(False))
+
+
 def mutable_default_argument(nodes: DataFrame) -> DataFrame:
     """List, dict or set literals as defaults, one finding each, at the ``def``."""
     owner = F.get("scopes", F.size("scopes") - 1)

@@ -19,12 +19,12 @@ from lintlake.operators.findings import (
     build_summary, filter_confidence, filter_paths, filter_severity, scan_outputs, summary_for_all,
 )
 from lintlake.operators.metrics import function_metrics
-from lintlake.operators.pynodes import errors_of, nodes_of, py_parse
+from lintlake.operators.pynodes import errors_of, nodes_of, py_nodes, py_parse
 from lintlake.operators.relations import code_rows
 from lintlake.operators.render import with_snippets
 from lintlake.operators.secrets import label_by_pack, leaks_to_findings, scan_secrets
 from lintlake.plans.catalogue import runs
-from lintlake.plans.registry import apply_user_rules
+from lintlake.plans.registry import apply_user_rules, user_rules
 from lintlake.sources.files import CHECKER_EXTENSIONS, EDITOR_EXTENSIONS, prune_dirs, prune_ignored
 from lintlake.sources import reports as R
 from lintlake.sources.reports import union_findings
@@ -90,18 +90,23 @@ class Relations:
 
     ``keep`` is "persist" for a large scan (columns a rule does not read are not touched),
     "checkpoint" for small and frequent ones (the plans of the rules become short), or
-    False to compute them anew in every rule.
+    False to compute them anew in every rule. What is kept of Python files are the nodes that
+    a rule reads, and all of them where users have rules for Python.
     """
 
     src: DataFrame
     editor: bool = False
     keep: str | bool = "persist"
     made: dict = field(default_factory=dict)
+    whole: bool = False
 
     def of(self, language: str) -> tuple[DataFrame, DataFrame]:
         if language not in self.made:
             files = sources_of(self.src, language, self.editor)
             made = py_parse(files) if language == "python" else code_rows(files, language)
+            if language == "python":
+                self.whole = bool(user_rules(language)) or not self.keep
+                made = made if self.whole else made.filter(rules_python.read_by_rules())
             if self.keep == "checkpoint":
                 made = cut(made)
             elif self.keep:
@@ -134,6 +139,9 @@ def scan_language(relations: Relations, language: str, limits=None, categories=N
     ]
     if language == "typescript" and runs("ts/ts-ignore-proliferation", categories):
         parts += [rule(files) for rule in rules_typescript.TEXT_RULES.values()]
+    if language == "python" and not relations.whole and user_rules(language):
+        # a rule of a user that came after the parse may read any node
+        relation = py_nodes(files)
     parts += apply_user_rules(relation, language)
     return union_findings(*parts).select(*FINDING_COLUMNS) if parts else None
 

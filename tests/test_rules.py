@@ -1,13 +1,15 @@
 """Whole samples with exactly the findings they must give."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lintlake.operators import rules_go, rules_python, rules_typescript
 from lintlake.operators.findings import validate_findings
 from lintlake.operators.metrics import function_metrics
-from lintlake.operators.pynodes import parse_errors, py_nodes
+from lintlake.operators.pynodes import errors_of, parse_errors, py_nodes, py_parse
 from lintlake.operators.relations import code_rows
-from lintlake.plans.scan import _apply, scan
+from lintlake.plans import registry
+from lintlake.plans.scan import Relations, _apply, scan
 from tests.conftest import sample
 
 GO = {
@@ -169,3 +171,38 @@ def test_the_table_function_runs_on_spread_files(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
     assert found.count() == 50
+
+
+def test_kept_nodes_are_all_that_rules_read(spark, sources):
+    """Rules and metrics find the same in the nodes that a scan keeps as in all nodes."""
+    from harness.plants import PLANTS
+
+    rows = [(i, f"part {i}", "b", i) for i in range(1, 46)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int")
+    from harness.plants import planted
+
+    src = sources({"sample.py": sample("sample.py.txt"), "tests/test_x.py": sample("sample.py.txt"), "bad.py": "def f(:"})
+    for plant in PLANTS:
+        if plant.language == "python":
+            src = src.unionByName(planted(part, plant).withColumn("repo", F.lit(plant.rule_id)))
+    every = py_parse(src).cache()
+    kept = every.filter(rules_python.read_by_rules()).cache()
+    assert kept.count() < every.count() / 2
+    key = lambda df: sorted(map(str, df.drop("detected_at").collect()))
+    for rule in (*rules_python.RULES.values(), lambda nodes: function_metrics(nodes, "python"), errors_of):
+        assert key(rule(kept)) == key(rule(every))
+
+
+def test_a_user_rule_after_the_parse_sees_every_node(spark, sources):
+    relations = Relations(sources({"a.py": "x = y.z\n"}))
+    relations.of("python")
+    registry.register_sql_rule(
+        "user/late", "python", "SELECT repo, path, line, pre AS ordinal FROM {code} WHERE kind = 'Attribute'",
+        antipattern="a", name="A", message="m", remediation="r",
+    )
+    try:
+        found = scan(relations.src, languages=("python",), relations=relations)
+        assert [r["rule_id"] for r in found.collect()] == ["user/late"]
+    finally:
+        registry.unregister_rule("user/late")
+        relations.release()
