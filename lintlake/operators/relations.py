@@ -70,13 +70,22 @@ GO_KEYWORDS = (
 )
 
 
+#: So much text makes some half a million tokens.
+CHARS_PER_TASK = 1_000_000
+
+
 def by_file(src: DataFrame) -> DataFrame:
     """The one shuffle of the source: rows of a file together, files spread.
 
     The number of partitions is given, so they are not merged by the size of the text:
-    the tokens that come out of it take some fifty times as much.
+    the tokens that come out of it take some hundred times as much. It grows with the text, which
+    one narrow pass measures, so that a task sorts its tokens in memory however much there is.
     """
-    return src.repartition(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+    parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not src.isStreaming:
+        chars = src.agg(F.sum(F.length("content"))).first()[0] or 0
+        parts = max(parts, -(-chars // CHARS_PER_TASK))
+    return src.repartition(parts, *KEY)
 
 
 def _kind(tok: Column) -> Column:

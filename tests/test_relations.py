@@ -141,3 +141,12 @@ def test_function_metrics(sources):
     go = "package p\nfunc (s *S) Put(a int) {\n\tif a > 1 && b {\n\t}\n\tfunc() { for {} }()\n}\n"
     (row,) = function_metrics(R.code_rows(sources({"a.go": go}), "go"), "go").collect()
     assert (row["name"], row["start"], row["end"], row["ccn"]) == ("Put", 2, 6, 4)
+
+
+def test_partitions_grow_with_the_text(spark, sources):
+    """A task gets so much text, however many files there are; a file stays in one."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = sources({"a.py": "x", "b.py": None})
+    assert R.by_file(small).rdd.getNumPartitions() == least
+    large = small.unionByName(spark.range(90).selectExpr("'r' AS repo", "concat(id, '.py') AS path", "'.py' AS ext", "repeat('x', 100000) AS content"))
+    assert R.by_file(large).rdd.getNumPartitions() == max(least, 10)
