@@ -206,3 +206,13 @@ def test_a_user_rule_after_the_parse_sees_every_node(spark, sources):
     finally:
         registry.unregister_rule("user/late")
         relations.release()
+
+
+def test_scan_query_parses_once(spark, tmp_path):
+    """The rules read what one parse left; none of them has a parse in its plan."""
+    from harness.queries import QUERIES
+
+    rows = [(i, f"part {i}", f"Brand#{i % 3}", i) for i in range(1, 9)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["scan_python"](spark, str(tmp_path))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
