@@ -1134,16 +1134,20 @@ def _saves(spark, sf_dir):
     return A.run(spark, sf_dir, A.SAVES_SQL, "events")
 
 
+SAVES_PER_FILE = 100_000
+
+
 def _saves_stream(spark, sf_dir, batches=4):
-    """The saves as a stream of several batches, each a stretch of time in no order."""
+    """The saves as a stream of several batches, each a stretch of time in no order. A user's saves of
+    a stretch are in one file, and files grow in number with the saves."""
     events = A.table(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    first, last = events.agg(F.min(at), F.max(at)).first()
+    first, last, n = events.agg(F.min(at), F.max(at), F.count("*")).first()
     stretch = F.floor((at - F.lit(first)) * batches / F.lit(last - first + 1))
-    path = fresh_path(spark, "saves")
+    path, files = fresh_path(spark, "saves"), max(1, n // (batches * SAVES_PER_FILE))
     for i in range(batches):
-        events.filter(stretch == i).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        events.filter(stretch == i).repartition(files, "user_id").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
     return stream.selectExpr(
         "concat('repo', user_id % 5) AS repo", "concat('src/u', user_id, '.py') AS uri", "ts", "concat('x = ', event_id) AS content"
     )

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from lintlake.functions.severity import severity_rank
 from lintlake.model import FINDING_COLUMNS
@@ -38,6 +39,13 @@ STATE_STORE = (
 
 BURSTS = "repo string, uri string, ts timestamp, content string, saves long"
 _PART = "first long, last long, content string, saves long"
+_FACTS = ("first", "last", "content", "saves")
+_OPEN = "repo array<string>, uri array<string>, due array<long>, first array<long>, last array<long>, content array<string>, saves array<long>"
+#: Files share state by groups, as a call for each file costs more than its saves. A batch reads and
+#: writes the open bursts of the groups that it has saves of.
+FILE_GROUPS = 4096
+#: So many saves or bytes are folded at once before the shuffle.
+FOLD_ROWS, FOLD_BYTES = 100_000, 32 << 20
 
 
 def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE, quiet: str = QUIET, late: str = "0 seconds") -> DataFrame:
@@ -52,8 +60,9 @@ def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE, quiet: str = QUIET, la
     it is over (by ``late`` more). Only the newest burst of a file needs a timer on the clock:
     it fires at the end of its gap, or, where that is past because the saves are old, when the
     file has been silent for ``quiet``. Rows are folded into bursts before the shuffle and as
-    they come in after it, so a file takes as much memory as it has open bursts. The stream
-    needs the state store that ``start_available`` sets.
+    they come in after it, so a file takes as much memory as it has open bursts. Files share
+    state by :data:`FILE_GROUPS` groups, so memory is that of the open bursts of a group. The
+    stream needs the state store that ``start_available`` sets.
     """
     saves = saves.withColumn("ts", F.col("ts").cast("timestamp"))
     if saves.isStreaming:
@@ -62,8 +71,9 @@ def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE, quiet: str = QUIET, la
         us = F.unix_micros("ts")
         parts = saves.filter("ts IS NOT NULL").select("repo", "uri", us.alias("first"), us.alias("last"), "content", F.lit(1).cast("long").alias("saves"))
         folded = parts.mapInArrow(_folder(micros[0]), parts.schema)
-        bursts = folded.groupBy("repo", "uri").transformWithStateInPandas(
-            _Bursts(*micros), f"repo string, uri string, {_PART}", "Append", "ProcessingTime"
+        grouped = folded.withColumn("group", F.pmod(F.xxhash64("repo", "uri"), F.lit(FILE_GROUPS))).groupBy("group")
+        bursts = grouped.applyInPandasWithState(
+            _bursts(*micros), f"repo string, uri string, {_PART}", _OPEN, "append", "ProcessingTimeTimeout"
         )
         return bursts.select("repo", "uri", F.timestamp_micros("last").alias("ts"), "content", "saves")
     return (
@@ -79,8 +89,8 @@ def debounce_saves(saves: DataFrame, gap: str = DEBOUNCE, quiet: str = QUIET, la
 
 def open_bursts(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The bursts that a stopped stream of ``debounce_saves`` has not emitted yet."""
-    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
-    held = state.select("key.*", "list_element.*")
+    state = spark.read.format("statestore").load(checkpoint).select("value.groupState.*")
+    held = state.select(F.inline(F.arrays_zip("repo", "uri", *_FACTS)))
     return held.select("repo", "uri", F.timestamp_micros("last").alias("ts"), "content", "saves")
 
 
@@ -99,57 +109,74 @@ def _fold(parts: list[tuple], gap: int) -> list[tuple]:
 
 
 def _folder(gap: int):
-    def run(batches):
-        for batch in batches:
-            files: dict[tuple, list] = {}
+    def fold(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        schema = held[0].schema
+        files: dict[tuple, list] = {}
+        for batch in held:
             for repo, uri, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 files.setdefault((repo, uri), []).append(tuple(part))
-            rows = [(*key, *burst) for key, parts in files.items() for burst in _fold(parts, gap)]
-            columns = zip(*rows, strict=True) if rows else [[] for _ in batch.schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, batch.schema, strict=True)], schema=batch.schema)
+        rows = [(*key, *burst) for key, parts in files.items() for burst in _fold(parts, gap)]
+        columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= FOLD_ROWS or sum(b.nbytes for b in held) >= FOLD_BYTES:
+                yield fold(held)
+                held = []
+        if held:
+            yield fold(held)
 
     return run
 
 
-class _Bursts(StatefulProcessor):
-    """A file's bursts that may still grow, and the timer of the newest; times in microseconds."""
-
-    def __init__(self, gap: int, quiet: int, late: int):
-        self.gap, self.quiet, self.late = gap, quiet, late
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", _PART)
-
-    def handleInputRows(self, key, rows, timerValues):
-        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        for frame in rows:
-            parts = zip(frame["first"].tolist(), frame["last"].tolist(), frame["content"].tolist(), frame["saves"].tolist(), strict=True)
-            held = _fold([*held, *parts], self.gap)
-        newest = held[-1][1]
-        over = [b for b in held[:-1] if b[1] + self.gap + self.late < newest]
-        kept = held[len(over) :]
-        self.open.put(kept)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        now = timerValues.getCurrentProcessingTimeInMs() * 1000
-        end = newest + self.gap + self.late
-        self.handle.registerTimer(-(-(end if end > now else now + self.quiet) // 1000))
+def _bursts(gap: int, quiet: int, late: int):
+    """Bursts that may still grow are the state of a group of files, each with the time when its
+    file is over; times in microseconds. State and timeout come and go with the rows of a group,
+    and the timeout is that of its file that is over first."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs() * 1000
+        files: dict[tuple, list] = {}
+        due: dict[tuple, int] = {}
+        for *file, end, part in _rows_of_state(state):
+            files.setdefault(tuple(file), []).append(part)
+            due[tuple(file)] = end
+        come: dict[tuple, list] = {}
+        for frame in () if state.hasTimedOut else frames:
+            for repo, uri, *part in zip(*(frame[c].tolist() for c in ("repo", "uri", *_FACTS)), strict=True):
+                come.setdefault((repo, uri), []).append(tuple(part))
+            come = {file: _fold(parts, gap) for file, parts in come.items()}
+        over: list[tuple] = []
+        for file, parts in come.items():
+            held = _fold([*files.get(file, ()), *parts], gap)
+            newest = held[-1][1]
+            ended = [b for b in held[:-1] if b[1] + gap + late < newest]
+            over += [(*file, *b) for b in ended]
+            files[file] = held[len(ended) :]
+            end = newest + gap + late
+            due[file] = end if end > now else now + quiet
+        for file in [f for f, end in due.items() if end <= now]:
+            over += [(*file, *b) for b in files.pop(file)]
+            del due[file]
+        if files:
+            held = [(*file, due[file], *b) for file, bursts in files.items() for b in bursts]
+            state.update(tuple(map(list, zip(*held, strict=True))))
+            state.setTimeoutDuration(-(-(min(due.values()) - now) // 1000))
+        elif state.exists:
+            state.remove()
         if over:
-            yield self._frame(key, over)
+            yield pd.DataFrame(dict(zip(("repo", "uri", *_FACTS), map(list, zip(*over, strict=True)), strict=True)))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        self.open.clear()
-        if held:
-            yield self._frame(key, held)
+    return run
 
-    def close(self) -> None:
-        pass
 
-    def _frame(self, key, bursts: list[tuple]) -> pd.DataFrame:
-        first, last, content, count = zip(*bursts, strict=True)
-        return pd.DataFrame({"repo": key[0], "uri": key[1], "first": list(first), "last": list(last), "content": list(content), "saves": list(count)})
+def _rows_of_state(state: GroupState) -> Iterator[tuple]:
+    if state.exists:
+        for *file, end, first, last, content, saves in zip(*state.get, strict=True):
+            yield *file, end, (first, last, content, saves)
 
 
 def newest_config(config_log: DataFrame) -> DataFrame:

@@ -78,6 +78,67 @@ def test_a_hot_file_is_folded_before_the_shuffle():
     assert [b.to_pylist() for b in out] == [[{"repo": "r", "uri": None, "first": 0, "last": n - 1, "content": "y", "saves": n}]]
 
 
+def test_saves_are_folded_over_arrow_batches():
+    import pyarrow as pa
+
+    def batch(i):
+        return pa.RecordBatch.from_pydict({"repo": ["r", "r"], "uri": ["a", "b"], "first": [i, i], "last": [i, i], "content": [str(i), None], "saves": [1, 1]})
+
+    out = [r for b in ST._folder(10)(batch(i) for i in range(256)) for r in b.to_pylist()]
+    assert [(r["uri"], r["content"], r["saves"]) for r in out] == [("a", "255", 256), ("b", None, 256)]
+
+
+class _State:
+    """What Spark keeps of a group, with a clock set by hand."""
+
+    def __init__(self, now):
+        self.now, self.get, self.exists, self.hasTimedOut, self.timeout = now, None, False, False, None
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, rows):
+        self.get, self.exists = rows, True
+
+    def remove(self):
+        self.get, self.exists, self.timeout = None, False, None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = self.now + ms
+
+
+def test_files_of_a_group_end_one_by_one():
+    import pandas as pd
+
+    def saves(*rows):
+        return iter([pd.DataFrame([(r, u, t, t, c, 1) for r, u, t, c in rows], columns=["repo", "uri", "first", "last", "content", "saves"])])
+
+    run, state = ST._bursts(500_000, 60_000_000, 0), _State(1_000)
+    out = lambda frames: [tuple(r) for f in run((7,), frames, state) for r in f.itertuples(index=False)]
+    # the saves of a are of now, those of the null file are old, so it waits for the quiet time
+    assert out(saves((None, None, 5, None), ("r", "a", 900_000, "1"))) == []
+    assert state.timeout == 1_400
+    state.now = 1_300
+    assert out(saves(("r", "a", 1_250_000, "2"))) == [] and state.timeout == 1_750
+    state.now, state.hasTimedOut = 1_751, True
+    assert out(iter(())) == [("r", "a", 900_000, 1_250_000, "2", 2)] and state.timeout == 61_000
+    state.now, state.hasTimedOut = 61_001, False
+    # one file is over as saves of another come in
+    assert out(saves(("r", "b", 61_000_000, "3"))) == [(None, None, 5, 5, None, 1)] and state.timeout == 61_500
+    state.now, state.hasTimedOut = 61_600, True
+    assert out(iter(())) == [("r", "b", 61_000_000, 61_000_000, "3", 1)] and not state.exists
+
+
+def test_a_call_for_many_files(spark, tmp_path):
+    rows = [(f"f{i}", 10.0 + 0.2 * (j % 2) + 5 * (j // 2), f"{i}.{j}") for i in range(9000) for j in range(4)]
+    batches = [rows[:: 2], rows[1 :: 2]]
+    done, still = bursts_of(spark, str(tmp_path), batches, late="1 minute")
+    assert done.count() == 0 and still.count() == 18_000
+    assert rows_of(still) == rows_of(ST.debounce_saves(frame(spark, rows)))
+    groups = spark.read.format("statestore").load(f"{tmp_path}/state").count()
+    assert groups <= ST.FILE_GROUPS < 9000
+
+
 def test_the_newest_burst_ends_by_the_clock(spark, tmp_path):
     frame(spark, [("a", 10.0, "1"), ("a", 10.2, "2")]).coalesce(1).write.parquet(f"{tmp_path}/in")
     spark.conf.set(*ST.STATE_STORE)
