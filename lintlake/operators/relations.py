@@ -153,7 +153,8 @@ def tokens(src: DataFrame, language: str) -> DataFrame:
     toks = _all(F.col("content"), TOKEN_SHAPES[language])
     if language != "go":
         toks = _templates_apart(_regexes_apart(toks))
-    found = by_file(src.select(*KEY, "content")).select(*KEY, F.posexplode(toks).alias("pos", "tok"))
+    # files in order, so the sort of their tokens finds them sorted
+    found = by_file(src.select(*KEY, "content")).sortWithinPartitions(*KEY).select(*KEY, F.posexplode(toks).alias("pos", "tok"))
     before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(
         Window.unboundedPreceding, -1
     )

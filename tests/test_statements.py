@@ -133,3 +133,33 @@ def test_any_text_is_passed(spark, sources):
     assert {r.kind for r in rows} == {"control", "function"}
     assert all(r.end_line is None and r.kind == "function" or r.line <= r.end_line for r in rows)
     assert all(r.depth >= (r.kind == "control") for r in rows)
+
+
+def test_files_reach_the_pass_in_pieces_and_in_order():
+    import pyarrow as pa
+
+    from lintlake.operators import statements as S
+
+    files = [(f"p{i}", ("function f ( ) { " + "if ( x ) " * (i % 5 + 1) + "go ( ) ; }").split()) for i in range(400)]
+    rows = []
+    for path, toks in files:
+        for n, tok in enumerate(toks, 1):
+            kind = "word" if tok.isalpha() else "punct"
+            rows.append((n, "r", path, n, tok, kind, n, None if n == 1 else False, "function" if n == 5 else None, 1, "f"))
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.string()] * 2, pa.int32(), *[pa.string()] * 2, pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.string()), strict=True)]
+    table = pa.table(columns, names=["at", "repo", "path", *S._FACTS])
+    want = [(path, "control", 6 + 4 * j) for path, toks in files for j in range(toks.count("if"))]
+    for size in (7, 256, 100_000):
+        out = list(S._statements_of(iter(table.to_batches(max_chunksize=size))))
+        got = [r for b in out for r in b.to_pylist()]
+        assert [(r["path"], r["kind"], r["idx"]) for r in got if r["kind"] == "control"] == want
+        assert [(r["path"], r["depth"], r["end_line"]) for r in got if r["kind"] == "function"] == [(p, t.count("if"), len(t)) for p, t in files]
+        # rows of many files make one batch
+        assert len(out) <= 3
+
+
+def test_statements_sort_the_files_before_their_tokens_and_collect_nothing(spark, sources):
+    rows = statements(R.code_rows(sources({"a.ts": "if (x) go()\n"}), "typescript"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert plan.rindex("Sort [repo") > plan.rindex("Generate")
