@@ -9,14 +9,16 @@ while equal texts and seeds give equal pieces on any executor.
 
 What is drawn is the number of candidates up to the next skip. The pieces of a word are thus
 given by the ordinals of its skipped candidates, and a worker remembers words as trees: a node
-has the pieces for the skips on the way to it, and a child for each further skip.
+has the pieces for the skips on the way to it, and a child for each further skip. The agendas of
+words and skips that are new to a worker advance together, some thousands at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,13 @@ REMEMBERED = 1_000_000
 #: line breaks and the mark itself are spelt in bytes.
 CHUNK = regex.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n|\r")
 MASK = (1 << 64) - 1
-#: Parts beyond this many characters are not remembered; rows of a matrix at once.
-LONG, ROWS = 48, 4000
+#: Parts beyond this many characters are not remembered; agendas that advance at once.
+LONG, ROWS = 48, 4096
 #: Characters of texts that are encoded at once, unless one text is longer.
 CHARS = 2_000_000
-NONE = 1 << 30
+#: A candidate in one number, the least is the next: rank, place of its left symbol, joint.
+RANK, PLACE = 42, 20
+JOINT, NONE = (1 << PLACE) - 1, 1 << 62
 
 
 class Vocabulary:
@@ -64,21 +68,47 @@ class Vocabulary:
         self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
         self.spelt_length = np.array([len(x) for x in spelt], np.int64)
         self.spelt_begin = np.cumsum(self.spelt_length) - self.spelt_length
-        # characters are symbols too: their piece, or a number beyond all pieces
+        # characters are symbols too: their piece, a number beyond all pieces if something joins
+        # them all the same, or one that stands for all others
         self.size = size
-        self.symbol = np.arange(0x110000, dtype=np.int32) + size
-        for p, i in self.ids.items():
+        apart = sorted({c for p in self.ids if len(p) > 1 for c in (p[0], p[-1])}.difference(self.ids))
+        self.number = self.ids | {c: size + i for i, c in enumerate(apart)}
+        self.gone = size + len(apart) + 1  # no symbol
+        self.symbol = np.full(0x110000, self.gone - 1, np.int64)
+        for p, i in self.number.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
-        number = lambda p: self.ids.get(p, size + ord(p) if len(p) == 1 else -1)
-        joins = [(number(p[:k]), number(p[k:]), i, self.scores[p]) for p, i in self.ids.items() for k in range(1, len(p))]
-        joins = [j for j in joins if j[0] >= 0 and j[1] >= 0]
+        self.byte = np.array([self.bytes[b] for b in range(256)], np.int32)
+        self._join_table()
+
+    def _join_table(self) -> None:
+        """What two symbols join to, in a table that is read at ``offset[left] + right``: the
+        lists of the left symbols are laid over each other, where none needs the same place."""
+        number = self.number.get
+        joins = [(a, b, i, self.scores[p]) for p, i in self.ids.items() for k in range(1, len(p)) if (a := number(p[:k])) is not None and (b := number(p[k:])) is not None]
         best_first = {x: r for r, x in enumerate(sorted({j[3] for j in joins}, reverse=True))}
-        keys = np.array([(a << 32) | b for a, b, _, _ in joins], np.int64)
-        order = np.argsort(keys)
-        self.pairs = keys[order]
-        self.joints = np.array([j[2] for j in joins], np.int32)[order]
-        self.ranks = np.array([best_first[j[3]] for j in joins], np.int32)[order]
+        rights: dict[int, list[tuple[int, int]]] = {}
+        for a, b, i, score in joins:
+            rights.setdefault(a, []).append((b, (best_first[score] << RANK) + i))
+        span = self.gone + 1
+        self.offset = np.zeros(span, np.int64)
+        self.owner = np.full(span + 4 * len(joins) + span, -1, np.int64)
+        self.joint = np.full(len(self.owner), NONE, np.int64)
+        rnd = np.random.default_rng(0)
+        for a, list_ in sorted(rights.items(), key=lambda x: -len(x[1])):
+            b, value = np.array(list_, np.int64).T
+            for _ in range(100):
+                offsets = rnd.integers(0, len(self.owner) - span, 16)
+                free = (self.owner[offsets[:, None] + b] < 0).all(1)
+                if free.any():
+                    self.offset[a] = offsets[free.argmax()]
+                    break
+            else:  # too full for a list as long
+                self.offset[a] = len(self.owner)
+                self.owner = np.concatenate([self.owner, np.full(2 * span, -1, np.int64)])
+                self.joint = np.concatenate([self.joint, np.full(2 * span, NONE, np.int64)])
+            self.owner[self.offset[a] + b] = a
+            self.joint[self.offset[a] + b] = value
 
     def pieces_of(self, word: str, skips: Iterator[int] | None = None) -> tuple[list[int], int]:
         """Ids of one chunk of any length, merged with a heap and links, and how many candidates
@@ -114,105 +144,111 @@ class Vocabulary:
         return out, came
 
     def many(self, words: list[str], skips: list[tuple[int, ...]] | None = None) -> list[tuple[bytes, int]]:
-        """``pieces_of`` of each chunk, ids as little-endian bytes: the agendas of chunks of like
-        length advance together, a row of a matrix each."""
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        done: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
-        at = 0
-        while at < len(order):
-            least = len(words[order[at]])
-            if least > LONG:
-                for i in order[at:]:
-                    ids, came = self.pieces_of(words[i], iter(skips[i]) if skips else None)
-                    done[i] = np.array(ids, "<i4").tobytes(), came
-                break
-            most = min(max(8, least + 3), LONG)
-            end = at
-            while end < len(order) and end - at < ROWS and len(words[order[end]]) <= most:
-                end += 1
-            some = order[at:end]
-            for i, one in zip(some, self._rows([words[i] for i in some], [skips[i] for i in some] if skips else None), strict=True):
-                done[i] = one
-            at = end
-        return done
-
-    def _rows(self, words: list[str], skips: list[tuple[int, ...]] | None) -> list[tuple[bytes, int]]:
-        lengths = np.array([len(w) for w in words])
-        width = int(lengths.max(initial=0)) + 1
+        """``pieces_of`` of each chunk, ids as little-endian bytes."""
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        lengths = np.array([len(w) for w in words], np.int64)
+        found: list = [None] * len(words)
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            ids, came = self.pieces_of(words[i], iter(skips[i]) if skips else None)
+            found[i] = np.array(ids, "<i4").tobytes(), came
+        short = np.flatnonzero(lengths <= LONG)
+        left_out = None
         if skips:
-            # a last column ends every row: no candidate has the ordinal -1
-            most = max(map(len, skips)) + 1
-            left_out = np.array([(*x, *(-1,) * (most - len(x))) for x in skips])
-            came, passed = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        inside = np.arange(width) < lengths[:, None]
-        symbols = np.full((len(words), width), -1, np.int32)
-        symbols[inside] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-        out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
-        rows = np.arange(len(words))
-        # symbols stay in their columns; a merge leaves its left one and links past the right one
-        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (len(words), 1))
-        before = after - 2
-        ranks = np.full((len(words), width), NONE, np.int32)
-        ranks[:, :-1] = self._joined(symbols[:, :-1], symbols[:, 1:])
-        while len(rows):
-            at = ranks.argmin(1)
-            every = np.arange(len(rows))
-            open_ = ranks[every, at] < NONE
-            if not open_.all():
-                closed = symbols[~open_]
-                real = closed >= 0
-                flat = closed[real].astype("<i4").tobytes()
-                ends = 4 * np.cumsum(real.sum(1))
-                spelt = (closed >= self.size).any(1).tolist()
-                begin = 0
-                # each merge has made two symbols one
-                merged = (lengths[rows[~open_]] - real.sum(1)).tolist()
-                times = [n + m for n, m in zip(merged, passed[~open_].tolist(), strict=True)] if skips else merged
-                for r, (row, end) in enumerate(zip(rows[~open_].tolist(), ends.tolist(), strict=True)):
-                    out[row] = (self._with_bytes(closed[r][real[r]]) if spelt[r] else flat[begin:end]), times[r]
-                    begin = end
-                rows, symbols, after, before, ranks, at = (x[open_] for x in (rows, symbols, after, before, ranks, at))
-                if skips:
-                    left_out, came, passed = left_out[open_], came[open_], passed[open_]
-                every = np.arange(len(rows))
-                if not len(rows):
-                    break
-            if skips:
-                skip = left_out[every, passed] == came
-                came += 1
-                passed += skip
-                ranks[every[skip], at[skip]] = NONE
-                every, at = every[~skip], at[~skip]
-                if not len(every):
-                    continue
-            gone = after[every, at]
-            nxt = after[every, gone]
-            pair = (symbols[every, at].astype(np.int64) << 32) | symbols[every, gone]
-            symbols[every, at] = self.joints[np.searchsorted(self.pairs, pair)]
-            symbols[every, gone] = -1
-            ranks[every, gone] = NONE
-            after[every, at] = nxt
-            # the last column is never a symbol
-            nxt = np.minimum(nxt, width - 1)
-            before[every, nxt] = at
-            ranks[every, at] = self._joined(symbols[every, at], symbols[every, nxt])
-            held = before[every, at] >= 0
-            e, left = every[held], before[every, at][held]
-            ranks[e, left] = self._joined(symbols[e, left], symbols[e, at[held]])
-        return out
+            some = [skips[i] for i in short.tolist()]
+            left_out = np.repeat(np.arange(len(some)), [len(x) for x in some]), np.array([*chain.from_iterable(some)], np.int64)
+        order, ids, sizes, came = self.agendas(points, (np.cumsum(lengths) - lengths)[short], lengths[short], left_out)
+        ends = np.cumsum(sizes)
+        for i, a, b, n in zip(short[order].tolist(), (ends - sizes).tolist(), ends.tolist(), came.tolist(), strict=True):
+            found[i] = ids[a:b].astype("<i4").tobytes(), n
+        return found
+
+    def agendas(self, points: np.ndarray, begins: np.ndarray, lengths: np.ndarray, left_out: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Merges chunks of up to ``LONG`` code points, given by their places in ``points``;
+        ``left_out`` has numbers of chunks and ordinals of their candidates to skip. Returns the
+        chunks' numbers in the order of the rest: all ids, how many are a chunk's, and how many
+        candidates came up."""
+        order = np.argsort(lengths, kind="stable")
+        if left_out:
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            rows, ordinals = place[left_out[0]], left_out[1]
+            by_row = np.argsort(rows, kind="stable")
+            rows, ordinals = rows[by_row], ordinals[by_row]
+        made = []
+        for at in range(0, len(order), ROWS):
+            some = order[at : at + ROWS]
+            skips = None
+            if left_out:
+                a, b = np.searchsorted(rows, [at, at + len(some)])
+                skips = rows[a:b] - at, ordinals[a:b]
+            made.append(self._advance(points, begins[some], lengths[some], skips))
+        if not made:
+            return order, np.empty(0, np.int32), order, order
+        return order, *(np.concatenate(x) for x in zip(*made, strict=True))
+
+    def _advance(self, points: np.ndarray, begins: np.ndarray, lengths: np.ndarray, skips: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The agendas of chunks in order of length advance together. A chunk is a column with no
+        symbol before and after; a merge leaves the left symbol and links past the right one."""
+        n, most = len(lengths), int(lengths[-1])
+        shift = max(n - 1, 1).bit_length()
+        step = 1 << shift
+        symbols = np.full((most + 2, step), self.gone, np.int64)
+        for i, first in enumerate(np.searchsorted(lengths, np.arange(most), side="right").tolist()):
+            symbols[i + 1, first:n] = self.symbol[points[begins[first:] + i]]
+        places = np.arange(symbols.size)
+        after, before = places + step, places - step
+        keys = np.full(symbols.shape, NONE, np.int64)
+        keys[1:-1] = self._joined(symbols[1:-1], symbols[2:]) + (np.arange(1, most + 1) << (shift + PLACE))[:, None]
+        flat, key = symbols.reshape(-1), keys.reshape(-1)
+        column = ~(step - 1)
+        if skips is not None:
+            skipped = np.zeros((int(skips[1].max(initial=-1)) + 1, step), bool)
+            skipped[skips[1], skips[0]] = True
+        came, no = np.zeros(step, np.int64), 0
+        while True:
+            best = keys.min(axis=0)
+            open_ = best < NONE
+            every = np.flatnonzero(open_)
+            if not len(every):
+                break
+            came += open_
+            best = best.take(every)
+            left = ((best >> PLACE) & ((1 << RANK - PLACE) - 1)) + every
+            if skips is not None and no < len(skipped):
+                skip = skipped[no].take(every)
+                key[left[skip]] = NONE
+                left, best = left[~skip], best[~skip]
+            no += 1
+            joint = best & JOINT
+            right = after.take(left)
+            behind, ahead = before.take(left), after.take(right)
+            after[left] = ahead
+            before[ahead] = left
+            flat[left] = joint
+            flat[right] = self.gone
+            key[right] = NONE
+            both = np.concatenate([left, behind])
+            joined = self._joined(np.concatenate([joint, flat.take(behind)]), np.concatenate([flat.take(ahead), joint]))
+            key[both] = joined + ((both & column) << PLACE)
+        rest = np.ascontiguousarray(symbols[1:-1, :n].T)
+        real = rest != self.gone
+        ids, sizes = rest[real], real.sum(1)
+        spelt = ids >= self.size
+        if spelt.any():
+            chunk, at = np.nonzero(real)
+            chars = points[begins[chunk[spelt]] + at[spelt]]
+            times = np.ones(len(ids), np.int64)
+            times[spelt] = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+            sizes = np.bincount(np.repeat(chunk, times), minlength=n)
+            ids, spelt = np.repeat(ids, times), np.repeat(spelt, times)
+            ids[spelt] = self.byte[np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+        return ids.astype(np.int32), sizes, came[:n]
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of symbol pairs; ``NONE`` where no piece joins them."""
-        pair = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
-        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        found = (self.pairs[place] == pair) & (left >= 0) & (right >= 0)
-        return np.where(found, self.ranks[place], np.int32(NONE))
-
-    def _with_bytes(self, symbols: np.ndarray) -> bytes:
-        ids: list[int] = []
-        for s in symbols.tolist():
-            ids.extend([s] if s < self.size else [self.bytes[b] for b in chr(s - self.size).encode()])
-        return np.array(ids, "<i4").tobytes()
+        """Rank and joint of symbol pairs; ``NONE`` where no piece joins them."""
+        at = self.offset.take(left)
+        at += right
+        return np.where(self.owner.take(at) == left, self.joint.take(at), NONE)
 
 
 @lru_cache(maxsize=2)
@@ -265,48 +301,132 @@ class Gaps:
             no += 1
 
 
+class Numbers(dict):
+    """Numbers keys as they come up for the first time, from ``first`` on."""
+
+    first = 0
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        n = self[key] = self.first + len(self.new)
+        self.new.append(key)
+        return n
+
+    def of(self, keys: Iterable, count: int, first: int) -> tuple[np.ndarray, list]:
+        """The numbers of keys, and those that were new."""
+        self.first, self.new = first, []
+        return np.fromiter(map(self.__getitem__, keys), np.int64, count), self.new
+
+
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.held, self.size = np.empty(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if (size := self.size + len(values)) > len(self.held):
+            more = max(size, 2 * len(self.held)) - self.size
+            self.held = np.concatenate([self.held[: self.size], np.empty(more, self.held.dtype)])
+        self.held[self.size : size] = values
+        self.size = size
+
+
 class Memory:
     """The nodes that a worker knows, as columns."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.mark = np.array([vocab.bytes[b] for b in SPACE.encode()], "<i4").tobytes()
+        self.mark = [vocab.bytes[b] for b in SPACE.encode()]
         self.forget()
 
     def forget(self) -> None:
-        self.of: dict = {}
-        self.long: list = []  # units beyond LONG of the texts at hand
-        self.ids: list[bytes] = []
-        self.came = np.empty(1 << 12, np.int64)
-        self.skipped: list[tuple[int, ...]] = []
-        self.part: list[str] = []
-        self.child: dict[tuple[int, int], int] = {}
-
-    def _add(self, made: list[tuple[bytes, int]], parts: list[str], skipped: list[tuple[int, ...]]) -> range:
-        first = len(self.ids)
-        self.ids += [m[0] for m in made]
-        if len(self.ids) > len(self.came):
-            self.came = np.concatenate([self.came, np.empty(max(len(self.came), len(made)), np.int64)])
-        self.came[first : len(self.ids)] = [m[1] for m in made]
-        self.part += parts
-        self.skipped += skipped
-        return range(first, len(self.ids))
-
-    def learn(self, units: list) -> None:
-        """Nodes without skips for new units."""
-        parts = [_chunk(u) for u in units]
-        self.long = [u for u, p in zip(units, parts, strict=True) if len(p) > LONG]
-        self.of.update(zip(units, self._add(self._cut(parts, None), parts, [()] * len(parts)), strict=True))
-
-    def grow(self, wanted: list[tuple[int, int]]) -> None:
-        """Nodes for pairs of a node and a further skip, where they are new."""
-        new = list(set(wanted).difference(self.child))
-        parts, skips = [self.part[n] for n, _ in new], [(*self.skipped[n], s) for n, s in new]
-        self.child.update(zip(new, self._add(self._cut(parts, skips), parts, skips), strict=True))
-
-    def _cut(self, parts: list[str], skips: list[tuple[int, ...]] | None) -> list[tuple[bytes, int]]:
-        found = self.vocab.many(parts, skips)
-        return [x if p else (self.mark, 0) for x, p in zip(found, parts, strict=True)]
+        self.unit, self.child = Numbers(), Numbers()
+        self.long: dict[int, tuple | str] = {}  # nodes of units beyond LONG of the texts at hand
+        #: ids of all nodes; code points of all units
+        self.ids, self.points = Column(np.int32), Column(np.uint32)
+        #: of a node: where its ids begin, how many there are, and how many candidates came up
+        self.begin, self.n_ids, self.came = Column(np.int64), Column(np.int64), Column(np.int64)
+        #: of a node: the one that it grew from (-1: none) by which skip, and the unit's own one
+        self.parent, self.skip, self.root = Column(np.int32), Column(np.int16), Column(np.int32)
+        #: of a unit's own node: where its code points are
+        self.point, self.length = Column(np.int64), Column(np.int32)
+
+    def full(self) -> bool:
+        return self.came.size > REMEMBERED or self.ids.size > 8 * REMEMBERED
+
+    def _add(self, order: np.ndarray, ids: np.ndarray, sizes: np.ndarray, came: np.ndarray) -> None:
+        """Ids and counts of as many new nodes, given in ``order``."""
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.begin.add((self.ids.size + np.cumsum(sizes) - sizes)[back])
+        self.n_ids.add(sizes[back])
+        self.came.add(came[back])
+        self.ids.add(ids)
+
+    def _alone(self, node: int, ids: list[int], came: int) -> None:
+        self.begin.held[node], self.n_ids.held[node], self.came.held[node] = self.ids.size, len(ids), came
+        self.ids.add(np.array(ids, np.int32))
+
+    def learn(self, units: Iterable, count: int) -> np.ndarray:
+        """The nodes without skips of units."""
+        first = self.came.size
+        nodes, new = self.unit.of(units, count, first)
+        parts = [_chunk(u) for u in new]
+        apart = {i: p for i, p in enumerate(parts) if not 0 < len(p) <= LONG}
+        for i in apart:
+            parts[i] = ""
+        lengths = np.array([len(p) for p in parts], np.int64)
+        begins = self.points.size + np.cumsum(lengths) - lengths
+        self.points.add(np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32))
+        self.point.add(begins)
+        self.length.add(lengths)
+        self.root.add(np.arange(first, first + len(new)))
+        self.parent.add(np.full(len(new), -1))
+        self.skip.add(np.full(len(new), -1))
+        self._add(*self.vocab.agendas(self.points.held, begins, lengths))
+        for i, p in apart.items():
+            if p:
+                self.long[first + i] = new[i]
+            self._alone(first + i, *(self.vocab.pieces_of(p) if p else (self.mark, 0)))
+        return nodes
+
+    def grow(self, nodes: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """The nodes for a further skip each. Chunks of up to ``LONG`` have fewer than 256
+        candidates: one between two characters, and two more that each merge may bring up."""
+        found, new = self.child.of(((nodes << 8) | skips).tolist(), len(nodes), self.came.size)
+        wanted = np.array(new, np.int64)
+        parents, skip = wanted >> 8, wanted & 255
+        roots = self.root.held[parents].astype(np.int64)
+        rows, ordinals = [np.arange(len(new))], [skip]
+        row, node = rows[0], parents
+        while len(row := row[inner := self.parent.held[node] >= 0]):
+            node = node[inner]
+            rows.append(row)
+            ordinals.append(self.skip.held[node].astype(np.int64))
+            node = self.parent.held[node]
+        none = np.zeros(len(new))
+        for column, values in ((self.root, roots), (self.parent, parents), (self.skip, skip), (self.point, none), (self.length, none)):
+            column.add(values)
+        self._add(*self.vocab.agendas(self.points.held, self.point.held[roots], self.length.held[roots].astype(np.int64), (np.concatenate(rows), np.concatenate(ordinals))))
+        return found
+
+    def apart(self, nodes: list[int], skips: Iterable[Iterator[int]]) -> np.ndarray:
+        """Nodes of the texts at hand for long units with all their skips."""
+        first = self.came.size
+        for column in (self.begin, self.n_ids, self.came, self.root, self.parent, self.skip, self.point, self.length):
+            column.add(np.zeros(len(nodes)))
+        for i, (node, some) in enumerate(zip(nodes, skips, strict=True)):
+            self._alone(first + i, *self.vocab.pieces_of(_chunk(self.long[node]), some))
+        return np.arange(first, first + len(nodes))
+
+    def drop_long(self) -> None:
+        """Long units are seldom seen again."""
+        for u in self.long.values():
+            del self.unit[u]
+        self.long = {}
 
 
 _MEMORIES: dict[str, Memory] = {}
@@ -346,46 +466,43 @@ def _chunk(unit: str | tuple) -> str:
 
 def encode_texts(texts: list[str], path: str = MODEL, rate: float = 0.0, seed: int = 0) -> list[bytes]:
     """Little-endian 32-bit ids of each whole text; an empty text has none."""
+    ids, ends = encoded(texts, path, rate, seed)
+    return [ids[a:b].astype("<i4").tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+
+def encoded(texts: list[str], path: str = MODEL, rate: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, and where each text's begin and end."""
     if path not in _MEMORIES:
         _MEMORIES[path] = Memory(vocabulary(path))
     memory = _MEMORIES[path]
-    if len(memory.ids) > REMEMBERED:
-        memory.forget()
     parts = [units(t) if t else [] for t in texts]
-    every = [u for p in parts for u in p]
-    memory.learn(list(set(every).difference(memory.of)))
-    nodes = np.fromiter(map(memory.of.__getitem__, every), np.int64, len(every))
-    ends = np.cumsum([0, *map(len, parts)])
-    whole: dict[int, bytes] = {}
-    if rate > 0 and len(every):
+    counts = np.array([len(p) for p in parts], np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    nodes = memory.learn(chain.from_iterable(parts), int(ends[-1]))
+    if rate > 0 and len(nodes):
         gaps = Gaps(rate)
         starts = np.array([xxhash.xxh64_intdigest(t.encode(), seed & MASK) for t in texts], np.uint64)
-        places = (np.arange(len(every)) - np.repeat(ends[:-1], np.diff(ends))).astype(np.uint64)
+        places = (np.arange(len(nodes)) - np.repeat(ends[:-1], counts)).astype(np.uint64)
         with np.errstate(over="ignore"):
-            keys = np.repeat(starts, np.diff(ends)) + places * np.uint64(0xD6E8FEB86659FD93)
-        no, (open_, skips) = 0, gaps.draw_below(keys, 0, memory.came[nodes])
+            keys = np.repeat(starts, counts) + places * np.uint64(0xD6E8FEB86659FD93)
+        no, (open_, skips) = 0, gaps.draw_below(keys, 0, memory.came.held[nodes])
         if memory.long:
-            apart = np.isin(nodes[open_], [memory.of[u] for u in memory.long])
-            for i in open_[apart].tolist():  # by themselves, all skips at once
-                ids, _ = memory.vocab.pieces_of(memory.part[nodes[i]], gaps.skips(int(keys[i])))
-                whole[i] = np.array(ids, "<i4").tobytes()
+            apart = np.isin(nodes[open_], [*memory.long])
+            some = open_[apart]  # by themselves, all skips at once
+            nodes[some] = memory.apart(nodes[some].tolist(), map(gaps.skips, keys[some].tolist()))
             open_, skips = open_[~apart], skips[~apart]
         while len(open_):
-            wanted = list(zip(nodes[open_].tolist(), skips.tolist(), strict=True))
-            memory.grow(wanted)
-            nodes[open_] = np.fromiter(map(memory.child.__getitem__, wanted), np.int64, len(wanted))
+            nodes[open_] = memory.grow(nodes[open_], skips)
             no += 1
-            some, more = gaps.draw_below(keys[open_], no, memory.came[nodes[open_]] - skips - 1)
+            some, more = gaps.draw_below(keys[open_], no, memory.came.held[nodes[open_]] - skips - 1)
             open_, skips = open_[some], skips[some] + 1 + more
-    spelt = list(map(memory.ids.__getitem__, nodes.tolist()))
-    for i, ids in whole.items():
-        spelt[i] = ids
-    out = [b"".join(spelt[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
-    for u in memory.long:  # seldom seen again
-        memory.ids[memory.of[u]] = b""
-        memory.part[memory.of.pop(u)] = ""
-    memory.long = []
-    return out
+    sizes = memory.n_ids.held[nodes]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    ids = memory.ids.held[np.repeat(memory.begin.held[nodes] - begins[:-1], sizes) + np.arange(begins[-1])]
+    memory.drop_long()
+    if memory.full():
+        memory.forget()
+    return ids, begins[ends]
 
 
 def decode_ids(ids, path: str = MODEL) -> str:
@@ -420,14 +537,12 @@ def encode(docs: DataFrame, path: str = MODEL, rate: float = 0.1, seed: int = 17
                 while at + len(part) < batch.num_rows and len(part) < 500 and size < CHARS:
                     part.append(texts[at + len(part)].as_py())
                     size += len(part[-1] or "")
-                whole = encode_texts([t or "" for t in part], path, rate, seed)
-                coded = [None if t is None else c for t, c in zip(part, whole, strict=True)]
-                ends = np.cumsum([0, *(len(c or b"") // 4 for c in coded)], dtype=np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(whole))])
-                offsets = pa.array(ends, pa.int32(), mask=np.array([*(c is None for c in coded), False]))
-                columns = [batch.column("row").slice(at, len(part)), pa.ListArray.from_arrays(offsets, values)]
+                ids, ends = encoded([t or "" for t in part], path, rate, seed)
+                offsets = pa.array(ends.astype(np.int32), pa.int32(), mask=np.array([*(t is None for t in part), False]))
+                columns = [batch.column("row").slice(at, len(part)), pa.ListArray.from_arrays(offsets, pa.array(ids))]
                 if check_col:
-                    columns.append(pa.array([t is None or decode_ids(np.frombuffer(c, "<i4"), path) == t for t, c in zip(part, coded, strict=True)], pa.bool_()))
+                    spans = zip(part, ends.tolist(), ends[1:].tolist(), strict=False)
+                    columns.append(pa.array([t is None or decode_ids(ids[a:b], path) == t for t, a, b in spans], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "spelt"][: len(columns)])
                 at += len(part)
 

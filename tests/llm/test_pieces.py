@@ -77,6 +77,72 @@ def test_dropout_against_a_plain_agenda_per_occurrence():
             assert np.frombuffer(pieces.encode_texts([t], rate=rate, seed=9)[0], "<i4").tolist() == want, t
 
 
+def test_every_join_is_in_the_table_and_no_other():
+    import numpy as np
+
+    vocab = pieces.vocabulary(pieces.MODEL)
+    known = sorted(vocab.number.items())
+    want = {(vocab.number[p[:k]], vocab.number[p[k:]]): (vocab.scores[p], i) for p, i in vocab.ids.items() for k in range(1, len(p)) if p[:k] in vocab.number and p[k:] in vocab.number}
+    best_first = {x: r for r, x in enumerate(sorted({x for x, _ in want.values()}, reverse=True))}
+    left, right = np.array([*want], np.int64).T
+    found = vocab._joined(left, right)
+    assert list(zip((found >> pieces.RANK).tolist(), (found & pieces.JOINT).tolist(), strict=True)) == [(best_first[x], i) for x, i in want.values()]
+    rnd = random.Random(8)
+    others = {(rnd.choice(known)[1], rnd.choice(known)[1]) for _ in range(50_000)}.difference(want)
+    others |= {(a, b) for a in (vocab.gone, vocab.gone - 1) for _, b in known} | {(b, a) for a in (vocab.gone, vocab.gone - 1) for _, b in known}
+    left, right = np.array([*others], np.int64).T
+    assert (vocab._joined(left, right) == pieces.NONE).all()
+
+
+def test_agendas_by_rows_agree_with_the_heap_under_given_skips():
+    import numpy as np
+
+    vocab = pieces.vocabulary(pieces.MODEL)
+    rnd = random.Random(11)
+    words = ["▁" + "".join(rnd.choice(["er", "tion", "heit", "ñ", "ou", "st", "a", "ê", "漢", "\U0001f600"]) for _ in range(rnd.randint(0, 14))) for _ in range(9_000)]
+    words[7:7] = ["", "▁", "a", "\n", "x" * pieces.LONG, "x" * (pieces.LONG + 1)]
+    skips = [tuple(sorted(rnd.sample(range(30), rnd.randint(0, 6)))) for _ in words]
+    for some in (skips, None):
+        want = [vocab.pieces_of(w, iter(x) if some else None) for w, x in zip(words, skips, strict=True)]
+        assert [(np.frombuffer(b, "<i4").tolist(), n) for b, n in vocab.many(words, some)] == want
+    assert vocab.many([]) == []
+
+
+def test_new_words_with_all_their_skips_cost_less_than_a_heap_each():
+    """Words and paths of skips that are new to a worker are most of its work."""
+    from time import process_time
+
+    vocab = pieces.vocabulary(pieces.MODEL)
+    rnd = random.Random(11)
+    text = " ".join("".join(rnd.choice(["er", "tion", "heit", "ñ", "ou", "st", "a", "ê", "漢"]) for _ in range(rnd.randint(4, 7))) for _ in range(40_000))
+    words = sorted({pieces._chunk(u) for u in pieces.units(text)})
+    assert len(words) > 30_000
+    pieces.encode_texts(["warm"], rate=0.1)
+    times = []
+    for _ in range(3):
+        pieces._MEMORIES.clear()
+        began = process_time()
+        pieces.encode_texts([text], rate=0.1, seed=3)
+        middle = process_time()
+        for w in words:
+            vocab.pieces_of(w)
+        times.append((middle - began) / (process_time() - middle))
+    assert min(times) < 0.75, times
+
+
+def test_long_units_and_full_memories_change_nothing(monkeypatch):
+    rnd = random.Random(6)
+    some = [" ".join("".join(rnd.choice("abcdeé漢 ") for _ in range(rnd.randint(1, 150))) for _ in range(20)) for _ in range(12)]
+    some += ["x" * 60 + " " + "x" * 60, ""]
+    one = [pieces.encode_texts([t], rate=0.2, seed=4)[0] for t in some]
+    assert pieces.encode_texts(some, rate=0.2, seed=4) == one
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    assert pieces.encode_texts(some, rate=0.2, seed=4) == one
+    memory = pieces._MEMORIES[pieces.MODEL]
+    assert not memory.unit and not memory.long and memory.came.size == 0
+    assert [pieces.encode_texts([t], rate=0.2, seed=4)[0] for t in some] == one
+
+
 def test_occurrences_of_a_word_vary():
     from collections import Counter
 
