@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lintlake.functions.text import base_name, extension
 from lintlake.operators.hits import hits, say, this
 from lintlake.operators.relations import (
-    KEY, enclosing, js_head_line, js_name,
+    KEY, enclosing, js_head_line, js_name, js_type_name,
 )
 from lintlake.operators.statements import statements
 from lintlake.operators.thresholds import with_limits
@@ -353,7 +353,7 @@ def deep_nesting(rows: DataFrame, limits=None) -> DataFrame:
 
 def god_class(rows: DataFrame, limits=None) -> DataFrame:
     """Method bodies that stand directly in a class."""
-    head = F.struct(F.col("head_line").alias("line"), "name", F.col("close_line").alias("end_line"))
+    head = F.struct(F.col("last_type.line").alias("line"), js_type_name().alias("name"), F.col("close_line").alias("end_line"))
     # a class stands for itself, a method for the bracket around it
     shares = F.array_compact(
         F.array(
@@ -368,7 +368,7 @@ def god_class(rows: DataFrame, limits=None) -> DataFrame:
         )
     )
     sized = (
-        _heads(rows.filter(this.kind_of_block.isin("class", "method")))
+        rows.filter(this.kind_of_block.isin("class", "method"))
         .select(*KEY, F.explode(shares).alias("s"))
         .groupBy(*KEY, F.col("s.open").alias("encl"))
         .agg(F.max("s.head").alias("head"), F.sum("s.n").alias("methods"))
