@@ -5,7 +5,7 @@ on that key once, *before* they are exploded into tokens; all windows and joins
 below use the key (and more), so none of them shuffles again.
 
 Nesting is never found by comparing intervals inside a file. It comes from
-running sums over token order, or from ``enclosing``, which lays every wanted
+running sums over token order (``places``), or from ``enclosing``, which lays every wanted
 token out once per bracket level around it and picks up the bracket by a window:
 the work is tokens times depth, not tokens squared.
 """
