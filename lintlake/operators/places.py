@@ -106,8 +106,8 @@ def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
 
 
 def placed(lists: DataFrame, go: bool) -> DataFrame:
-    """Chunks of files from ``(repo, path, toks)``: the texts of a row are one file, whose tokens
-    go by their places in the texts.
+    """Chunks of files from ``(repo, path, toks)``: rows of one file come together, and where it has
+    several texts their tokens go by their places in the texts.
 
     Chunks stay in the partition of their file. The key of the result is that of ``lists``, not only columns
     with such values, so what is partitioned by it needs no shuffle behind this. As it then counts as made
@@ -124,17 +124,37 @@ def placed(lists: DataFrame, go: bool) -> DataFrame:
     return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, same), spark)
 
 
-def _places(batches: Iterator[pa.RecordBatch], go: bool) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Rows of whole files, and where each file begins; its rows come one after the other."""
+    held: list[pa.RecordBatch] = []
+    key = None
     for batch in batches:
+        keys = list(zip(*(batch.column(f"of_{k}").to_pylist() for k in KEY), strict=True))
+        if not keys or (held and keys[0] == keys[-1] == key):
+            held += [batch] if keys else []
+            continue
+        if held:
+            keys = [key] * sum(h.num_rows for h in held) + keys
+            batch = pa.concat_batches([*held, batch])
+        starts = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
+        if last := starts[-1]:
+            yield batch.slice(0, last), starts
+        held, key = [batch.slice(last)], keys[-1]
+    if held:
+        rows = pa.concat_batches(held)
+        yield rows, [0, rows.num_rows]
+
+
+def _places(batches: Iterator[pa.RecordBatch], go: bool) -> Iterator[pa.RecordBatch]:
+    for batch, starts in _whole(batches):
         texts = batch.column("toks")
-        inner = texts.values
-        of_file, of_text = texts.offsets.to_numpy(), inner.offsets.to_numpy()
+        of_file, of_text = np.array(starts), texts.offsets.to_numpy()
         upto = of_text[of_file]
         at = 0
-        while at < len(texts):
+        while at < len(of_file) - 1:
             end = max(int(np.searchsorted(upto, upto[at] + TOKENS_AT_ONCE, "right")) - 1, at + 1)
-            many, columns = _some(inner.values, of_file[at : end + 1], of_text, go)
-            file = pa.array(np.repeat(np.arange(at, end), many))
+            many, columns = _some(texts.values, of_file[at : end + 1], of_text, go)
+            file = pa.array(np.repeat(of_file[at:end], many))
             yield pa.RecordBatch.from_arrays([*(batch.column(f"of_{k}").take(file) for k in KEY), *columns], _NAMES)
             at = end
 

@@ -153,12 +153,14 @@ def _templates_apart(toks: Column) -> Column:
     return F.flatten(F.transform(toks, split))
 
 
-def _tokens_of(texts: Column, language: str) -> Column:
-    """The tokens of each text of an array. What takes matches apart looks at each, so only where there are such."""
-    lists = F.transform(texts, lambda text: _all(text, TOKEN_SHAPES[language]))
+def _tokens_of(text: Column, language: str) -> Column:
+    """The tokens of a text. What takes matches apart looks at each, so only where there are such."""
+    toks = _all(text, TOKEN_SHAPES[language])
     if language == "go":
-        return lists
-    return F.transform(lists, lambda toks: F.when(F.exists(toks, _may_part), _templates_apart(_regexes_apart(toks))).otherwise(toks))
+        return toks
+    apart = lambda t: F.when(F.exists(t, _may_part), _templates_apart(_regexes_apart(t))).otherwise(t)
+    # an array of one, so the matches are found once for all that is said of them
+    return F.get(F.transform(F.array(toks), apart), F.lit(0))
 
 
 def _may_part(tok: Column) -> Column:
@@ -167,14 +169,14 @@ def _may_part(tok: Column) -> Column:
 
 
 def token_lists(src: DataFrame, language: str) -> DataFrame:
-    """``(repo, path, toks)``, a row for each file, with the tokens of each text of that name in ``toks``."""
-    texts = by_file(src.select(*KEY, "content")).groupBy(*KEY).agg(F.collect_list("content").alias("texts"))
-    return texts.select(*KEY, _tokens_of(F.col("texts"), language).alias("toks"))
+    """``(repo, path, toks)`` of each text, those of one file together."""
+    found = by_file(src.select(*KEY, "content")).sortWithinPartitions(*KEY)
+    return found.select(*KEY, _tokens_of(F.col("content"), language).alias("toks"))
 
 
 def tokens(src: DataFrame, language: str) -> DataFrame:
     """``(repo, path, pos, tok, kind, line)`` with comments and newlines kept."""
-    toks = F.get(_tokens_of(F.array("content"), language), F.lit(0))
+    toks = _tokens_of(F.col("content"), language)
     # files in order, so the sort of their tokens finds them sorted
     found = by_file(src.select(*KEY, "content")).sortWithinPartitions(*KEY).select(*KEY, F.posexplode(toks).alias("pos", "tok"))
     before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from lintlake.operators import places, rules_go, rules_typescript
@@ -101,3 +102,16 @@ def test_god_class_in_a_long_file(sources):
     text = "const f = function () {};\n" + "x(1);\n" * 700 + "class Big extends Base {\n" + methods + "}\nclass Small { a() {} }\n"
     found = rules_typescript.god_class(R.code_rows(sources({"a.ts": text}), "typescript")).collect()
     assert [(r["line_start"], r["line_end"], r["severity"], r["message"]) for r in found] == [(702, 1103, "high", "Class 'Big' has 400 methods.")]
+
+
+def test_files_are_whole_however_rows_come():
+    rows = [("r", "a", ["a", "("]), ("r", "a", None), ("r", "a", ["c", ")"]), ("r", "b", ["{", "}"]), (None, "b", ["x"]), (None, "b", ["y"])]
+    schema = pa.schema([("of_repo", pa.string()), ("of_path", pa.string()), ("toks", pa.list_(pa.string()))])
+    one = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    want = pa.Table.from_batches(places._places(iter([one]), False)).to_pylist()
+    assert [(r["path"], r["toks"], r["pos"]) for r in want] == [
+        ("a", ["a", "c", "(", ")"], [0, 0, 1, 1]), ("b", ["{", "}"], [0, 1]), ("b", ["x", "y"], [0, 0]),
+    ]
+    for size in (1, 2, 3, 5):
+        parts = (one.slice(i, size) for i in range(0, len(rows), size))
+        assert pa.Table.from_batches(places._places(parts, False)).to_pylist() == want
